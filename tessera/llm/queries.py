@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, sharding
+from tessera.llm import decontamination, matroska, sharding, tokencount
 from tessera.llm.tables import table
 
 
@@ -17,8 +19,21 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the public tokenizer files lie; TOKENIZER_DIR names another folder."""
+    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
+
+
+def op4_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokencount.load_pieces(tokenizer_path()))
+
+
 def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op6_jump_shards)}
+def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.read_media(matroska.to_media(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_unigram_token_counts, op6_jump_shards, op9_matroska_media)}
