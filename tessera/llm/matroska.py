@@ -237,10 +237,10 @@ def samples(b: bytes, table: list[Packet], track: int = 1) -> bytes:
 
 
 def feature(payload: bytes, table: list[Packet], cues: list[Cue]) -> str:
-    """Packets, clusters cued, duration in ms, mean, mean square and sign changes of the samples about 128, and the spread over eight bins."""
+    """Packets, clusters cued, duration in ms, mean, mean square and crossings of the mean, and the spread over eight bins."""
     x = np.frombuffer(payload, np.uint8).astype(np.int64)
     ends = table[-1].timestamp_ns + table[-1].size * 1_000_000_000 // RATE
-    sign = x >= 128
+    sign = x * len(x) >= int(x.sum())
     bins = np.bincount(x >> 5, minlength=8)
     return f"packets={len(table)};cues={len(cues)};ms={ends // 1_000_000};mean={int(x.sum()) * 1000 // len(x)};square={int((x * x).sum()) // len(x)};turns={int((sign[1:] != sign[:-1]).sum())};bins={','.join(map(str, bins))}"
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, matroska, sharding, tokencount
+from tessera.llm import decontamination, matroska, sharding, tokencount, toxicity
 from tessera.llm.tables import table
 
 
@@ -36,4 +36,8 @@ def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_media(matroska.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_unigram_token_counts, op6_jump_shards, op9_matroska_media)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("neighbours")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_unigram_token_counts, op6_jump_shards, op9_matroska_media, op10_toxicity)}
