@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, matroska, sharding, tokencount, toxicity
+from tessera.llm import decontamination, matroska, quality, sharding, tokencount, toxicity
 from tessera.llm.tables import table
 
 
@@ -32,6 +32,10 @@ def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_media(matroska.to_media(table(spark, sf_dir, "documents")))
 
@@ -40,4 +44,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("neighbours")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_unigram_token_counts, op6_jump_shards, op9_matroska_media, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_unigram_token_counts, op6_jump_shards, op7_quality, op9_matroska_media, op10_toxicity)}
