@@ -18,6 +18,18 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS B
 FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
 
+OP2 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 49], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50)),
+keyed AS (SELECT doc_id, s, md5_number(win) AS k FROM win),
+least AS (SELECT k, min(doc_id) AS least FROM keyed GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM keyed JOIN least USING (k) WHERE doc_id > least),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 _CRC = """
 crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS t),
 crc AS (
@@ -45,4 +57,4 @@ SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
 FROM sized
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op6_jump_shards": OP6}
+ORACLES = {"op1_decontaminate": OP1, "op2_substring_dedup": OP2, "op6_jump_shards": OP6}

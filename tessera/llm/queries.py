@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, matroska, quality, sharding, tokencount, toxicity
+from tessera.llm import decontamination, matroska, quality, sharding, substrings, tokencount, toxicity
 from tessera.llm.tables import table
 
 
@@ -19,6 +19,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     """Where the public tokenizer files lie; TOKENIZER_DIR names another folder."""
     return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
@@ -44,4 +48,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("neighbours")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_unigram_token_counts, op6_jump_shards, op7_quality, op9_matroska_media, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_unigram_token_counts, op6_jump_shards, op7_quality, op9_matroska_media, op10_toxicity)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,9 +12,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where that is unset, as in tests, a folder of this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="tessera-tables-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in spark.checkpoint.dir. Only where that is unset, as in tests, a folder is made here."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """The rows as a table written to the shared folder, compressed: what reads it survives lost executors and repeats no work. The table goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
