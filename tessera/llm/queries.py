@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, matroska, quality, sharding, substrings, tokencount, toxicity
+from tessera.llm import decontamination, jaccard, matroska, quality, sharding, substrings, tokencount, toxicity
 from tessera.llm.tables import table
 
 
@@ -32,6 +32,10 @@ def op4_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokencount.load_pieces(tokenizer_path()))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
@@ -48,4 +52,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("neighbours")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_unigram_token_counts, op6_jump_shards, op7_quality, op9_matroska_media, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_unigram_token_counts, op5_jaccard_join, op6_jump_shards, op7_quality, op9_matroska_media, op10_toxicity)}
