@@ -1,11 +1,12 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are the lower-cased words of a text and their leading 4 to 8 bytes. Learning, from a bounded
-sample of labelled rows (SAMPLE of each class):
+sample of labelled rows (SAMPLE toxic ones and OTHERS times as
+many others):
 
 1. Spark counts, for every term, the examples of each class that have it. Terms whose share among
-   toxic examples is higher than chance allows (a log-likelihood ratio of MIN_RATIO or more) are the
-   vocabulary, at most MAX_TERMS of them.
+   toxic examples is MIN_LIFT times that among the others and higher than chance allows (a
+   log-likelihood ratio of MIN_RATIO or more) are the vocabulary, at most MAX_TERMS of them.
 2. Each example becomes a TF-IDF vector (1 + ln tf, smoothed idf) of length one over the vocabulary.
 3. The vectors go into an inverted index: postings by term, in blocks of BLOCK examples that lie
    near each other, with the largest weight of every (term, block).
@@ -36,9 +37,11 @@ from tessera.llm.labelled import held_out, sample
 from tessera.llm.tables import cut
 from tessera.llm.wordhash import ALNUM, U, Words, _power, mix, words
 
-SAMPLE = 4000
+SAMPLE = 1400
+OTHERS = 4
 MAX_TERMS = 1024
 MIN_RATIO = 25.0
+MIN_LIFT = 2.0
 MIN_EXAMPLES = 4
 PREFIXES = (4, 5, 6, 7, 8)
 BLOCK = 32
@@ -179,7 +182,7 @@ def _fit_slope(vote: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
 def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Index:
     """The index, on the driver: its size is bounded by the sample and MAX_TERMS."""
     # Bounded by the sample, and read four times.
-    chosen = cut(sample(documents, labels, label, bound, by_class=True, key=key, text=text))
+    chosen = cut(sample(documents, labels, label, bound, others=OTHERS * bound, key=key, text=text))
     classes = {r["y"]: (r["n"], r["w"]) for r in chosen.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).collect()}
     n1, n0 = classes.get(1, (0, 0.0)), classes.get(0, (0, 0.0))
     prior = n1[1] / (n1[1] + n0[1]) if n1[1] + n0[1] else 0.0
@@ -196,7 +199,7 @@ def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", boun
 
     ratio = 2 * (part(a, a + b, F.lit(float(n1[0]))) + part(b, a + b, F.lit(float(n0[0]))) + part(c, c + d, F.lit(float(n1[0]))) + part(d, c + d, F.lit(float(n0[0]))))
     picked = (
-        counts.where((F.col("pos") + F.col("neg") >= MIN_EXAMPLES) & (a * n0[0] > b * n1[0])).withColumn("ratio", ratio)
+        counts.where((F.col("pos") + F.col("neg") >= MIN_EXAMPLES) & (a * n0[0] > MIN_LIFT * b * n1[0])).withColumn("ratio", ratio)
         .where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
     )
     if not picked:
