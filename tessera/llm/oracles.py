@@ -42,6 +42,45 @@ SELECT d.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, m.c AS compo
 FROM d LEFT JOIN size USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) m USING (doc_id)
 """
 
+OP3 = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS seq FROM r),
+c AS (
+  SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq) AS said, coalesce(string_agg(text, '' ORDER BY seq) FILTER (WHERE role = 'assistant'), '') AS learned,
+    sum(length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '|', '&#124;')) + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + 13) AS chars
+  FROM e GROUP BY conv_id
+)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM c
+"""
+
+OP8 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY coalesce(substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), ''), doc_id) - 1 AS idx FROM documents
+),
+s AS (SELECT source, n, row_number() OVER (ORDER BY source) AS i, CAST(floor(sqrt(n) * 1000) AS BIGINT) AS w FROM (SELECT source, count(*) AS n FROM d GROUP BY source)),
+t AS (SELECT count(*) AS m, sum(w) AS total, greatest(1024, CAST(power(2, ceil(log2(4 * count(*)))) AS BIGINT)) AS period FROM s),
+q AS (SELECT s.*, (t.period - t.m) * s.w // t.total AS base, (t.period - t.m) * s.w % t.total AS rest FROM s, t),
+e AS (SELECT source, n, i, 1 + base + CASE WHEN row_number() OVER (ORDER BY rest DESC, i) <= (SELECT period - m FROM t) - (SELECT sum(base) FROM q) THEN 1 ELSE 0 END AS e FROM q),
+a AS (SELECT list(e ORDER BY i) AS e, list(n ORDER BY i) AS n FROM e),
+slot AS (
+  SELECT 0 AS slot, list_transform(e, lambda x: CAST(0 AS BIGINT)) AS done, 0 AS i FROM a
+  UNION ALL
+  SELECT slot + 1, list_transform(done, lambda x, j: x + CASE WHEN j = p THEN 1 ELSE 0 END), p
+  FROM (
+    SELECT slot, done, list_min(list_transform(list_filter(list_transform(done, lambda x, j: {'d': ((x + 1) * period + e[j] - 1) // e[j], 'i': j, 'r': x * period // e[j]}), lambda y: y.r <= slot), lambda y: {'d': y.d, 'i': y.i})).i AS p, period
+    FROM slot, a, t WHERE slot < period
+  )
+),
+turn AS (SELECT n.i, n.slot - 1 AS slot, b.done AS before, b.done[n.i] AS turn FROM slot n JOIN slot b ON b.slot = n.slot - 1 WHERE n.slot > 0),
+placed AS (SELECT d.doc_id, d.source, d.idx, d.idx // 16 AS block, e.e, e.i FROM d JOIN e USING (source))
+SELECT p.doc_id, p.source, CAST(p.block AS BIGINT) AS block, CAST((p.block // p.e) * t.period + turn.slot AS BIGINT) AS slot,
+  CAST(list_sum(list_transform(a.n, lambda n, j: least(n, 16 * ((p.block // p.e) * a.e[j] + turn.before[j])))) + p.idx % 16 AS BIGINT) AS position
+FROM placed p JOIN turn ON turn.i = p.i AND turn.turn = p.block % p.e, a, t
+"""
+
 _CRC = """
 crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS t),
 crc AS (
@@ -69,4 +108,4 @@ SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
 FROM sized
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op2_substring_dedup": OP2, "op5_jaccard_join": OP5, "op6_jump_shards": OP6}
+ORACLES = {"op1_decontaminate": OP1, "op2_substring_dedup": OP2, "op5_jaccard_join": OP5, "op3_chat_format": OP3, "op6_jump_shards": OP6, "op8_pfair_mixing": OP8}
