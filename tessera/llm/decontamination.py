@@ -28,11 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.llm.tables import small_batches
 from tessera.llm.wordhash import ALNUM, grams, mix, whole, words
 
 BLOCK_WINDOWS = 50_000
-_SCHEMA = "k {kind}, text string, n_words long, hits array<struct<start:int,stop:int>>, items array<string>"
+
+
+def _schema(rows: DataFrame) -> T.StructType:
+    hit = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
+    return T.StructType([*rows.schema, T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(hit)), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
 @dataclass
@@ -172,8 +178,8 @@ def _join(shared):
                     hits[k] = _merged(x)
                 items[k] = sorted(set(items[k]))
             yield pa.RecordBatch.from_arrays(
-                [b.column("k"), b.column("text"), pa.array(n_words), pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
-                names=["k", "text", "n_words", "hits", "items"],
+                [b.column("k"), b.column("text"), b.column("rest"), pa.array(n_words), pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
+                names=["k", "text", "rest", "n_words", "hits", "items"],
             )
 
     return run
@@ -189,8 +195,10 @@ def _merged(spans: list[dict]) -> list[dict]:
     return out
 
 
-def benchmark_hits(documents: DataFrame, benchmark: DataFrame, *, size: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Rows (key, text, n_words, hits, items): merged word spans of each document that benchmark windows cover, and the items they are of."""
+def benchmark_hits(documents: DataFrame, benchmark: DataFrame, *, size: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_windows: int = BLOCK_WINDOWS, carry: bool = False) -> DataFrame:
+    """Rows (key, text, n_words, hits, items): merged word spans of each document that benchmark windows cover, and the items they are of.
+
+    With `carry`, a last struct column `rest` has the other columns."""
     sc = documents.sparkSession.sparkContext
     windows = (
         benchmark.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
@@ -199,17 +207,25 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, *, size: int = 10
         .agg(F.collect_set("item").alias("items"))
     )
     blocks = max(1, -(-windows.count() // block_windows))
-    rows = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = rows.schema["k"].dataType.simpleString()
-    out = rows.select("k", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
+    # The other columns pass by in one struct, so their names can't clash with the operator's.
+    others = F.struct(*[documents[c] for c in documents.columns if c not in (key, text)], F.lit(0).alias("_")) if carry else F.lit(0)
+    rows = small_batches(documents).select(F.col(key).alias("k"), F.col(text).alias("text"), others.alias("rest"))
+    schema = _schema(rows)
+    out = rows.select("k", "text", "rest", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
     for i in range(blocks):
         # About block_windows rows reach the driver at a time, never the whole of a larger benchmark.
         block = _block(windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == i).collect())
         shared = sc.broadcast(block)
         counted = rows.mapInArrow(_count(shared), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect() if len(block.shingles) else []
         joined = sc.broadcast(_ordered(block, {r["shingle"]: r["n"] for r in counted}))
-        out = out.mapInArrow(_join(joined), _SCHEMA.format(kind=kind))
-    return out.withColumnRenamed("k", key)
+        out = out.mapInArrow(_join(joined), schema)
+    return (out if carry else out.drop("rest")).withColumnRenamed("k", key)
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of `documents`, all columns as they are, that no benchmark window hits."""
+    clean = benchmark_hits(documents, benchmark, key=key, text=text, carry=True, **how).where(F.size("hits") == 0)
+    return clean.select(*[F.col(c) if c in (key, text) else F.col("rest").getField(c).alias(c) for c in documents.columns])
 
 
 def n_hit(hits: str = "hits"):

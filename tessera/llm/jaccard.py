@@ -262,6 +262,13 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     return reps.select(F.col("k").alias("rep"), "n", "f1", "f2"), links.unionByName(cut(second))
 
 
+def one_of_each(documents: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of `documents`, all columns as they are, without those whose group has a smaller key; of repeated rows of a key one stays, and all rows of null keys."""
+    stay = jaccard_components(documents, key=key, text=text, **how).where(F.col(key) == F.col("component_id")).select(key).distinct()
+    kept = documents.where(F.col(key).isNotNull()).join(stay, key, "left_semi").dropDuplicates([key])
+    return kept.unionByName(documents.where(F.col(key).isNull())).select(*documents.columns)
+
+
 def jaccard_components(documents: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = K, **how) -> DataFrame:
     """Rows (key, n_shingles, component_id), one for each row of `documents`."""
     classes, links = link_classes(documents, key=key, text=text, k=k, **how)

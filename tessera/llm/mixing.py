@@ -70,12 +70,13 @@ def schedule(one: DataFrame) -> DataFrame:
     )
 
 
-def mixed(documents: DataFrame, weights: dict[str, float] | None = None, *, key: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
-    """Rows (key, source, block, slot, position), one for each row of `documents`."""
-    rows = documents.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
+def mixed(documents: DataFrame, weights: dict[str, float] | None = None, *, key: str = "doc_id", source: str = "source", block: int = BLOCK, carry: bool = False) -> DataFrame:
+    """Rows (key, source, block, slot, position), one for each row of `documents`; with `carry`, `all` has all its columns."""
+    whole = [F.struct(*[documents[c] for c in documents.columns]).alias("all")] if carry else []
+    rows = documents.select(*whole, F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
     rows = rows.withColumn("bucket", F.coalesce(F.substring(F.md5(F.col("k").cast("string")), 1, 3), F.lit("")))
     # A row for each source and bucket that has documents.
-    counts = cut(rows.groupBy("source", "bucket").count())
+    counts = cut(rows.select("source", "bucket").groupBy("source", "bucket").count())
     starts = counts.select("source", "bucket", (F.sum("count").over(Window.partitionBy("source").orderBy("bucket")) - F.col("count")).alias("from"))
     one = cut(quotas(counts.groupBy("source").agg(F.sum("count").alias("n")), weights))
     plan = cut(schedule(one))
@@ -87,4 +88,9 @@ def mixed(documents: DataFrame, weights: dict[str, float] | None = None, *, key:
     placed = placed.join(F.broadcast(quota) if few else quota, "source").withColumn("turn", (F.col("block") % F.col("e")).cast("int")).drop("e")
     placed = placed.join(F.broadcast(plan) if few else plan, ["source", "turn"])
     past = F.expr(f"aggregate(zip_with(sizes, zip_with(quotas, before, (q, b) -> cast({block} as bigint) * ((block div e) * q + b)), (n, m) -> least(n, m)), 0L, (a, x) -> a + x)")
-    return placed.select(F.col("k").alias(key), "source", "block", F.expr("(block div e) * period + slot").alias("slot"), (past + F.col("index") % block).alias("position"))
+    return placed.select(F.col("k").alias(key), "source", "block", F.expr("(block div e) * period + slot").alias("slot"), (past + F.col("index") % block).alias("position"), *(["all"] if carry else []))
+
+
+def in_mixed_order(documents: DataFrame, weights: dict[str, float] | None = None, *, key: str = "doc_id", source: str = "source") -> DataFrame:
+    """The rows of `documents`, all columns as they are, in the order of their positions: by partition and within."""
+    return mixed(documents, weights, key=key, source=source, carry=True).repartitionByRange(F.col("position")).sortWithinPartitions("position").select("all.*")

@@ -9,7 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """The same rows; from now on the session hands Python at most `rows` of them at a time, for texts make long ones."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
 
 
 def shared_folder(spark: SparkSession) -> str:

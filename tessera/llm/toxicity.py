@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.labelled import held_out, sample
-from tessera.llm.tables import cut
+from tessera.llm.tables import cut, small_batches
 from tessera.llm.wordhash import ALNUM, U, Words, _power, mix, words
 
 SAMPLE = 1400
@@ -239,7 +239,7 @@ def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", boun
 
 def score(documents: DataFrame, index: Index, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, score, neighbours): neighbours is the evidence, nearest first, as (id, label, cosine)."""
-    shared = documents.sparkSession.sparkContext.broadcast(index)
+    shared = small_batches(documents).sparkSession.sparkContext.broadcast(index)
     kind = documents.schema[key].dataType.simpleString()
     near = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
@@ -259,6 +259,25 @@ def score(documents: DataFrame, index: Index, *, key: str = "doc_id", text: str
     return documents.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, score double, neighbours array<struct<id:long,label:int,cosine:double>>")
 
 
+def without_toxic(documents: DataFrame, index: Index, *, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of `documents`, all columns as they are, whose score is below the threshold. Rows aren't moved."""
+    shared = small_batches(documents).sparkSession.sparkContext.broadcast(index)
+    place = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix: Index = shared.value
+        base = ix.score(ix.prior) if len(ix.ids) else ix.prior
+        for b in batches:
+            keep = np.full(b.num_rows, base < threshold)
+            if len(ix.ids):
+                for w in words(b.column(place), ALNUM, lower=True):
+                    for t, term, x in ix.vectors(w):
+                        keep[w.first + t] = ix.score(ix.vote(*ix.nearest(term, x))) < threshold
+            yield b.filter(pa.array(keep))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def toxic_scores(documents: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted, neighbours)."""
     scored = score(documents, build(documents, labels))
