@@ -16,8 +16,8 @@ in which group their subtree is built, is told by variable-length prefixes:
    smallest document below it.
 4. A larger group's prefixes are lengthened until no group is too large to hold: to LENGTH words, the
    depth at which a group is a single internal node. Of such a node only the smallest document is
-   wanted, which Spark's partial aggregation finds without bringing its suffixes together; a join
-   gives it back to them. However many rows share one passage, no task holds them all.
+   wanted, which Spark's partial aggregation finds without bringing its suffixes together (first over
+   equal branches, then over the nodes below distinct ones); joins give it back to them. However many rows share one passage, no task holds them all.
 
 Suffixes below a node whose smallest document isn't their own are repeats; their words, merged to
 spans, are maximal repeats of at least LENGTH words.
@@ -38,14 +38,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import cut
+from tessera.llm.tables import cut, small_batches
 from tessera.llm.wordhash import BLANK_SEPARATED, U, Words, grams, words
 
 LENGTH = 50
 GRAM = 20
 #: Rows of one anchor whose subtree one task may build.
 GROUP = 4096
-_BATCH_BYTES = 1 << 20
+_BATCH_BYTES = 1 << 19
 
 
 def prefixes(w: Words, h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,9 +78,13 @@ def _anchor_rows(length: int, gram: int):
             for w in words(b.column("text"), BLANK_SEPARATED, lower=False):
                 anchor, first, n = prefixes(w, w.hashes(), length, gram)
                 text = np.searchsorted(w.cut, first, "right") - 1
+                order = np.lexsort((first, anchor, text))
+                anchor, first, n, text = anchor[order], first[order], n[order], text[order]
+                new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])][: len(anchor)])
+                cuts = pa.array(np.r_[new, len(anchor)].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(key[w.first + text]), pa.array((first - w.cut[text]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["anchor", "k", "first", "n"],
+                    [pa.array(anchor[new].view(np.int64)), pa.array(key[w.first + text[new]]), pa.ListArray.from_arrays(cuts, pa.array((first - w.cut[text]).astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int32)))],
+                    names=["anchor", "k", "firsts", "sizes"],
                 )
 
     return run
@@ -115,11 +119,15 @@ def _branches(length: int):
                     for t in range(w.texts):
                         base = int(w.cut[t])
                         for a in lists[w.first + t]:
-                            f = base + a["first"]
-                            out.append((a["anchor"], a["large"], int(key[w.first + t]), a["first"], a["n"], w.buf[w.start[f] : w.end[f + a["n"] + length - 2]].tobytes().decode()))
+                            # A branch that the document repeats is one row with several places.
+                            own: dict[tuple, list[int]] = {}
+                            for first, n in zip(a["firsts"], a["sizes"], strict=True):
+                                f = base + first
+                                own.setdefault((n, w.buf[w.start[f] : w.end[f + n + length - 2]].tobytes()), []).append(first)
+                            out.extend((a["anchor"], a["large"], int(key[w.first + t]), firsts, n, branch.decode()) for (n, branch), firsts in own.items())
                     cols = list(zip(*out, strict=True)) or [()] * 6
-                    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["anchor", "large", "k", "first", "n", "branch"])
+                    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["anchor", "large", "k", "firsts", "n", "branch"])
 
     return run
 
@@ -136,23 +144,21 @@ def names_at_depth(symbols: np.ndarray, depth: int) -> np.ndarray:
     return name
 
 
-def _spans(key: np.ndarray, first: np.ndarray, mask: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, stop) of the words under runs of marked suffixes of each row."""
+def _runs(mask: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of the runs of marked suffixes of each row; row r has n[r] of them."""
     row = np.repeat(np.arange(len(n)), n)[mask]
-    place = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))[mask] + first[row]
+    place = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))[mask]
     if not len(row):
-        return key[:0], first[:0], first[:0]
+        return row, place, place
     new = np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)]
-    last = np.r_[new[1:], True]
-    return key[row[new]], place[new], place[last] + length
+    return row[new], place[new], place[np.r_[new[1:], True]]
 
 
 def _subtrees(length: int):
     """Spans of repeats in groups that lie one after the other, sorted by anchor."""
 
     def build(t: pa.Table) -> pa.RecordBatch:
-        anchor, key = t.column("anchor").to_numpy(), t.column("k").to_numpy()
-        first, n = t.column("first").to_numpy().astype(np.int64), t.column("n").to_numpy().astype(np.int64)
+        key, n = t.column("k").to_numpy(), t.column("n").to_numpy().astype(np.int64)
         parts = [(w.hashes(), w.cut) for w in words(t.column("branch"), BLANK_SEPARATED, lower=False)]
         symbols = np.concatenate([h for h, _ in parts])
         sizes = np.concatenate([np.diff(c) for _, c in parts])
@@ -164,8 +170,12 @@ def _subtrees(length: int):
         node = np.unique(name[suffix], return_inverse=True)[1]
         least = np.full(int(node.max(initial=-1)) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, node, key[row])
-        assert len(anchor) == len(n)
-        k, s, e = _spans(key, first, least[node] < key[row], n, length)
+        row, low, high = _runs(least[node] < key[row], n)
+        firsts = t.column("firsts").combine_chunks()
+        cuts, places = firsts.offsets.to_numpy(), firsts.values.to_numpy()
+        many = cuts[row + 1] - cuts[row]
+        at = np.arange(int(many.sum())) + np.repeat(cuts[row] - np.cumsum(many) + many, many)
+        k, s, e = np.repeat(key[row], many), places[at] + np.repeat(low, many), places[at] + np.repeat(high, many) + length
         return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["k", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,21 +201,22 @@ def _subtrees(length: int):
 
 
 def _nodes(length: int):
-    """A row for each suffix of large groups: its node, that is the hash of all LENGTH words, twice."""
+    """A row for each suffix of a branch: its node, that is the hash of all LENGTH words, twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             for b in _slices(whole_batch, 2048):
-                key, first, n = b.column("k").to_numpy(), b.column("first").to_numpy(), b.column("n").to_numpy().astype(np.int64)
+                n = b.column("n").to_numpy().astype(np.int64)
                 for w in words(b.column("branch"), BLANK_SEPARATED, lower=False):
                     own = n[w.first : w.first + w.texts]
                     row = np.repeat(np.arange(w.texts), own)
                     offset = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
                     at = w.cut[:-1][row] + offset
                     h = w.hashes()
+                    named = b.slice(w.first, w.texts).take(pa.array(row))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(grams(h, length)[at].view(np.int64)), pa.array(grams(h, length, salt=1)[at].view(np.int64)), pa.array(key[w.first + row]), pa.array((first[w.first + row] + offset).astype(np.int32))],
-                        names=["node", "node2", "k", "at"],
+                        [pa.array(grams(h, length)[at].view(np.int64)), pa.array(grams(h, length, salt=1)[at].view(np.int64)), named.column("id"), named.column("least"), pa.array(offset.astype(np.int32))],
+                        names=["node", "node2", "id", "least", "offset"],
                     )
 
     return run
@@ -213,16 +224,22 @@ def _nodes(length: int):
 
 def repeated_spans(documents: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """Rows (k, spans): for documents that have some, the spans [start, stop) of words that an earlier document has too, not yet merged."""
-    rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
-    anchors = rows.mapInArrow(_anchor_rows(length, gram), "anchor long, k long, first int, n int")
-    shared = anchors.groupBy("anchor").agg(F.min("k").alias("least"), F.max("k").alias("most"), F.count(F.lit(1)).alias("rows")).where("least < most").select("anchor", (F.col("rows") > group).alias("large"))
-    lists = anchors.join(shared, "anchor").groupBy("k").agg(F.collect_list(F.struct("anchor", "large", "first", "n")).alias("anchors"))
-    branches = cut(lists.join(zipped(rows), "k").mapInArrow(_branches(length), "anchor long, large boolean, k long, first int, n int, branch string"))
-    small = branches.where(~F.col("large")).select("anchor", "k", "first", "n", "branch").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_subtrees(length), "k long, start int, stop int")
-    suffixes = branches.where("large").select("k", "first", "n", "branch").mapInArrow(_nodes(length), "node long, node2 long, k long, at int")
-    least = suffixes.groupBy("node", "node2").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most")
-    large = suffixes.join(least, ["node", "node2"]).where("k > least").select("k", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
-    return small.unionByName(large).groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    rows = small_batches(documents).where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
+    anchors = rows.mapInArrow(_anchor_rows(length, gram), "anchor long, k long, firsts array<int>, sizes array<int>")
+    shared = anchors.groupBy("anchor").agg(F.min("k").alias("least"), F.max("k").alias("most"), F.sum(F.size("firsts")).alias("rows")).where("least < most").select("anchor", (F.col("rows") > group).alias("large"))
+    lists = anchors.join(shared, "anchor").groupBy("k").agg(F.collect_list(F.struct("anchor", "large", "firsts", "sizes")).alias("anchors"))
+    branches = cut(lists.join(zipped(rows), "k").mapInArrow(_branches(length), "anchor long, large boolean, k long, firsts array<int>, n int, branch string"))
+    small = branches.where(~F.col("large")).select("anchor", "k", "firsts", "n", "branch").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_subtrees(length), "k long, start int, stop int")
+    # Equal branches of a large group are one, with their smallest document; each has at most length - gram + 1 suffixes.
+    large = branches.where("large").withColumn("id", F.md5("branch"))
+    distinct = large.groupBy("id", "n").agg(F.min("k").alias("least"), F.min("branch").alias("branch"))
+    suffixes = distinct.select(F.concat_ws(":", "id", "n").alias("id"), "least", "n", "branch").mapInArrow(_nodes(length), "node long, node2 long, id string, least long, offset int")
+    below = suffixes.groupBy("node", "node2").agg(F.min("least").alias("first_doc"))
+    offsets = suffixes.join(below, ["node", "node2"]).groupBy("id").agg(F.collect_list(F.struct("offset", "first_doc")).alias("offsets"))
+    placed = large.select(F.concat_ws(":", "id", "n").alias("id"), "k", "firsts").join(offsets, "id").select("k", "firsts", F.filter("offsets", lambda o: o["first_doc"] < F.col("k")).alias("offsets"))
+    spans = F.flatten(F.transform("firsts", lambda f: F.transform("offsets", lambda o: F.struct((f + o["offset"]).alias("start"), (f + o["offset"] + length).alias("stop")))))
+    every = placed.where(F.size("offsets") > 0).select("k", spans.alias("spans"))
+    return small.select("k", F.array(F.struct("start", "stop")).alias("spans")).unionByName(every).groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def zipped(rows: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text that are in work at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 #: `[^\x20\x09-\x0D]+`
 BLANK_SEPARATED = np.ones(256, bool)
