@@ -10,15 +10,14 @@ order of tokens they share one among the first n - ceil(t n) + 1: the prefix. St
    ordered by a hash, another one for each order.
 2. Prefixes under the first order are dealt by token. A token with at most BUCKET representatives
    gives the pairs that pass the length and the positional bound.
-3. Representatives that share a token with more than BUCKET others ("hot") get an order by exact
-   rarity among themselves: a pair that only shares hot tokens has both its members there. Tokens of
-   one representative come first, so a set with too many of its own drops out at once. Of each
-   bucket, the set with the fewest own tokens is the centre; every other is paired with it, so the
-   pairs grow with the rows and not with their square.
+3. In a bucket of more than BUCKET representatives ("hot") the set with the fewest tokens of its own,
+   that is outside the frequent ones, is the centre; every other is paired with it, so the pairs grow
+   with the rows and not with their square. As frequent tokens come last, a set with too many of its
+   own never gets to those of a large group of near copies and drops out at once.
 4. Candidates must also share prefix tokens under the second and third order (their prefixes as
    16-bit values: a chance equality only lets a pair through). What is left is verified on the sets.
-5. Links of hot buckets are merged to components. In buckets that still hold several components,
-   pairs of different components that no bound excludes are verified too. So no link between
+5. Links so far are merged to components. In hot buckets that still hold several components, pairs of
+   different components that no bound and no order excludes are verified too. So no link between
    different components is lost, and links within a component change nothing.
 
 Components come from alternating stars over the verified links.
@@ -42,12 +41,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.substrings import zipped
-from tessera.llm.tables import cut
+from tessera.llm.tables import cut, small_batches
 from tessera.llm.wordhash import BLANK_SEPARATED, U, Words, grams, mix, words
 
 K = 3
-SHARE = 1 / 1024
-BUCKET = 64
+SHARE = 1 / 4096
+LEAST_FREQUENT = 16
+BUCKET = 16
 _ORDERS = (U(0x51), U(0xA7), U(0x3D))
 #: A bound on the table of frequent tokens; beyond it the less frequent ones are ordered by hash like others.
 MOST_FREQUENT = 200_000
@@ -73,13 +73,15 @@ def shingle_set(text: str, k: int = K) -> np.ndarray:
 
 
 def _frequent(k: int, share: float):
-    """(token, n): tokens that at least `share` of a partition's documents have, and 4 at least."""
+    """(token, n): tokens that at least `share` of a partition's documents have, and 2 at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, docs, fresh, size = np.zeros(0, U), np.zeros(0, np.int64), 0, [], 0
 
-        def merged(keys, counts, fresh):
+        def merged():
+            """What is held, counted, with what was counted before. An order may rest on counts that miss tokens seen once so far."""
             every, n = np.unique(np.concatenate(fresh), return_counts=True)
+            every, n = every[n > 1], n[n > 1]
             both, at = np.unique(np.concatenate([keys, every]), return_inverse=True)
             return both, np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
 
@@ -89,14 +91,12 @@ def _frequent(k: int, share: float):
                 for _, s in _sets(w, k):
                     fresh.append(s)
                     size += len(s)
-                if size > 1_000_000:
-                    keys, counts = merged(keys, counts, fresh)
+                if size > 4_000_000:
+                    keys, counts = merged()
                     fresh, size = [], 0
-                    if len(keys) > 4_000_000:  # an order may rest on counts that miss some
-                        keys, counts = keys[counts > 1], counts[counts > 1]
         if fresh:
-            keys, counts = merged(keys, counts, fresh)
-        own = counts >= max(4, share * docs)
+            keys, counts = merged()
+        own = counts >= max(2, share * docs)
         yield pa.RecordBatch.from_arrays([pa.array(keys[own].view(np.int64)), pa.array(counts[own])], names=["token", "n"])
 
     return run
@@ -106,13 +106,19 @@ def _prefix_length(n: int, num: int, den: int) -> int:
     return n + (-n * num) // den + 1
 
 
+def _least(order: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n least values, in order."""
+    at = np.argpartition(order, n - 1)[:n] if n < len(order) else np.arange(len(order))
+    return at[np.argsort(order[at])]
+
+
 def _signatures(frequent, k: int, num: int, den: int, orders: int):
-    """(k, n, f1, f2, p1, p2, p3): set size, two hashes of the set, prefixes under three orders."""
+    """(k, n, f1, f2, own, p1, p2, p3): set size, two hashes of the set, tokens that aren't frequent, prefixes under three orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, tier = frequent.value
         for b in batches:
-            n, f = np.zeros(b.num_rows, np.int32), np.zeros((2, b.num_rows), U)
+            n, own, f = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows, np.int32), np.zeros((2, b.num_rows), U)
             p1, p2, p3 = ([None] * b.num_rows for _ in range(3))
             for w in words(b.column("text"), BLANK_SEPARATED, lower=True):
                 for t, s in _sets(w, k):
@@ -121,19 +127,20 @@ def _signatures(frequent, k: int, num: int, den: int, orders: int):
                     f[0, at], f[1, at] = mix(s + U(1)).sum(), mix(s ^ U(0x5BD1E995)).sum()
                     if not orders:
                         continue
-                    last = np.zeros(len(s), np.int32)
+                    last = np.zeros(len(s), U)
                     if len(token):
                         i = np.minimum(np.searchsorted(token, s), len(token) - 1)
-                        last = np.where(token[i] == s, tier[i], 0)
+                        last = np.where(token[i] == s, tier[i], U(0))
+                    own[at] = int((last == 0).sum())
                     size = _prefix_length(len(s), num, den)
-                    one, two, three = (s[np.lexsort((mix(s ^ salt), last))[:size]] for salt in _ORDERS)
-                    p1[at] = one.view(np.int64)
-                    p2[at], p3[at] = ((x & U(0xFFFF)).astype(np.uint16).view(np.int16) for x in (two, three))
+                    first = _least(mix(s ^ _ORDERS[0]) >> U(8) | last, size)
+                    p1[at] = s[first].view(np.int64)
+                    p2[at], p3[at] = ((s[_least(mix(s ^ salt) >> U(8) | last, size)] & U(0xFFFF)).astype(np.uint16).view(np.int16) for salt in _ORDERS[1:])
             cols = [b.column("k"), pa.array(n), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64))]
             names = ["k", "n", "f1", "f2"]
             if orders:
-                cols += [pa.array(p1, pa.list_(pa.int64())), pa.array(p2, pa.list_(pa.int16())), pa.array(p3, pa.list_(pa.int16()))]
-                names += ["p1", "p2", "p3"]
+                cols += [pa.array(own), pa.array(p1, pa.list_(pa.int64())), pa.array(p2, pa.list_(pa.int16())), pa.array(p3, pa.list_(pa.int16()))]
+                names += ["own", "p1", "p2", "p3"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
@@ -142,20 +149,6 @@ def _signatures(frequent, k: int, num: int, den: int, orders: int):
 _SIGNATURE = "k long, n int, f1 long, f2 long"
 
 
-def _shingles(k: int):
-    """(k, tokens) of zipped texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                sets = [shingle_set(z.decompress(x).decode(), k).view(np.int64) for x in part.column("z").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(sets, pa.list_(pa.int64()))], names=["k", "tokens"])
-
-    return run
-
-
 def _verified(k: int, num: int, den: int):
     """(a, b, linked) of pairs with both texts."""
 
@@ -205,19 +198,21 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     """(classes, links): rows (rep, n, f1, f2) of the classes of equal sets, and the verified links (a, b) that join their components."""
     num, den = threshold
     spark = documents.sparkSession
-    rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
+    rows = small_batches(documents).where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
     counted = rows.mapInArrow(_frequent(k, share), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    least = max(4.0, share * rows.count())
+    least = max(LEAST_FREQUENT, share * rows.count())
     common = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()
     token = np.array([r["token"] for r in common], np.int64).view(U)
     at = np.argsort(token)
-    frequent = spark.sparkContext.broadcast((token[at], np.array([r["n"] for r in common], np.int64)[at]))
+    # The tier, the more frequent the later, is the first byte of a token's place in an order.
+    tiers = np.array([min(255, 1 + int(4 * np.log2(r["n"]))) for r in common], U) << U(56)
+    frequent = spark.sparkContext.broadcast((token[at], tiers[at]))
 
-    signed = rows.mapInArrow(_signatures(frequent, k, num, den, 3), f"{_SIGNATURE}, p1 array<long>, p2 array<short>, p3 array<short>").where("n > 0")
-    reps = cut(signed.groupBy("n", "f1", "f2").agg(F.min(F.struct("k", "p1", "p2", "p3")).alias("s")).select("n", "f1", "f2", "s.*"))
-    prefix = reps.select("k", "n", F.posexplode("p1").alias("i", "token"))
+    signed = rows.mapInArrow(_signatures(frequent, k, num, den, 3), f"{_SIGNATURE}, own int, p1 array<long>, p2 array<short>, p3 array<short>").where("n > 0")
+    reps = cut(signed.groupBy("n", "f1", "f2").agg(F.min(F.struct("k", "own", "p1", "p2", "p3")).alias("s")).select("n", "f1", "f2", "s.*"))
+    prefix = reps.select("k", "n", "own", F.posexplode("p1").alias("i", "token"))
     crowd = prefix.groupBy("token").count().where("count > 1")
-    shared = cut(prefix.join(crowd, "token").select("token", "k", "n", "i", (F.col("count") > bucket).alias("hot")))
+    shared = cut(prefix.join(crowd, "token").select("token", "k", "n", "own", "i", (F.col("count") > bucket).alias("hot")))
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs that share prefix tokens under the second and third order too."""
@@ -231,18 +226,8 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     involved = cold.select(F.col("a").alias("k")).unionByName(cold.select(F.col("b").alias("k"))).unionByName(hot).distinct()
     texts = cut(zipped(rows).join(involved, "k").dropDuplicates(["k"]))
 
-    # Rarity among the hot: tokens of one set are counted, not listed.
-    members = texts.join(hot, "k")
-    each = members.mapInArrow(_shingles(k), "k long, tokens array<long>").select("k", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    df = each.groupBy("token").count().where("count > 1")
-    known = each.join(df, "token").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("count", F.xxhash64("token").alias("h"), "token"))).alias("known"))
-    length = F.expr(f"cast(n - ceil(n * {num} / {den}) + 1 as int)")
-    rare = (
-        known.withColumn("own", F.col("n") - F.size("known")).withColumn("left", length - F.col("own")).where("left > 0")
-        .select("k", "n", "own", F.posexplode(F.slice("known", F.lit(1), F.col("left"))).alias("j", "t"))
-        .select("k", "n", "own", (F.col("own") + F.col("j")).alias("i"), F.col("t.token").alias("token"))
-    )
-    rare = cut(rare)
+    # The frequent tokens come last, so a set with too many of its own never reaches those of a large group.
+    rare = shared.where("hot").select("token", "k", "n", "own", "i")
     centres = rare.groupBy("token").agg(F.min(F.struct("own", "k", "n", "i")).alias("c"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token", "c")
     star = rare.join(centres, "token").where((F.col("k") != F.col("c.k")) & _could(F.col("n"), F.col("c.n"), F.col("i"), F.col("c.i"), num, den)).select(F.least("k", "c.k").alias("a"), F.greatest("k", "c.k").alias("b")).distinct()
 
@@ -256,9 +241,10 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
 
     placed = rare.join(components(links), rare["k"] == F.col("node"), "left").withColumn("component", F.coalesce("component", "k")).drop("node")
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    several = placed.join(mixed, "token").select("token", "k", "n", "i", "component")
-    across = _bucket_pairs(several, num, den, F.col("x.component") != F.col("y.component"))
-    second = verified(likely(across.join(first.select("a", "b"), ["a", "b"], "left_anti"))).where("linked").select("a", "b")
+    several = placed.join(mixed, "token").join(reps.select("k", "p2", "p3"), "k").select("token", "k", "n", "i", "component", "p2", "p3")
+    apart = (F.col("x.component") != F.col("y.component")) & F.arrays_overlap("x.p2", "y.p2") & F.arrays_overlap("x.p3", "y.p3")
+    across = _bucket_pairs(several, num, den, apart)
+    second = verified((across.join(first.select("a", "b"), ["a", "b"], "left_anti"))).where("linked").select("a", "b")
     return reps.select(F.col("k").alias("rep"), "n", "f1", "f2"), links.unionByName(cut(second))
 
 
@@ -275,6 +261,6 @@ def jaccard_components(documents: DataFrame, *, key: str = "doc_id", text: str =
     found = components(links)
     named = classes.join(found, classes["rep"] == found["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     rows = documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
-    nothing = documents.sparkSession.sparkContext.broadcast((np.zeros(0, U), np.zeros(0, np.int64)))
+    nothing = documents.sparkSession.sparkContext.broadcast((np.zeros(0, U), np.zeros(0, U)))
     signed = rows.mapInArrow(_signatures(nothing, k, 1, 1, 0), _SIGNATURE)
     return signed.join(named, ["n", "f1", "f2"], "left").select(F.col("k").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))
