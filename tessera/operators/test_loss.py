@@ -1,0 +1,94 @@
+"""Extension rules over paired tests: what a change took from the tests themselves.
+
+These follow one-line descriptions, not an implementation; see the README. They need surfaces: files
+with a side that is unknown or unparsed never fire.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessera.operators.pairing import comparable, pair_tests, signature, test_rows
+from tessera.operators.rules import Context, evidence, rule, text
+
+KEYS = ("cs_id", "file_ord", "path")
+
+
+def pairs(context: Context) -> DataFrame:
+    if context.surfaces is None:
+        raise ValueError("this rule needs surfaces")
+    known = context.surfaces.join(comparable(context.surfaces), ["cs_id", "path"], "left_semi")
+    both = pair_tests(test_rows(known))
+    return both.join(context.files.select(*KEYS), ["cs_id", "path"])
+
+
+def _rows(p: DataFrame, title: str, detail: Column, line: Column, side: str, order: Column | None = None) -> DataFrame:
+    return p.select(*KEYS, F.lit(title).alias("title"), detail.alias("detail"), F.array(evidence(line, side, F.col("test_id"))).alias("evidence"), F.lit(0).alias("check_ord"), (order if order is not None else F.col("pair_ord.ord")).alias("line_ord"))
+
+
+@rule("VID001", "Test removed or undiscoverable", severity="high", penalty=25)
+def removed(context: Context) -> DataFrame:
+    p = pairs(context)
+    gone = p.where("removed and base_test.is_discoverable")
+    hidden = p.where("not removed and not added and base_test.is_discoverable and not head_test.is_discoverable")
+    return _rows(gone, "Test removed", text("`", F.col("test_id"), "` no longer exists."), F.col("base_test.line_start"), "base").unionByName(
+        _rows(hidden, "Test no longer discoverable", text("`", F.col("test_id"), "` is no longer collected."), F.col("head_test.line_start"), "head")
+    )
+
+
+@rule("VID002", "Assertion removed", severity="high", penalty=20)
+def assertion_removed(context: Context) -> DataFrame:
+    p = pairs(context).where("not removed and not added")
+    was, now = F.transform("base_test.assertions", signature), F.transform("head_test.assertions", signature)
+    lost = F.array_except(was, now)
+    fewer = p.withColumn("lost", lost).where((F.size("lost") > 0) & (F.col("head_n_assertions") < F.col("base_n_assertions")))
+    return _rows(fewer, "Assertion removed", text("`", F.col("test_id"), "` lost ", (F.col("base_n_assertions") - F.col("head_n_assertions")).cast("string"), " assertion(s)."), F.col("base_test.line_start"), "base")
+
+
+@rule("VID003", "Test skipped", severity="high", penalty=15)
+def skipped(context: Context) -> DataFrame:
+    p = pairs(context).where("not removed")
+    real = F.filter("head_test.skip_markers", lambda m: m["reason"] != "exclusive_focus")
+    before = F.coalesce(F.size(F.filter("base_test.skip_markers", lambda m: m["reason"] != "exclusive_focus")), F.lit(0))
+    more = p.withColumn("real", real).where((F.size("real") > F.greatest(before, F.lit(0))) & ~F.col("added"))
+    return _rows(more, "Test skipped", text("`", F.col("test_id"), "` gained a skip marker."), F.get(F.col("real"), F.size("real") - 1)["line"], "head")
+
+
+@rule("VID004", "Tolerance loosened", severity="medium", penalty=15)
+def loosened(context: Context) -> DataFrame:
+    p = pairs(context).where("not removed and not added")
+
+    def widest(test: str) -> Column:
+        return F.array_max(F.transform(F.filter(f"{test}.assertions", lambda a: a["kind"] == "approximate"), lambda a: a["tolerance"]))
+
+    def count(test: str, kind: str) -> Column:
+        return F.size(F.filter(f"{test}.assertions", lambda a: a["kind"] == kind))
+
+    rose = widest("head_test") > widest("base_test")
+    became = (count("head_test", "approximate") > count("base_test", "approximate")) & (count("head_test", "equality") < count("base_test", "equality"))
+    return _rows(p.where(F.coalesce(rose, F.lit(False)) | became), "Tolerance loosened", text("`", F.col("test_id"), "` accepts more than before."), F.col("head_test.line_start"), "head")
+
+
+@rule("VID005", "Assertion weakened", severity="medium", penalty=15)
+def weakened(context: Context) -> DataFrame:
+    p = pairs(context).where("not removed and not added and strength_delta < 0 and head_n_assertions >= base_n_assertions")
+    return _rows(p, "Assertion weakened", text("`", F.col("test_id"), "` lost strength ", (-F.col("strength_delta")).cast("string"), "."), F.col("head_test.line_start"), "head")
+
+
+@rule("VID011", "Code added without assertions", severity="low", penalty=5)
+def untested(context: Context) -> DataFrame:
+    p = pairs(context)
+    net = p.groupBy("cs_id").agg(F.sum(F.coalesce("head_n_assertions", F.lit(0)) - F.coalesce("base_n_assertions", F.lit(0))).alias("net"))
+    code = context.lines.where("side = 'head'").join(context.non_test_files().select("cs_id", "file_ord"), ["cs_id", "file_ord"], "left_semi")
+    code = code.groupBy("cs_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file_ord", "line_ord", "path", "line_no", "text")).alias("first"))
+    rows = code.join(net, "cs_id", "left").where(F.coalesce("net", F.lit(0)) <= 0)
+    first = F.col("first")
+    return rows.select("cs_id", first["file_ord"].alias("file_ord"), first["path"].alias("path"), F.lit("Code added without new assertions").alias("title"), text(F.col("n").cast("string"), " line(s) of code were added with no net new assertion.").alias("detail"), F.array(evidence(first["line_no"], "head", first["text"], first["path"])).alias("evidence"), F.lit(0).alias("check_ord"), F.lit(0).alias("line_ord"))
+
+
+@rule("VID012", "Retry added", severity="medium", penalty=10)
+def retried(context: Context) -> DataFrame:
+    p = pairs(context).where("not removed")
+    more = p.where(F.size("head_test.retries") > F.greatest(F.coalesce(F.size("base_test.retries"), F.lit(0)), F.lit(0)))
+    return _rows(more, "Retry added", text("`", F.col("test_id"), "` is now retried."), F.get(F.col("head_test.retries"), F.lit(0))["line"], "head")
