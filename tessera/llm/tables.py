@@ -20,13 +20,21 @@ def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     return df
 
 
+#: Folders made here, by application.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset, as in tests, a folder of this machine."""
+    """spark.checkpoint.dir, or the context's own setting; only where both are unset, as in tests, a folder of this machine."""
+    sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="tessera-tables-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        given = sc._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            return given.get()
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = tempfile.mkdtemp(prefix="tessera-tables-")
+        folder = _own[sc.applicationId]
     return folder
 
 
