@@ -131,7 +131,12 @@ def fingerprint_of_json(record: Column) -> Column:
     """The fingerprint of a JSON text's own field paths; arrays are told by their first element."""
     none = F.array().cast("array<string>")
     top = F.coalesce(F.json_object_keys(record), none)
-    nested = [F.transform(F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{n}[0]")), none), lambda k, n=n: F.concat(F.lit(f"{n}[]."), k)) for n in ("messages", "conversations")]
+
+    def elements(name: str) -> Column:
+        keys = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), none)
+        return F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k))
+
+    nested = [elements(n) for n in ("messages", "conversations")]
     paths = F.array_intersect(F.concat(top, *nested), F.array(*map(F.lit, KNOWN)))
     return F.sha2(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"), 256)
 
