@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import cut
+from tessera.llm.tables import cut, drop
 
 
 def _star(edges: DataFrame, *, large: bool) -> DataFrame:
@@ -18,7 +18,8 @@ def _star(edges: DataFrame, *, large: bool) -> DataFrame:
         least = edges.groupBy("b").agg(F.min("a").alias("m"))
         joined = edges.join(least, "b")
         moved = joined.select(F.col("m").alias("a"), F.col("a").alias("x")).where("a < x").select("a", F.col("x").alias("b")).unionByName(least.select(F.col("m").alias("a"), "b"))
-    return moved.where("a < b").distinct()
+    moved = moved.where("a < b")
+    return moved if large else moved.distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", *, most_rounds: int = 60) -> DataFrame:
@@ -28,9 +29,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", *, most_rounds: int
     with the logarithm of the longest path. Nothing of the graph comes to the driver but two sums.
     """
     edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    before = None
+    before = last = None
     for _ in range(most_rounds):
         edges = cut(_star(_star(edges, large=True), large=False))
+        if last is not None:
+            drop(last)
+        last = edges
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -14,8 +14,8 @@ order of tokens they share one among the first n - ceil(t n) + 1: the prefix. St
    that is outside the frequent ones, is the centre; every other is paired with it, so the pairs grow
    with the rows and not with their square. As frequent tokens come last, a set with too many of its
    own never gets to those of a large group of near copies and drops out at once.
-4. Candidates must also share prefix tokens under the second and third order (their prefixes as
-   16-bit values: a chance equality only lets a pair through). What is left is verified on the sets.
+4. Candidates must also share enough prefix tokens under the second and under the third order (as many
+   as a linked pair can't do without). What is left of the intersection is verified on the sets.
 5. Links so far are merged to components. In hot buckets that still hold several components, pairs of
    different components that no bound and no order excludes are verified too. So no link between
    different components is lost, and links within a component change nothing.
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.substrings import zipped
-from tessera.llm.tables import cut, small_batches
+from tessera.llm.tables import cut, drop, small_batches
 from tessera.llm.wordhash import BLANK_SEPARATED, U, Words, grams, mix, words
 
 K = 3
@@ -185,6 +185,45 @@ def _could(na, nb, ia, ib, num: int, den: int):
     return (least * den >= most * num) & ((1 + F.least(na - ia - 1, nb - ib - 1)) * (den + num) >= (na + nb) * num)
 
 
+def _alike(pa_: str, pb: str, na: str, nb: str, num: int, den: int):
+    """Whether two prefixes under one order share as many tokens as a linked pair must.
+
+    Of the set whose prefix ends first in the order, every prefix token that the other lacks is missing from the
+    other set; a linked pair may miss n - overlap of them. Which one ends first isn't known here, so the weaker
+    demand counts. Tokens are kept as 16-bit values: equal values of different tokens can only let a pair through,
+    and values that repeat within a prefix are added back.
+    """
+    a, b = F.col(pa_), F.col(pb)
+    need = F.expr(f"({num} * ({na} + {nb}) + {num + den - 1}) div {num + den}").cast("int")
+    shared = F.size(F.array_intersect(a, b)) + F.size(a) - F.size(F.array_distinct(a))
+    return F.arrays_overlap(a, b) & (shared >= F.least(F.size(a) - (F.col(na) - need), F.size(b) - (F.col(nb) - need)))
+
+
+MEMBER_BITS = 1 << 25
+
+
+def only_members(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (k, text), less most of those whose k isn't among ids: a Bloom filter of MEMBER_BITS bits, whatever the
+    number of ids, so that they needn't be shuffled. It lets all members through; with far more ids than bits it lets everything through."""
+    spots = F.transform(F.array(*[F.lit(i) for i in range(3)]), lambda i: F.pmod(F.xxhash64("k", i), F.lit(MEMBER_BITS)))
+    bits = ids.select(F.explode(spots).alias("s")).groupBy(F.floor(F.col("s") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("b"))
+    words_ = np.zeros(MEMBER_BITS // 32, np.uint32)
+    for batch in bits.toArrow().to_batches():  # at most one row for each 32 bits
+        words_[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(np.uint32)
+    shared = rows.sparkSession.sparkContext.broadcast(words_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for i in range(3):
+                s = b.column(f"s{i}").to_numpy()
+                keep &= (shared.value[s >> 5] >> (s & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+            yield b.select(["k", "text"]).filter(pa.array(keep))
+
+    marked = rows.select("k", "text", *[F.pmod(F.xxhash64("k", F.lit(i)), F.lit(MEMBER_BITS)).alias(f"s{i}") for i in range(3)])
+    return marked.mapInArrow(run, "k long, text string")
+
+
 def _bucket_pairs(rows: DataFrame, num: int, den: int, more=None) -> DataFrame:
     """Pairs (a, b), a < b, of rows (token, k, n, i, ...) with one token that the bounds let through."""
     x, y = rows.alias("x"), rows.alias("y")
@@ -215,37 +254,40 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     shared = cut(prefix.join(crowd, "token").select("token", "k", "n", "own", "i", (F.col("count") > bucket).alias("hot")))
 
     def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs that share prefix tokens under the second and third order too."""
-        mine = reps.select("k", "p2", "p3")
-        a = pairs.join(mine.toDF("a", "a2", "a3"), "a")
-        return a.join(mine.toDF("b", "b2", "b3"), "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
-
-    cold = likely(_bucket_pairs(shared.where(~F.col("hot")).select("token", "k", "n", "i"), num, den))
-    hot = shared.where("hot").select("k").distinct()
-    cold = cut(cold)
-    involved = cold.select(F.col("a").alias("k")).unionByName(cold.select(F.col("b").alias("k"))).unionByName(hot).distinct()
-    texts = cut(zipped(rows).join(involved, "k").dropDuplicates(["k"]))
-
-    # The frequent tokens come last, so a set with too many of its own never reaches those of a large group.
-    rare = shared.where("hot").select("token", "k", "n", "own", "i")
-    centres = rare.groupBy("token").agg(F.min(F.struct("own", "k", "n", "i")).alias("c"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token", "c")
-    star = rare.join(centres, "token").where((F.col("k") != F.col("c.k")) & _could(F.col("n"), F.col("c.n"), F.col("i"), F.col("c.i"), num, den)).select(F.least("k", "c.k").alias("a"), F.greatest("k", "c.k").alias("b")).distinct()
+        """Pairs that the second and the third order let through."""
+        mine = reps.select("k", "n", "p2", "p3")
+        both = pairs.join(mine.toDF("a", "na", "a2", "a3"), "a").join(mine.toDF("b", "nb", "b2", "b3"), "b")
+        return both.where(_alike("a2", "b2", "na", "nb", num, den) & _alike("a3", "b3", "na", "nb", num, den)).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs with whether they are linked, after a look at both sets. Only texts of their members are shuffled."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+        texts = zipped(only_members(rows, ids)).join(ids, "k").dropDuplicates(["k"])
+        texts = cut(texts)
         near = texts.select(F.col("k").alias("a"), F.col("z").alias("za"))
         far = texts.select(F.col("k").alias("b"), F.col("z").alias("zb"))
-        return pairs.join(near, "a").join(far, "b").select("a", "b", "za", "zb").mapInArrow(_verified(k, num, den), "a long, b long, linked boolean")
+        out = cut(pairs.join(near, "a").join(far, "b").select("a", "b", "za", "zb").mapInArrow(_verified(k, num, den), "a long, b long, linked boolean"))
+        drop(texts)
+        return out
 
-    first = cut(verified(cold.unionByName(likely(star)).distinct()))
+    # The frequent tokens come last, so a set with too many of its own never reaches those of a large group.
+    rare = shared.where("hot").select("token", "k", "n", "own", "i")
+    centres = rare.groupBy("token").agg(F.min(F.struct("own", "k", "n", "i")).alias("c"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token", "c")
+    star = rare.join(centres, "token").where((F.col("k") != F.col("c.k")) & _could(F.col("n"), F.col("c.n"), F.col("i"), F.col("c.i"), num, den)).select(F.least("k", "c.k").alias("a"), F.greatest("k", "c.k").alias("b"))
+    cold = _bucket_pairs(shared.where(~F.col("hot")).select("token", "k", "n", "i"), num, den)
+    candidates = cut(likely(cold.unionByName(star).distinct()))
+    first = verified(candidates)
     links = first.where("linked").select("a", "b")
 
     placed = rare.join(components(links), rare["k"] == F.col("node"), "left").withColumn("component", F.coalesce("component", "k")).drop("node")
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    several = placed.join(mixed, "token").join(reps.select("k", "p2", "p3"), "k").select("token", "k", "n", "i", "component", "p2", "p3")
-    apart = (F.col("x.component") != F.col("y.component")) & F.arrays_overlap("x.p2", "y.p2") & F.arrays_overlap("x.p3", "y.p3")
-    across = _bucket_pairs(several, num, den, apart)
-    second = verified((across.join(first.select("a", "b"), ["a", "b"], "left_anti"))).where("linked").select("a", "b")
-    return reps.select(F.col("k").alias("rep"), "n", "f1", "f2"), links.unionByName(cut(second))
+    several = placed.join(mixed, "token").select("token", "k", "n", "i", "component")
+    across = _bucket_pairs(several, num, den, F.col("x.component") != F.col("y.component"))
+    rest = cut(likely(across.join(first.select("a", "b"), ["a", "b"], "left_anti")))
+    last = verified(rest)
+    every = cut(links.unionByName(last.where("linked").select("a", "b")))
+    drop(shared, candidates, first, rest, last)
+    return reps.select(F.col("k").alias("rep"), "n", "f1", "f2"), every
 
 
 def one_of_each(documents: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

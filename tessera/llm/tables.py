@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,12 +39,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows as a table written to the shared folder, compressed: what reads it survives lost executors and repeats no work. The table goes when the driver ends."""
+    """The rows as a table written to the shared folder, compressed: what reads it survives lost executors and
+    repeats no work. The table goes by drop(), or else when the driver ends. The shuffle files of the job that
+    wrote it are of no more use, so the driver is asked to collect its garbage, upon which Spark removes them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _path(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables of cut() that nothing reads any more."""
+    for t in tables:
+        files, at = _path(t.sparkSession, t._written)
+        files.delete(at, True)
