@@ -12,6 +12,7 @@ import pkgutil
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +24,20 @@ from tessera.schemas import SEVERITIES
 
 @dataclass
 class Context:
-    """What rules may read: file changes, configuration, and surfaces where they were extracted. Changed lines are exploded once for all rules."""
+    """What rules may read: file changes, configuration, and surfaces where they were extracted. With `keep`,
+    changed lines are exploded once for all rules and kept, on disk where memory doesn't do; lost parts are made again."""
 
     files: DataFrame
     config: GateConfig = field(default_factory=GateConfig)
     surfaces: DataFrame | None = None
+    keep: bool = False
     _lines: DataFrame | None = None
 
     @property
     def lines(self) -> DataFrame:
         if self._lines is None:
-            self._lines = change_lines(self.files.where(~F.col("is_binary")))
+            lines = change_lines(self.files.where(~F.col("is_binary")))
+            self._lines = lines.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else lines
         return self._lines
 
     def test_files(self) -> DataFrame:

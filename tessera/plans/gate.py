@@ -31,7 +31,7 @@ def gate(changesets: DataFrame, files: DataFrame, config: GateConfig | None = No
     config = config or GateConfig()
     chosen: tuple[Rule, ...] = tuple(r for r in discover() if r.id in rules)
     need = any(r.id not in CORE for r in chosen)
-    context = Context(files, config, surfaces(files, config) if need else None)
+    context = Context(files, config, surfaces(files, config) if need else None, keep=True)
     found = findings(context, chosen)
     good = changesets.where(F.col("parse_error").isNull())
     if found is None:
