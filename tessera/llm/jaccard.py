@@ -281,8 +281,13 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
 
     placed = rare.join(components(links), rare["k"] == F.col("node"), "left").withColumn("component", F.coalesce("component", "k")).drop("node")
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    several = placed.join(mixed, "token").select("token", "k", "n", "i", "component")
-    across = _bucket_pairs(several, num, den, F.col("x.component") != F.col("y.component"))
+    several = placed.join(mixed, "token").groupBy("k", "n", "component").agg(F.array_sort(F.collect_list(F.struct("i", "token"))).alias("own"))
+    # A pair meets at the first of these tokens that it shares, so it comes once and with the strictest bound. Should
+    # an earlier shared token lie in a bucket that isn't among these, the pair was met there or is one component.
+    several = several.select("k", "n", "component", "own", F.posexplode("own").alias("at", "t"))
+    before = F.transform(F.slice("own", F.lit(1), F.col("at")), lambda t: t["token"])
+    several = several.select(F.col("t.token").alias("token"), "k", "n", F.col("t.i").alias("i"), "component", before.alias("before"))
+    across = _bucket_pairs(several, num, den, (F.col("x.component") != F.col("y.component")) & ~F.arrays_overlap("x.before", "y.before"))
     rest = cut(likely(across.join(first.select("a", "b"), ["a", "b"], "left_anti")))
     last = verified(rest)
     every = cut(links.unionByName(last.where("linked").select("a", "b")))
