@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.labelled import held_out, sample
-from tessera.llm.tables import cut, small_batches
+from tessera.llm.tables import cut, drop, small_batches
 from tessera.llm.wordhash import ALNUM, U, Words, _power, mix, words
 
 SAMPLE = 1400
@@ -219,6 +219,7 @@ def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", boun
                     yield pa.RecordBatch.from_arrays([r.column(n).slice(w.first + t, 1) for n in ("k", "y", "weight")] + [pa.array([term], pa.list_(pa.int64())), pa.array([x], pa.list_(pa.float64()))], names=["k", "y", "weight", "term", "x"])
 
     rows = chosen.select(F.col("k").cast("long"), "y", "weight", "text").mapInArrow(extract, "k long, y int, weight double, term array<long>, x array<double>").collect()
+    drop(chosen)
     # Examples with the same leading term lie together, so that a block's largest weights are few.
     rows.sort(key=lambda r: (r["term"][int(np.argmax(r["x"]))], sorted(r["term"]), r["k"]))
     index.ids = np.array([r["k"] for r in rows], np.int64)
