@@ -78,3 +78,8 @@ def scores(changesets: DataFrame, findings: DataFrame, config: GateConfig) -> Da
     rows = rows.select("cs_id", value.alias("value"), threshold.alias("threshold"), F.coalesce("n_unjustified", F.lit(0)).alias("n_unjustified"), F.get(F.array(*map(F.lit, SEVERITIES)), F.col("rank")).alias("worst_severity"))
     rows = rows.withColumn("passed", F.col("value") >= F.col("threshold")).withColumn("band", band(F.col("value"), F.col("threshold")))
     return rows.withColumn("summary", summary(F.col("value"), F.col("band"), F.col("n_unjustified")))
+
+
+def write(result: DataFrame, path: str, *, format: str = "parquet") -> None:
+    """Findings or scores to a folder, a file for each partition; JSON keeps the nested evidence too."""
+    result.write.mode("overwrite").format(format).save(path)

@@ -111,7 +111,7 @@ def trust_score(spark: SparkSession, d: str) -> DataFrame:
 
 def score_bands(spark: SparkSession, d: str) -> DataFrame:
     """Bands and texts over all values, by threshold."""
-    values = spark.range(0, 101).select(F.col("id").cast("int").alias("value")).crossJoin(spark.createDataFrame([(70,), (95,), (30,)], "threshold int"))
+    values = spark.range(0, 101).select(F.col("id").cast("int").alias("value"), F.explode(F.array(*map(F.lit, (70, 95, 30)))).alias("threshold"))
     b = findings.band(F.col("value"), F.col("threshold"))
     return values.select("value", "threshold", b.alias("band"), (F.col("value") >= F.col("threshold")).alias("passed"), findings.summary(F.col("value"), b, F.col("value") % 3).alias("summary"))
 
@@ -186,7 +186,7 @@ def blob_attach(spark: SparkSession, d: str) -> DataFrame:
     files = o.select(k.alias("cs_id"), F.lit(0).alias("file_ord"), F.concat(F.lit("f"), (k % 50).cast("string")).alias("path"), F.get(F.array(*map(F.lit, ("added", "modified", "deleted", "renamed"))), (k % 4).cast("int")).alias("kind"), F.when(k % 4 == 3, F.concat(F.lit("g"), (k % 50).cast("string"))).alias("base_path"), (k % 10 == 9).alias("is_binary"), F.lit(None).cast("string").alias("hunks"))
     sets = files.select("cs_id", F.concat(F.lit("r"), (F.col("cs_id") % 3).cast("string")).alias("base_ref"), F.concat(F.lit("r"), (F.col("cs_id") % 3 + 1).cast("string")).alias("head_ref"))
     names = spark.range(50).select(F.explode(F.array(F.concat(F.lit("f"), F.col("id").cast("string")), F.concat(F.lit("g"), F.col("id").cast("string")))).alias("path"))
-    blobs = names.crossJoin(spark.range(4).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("ref"))).select("ref", "path", F.concat_ws("@", "path", "ref").alias("content")).where("path <> 'f7'")
+    blobs = names.select(F.explode(F.array(*[F.lit(f"r{i}") for i in range(4)])).alias("ref"), "path").select("ref", "path", F.concat_ws("@", "path", "ref").alias("content")).where("path <> 'f7'")
     return attach_blobs(files, sets, blobs).select("cs_id", "path", "kind", "base_content", "head_content")
 
 
