@@ -279,7 +279,7 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     first = verified(candidates)
     links = first.where("linked").select("a", "b")
 
-    placed = rare.join(components(links), rare["k"] == F.col("node"), "left").withColumn("component", F.coalesce("component", "k")).drop("node")
+    placed = cut(rare.join(components(links), rare["k"] == F.col("node"), "left").withColumn("component", F.coalesce("component", "k")).drop("node"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     several = placed.join(mixed, "token").groupBy("k", "n", "component").agg(F.array_sort(F.collect_list(F.struct("i", "token"))).alias("own"))
     # A pair meets at the first of these tokens that it shares, so it comes once and with the strictest bound. Should
@@ -291,7 +291,7 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     rest = cut(likely(across.join(first.select("a", "b"), ["a", "b"], "left_anti")))
     last = verified(rest)
     every = cut(links.unionByName(last.where("linked").select("a", "b")))
-    drop(shared, candidates, first, rest, last)
+    drop(shared, candidates, first, placed, rest, last)
     return reps.select(F.col("k").alias("rep"), "n", "f1", "f2"), every
 
 
