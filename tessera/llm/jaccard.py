@@ -80,8 +80,12 @@ def _frequent(k: int, share: float):
 
         def merged():
             """What is held, counted, with what was counted before. An order may rest on counts that miss tokens seen once so far."""
-            every, n = np.unique(np.concatenate(fresh), return_counts=True)
-            every, n = every[n > 1], n[n > 1]
+            x = np.concatenate(fresh)
+            fresh.clear()
+            x.sort()
+            again = np.flatnonzero(x[1:] == x[:-1])
+            new = np.flatnonzero(np.diff(again, prepend=-2) > 1)
+            every, n = x[again[new]], np.diff(new, append=len(again)) + 1
             both, at = np.unique(np.concatenate([keys, every]), return_inverse=True)
             return both, np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
 
@@ -93,7 +97,7 @@ def _frequent(k: int, share: float):
                     size += len(s)
                 if size > 4_000_000:
                     keys, counts = merged()
-                    fresh, size = [], 0
+                    size = 0
         if fresh:
             keys, counts = merged()
         own = counts >= max(2, share * docs)

@@ -8,6 +8,7 @@ text longer than the bound is a chunk of its own and is still read whole.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,6 +99,19 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the machine, for workers stay after their task and share it with others."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def words(column: pa.Array, table: np.ndarray, *, lower: bool) -> Iterator[Words]:
     """Words of a column by chunks of about CHUNK_BYTES; `first` is the row of a chunk's first text."""
     offsets, data = string_buffers(column)
@@ -117,6 +131,8 @@ def words(column: pa.Array, table: np.ndarray, *, lower: bool) -> Iterator[Words
         end = np.flatnonzero(inside & (~after | fresh[1:])) + 1
         yield Words(buf, start, end, np.searchsorted(start, bounds), at)
         at = to
+    if n >= 256:
+        release()
 
 
 def grams(h: np.ndarray, k: int, *, salt: int = 0) -> np.ndarray:
