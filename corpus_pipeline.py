@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, jaccard, mixing, sharding, toxicity
 from tessera.llm.tables import cut, small_batches, table
 
 SHARDS = 40
+RUN = 1 << 16
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes: shard, slot, and the shard with one more shard."""
-    return sharding.shard_documents(small_batches(docs), SHARDS)
+    """Where each document goes: shard, slot, and the shard with one more shard. The slots of a shard follow the order in which `docs` were written."""
+    return sharding.shard_documents(small_batches(docs), SHARDS, run=written_run(), place=F.col("_metadata.row_index"))
+
+
+def written_run() -> Column:
+    """Pieces of at most RUN rows of a written table, as text that sorts in the order of writing: files are numbered by partition."""
+    return F.concat_ws("/", F.col("_metadata.file_name"), F.lpad((F.col("_metadata.row_index") / RUN).cast("long").cast("string"), 12, "0"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
