@@ -1,19 +1,19 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are the lower-cased words of a text and their leading 4 to 8 bytes. Learning, from a bounded
-sample of labelled rows (SAMPLE toxic ones and OTHERS times as
-many others):
+sample of labelled rows (SAMPLE toxic ones and OTHERS times as many others):
 
 1. Spark counts, for every term, the examples of each class that have it. Terms whose share among
-   toxic examples is MIN_LIFT times that among the others and higher than chance allows (a
-   log-likelihood ratio of MIN_RATIO or more) are the vocabulary, at most MAX_TERMS of them.
+   toxic examples is higher than chance allows (a log-likelihood ratio of MIN_RATIO or more) are the
+   vocabulary, at most MAX_TERMS of them.
 2. Each example becomes a TF-IDF vector (1 + ln tf, smoothed idf) of length one over the vocabulary.
 3. The vectors go into an inverted index: postings by term, in blocks of BLOCK examples that lie
    near each other, with the largest weight of every (term, block).
 
 A document's upper bound for a block is the sum of its weights times the block's largest weights.
-The FIRST blocks with the largest bounds are scored exactly; of the others, all whose bound reaches
-the k-th best cosine so far are scored too. So the neighbours are those of a full scan. The votes of the neighbours, each weighted by
+Blocks are scored exactly by falling bound, FIRST of them and then twice as many each time, until no
+bound reaches the k-th best cosine so far; only the postings in those blocks are read. So the neighbours
+are those of a full scan. The votes of the neighbours, each weighted by
 cosine and by how many labelled rows it stands for, and a prior of PRIOR votes give the score; two
 coefficients fitted on the examples' own leave-one-out votes make it a probability. A document
 without terms of the vocabulary has no neighbour and gets the prior's score.
@@ -37,15 +37,14 @@ from tessera.llm.labelled import held_out, sample
 from tessera.llm.tables import cut, drop, small_batches
 from tessera.llm.wordhash import ALNUM, U, Words, _power, mix, words
 
-SAMPLE = 1400
+SAMPLE = 4000
 OTHERS = 4
 MAX_TERMS = 1024
 MIN_RATIO = 25.0
-MIN_LIFT = 2.0
 MIN_EXAMPLES = 4
 PREFIXES = (4, 5, 6, 7, 8)
 BLOCK = 32
-#: Blocks that are scored before the others are held against the k-th cosine.
+#: Blocks that are scored before the next are held against the k-th cosine.
 FIRST = 8
 NEIGHBOURS = 25
 PRIOR = 0.5
@@ -96,6 +95,7 @@ class Index:
     post_example: np.ndarray | None = None
     post_weight: np.ndarray | None = None
     peak: np.ndarray | None = None  # terms x blocks
+    cell: np.ndarray | None = None  # terms x (blocks + 1): where a term's postings in a block start
     slope: tuple[float, float] = (1.0, 0.0)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,33 +124,34 @@ class Index:
         """The k examples of the largest cosine above 0, and the cosines."""
         bound = x @ self.peak[term]
         blocks = np.flatnonzero(bound > 0)
-        if len(blocks) > FIRST:
-            first = blocks[np.argpartition(-bound[blocks], FIRST)[:FIRST]]
-            ex, s = self._scored(term, x, first, skip, k)
-            # What can't reach the k-th cosine is left out; all others are scored at once.
-            if len(s) == k:
-                blocks = blocks[bound[blocks] >= s[-1] - 1e-12]
-                if len(np.setdiff1d(blocks, first)) == 0:
-                    return ex, s
-        return self._scored(term, x, blocks, skip, k)
-
-    def _scored(self, term: np.ndarray, x: np.ndarray, blocks: np.ndarray, skip: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of the examples of some blocks, from the terms' postings in those blocks."""
-        low, size = self.start[term], self.start[term + 1] - self.start[term]
+        blocks = blocks[np.argsort(-bound[blocks], kind="stable")]
+        ex, s = np.zeros(0, np.int64), np.zeros(0)
+        at, size = 0, FIRST
+        # What can't reach the k-th cosine is left out.
+        while at < len(blocks) and (len(s) < k or bound[blocks[at]] >= s[-1] - 1e-12):
+            more, cosine = self._scored(term, x, np.sort(blocks[at : at + size]), skip)
+            ex, s = np.concatenate([ex, more]), np.concatenate([s, cosine])
+            if len(ex) > k:
+                own = s >= np.partition(s, len(s) - k)[len(s) - k]
+                ex, s = ex[own], s[own]
+            keep = np.lexsort((self.ids[ex], -s))[:k]
+            ex, s = ex[keep], s[keep]
+            at, size = at + size, 2 * size
+        return ex, s
+
+    def _scored(self, term: np.ndarray, x: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """The examples of some blocks with a cosine above 0, and the cosines, from the terms' postings in those blocks."""
+        low = self.cell[term][:, blocks]
+        size = (self.cell[term][:, blocks + 1] - low).ravel()
+        low = low.ravel()
         at = np.arange(int(size.sum())) + np.repeat(low - np.cumsum(size) + size, size)
-        alive = np.zeros(self.peak.shape[1], bool)
-        alive[blocks] = True
         ex = self.post_example[at]
-        own = alive[ex // BLOCK]
-        s = np.bincount(ex[own], weights=(np.repeat(x, size) * self.post_weight[at])[own], minlength=len(self.ids))
-        if skip >= 0:
-            s[skip] = 0
-        ex = np.flatnonzero(s > 0)
-        if len(ex) > k:
-            least = np.partition(s[ex], len(ex) - k)[len(ex) - k]
-            ex = ex[s[ex] >= least]
-        keep = np.lexsort((self.ids[ex], -s[ex]))[:k]
-        return ex[keep], s[ex[keep]]
+        # Places among the examples of these blocks.
+        place = np.searchsorted(blocks, ex // BLOCK) * BLOCK + ex % BLOCK
+        s = np.bincount(place, weights=np.repeat(np.repeat(x, len(blocks)), size) * self.post_weight[at], minlength=len(blocks) * BLOCK)
+        ex = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        own = (s > 0) & (ex != skip)
+        return ex[own], s[own]
 
     def vote(self, ex: np.ndarray, s: np.ndarray) -> float:
         w = s * self.weight[ex]
@@ -199,7 +200,7 @@ def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", boun
 
     ratio = 2 * (part(a, a + b, F.lit(float(n1[0]))) + part(b, a + b, F.lit(float(n0[0]))) + part(c, c + d, F.lit(float(n1[0]))) + part(d, c + d, F.lit(float(n0[0]))))
     picked = (
-        counts.where((F.col("pos") + F.col("neg") >= MIN_EXAMPLES) & (a * n0[0] > MIN_LIFT * b * n1[0])).withColumn("ratio", ratio)
+        counts.where((F.col("pos") + F.col("neg") >= MIN_EXAMPLES) & (a * n0[0] > b * n1[0])).withColumn("ratio", ratio)
         .where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
     )
     if not picked:
@@ -231,7 +232,9 @@ def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", boun
     at = np.lexsort((ex, term))
     cuts = np.searchsorted(term[at], np.arange(len(index.vocabulary) + 1))
     index.start, index.post_example, index.post_weight = cuts, ex[at], x[at]
-    index.peak = np.zeros((len(index.vocabulary), -(-len(rows) // BLOCK)))
+    blocks = -(-len(rows) // BLOCK)
+    index.cell = np.searchsorted(term[at] * blocks + ex[at] // BLOCK, np.arange(len(index.vocabulary))[:, None] * blocks + np.arange(blocks + 1))
+    index.peak = np.zeros((len(index.vocabulary), blocks))
     np.maximum.at(index.peak, (term, ex // BLOCK), x)
     votes = np.array([index.vote(*index.nearest(np.array(r["term"]), np.array(r["x"]), skip=i)) for i, r in enumerate(rows)])
     index.slope = _fit_slope(votes, index.label, index.weight)
