@@ -66,7 +66,7 @@ def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("neighbours")
+    return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_chat_format, op4_unigram_token_counts, op5_jaccard_join, op6_jump_shards, op7_quality, op8_pfair_mixing, op9_matroska_media, op10_toxicity)}

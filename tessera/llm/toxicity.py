@@ -242,7 +242,7 @@ def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", boun
 
 
 def score(documents: DataFrame, index: Index, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, score, neighbours): neighbours is the evidence, nearest first, as (id, label, cosine)."""
+    """Rows (key, score, neighbours): neighbours is the evidence, all that vote, nearest first, as (id, label, cosine)."""
     shared = small_batches(documents).sparkSession.sparkContext.broadcast(index)
     kind = documents.schema[key].dataType.simpleString()
     near = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
@@ -257,7 +257,7 @@ def score(documents: DataFrame, index: Index, *, key: str = "doc_id", text: str
                     for t, term, x in ix.vectors(w):
                         ex, s = ix.nearest(term, x)
                         out[w.first + t] = ix.score(ix.vote(ex, s))
-                        seen[w.first + t] = [{"id": int(ix.ids[i]), "label": int(ix.label[i]), "cosine": float(c)} for i, c in zip(ex[:5], s[:5], strict=True)]
+                        seen[w.first + t] = [{"id": int(ix.ids[i]), "label": int(ix.label[i]), "cosine": float(c)} for i, c in zip(ex, s, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(out), pa.array(seen, near)], names=[key, "score", "neighbours"])
 
     return documents.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, score double, neighbours array<struct<id:long,label:int,cosine:double>>")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 
+import numpy as np
 import pytest
 
 from tessera.llm import toxicity as X
+from tessera.llm.queries import op10_toxicity
 
 from llm_cases import SCHEMA, make
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 @pytest.fixture(scope="module")
 def many(spark):
@@ -24,3 +29,19 @@ def test_all_learnable_toxic_rows_up_to_4000(many):
     assert X.SAMPLE >= 4000 and learnable < 4000
     small, whole = X.build(*many, bound=700), X.build(*many, bound=X.SAMPLE)
     assert small.label.sum() == 700 and whole.label.sum() == learnable
+
+
+def test_every_voting_neighbour_is_shown(many):
+    docs, labels = many
+    ix = X.build(docs, labels)
+    place = {int(i): n for n, i in enumerate(ix.ids)}
+    rows = [r for r in X.toxic_scores(docs, labels).limit(200).collect() if r["neighbours"]]
+    assert max(len(r["neighbours"]) for r in rows) == X.NEIGHBOURS
+    for r in rows:
+        vote = ix.vote(np.array([place[n["id"]] for n in r["neighbours"]]), np.array([n["cosine"] for n in r["neighbours"]]))
+        assert abs(ix.score(vote) - r["score"]) < 1e-9
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_the_query_has_the_evidence(spark):
+    assert "neighbours" in op10_toxicity(spark, SF).columns
