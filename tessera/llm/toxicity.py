@@ -5,8 +5,9 @@ sample of labelled rows (SAMPLE toxic ones and OTHERS times as many others):
 
 1. Spark counts, for every term, the examples of each class that have it. Terms whose share among
    toxic examples is higher than chance allows (a log-likelihood ratio of MIN_RATIO or more) are the
-   vocabulary, at most MAX_TERMS of them.
-2. Each example becomes a TF-IDF vector (1 + ln tf, smoothed idf) of length one over the vocabulary.
+   vocabulary, all of them.
+2. Spark counts the documents, labelled or not, that have each of these terms. Each example becomes a
+   TF-IDF vector (1 + ln tf, smoothed idf of these counts) of length one over the vocabulary.
 3. The vectors go into an inverted index: postings by term, in blocks of BLOCK examples that lie
    near each other, with the largest weight of every (term, block).
 
@@ -39,7 +40,6 @@ from tessera.llm.wordhash import ALNUM, U, Words, _power, mix, words
 
 SAMPLE = 4000
 OTHERS = 4
-MAX_TERMS = 1024
 MIN_RATIO = 25.0
 MIN_EXAMPLES = 4
 PREFIXES = (4, 5, 6, 7, 8)
@@ -180,8 +180,34 @@ def _fit_slope(vote: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(c[0]), float(c[1])
 
 
+def document_counts(documents: DataFrame, index: Index, *, text: str = "text") -> tuple[int, np.ndarray]:
+    """The number of documents, and how many of them have each term of the vocabulary."""
+    shared = small_batches(documents).sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix: Index = shared.value
+        v, docs = len(ix.vocabulary), 0
+        have = np.zeros(v, np.int64)
+        for b in batches:
+            docs += b.num_rows
+            for w in words(b.column("text"), ALNUM, lower=True):
+                text = w.text_of()
+                got = [text[own[at]] * v + i for own, h in terms(w) for at, i in [ix.find(h)] if len(at)]
+                if got:
+                    have += np.bincount(np.unique(np.concatenate(got)) % v, minlength=v)
+        # The place after the last term counts the documents.
+        at = np.flatnonzero(have)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, v]), pa.array(np.r_[have[at], docs])], names=["i", "n"])
+
+    counted = documents.select(F.col(text).alias("text")).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(index.vocabulary) + 1)
+    for r in counted:
+        out[r["i"]] = r["n"]
+    return int(out[-1]), out[:-1]
+
+
 def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Index:
-    """The index, on the driver: its size is bounded by the sample and MAX_TERMS."""
+    """The index, on the driver: its size is bounded by the sample."""
     # Bounded by the sample, and read four times.
     chosen = cut(sample(documents, labels, label, bound, others=OTHERS * bound, key=key, text=text))
     classes = {r["y"]: (r["n"], r["w"]) for r in chosen.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).collect()}
@@ -201,16 +227,17 @@ def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", boun
     ratio = 2 * (part(a, a + b, F.lit(float(n1[0]))) + part(b, a + b, F.lit(float(n0[0]))) + part(c, c + d, F.lit(float(n1[0]))) + part(d, c + d, F.lit(float(n0[0]))))
     picked = (
         counts.where((F.col("pos") + F.col("neg") >= MIN_EXAMPLES) & (a * n0[0] > b * n1[0])).withColumn("ratio", ratio)
-        .where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
+        .where(F.col("ratio") >= MIN_RATIO).collect()
     )
     if not picked:
         return empty
     vocabulary = np.array([r["term"] for r in picked], np.int64).view(U)
-    at = np.argsort(vocabulary)
-    share = np.array([r["pos"] * n1[1] / n1[0] + r["neg"] * n0[1] / n0[0] for r in picked])[at]
+    vocabulary.sort()
     bits = np.zeros(1 << 20, bool)
     bits[(vocabulary >> U(44)).astype(np.int64)] = True
-    index = Index(vocabulary[at], np.log((1 + n1[1] + n0[1]) / (1 + share)) + 1, bits, empty.ids, empty.label, empty.weight, prior)
+    index = Index(vocabulary, np.ones(len(vocabulary)), bits, empty.ids, empty.label, empty.weight, prior)
+    n, have = document_counts(documents, index, text=text)
+    index.idf = np.log((1 + n) / (1 + have)) + 1
     shared = documents.sparkSession.sparkContext.broadcast(index)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

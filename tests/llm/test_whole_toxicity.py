@@ -6,10 +6,12 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import toxicity as X
 from tessera.llm.queries import op10_toxicity
+from tessera.llm.wordhash import ALNUM, words
 
 from llm_cases import SCHEMA, make
 
@@ -45,3 +47,19 @@ def test_every_voting_neighbour_is_shown(many):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 def test_the_query_has_the_evidence(spark):
     assert "neighbours" in op10_toxicity(spark, SF).columns
+
+
+def test_idf_counts_every_document(many, spark):
+    docs, labels = many
+    more = docs.unionByName(spark.createDataFrame(make(["Vile weather"] * 500 + [None, "nothing"], start=10_000), SCHEMA))
+    ix = X.build(more, labels)
+    (w,) = words(pa.array(["vile"]), ALNUM, lower=True)
+    _, i = ix.find(X.terms(w)[0][1])
+    assert len(i) == 1 and np.isclose(ix.idf[i[0]], np.log((1 + 3502) / (1 + 2000 + 500)) + 1)
+
+
+def test_no_bound_on_the_vocabulary(spark):
+    bad = " ".join(f"v{i}" for i in range(1500))
+    docs = spark.createDataFrame(make([bad if i % 2 else "fine words" for i in range(90)]), SCHEMA)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(90)], "doc_id long, quality int, toxic int")
+    assert len(X.build(docs, labels).vocabulary) >= 1500
