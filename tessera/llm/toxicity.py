@@ -82,6 +82,18 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(pos), pa.array(np.bincount(inside, minlength=len(key)) - pos)], names=["term", "pos", "neg"])
 
 
+def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """low, low + 1, ... of each range, one after the other."""
+    some = size > 0
+    low, size = low[some], size[some]
+    if not len(low):
+        return low
+    step = np.ones(int(size.sum()), np.int64)
+    step[0] = low[0]
+    step[np.cumsum(size[:-1])] = low[1:] - (low[:-1] + size[:-1]) + 1
+    return np.cumsum(step)
+
+
 @dataclass
 class Index:
     vocabulary: np.ndarray  # sorted hashes
@@ -130,10 +142,10 @@ class Index:
         # What can't reach the k-th cosine is left out.
         while at < len(blocks) and (len(s) < k or bound[blocks[at]] >= s[-1] - 1e-12):
             more, cosine = self._scored(term, x, np.sort(blocks[at : at + size]), skip)
+            if len(more) > k:
+                own = cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k]
+                more, cosine = more[own], cosine[own]
             ex, s = np.concatenate([ex, more]), np.concatenate([s, cosine])
-            if len(ex) > k:
-                own = s >= np.partition(s, len(s) - k)[len(s) - k]
-                ex, s = ex[own], s[own]
             keep = np.lexsort((self.ids[ex], -s))[:k]
             ex, s = ex[keep], s[keep]
             at, size = at + size, 2 * size
@@ -141,17 +153,14 @@ class Index:
 
     def _scored(self, term: np.ndarray, x: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
         """The examples of some blocks with a cosine above 0, and the cosines, from the terms' postings in those blocks."""
-        low = self.cell[term][:, blocks]
-        size = (self.cell[term][:, blocks + 1] - low).ravel()
-        low = low.ravel()
-        at = np.arange(int(size.sum())) + np.repeat(low - np.cumsum(size) + size, size)
-        ex = self.post_example[at]
-        # Places among the examples of these blocks.
-        place = np.searchsorted(blocks, ex // BLOCK) * BLOCK + ex % BLOCK
-        s = np.bincount(place, weights=np.repeat(np.repeat(x, len(blocks)), size) * self.post_weight[at], minlength=len(blocks) * BLOCK)
-        ex = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        own = (s > 0) & (ex != skip)
-        return ex[own], s[own]
+        low, high = self.cell[term[:, None], blocks], self.cell[term[:, None], blocks + 1]
+        at = _ranges(low.ravel(), (high - low).ravel())
+        weight = np.repeat(x, (high - low).sum(1)) * self.post_weight[at]
+        s = np.bincount(self.post_example[at], weights=weight, minlength=len(self.ids))
+        if skip >= 0:
+            s[skip] = 0
+        ex = np.flatnonzero(s)
+        return ex, s[ex]
 
     def vote(self, ex: np.ndarray, s: np.ndarray) -> float:
         w = s * self.weight[ex]
