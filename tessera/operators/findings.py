@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import GateConfig
@@ -35,10 +35,18 @@ def checked(findings: DataFrame) -> DataFrame:
     return findings.withColumn("penalty", penalty).withColumn("evidence", evidence)
 
 
+def _order() -> list[Column]:
+    return [severity_rank(F.col("severity")).desc(), F.col("penalty").desc(), F.col("rule_id"), location(F.col("path"), F.col("evidence")), F.col("file_ord"), F.col("check_ord"), F.col("line_ord")]
+
+
 def in_order(findings: DataFrame) -> DataFrame:
     """Worst first: severity, penalty, rule, location as text, then the order in which they were found."""
-    at = location(F.col("path"), F.col("evidence"))
-    return findings.orderBy("cs_id", severity_rank(F.col("severity")).desc(), F.col("penalty").desc(), "rule_id", at, "file_ord", "check_ord", "line_ord")
+    return findings.orderBy("cs_id", *_order())
+
+
+def placed(findings: DataFrame) -> DataFrame:
+    """With `place`, the number from 1 of a finding in its change set's order; nothing is sorted over change sets."""
+    return findings.withColumn("place", F.row_number().over(Window.partitionBy("cs_id").orderBy(*_order())))
 
 
 def justifications(changesets: DataFrame, config: GateConfig) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Callable
+from typing import NamedTuple
 
 # Assertion methods by kind, with whether they negate.
 METHODS = {
@@ -166,7 +168,7 @@ class Reader:
             for x in walked:
                 if isinstance(x, ast.Assert):
                     self.pytest = True
-                    found["assertions"].append(self.bare(x))
+                    found["assertions"].append(self.stated(x))
                 elif isinstance(x, ast.Call) and not self.call(x, found):
                     name = self.source.last_name(x.func)
                     if name and not (len(name) > 4 and name.startswith("__") and name.endswith("__")):
@@ -178,118 +180,186 @@ class Reader:
             "is_discoverable": node.name.startswith("test_"), **found, "exercised_symbols": sorted(used),
         }
 
-    def bare(self, node: ast.Assert) -> dict:
-        low = self.source.span(node)[0] + len("assert")
-        high = self.source.span(node.msg)[0] if node.msg else self.source.span(node)[1]
-        kind, negated, operands, tolerance = self.condition(node.test, low, high)
-        return _assertion(kind, "assert", node.lineno, operands, tolerance, negated)
-
-    def condition(self, node: ast.AST, low: int, high: int) -> tuple[str, bool, list[str], float | None]:
-        a, b = self.source.span(node)
-        whole = self.source.operand(node, low, high)
-        if b"(" in self.source.bytes[low:a]:  # in parentheses: a truth value of its own
-            return "truthiness", False, [whole], None
-        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-            kind, negated, operands, tolerance = self.condition(node.operand, a + len("not"), b)
-            return kind, not negated, operands, tolerance
-        if isinstance(node, ast.Compare):
-            return self.comparison(node)
-        if isinstance(node, ast.Call) and self.source.last_name(node.func) == "isinstance":
-            return "type", False, [t for _, t in self.source.arguments(node)[0]], None
-        return "truthiness", False, [whole], None
-
-    def comparison(self, node: ast.Compare) -> tuple[str, bool, list[str], float | None]:
-        low, high = self.source.span(node)
-        sides = [node.left, *node.comparators]
-        texts = [self.source.operand(x, low, high) for x in sides]
-        bare = [x for x, t in zip(sides, texts, strict=True) if t == self.source.operand(x)]
-        kind, negated = COMPARISONS.get(type(node.ops[0]), ("comparison", False))
-        if kind == "identity" and any(isinstance(x, ast.Constant) and x.value is None for x in bare):
-            return "existence", not negated, texts, None
-        if kind == "equality":
-            near = next((x for x in bare if isinstance(x, ast.Call) and self.source.last_name(x.func) == "approx"), None)
-            if near is not None:
-                named = self.source.arguments(near)[1]
-                return "approximate", negated, texts, _number(named.get("abs", named.get("rel")), float)
-        return kind, negated, texts, None
+    def stated(self, node: ast.Assert) -> dict:
+        """The record of an assert statement: `not`s in front are peeled off, then the type of what is left tells how to read it."""
+        s = self.source
+        low, high = s.span(node)[0] + len("assert"), s.span(node.msg or node)[0 if node.msg else 1]
+        test, negated = node.test, False
+
+        def bracketed() -> bool:  # in parentheses: a truth value of its own
+            return b"(" in s.bytes[low : s.span(test)[0]]
+
+        while not bracketed() and isinstance(test, ast.UnaryOp) and isinstance(test.op, ast.Not):
+            (at, high), negated = s.span(test), not negated
+            low, test = at + len("not"), test.operand
+        claim = None if bracketed() else _READINGS.get(type(test), lambda *_: None)(s, test)
+        claim = claim or Claim("truthiness", [s.operand(test, low, high)])
+        return _assertion(claim.kind, "assert", node.lineno, claim.operands, claim.tolerance, negated != claim.negated)
 
     def call(self, node: ast.Call, found: dict[str, list[dict]]) -> bool:
-        """Whether the call is an assertion, a skip or a mock; if so it is noted."""
-        name, callee, line = self.source.last_name(node.func), self.source.operand(node.func), node.lineno
-        args, named = self.source.arguments(node)
-        texts = [t for _, t in args]
-        if name == "raises" and "pytest" in callee:
-            self.pytest = True
-            found["assertions"].append(_assertion("exception", "raises", line, texts))
-        elif method := _method(name):
-            self.unittest = True
-            tolerance = _number(named.get("delta"), float) if method[0] == "approximate" else None
-            found["assertions"].append(_assertion(method[0], name, line, texts, tolerance, method[1]))
-        elif name == "skip" and "pytest" in callee:
-            self.pytest = True
-            found["skip_markers"].append(_skip("skip", line))
-        elif _patches(name, callee):
-            found["mocks"].append({"target": self.target(args, any_second=False), "line": line, "callee": callee})
-        elif name == "setattr" and "monkeypatch" in callee:
-            found["mocks"].append({"target": self.target(args, any_second=True), "line": line, "callee": callee})
-        else:
+        """Whether the call has a known shape; if so its record is noted."""
+        return self.noted(CALLS, Seen.of(self.source, node), found)
+
+    def decorator(self, node: ast.AST, found: dict[str, list[dict]]) -> None:
+        self.noted(DECORATORS, Seen.of(self.source, node), found)
+
+    def noted(self, shapes: tuple[Shape, ...], seen: Seen, found: dict[str, list[dict]]) -> bool:
+        shape = next((x for x in shapes if x.fits(seen)), None)
+        if shape is None:
             return False
+        found[shape.into].append(shape.record(seen))
+        self.pytest |= shape.shows == "pytest"
+        self.unittest |= shape.shows == "unittest"
         return True
 
-    def target(self, args: list[tuple[ast.AST, str]], *, any_second: bool) -> str:
-        """What a mock replaces: a string, or an object and the name of its attribute."""
-        if not args:
-            return ""
-        literal = self.source.string(args[0][0])
-        if literal is not None:
-            return literal
-        second = None
-        if len(args) > 1:
-            second = self.source.string(args[1][0])
-            if second is None and any_second:
-                second = args[1][1]
-        return args[0][1] if second is None else f"{args[0][1]}.{second}"
 
-    def decorator(self, node: ast.AST, found: dict[str, list[dict]]) -> None:
-        function = node.func if isinstance(node, ast.Call) else node
-        args, named = self.source.arguments(node) if isinstance(node, ast.Call) else ([], {})
-        callee, name, line = self.source.operand(function), self.source.last_name(function), node.lineno
-        first = args[0][1] if args else None
-        if "mark" in callee:
-            self.pytest |= name in ("skip", "skipif", "xfail", "flaky", "repeat")
-            if name in ("skip", "skipif", "xfail"):
-                found["skip_markers"].append(_skip({"skip": "skip", "skipif": "skip_if", "xfail": "expected_failure"}[name], line, first if name == "skipif" else None))
-            elif name in ("flaky", "repeat"):
-                found["retries"].append({"callee": name, "line": line, "max_attempts": _number(named.get("reruns") if name == "flaky" else first, int)})
-        elif name == "expectedFailure":
-            found["skip_markers"].append(_skip("expected_failure", line))
-        elif name in ("skip", "skipIf") and "unittest" in callee:
-            found["skip_markers"].append(_skip("skip" if name == "skip" else "skip_if", line, first if name == "skipIf" else None))
-        elif name == "flaky":
-            most = _number(named.get("max_runs"), int)
-            found["retries"].append({"callee": "flaky", "line": line, "max_attempts": _number(first, int) if most is None else most})
-        elif _patches(name, callee):
-            found["mocks"].append({"target": self.target(args, any_second=False), "line": line, "callee": callee})
+class Claim(NamedTuple):
+    """What an asserted expression claims."""
 
+    kind: str
+    operands: list[str]
+    negated: bool = False
+    tolerance: float | None = None
 
-def _assertion(kind: str, callee: str, line: int, operands: list[str], tolerance: float | None = None, negated: bool = False) -> dict:
-    return {"kind": kind, "callee": callee, "line": line, "operands": operands, "tolerance": tolerance, "negated": negated}
 
+def _is_none(s: Source, node: ast.AST) -> bool:
+    return isinstance(node, ast.Constant) and node.value is None
+
+
+def _is_approx(s: Source, node: ast.AST) -> bool:
+    return isinstance(node, ast.Call) and s.last_name(node.func) == "approx"
+
+
+#: A kind of comparison that becomes another when a side, written without parentheses, has a trait; whether that turns the sense.
+_REFINED = {"identity": (_is_none, "existence", True), "equality": (_is_approx, "approximate", False)}
+
+
+def _compared(s: Source, node: ast.Compare) -> Claim:
+    span, sides = s.span(node), (node.left, *node.comparators)
+    written = [s.operand(x, *span) for x in sides]
+    base, opposite = COMPARISONS.get(type(node.ops[0]), ("comparison", False))
+    claim = Claim(base, written, opposite)
+    if claim.kind in _REFINED:
+        trait, kind, turns = _REFINED[claim.kind]
+        for side, text in zip(sides, written, strict=True):
+            if text == s.operand(side) and trait(s, side):
+                given = s.arguments(side)[1] if isinstance(side, ast.Call) else {}
+                return claim._replace(kind=kind, negated=claim.negated != turns, tolerance=_number(given.get("abs", given.get("rel")), float))
+    return claim
+
+
+def _checked_type(s: Source, node: ast.Call) -> Claim | None:
+    return Claim("type", [t for _, t in s.arguments(node)[0]]) if s.last_name(node.func) == "isinstance" else None
+
+
+_READINGS = {ast.Compare: _compared, ast.Call: _checked_type}
+
+
+class Seen(NamedTuple):
+    """A call or decorator as shapes see it."""
+
+    source: Source
+    name: str
+    callee: str
+    line: int
+    nodes: list[ast.AST]
+    texts: list[str]
+    named: dict[str, str]
+
+    @classmethod
+    def of(cls, source: Source, node: ast.AST) -> Seen:
+        head = node.func if isinstance(node, ast.Call) else node
+        own, named = source.arguments(node) if isinstance(node, ast.Call) else ([], {})
+        return cls(source, source.last_name(head), source.operand(head), node.lineno, [n for n, _ in own], [t for _, t in own], named)
 
-def _skip(reason: str, line: int, expression: str | None = None) -> dict:
-    return {"reason": reason, "line": line, "expression": expression}
+    @property
+    def first(self) -> str | None:
+        return next(iter(self.texts), None)
 
 
-def _method(name: str) -> tuple[str, bool] | None:
-    if name in METHODS:
-        return METHODS[name]
-    if name.startswith("assert_called") or name in MOCK_METHODS:
-        return "call", False
-    return ("custom", False) if name == "fail" or name.startswith("assert") else None
+class Shape(NamedTuple):
+    """Calls of some names, `within` in the callee and `without` not, give a record in a list of the test and may show its framework."""
 
+    into: str
+    names: Callable[[str], bool]
+    record: Callable[[Seen], dict]
+    within: str = ""
+    without: str | None = None
+    shows: str = ""
 
-def _patches(name: str, callee: str) -> bool:
-    return name == "patch" or name in ("object", "dict") and "patch" in callee
+    def fits(self, seen: Seen) -> bool:
+        return self.names(seen.name) and self.within in seen.callee and (self.without is None or self.without not in seen.callee)
+
+
+def _named(*names: str) -> Callable[[str], bool]:
+    return frozenset(names).__contains__
+
+
+def _known_method(name: str) -> tuple[str, bool] | None:
+    """Kind and sense of an assertion method: by the table, by mocks' names, else any name that begins like one."""
+    families = ((name in MOCK_METHODS or name.startswith("assert_called"), "call"), (name == "fail" or name.startswith("assert"), "custom"))
+    return METHODS.get(name) or next(((kind, False) for own, kind in families if own), None)
+
+
+def _method_record(seen: Seen) -> dict:
+    kind, negated = _known_method(seen.name)
+    return _assertion(kind, seen.name, seen.line, seen.texts, _number(seen.named.get("delta"), float) if kind == "approximate" else None, negated)
+
+
+def _skipping(reason: str, *, shown: bool = False) -> Callable[[Seen], dict]:
+    return lambda seen: {"reason": reason, "line": seen.line, "expression": seen.first if shown else None}
+
+
+def _retrying(*fields: str) -> Callable[[Seen], dict]:
+    """Attempts from the first of these that is given: a keyword, or `0` for the first argument."""
+
+    def record(seen: Seen) -> dict:
+        numbers = (_number(seen.first if f == "0" else seen.named.get(f), int) for f in fields)
+        return {"callee": seen.name, "line": seen.line, "max_attempts": next((n for n in numbers if n is not None), None)}
+
+    return record
+
+
+def _mocking(*, attribute_as_written: bool = False) -> Callable[[Seen], dict]:
+    """What is replaced: a string, or an object and the name of its attribute."""
+
+    def record(seen: Seen) -> dict:
+        strings = [seen.source.string(n) for n in seen.nodes[:2]]
+        parts = seen.texts[:1]
+        if strings and strings[0] is not None:
+            parts = [strings[0]]
+        elif len(strings) > 1:
+            parts += [x for x in (strings[1], seen.texts[1] if attribute_as_written else None) if x is not None][:1]
+        return {"target": ".".join(parts), "line": seen.line, "callee": seen.callee}
+
+    return record
+
+
+_PATCHES = (Shape("mocks", _named("patch"), _mocking(), without="mark"), Shape("mocks", _named("object", "dict"), _mocking(), "patch", without="mark"))
+#: The first shape that fits counts. A decorator of marks is never read as anything else.
+DECORATORS = (
+    Shape("skip_markers", _named("skip"), _skipping("skip"), "mark", shows="pytest"),
+    Shape("skip_markers", _named("skipif"), _skipping("skip_if", shown=True), "mark", shows="pytest"),
+    Shape("skip_markers", _named("xfail"), _skipping("expected_failure"), "mark", shows="pytest"),
+    Shape("retries", _named("flaky"), _retrying("reruns"), "mark", shows="pytest"),
+    Shape("retries", _named("repeat"), _retrying("0"), "mark", shows="pytest"),
+    Shape("skip_markers", _named("expectedFailure"), _skipping("expected_failure"), without="mark"),
+    Shape("skip_markers", _named("skip"), _skipping("skip"), "unittest", "mark"),
+    Shape("skip_markers", _named("skipIf"), _skipping("skip_if", shown=True), "unittest", "mark"),
+    Shape("retries", _named("flaky"), _retrying("max_runs", "0"), without="mark"),
+    *_PATCHES,
+)
+CALLS = (
+    Shape("assertions", _named("raises"), lambda seen: _assertion("exception", "raises", seen.line, seen.texts), "pytest", shows="pytest"),
+    Shape("assertions", lambda name: _known_method(name) is not None, _method_record, shows="unittest"),
+    Shape("skip_markers", _named("skip"), _skipping("skip"), "pytest", shows="pytest"),
+    *(x._replace(without=None) for x in _PATCHES),
+    Shape("mocks", _named("setattr"), _mocking(attribute_as_written=True), "monkeypatch"),
+)
+
+
+def _assertion(kind: str, callee: str, line: int, operands: list[str], tolerance: float | None = None, negated: bool = False) -> dict:
+    return {"kind": kind, "callee": callee, "line": line, "operands": operands, "tolerance": tolerance, "negated": negated}
 
 
 def extract(path: str, source: str) -> dict:

@@ -25,20 +25,29 @@ from tessera.schemas import SEVERITIES
 @dataclass
 class Context:
     """What rules may read: file changes, configuration, and surfaces where they were extracted. With `keep`,
-    changed lines are exploded once for all rules and kept, on disk where memory doesn't do; lost parts are made again."""
+    what several rules read (changed lines, paired tests) is made once and kept, on disk where memory doesn't do; lost parts are made again."""
 
     files: DataFrame
     config: GateConfig = field(default_factory=GateConfig)
     surfaces: DataFrame | None = None
     keep: bool = False
-    _lines: DataFrame | None = None
+    _made: dict[str, DataFrame] = field(default_factory=dict)
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What several rules read, planned once and, with `keep`, kept until release()."""
+        if name not in self._made:
+            made = make()
+            self._made[name] = made.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else made
+        return self._made[name]
 
     @property
     def lines(self) -> DataFrame:
-        if self._lines is None:
-            lines = change_lines(self.files.where(~F.col("is_binary")))
-            self._lines = lines.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else lines
-        return self._lines
+        return self.once("lines", lambda: change_lines(self.files.where(~F.col("is_binary"))))
+
+    def release(self) -> None:
+        """Gives kept tables back. What was planned on them still runs, from their sources."""
+        for made in self._made.values():
+            made.unpersist()
 
     def test_files(self) -> DataFrame:
         return self.files.where(~F.col("is_binary") & is_test_path(F.col("path"), self.config))
@@ -57,11 +66,11 @@ class Rule:
 
     def apply(self, context: Context) -> DataFrame | None:
         """Findings; None where the rule is disabled. Overrides of the configuration win, a penalty of 0 among them."""
-        if not context.config.is_enabled(self.id):
+        own = context.config.effective(self.id, self.severity, self.penalty)
+        if not own.enabled:
             return None
-        severity, penalty = context.config.severity_for(self.id, self.severity), context.config.penalty_for(self.id, self.penalty)
         raw = self.check(context)
-        return raw.select("cs_id", F.lit(self.id).alias("rule_id"), F.lit(severity).alias("severity"), "title", "detail", "path", F.lit(penalty).alias("penalty"), "evidence", F.lit(None).cast("string").alias("justification"), "file_ord", "check_ord", "line_ord")
+        return raw.select("cs_id", F.lit(self.id).alias("rule_id"), F.lit(own.severity).alias("severity"), "title", "detail", "path", F.lit(own.penalty).alias("penalty"), "evidence", F.lit(None).cast("string").alias("justification"), "file_ord", "check_ord", "line_ord")
 
 
 _RULES: dict[str, Rule] = {}
@@ -112,10 +121,38 @@ def evidence(line: Column, side: str, snippet: Column, path: Column | None = Non
     return F.struct((path if path is not None else F.col("path")).alias("path"), line.cast("int").alias("line"), F.lit(side).alias("side"), snippet.alias("snippet"))
 
 
+_LIMB = 1_000_000_000
+
+
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b))
+
+
+def _whole_digits(value: Column) -> Column:
+    """All digits of a whole double of 2**53 or more: 54 bits as limbs of nine digits, then doubled as often as the exponent says."""
+    power = F.floor(F.log2(value)).cast("int") - 53
+    head = (value / F.pow(F.lit(2.0), power)).cast("long")
+    limbs = F.concat(F.array(head % _LIMB, _div(head, _LIMB)), F.array_repeat(F.lit(0).cast("long"), 35))
+
+    def times(all_limbs: Column, bits: Column) -> Column:
+        def step(state: Column, limb: Column) -> Column:
+            product = limb * F.pow(F.lit(2.0), bits).cast("long") + state["carry"]
+            return F.struct(F.array_append(state["done"], product % _LIMB).alias("done"), _div(product, _LIMB).alias("carry"))
+
+        start = F.struct(F.expr("cast(array() as array<bigint>)").alias("done"), F.lit(0).cast("long").alias("carry"))
+        return F.aggregate(all_limbs, start, step, lambda state: state["done"])
+
+    steps = F.transform(F.sequence(F.lit(0), F.floor(power / 20).cast("int")), lambda i: F.when(i == 0, power % 20).otherwise(20))
+    text = F.aggregate(F.aggregate(steps, limbs, times), F.lit(""), lambda done, limb: F.concat(F.lpad(limb.cast("string"), 9, "0"), done))
+    return F.regexp_replace(text, "^0+", "")
+
+
 def number_text(value: Column) -> Column:
-    """A number without a needless fraction."""
-    plain = F.regexp_replace(value.cast("decimal(38,12)").cast("string"), r"0+$", "")
-    return F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(plain)
+    """A number of any size without a needless fraction, small ones with an exponent; never an error."""
+    plain = F.regexp_replace(value.try_cast("decimal(38,21)").cast("string"), r"0+$", "")
+    small = F.regexp_replace(F.regexp_replace(F.regexp_replace(value.cast("string"), r"\.0E", "E"), r"E-(\d)$", "E-0$1"), "E", "e")
+    whole = F.when(F.abs(value) < 2.0**53, value.cast("long").cast("string")).otherwise(_whole_digits(value))
+    return F.when(F.abs(value) == float("inf"), F.lit("inf")).when(value == F.rint(value), whole).when(F.abs(value) < 1e-4, small).otherwise(plain)
 
 
 def text(*parts: Column | str) -> Column:

@@ -16,11 +16,16 @@ KEYS = ("cs_id", "file_ord", "path")
 
 
 def pairs(context: Context) -> DataFrame:
+    """Paired tests of files whose sides are both known, made once for all rules: a source is parsed once."""
     if context.surfaces is None:
         raise ValueError("this rule needs surfaces")
-    known = context.surfaces.join(comparable(context.surfaces), ["cs_id", "path"], "left_semi")
-    both = pair_tests(test_rows(known))
-    return both.join(context.files.select(*KEYS), ["cs_id", "path"])
+
+    def make() -> DataFrame:
+        surfaces = context.once("surfaces", lambda: context.surfaces)
+        known = surfaces.join(comparable(surfaces), ["cs_id", "path"], "left_semi")
+        return pair_tests(test_rows(known)).join(context.files.select(*KEYS), ["cs_id", "path"])
+
+    return context.once("pairs", make)
 
 
 def _rows(p: DataFrame, title: str, detail: Column, line: Column, side: str, order: Column | None = None) -> DataFrame:
@@ -41,8 +46,13 @@ def removed(context: Context) -> DataFrame:
 def assertion_removed(context: Context) -> DataFrame:
     p = pairs(context).where("not removed and not added")
     was, now = F.transform("base_test.assertions", signature), F.transform("head_test.assertions", signature)
-    lost = F.array_except(was, now)
-    fewer = p.withColumn("lost", lost).where((F.size("lost") > 0) & (F.col("head_n_assertions") < F.col("base_n_assertions")))
+
+    def times(signatures: Column, s: Column) -> Column:
+        return F.size(F.filter(signatures, lambda x: x == s))
+
+    # Equal assertions count as often as they stand there.
+    lost = F.exists(F.array_distinct(was), lambda s: times(was, s) > times(now, s))
+    fewer = p.where(lost & (F.col("head_n_assertions") < F.col("base_n_assertions")))
     return _rows(fewer, "Assertion removed", text("`", F.col("test_id"), "` lost ", (F.col("base_n_assertions") - F.col("head_n_assertions")).cast("string"), " assertion(s)."), F.col("base_test.line_start"), "base")
 
 

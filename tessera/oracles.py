@@ -123,12 +123,12 @@ _SUMMARY = "'Trust ' || value || '/100 (' || band || ') — ' || CASE WHEN n = 0
 
 _SURFACE = f"""
 s AS (
-  SELECT l_orderkey AS cs_id, l_linenumber AS t, 'base' AS side, {_KINDS}[l_partkey % 13 + 1] AS kind, l_partkey, l_suppkey, l_linestatus FROM lineitem
+  SELECT l_orderkey AS cs_id, l_linenumber AS t, 'base' AS side, {_KINDS}[l_partkey % 13 + 1] AS kind, l_partkey, l_suppkey, l_linestatus FROM lineitem WHERE l_returnflag <> 'A' OR l_suppkey % 7 <> 0
   UNION ALL SELECT l_orderkey, l_linenumber, 'head', {_KINDS}[CASE WHEN l_suppkey % 5 = 0 THEN (l_partkey % 13 + 3) % 13 ELSE l_partkey % 13 END + 1], l_partkey, l_suppkey, l_linestatus FROM lineitem WHERE l_returnflag <> 'R'
 ),
 t AS (SELECT cs_id, side, 'tests/test_o' || cs_id || '.py::test_l' || t AS test_id, count(*) AS n, sum({_RANK}) AS strength, NOT bool_or(l_linestatus = 'F' AND t % 3 = 0) AS runs FROM s GROUP BY cs_id, side, t),
-p AS (SELECT coalesce(b.cs_id, h.cs_id) AS cs_id, coalesce(b.test_id, h.test_id) AS test_id, h.test_id IS NULL AS removed, b.test_id IS NULL AS added, CAST(coalesce(b.strength, 0) AS BIGINT) AS base_strength, CAST(coalesce(h.strength, 0) AS BIGINT) AS head_strength
-  FROM (SELECT * FROM t WHERE side = 'base') b FULL JOIN (SELECT * FROM t WHERE side = 'head') h USING (cs_id, test_id))"""
+p AS (SELECT cs_id, test_id, NOT bool_or(side = 'head') AS removed, NOT bool_or(side = 'base') AS added, CAST(coalesce(max(strength) FILTER (WHERE side = 'base'), 0) AS BIGINT) AS base_strength, CAST(coalesce(max(strength) FILTER (WHERE side = 'head'), 0) AS BIGINT) AS head_strength
+  FROM t GROUP BY cs_id, test_id)"""
 
 _TEXT = """
 d AS (SELECT doc_id, text, source || '/' || lang || '/test_' || doc_id || ['.py', '.ts', '.js', '.txt', '.pyi', '.spec.tsx'][doc_id % 6 + 1] AS path, regexp_split_to_array(text, chr(10)) AS parts FROM documents),
@@ -140,7 +140,23 @@ li AS (SELECT c_custkey AS k, salt, list_filter([CASE WHEN (c_custkey + salt) %
   CASE WHEN (c_custkey + salt) % 4 <> 0 THEN ['tests/x', 'tests/y'] ELSE ['tests/x'] END AS ci, c_custkey % 13 = salt AS broken FROM customer, (VALUES (0), (1)) v(salt)),
 lb AS (SELECT * FROM li WHERE salt = 0), lh AS (SELECT * FROM li WHERE salt = 1)"""
 
+def _lost(rule_id: str, severity: str, penalty: int, title: str, detail: str, line: int, side: str, shapes: str) -> str:
+    """One finding for each customer whose module changes in one of these ways."""
+    return f"""
+      SELECT c_custkey AS cs_id, '{rule_id}' AS rule_id, '{severity}' AS severity, {penalty} AS penalty, '{title}' AS title, '`' || t || '` {detail}' AS detail, p AS path, {line} + CASE WHEN c_custkey % 12 IN (3, 7, 10) AND '{side}' = 'head' AND '{rule_id}' NOT IN ('VID003', 'VID012') THEN 1 ELSE 0 END AS line, '{side}' AS side, t AS snippet
+      FROM (SELECT *, 'tests/test_m' || c_custkey || '.py' AS p, 'tests/test_m' || c_custkey || '.py::test_case' AS t FROM customer) WHERE c_custkey % 12 IN ({shapes})"""
+
+
 ORACLES = {
+    "vid001_test_removed": _lost("VID001", "high", 25, "Test removed", "no longer exists.", 8, "base", "0"),
+    "vid002_assertion_removed": _lost("VID002", "high", 20, "Assertion removed", "lost 1 assertion(s).", 8, "base", "1, 2"),
+    "vid003_test_skipped": _lost("VID003", "high", 15, "Test skipped", "gained a skip marker.", 8, "head", "3, 10"),
+    "vid004_tolerance_loosened": _lost("VID004", "medium", 15, "Tolerance loosened", "accepts more than before.", 8, "head", "4, 5"),
+    "vid005_assertion_weakened": "SELECT * REPLACE (CASE WHEN cs_id % 12 = 5 THEN replace(detail, 'strength 70.', 'strength 20.') ELSE detail END AS detail) FROM (" + _lost("VID005", "medium", 15, "Assertion weakened", "lost strength 70.", 8, "head", "5, 6") + ")",
+    "vid011_untested_code": """
+      SELECT c_custkey AS cs_id, 'VID011' AS rule_id, 'low' AS severity, 5 AS penalty, 'Code added without new assertions' AS title, '1 line(s) of code were added with no net new assertion.' AS detail, 'src/m' || c_custkey || '.py' AS path, 7 AS line, 'head' AS side, 'x = ' || c_custkey AS snippet
+      FROM customer WHERE c_custkey % 12 <> 8""",
+    "vid012_retry_added": _lost("VID012", "medium", 10, "Retry added", "is now retried.", 8, "head", "7"),
     "gate_over_orders": f"WITH {FINDINGS} SELECT band, worst_severity, count(*) AS n, min(value) AS least, max(value) AS most FROM band GROUP BY band, worst_severity",
     "vid009_coverage_lowered": f"WITH {_CONFIG_NUMERIC} SELECT {_TWO} FROM ({_lowered('c')})",
     "vid009_timeout_raised": f"WITH {_CONFIG_NUMERIC} SELECT {_TWO} FROM ({_raised('c')})",
@@ -148,7 +164,7 @@ ORACLES = {
     "vid009_strict_flip": f"WITH {FLAG_LINES} SELECT {_TWO} FROM ({_STRICT})",
     "vid009_or_true": f"WITH {FLAG_LINES} SELECT {_ONE} FROM ({_OR_TRUE})",
     "vid009_retry_window": f"""
-      WITH r AS (SELECT o_orderkey AS cs_id, o_custkey % 45 + 1 AS pos FROM orders WHERE o_orderkey % 4 = 0),
+      WITH r AS (SELECT o_orderkey AS cs_id, o_custkey % 45 + 1 AS pos FROM orders),
       f AS (SELECT cs_id, '.github/workflows/ci.yml' AS path, 'Retry wrapper added around a test step' AS title, 'A `nick-fields/retry`-style wrapper was added around what looks like a test run in .github/workflows/ci.yml, hiding intermittent failures.' AS detail,
         20 AS bl, 'uses: nick-fields/retry@v3' AS bt, 20 AS hl, 'uses: nick-fields/retry@v3' AS ht FROM r WHERE pos BETWEEN 16 AND 35 AND pos <> 20)
       SELECT {_ONE} FROM f""",
@@ -173,7 +189,7 @@ ORACLES = {
         SELECT k, 1 AS line_no, ['pytest'] AS x FROM lh UNION ALL SELECT k, 2, list_append(items, 'norecursedirs') FROM lh UNION ALL SELECT k, 3, ['testpaths'] FROM lh
         UNION ALL SELECT k, 4, items FROM lh UNION ALL SELECT k, 5, list_append(ci, 'collect_ignore') FROM lh)
       SELECT k AS cs_id, line_no, array_to_string(list_sort(x), '|') AS tokens FROM l""",
-    "findings_sorted": f"WITH {FINDINGS} SELECT cs_id, rule_id, 'high' AS severity, 3 AS severity_rank, 20 AS penalty, title, path || ':' || bl AS location FROM judged",
+    "findings_sorted": f"WITH {FINDINGS} SELECT cs_id, rule_id, 'high' AS severity, 3 AS severity_rank, 20 AS penalty, title, location, CAST(row_number() OVER (PARTITION BY cs_id ORDER BY rule_id, location, file_ord, title) AS INTEGER) AS place FROM (SELECT *, path || ':' || bl AS location FROM judged)",
     "justified_findings": f"WITH {FINDINGS} SELECT cs_id, rule_id, title, justification, 0 AS effective_penalty FROM judged WHERE justification IS NOT NULL",
     "trust_score": f"WITH {FINDINGS} SELECT cs_id, value, 70 AS threshold, n AS n_unjustified, worst_severity, value >= 70 AS passed, band, {_SUMMARY} AS summary FROM band",
     "score_bands": f"""
@@ -196,7 +212,7 @@ ORACLES = {
     "parse_unified_diff": """
       SELECT o_orderkey AS cs_id, CASE WHEN ok THEN 'src/m' || o_orderkey || '.py' END AS path, CASE WHEN ok THEN 'modified' END AS kind, CASE WHEN ok THEN CAST(o_orderkey % 50 + 1 AS INTEGER) END AS base_start, CASE WHEN ok THEN 3 END AS head_lines,
         CASE WHEN ok THEN CAST(o_orderkey % 50 + 2 AS INTEGER) END AS line_no, CASE WHEN ok THEN 'new ' || o_custkey END AS added, CASE WHEN ok THEN 'old ' || o_custkey END AS removed, NOT ok AS failed
-      FROM (SELECT *, o_orderkey % 7 <> 0 AS ok FROM orders WHERE o_orderkey % 10 = 0)""",
+      FROM (SELECT *, o_orderkey % 7 <> 0 AS ok FROM orders)""",
     "blob_attach": """
       SELECT o_orderkey AS cs_id, 'f' || o_orderkey % 50 AS path, kind, CASE WHEN kind <> 'added' AND NOT b AND (kind = 'renamed' OR o_orderkey % 50 <> 7) THEN CASE WHEN kind = 'renamed' THEN 'g' ELSE 'f' END || o_orderkey % 50 || '@r' || o_orderkey % 3 END AS base_content,
         CASE WHEN kind <> 'deleted' AND NOT b AND o_orderkey % 50 <> 7 THEN 'f' || o_orderkey % 50 || '@r' || (o_orderkey % 3 + 1) END AS head_content
@@ -204,11 +220,11 @@ ORACLES = {
     "commit_messages": "SELECT o_orderkey AS cs_id, 0 AS ord, 'first ' || o_orderkey AS message FROM orders UNION ALL SELECT o_orderkey, 1, 'second ' || o_orderpriority FROM orders",
     "pair_tests": f"WITH {_SURFACE} SELECT *, head_strength - base_strength AS strength_delta FROM p",
     "removed_tests": f"WITH {_SURFACE} SELECT cs_id, test_id FROM p WHERE removed",
-    "added_tests": f"WITH {_SURFACE} SELECT cs_id, test_id FROM p WHERE removed",
+    "added_tests": f"WITH {_SURFACE} SELECT cs_id, test_id FROM p WHERE added",
     "surface_strength": f"WITH {_SURFACE} SELECT cs_id, side, count(*) AS n_tests, count(*) FILTER (WHERE runs) AS n_running, CAST(sum(n) AS BIGINT) AS n_assertions, CAST(coalesce(sum(strength) FILTER (WHERE runs), 0) AS BIGINT) AS strength FROM t GROUP BY cs_id, side",
     "assertion_signatures": f"WITH {_SURFACE} SELECT kind || ':assert:p' || l_partkey || '|s' || l_suppkey AS signature, side, count(*) AS n, CAST(max({_RANK}) AS BIGINT) AS strength FROM s GROUP BY ALL",
     "extract_surface": """
-      WITH c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 = 0)
+      WITH c AS (SELECT c_custkey AS k FROM customer)
       SELECT k AS cs_id, 'tests/test_c' || k || '.py::test_balance' AS test_id, true AS will_run, CAST(2 AS BIGINT) AS n_assertions, CAST(120 AS BIGINT) AS strength, 4 AS line_start, 7 AS line_end, 'equality' AS first_kind, 'value|' || k AS first_operands, 'load' AS symbols FROM c
       UNION ALL SELECT k, 'tests/test_c' || k || '.py::test_segment', false, 1, 70, 10, 12, 'membership', 'check(' || k % 7 || ')|[' || k % 3 || ']', 'check' FROM c""",
     "surface_states": f"""
@@ -216,5 +232,5 @@ ORACLES = {
       SELECT doc_id AS cs_id, side, status, CASE status WHEN 'unparsed' THEN false WHEN 'parsed' THEN true WHEN 'absent' THEN true END AS parse_ok FROM (
         SELECT doc_id, 'base' AS side, CASE WHEN NOT python THEN 'not_applicable' WHEN kind = 'added' THEN 'absent' WHEN doc_id % 5 = 0 THEN 'unknown' ELSE 'parsed' END AS status FROM k
         UNION ALL SELECT doc_id, 'head', CASE WHEN NOT python THEN 'not_applicable' WHEN kind = 'deleted' THEN 'absent' ELSE 'unparsed' END FROM k)""",
-    "captures": "SELECT c_custkey AS cs_id, 'load(' || c_custkey || ')' AS text, 5 AS line FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, 'check(' || c_custkey % 7 || ')', 12 FROM customer WHERE c_custkey % 5 = 0",
+    "captures": "SELECT c_custkey AS cs_id, 'load(' || c_custkey || ')' AS text, 5 AS line FROM customer UNION ALL SELECT c_custkey, 'check(' || c_custkey % 7 || ')', 12 FROM customer",
 }

@@ -70,9 +70,8 @@ def _one_file(orders: DataFrame, k: Column, path: Column, at: Column, removed: C
 
 
 def retry_corpus(orders: DataFrame) -> DataFrame:
-    """A workflow for each order of every fourth: a retry action in line 20 and a test runner at a varying distance."""
+    """A workflow for each order: a retry action in line 20 and a test runner at a varying distance."""
     k = F.col("o_orderkey")
-    orders = orders.where(k % 4 == 0)
     runner = F.col("o_custkey") % 45
     lines = F.transform(F.sequence(F.lit(0), F.lit(44)), lambda i: F.when(i == 19, F.lit("      uses: nick-fields/retry@v3")).when(i == runner, F.lit("          command: npm run test")).otherwise(F.concat(F.lit("  step "), i.cast("string"))))
     added = F.array(F.struct(F.lit(20).alias("line"), F.lit("      uses: nick-fields/retry@v3").alias("text")))
@@ -102,11 +101,12 @@ def list_corpus(customers: DataFrame) -> DataFrame:
 
 
 def surface_corpus(lineitem: DataFrame) -> DataFrame:
-    """Surfaces of both sides: a file for each order, a test for each line number, an assertion for each row."""
+    """Surfaces of both sides: a file for each order, a test for each line number, an assertion for each row. Rows returned (R) are gone from the head, some accepted ones (A) are new in it."""
     kinds = tuple(STRENGTH)
     k = F.col("l_partkey") % 13
     sides = F.array(F.struct(F.lit("base").alias("side"), k.alias("kind")), F.struct(F.lit("head").alias("side"), F.when(F.col("l_suppkey") % 5 == 0, (k + 3) % 13).otherwise(k).alias("kind")))
-    rows = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", F.explode(sides).alias("s")).where("s.side = 'base' or l_returnflag <> 'R'")
+    rows = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", F.explode(sides).alias("s"))
+    rows = rows.where("if(s.side = 'base', l_returnflag <> 'A' or l_suppkey % 7 <> 0, l_returnflag <> 'R')")
     assertion = F.struct(
         _pick(kinds, F.col("s.kind")).alias("kind"), F.lit("assert").alias("callee"), (F.col("l_partkey") % 97 + 1).cast("int").alias("line"),
         F.array(F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("operands"), F.lit(None).cast("double").alias("tolerance"), F.lit(False).alias("negated"),
@@ -140,7 +140,7 @@ def text_corpus(documents: DataFrame) -> DataFrame:
 
 
 def diff_texts(orders: DataFrame) -> DataFrame:
-    """A unified diff for each order of every tenth: one modified file, an edited line between two of context; every seventh of them ends too early."""
+    """A unified diff for each order: one modified file, an edited line between two of context; every seventh ends too early."""
     k = F.col("o_orderkey")
     at = (k % 50 + 1).cast("string")
     cut = k % 7 == 0
@@ -148,17 +148,52 @@ def diff_texts(orders: DataFrame) -> DataFrame:
         F.lit("diff --git a/src/m"), k.cast("string"), F.lit(".py b/src/m"), k.cast("string"), F.lit(".py\nindex 1..2 100644\n--- a/src/m"), k.cast("string"), F.lit(".py\n+++ b/src/m"), k.cast("string"),
         F.lit(".py\n@@ -"), at, F.lit(",3 +"), at, F.lit(",3 @@ def f():\n before\n-old "), F.col("o_custkey").cast("string"), F.lit("\n+new "), F.col("o_custkey").cast("string"), F.when(cut, "\n").otherwise("\n after\n"),
     )
-    return orders.where(k % 10 == 0).select(k.alias("cs_id"), raw.alias("raw"))
+    return orders.select(k.alias("cs_id"), raw.alias("raw"))
 
 
 def source_texts(customers: DataFrame) -> DataFrame:
-    """A test module for each customer of every fifth."""
+    """A test module for each customer."""
     k = F.col("c_custkey")
     content = F.concat(
         F.lit("import pytest\n\n\ndef test_balance():\n    value = load("), k.cast("string"), F.lit(")\n    assert value == "), k.cast("string"), F.lit("\n    assert value is not None\n\n\n@pytest.mark.skip\ndef test_segment():\n    assert check("),
         (k % 7).cast("string"), F.lit(") in ["), (k % 3).cast("string"), F.lit("]\n"),
     )
-    return customers.where(k % 5 == 0).select(k.alias("cs_id"), F.lit(0).alias("file_ord"), F.concat(F.lit("tests/test_c"), k.cast("string"), F.lit(".py")).alias("path"), F.lit("head").alias("side"), content.alias("content"))
+    return customers.select(k.alias("cs_id"), F.lit(0).alias("file_ord"), F.concat(F.lit("tests/test_c"), k.cast("string"), F.lit(".py")).alias("path"), F.lit("head").alias("side"), content.alias("content"))
+
+
+#: What a change does to a test module, by customer modulo 12: the base's and the head's body of test_case, and decorators of the head.
+CASES = (
+    ("    assert value == 1\n    assert value is not None\n", None, ""),
+    ("    assert value == 1\n    assert other == 2\n", "    assert value == 1\n", ""),
+    ("    assert value == 1\n    assert value == 1\n", "    assert value == 1\n", ""),
+    ("    assert value == 1\n", "    assert value == 1\n", "@pytest.mark.skip\n"),
+    ("    assert value == approx(1, abs=0.1)\n", "    assert value == approx(1, abs=0.5)\n", ""),
+    ("    assert value == 1\n", "    assert value == approx(1)\n", ""),
+    ("    assert value == 1\n", "    assert value\n", ""),
+    ("    assert value == 1\n", "    assert value == 1\n", "@pytest.mark.flaky(reruns=3)\n"),
+    ("    assert value == 1\n", "    assert value == 1\n    assert other in [2]\n", ""),
+    ("    assert value == 1\n", "    assert (value ==\n", ""),
+    ("    with pytest.raises(E):\n        run()\n", "    with pytest.raises(E):\n        run()\n", "@unittest.skipIf(slow, 'x')\n"),
+    ("    assert value == 1\n", "    assert value == 1\n", ""),
+)
+
+
+def module_pairs(customers: DataFrame) -> DataFrame:
+    """Two files for each customer: a test module whose test_case changes as CASES says (0: it is gone, 9: the head can't be parsed), and code with one new line."""
+    k = F.col("c_custkey")
+    shape = k % len(CASES)
+    head = F.lit("import pytest\n\n\ndef test_other():\n    assert check(1)\n")
+    name = F.lit("\n\ndef test_case():\n    value = load()\n")
+    base = F.concat(head, name, _pick([b for b, _, _ in CASES], shape))
+    after = F.when(shape == 0, head).otherwise(F.concat(head, F.lit("\n\n"), _pick([d for _, _, d in CASES], shape), F.lit("def test_case():\n    value = load()\n"), _pick([h or "" for _, h, _ in CASES], shape)))
+    empty = F.expr(f"cast(array() as {HUNKS})")
+    test = F.struct(F.lit(0).alias("file_ord"), F.concat(F.lit("tests/test_m"), k.cast("string"), F.lit(".py")).alias("path"), base.alias("base_content"), after.alias("head_content"), empty.alias("hunks"))
+    added = F.array(F.struct(F.lit(7).alias("line"), F.concat(F.lit("x = "), k.cast("string")).alias("text")))
+    hunk = F.struct(F.lit(6).alias("base_start"), F.lit(0).alias("base_lines"), F.lit(7).alias("head_start"), F.lit(1).alias("head_lines"), added.alias("added"), F.expr("cast(array() as array<struct<line:int,text:string>>)").alias("removed"))
+    none = F.lit(None).cast("string")
+    code = F.struct(F.lit(1).alias("file_ord"), F.concat(F.lit("src/m"), k.cast("string"), F.lit(".py")).alias("path"), none.alias("base_content"), none.alias("head_content"), F.array(hunk).cast(HUNKS).alias("hunks"))
+    rows = customers.select(k.alias("cs_id"), F.explode(F.array(test, code)).alias("f"))
+    return rows.select("cs_id", "f.file_ord", "f.path", F.lit("modified").alias("kind"), none.alias("base_path"), "f.base_content", "f.head_content", F.lit(False).alias("is_binary"), "f.hunks")
 
 
 def changesets(files: DataFrame, *, trailer: str = "Gate-Justification") -> DataFrame:

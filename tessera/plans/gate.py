@@ -24,6 +24,11 @@ CORE = ("VID009", "VID010")
 class Result:
     findings: DataFrame
     scores: DataFrame
+    context: Context
+
+    def release(self) -> None:
+        """To be called once both were read: gives back what the plan kept for its rules."""
+        self.context.release()
 
 
 def gate(changesets: DataFrame, files: DataFrame, config: GateConfig | None = None, *, rules: tuple[str, ...] = CORE) -> Result:
@@ -39,4 +44,4 @@ def gate(changesets: DataFrame, files: DataFrame, config: GateConfig | None = No
 
         found = changesets.sparkSession.createDataFrame([], FINDINGS)
     found = justify(checked(found), justifications(good, config), config)
-    return Result(found, scores(good, found, config))
+    return Result(found, scores(good, found, config), context)

@@ -96,8 +96,8 @@ def _findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def findings_sorted(spark: SparkSession, d: str) -> DataFrame:
-    rows = findings.in_order(_findings(spark, d)[0])
-    return rows.select("cs_id", "rule_id", "severity", findings.severity_rank(F.col("severity")).alias("severity_rank"), "penalty", "title", findings.location(F.col("path"), F.col("evidence")).alias("location"))
+    rows = findings.placed(_findings(spark, d)[0])
+    return rows.select("cs_id", "rule_id", "severity", findings.severity_rank(F.col("severity")).alias("severity_rank"), "penalty", "title", findings.location(F.col("path"), F.col("evidence")).alias("location"), "place")
 
 
 def justified_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -209,8 +209,7 @@ def removed_tests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def added_tests(spark: SparkSession, d: str) -> DataFrame:
-    swapped = derived.surface_corpus(derived.table(spark, d, "lineitem")).withColumn("side", F.when(F.col("side") == "base", "head").otherwise("base"))
-    return pairing.pair_tests(pairing.test_rows(swapped)).where("added").select("cs_id", "test_id")
+    return _pairs(spark, d).where("added").select("cs_id", "test_id")
 
 
 def surface_strength(spark: SparkSession, d: str) -> DataFrame:
@@ -238,6 +237,42 @@ def surface_states(spark: SparkSession, d: str) -> DataFrame:
     return surfaces_of(files, CONFIG).select("cs_id", "side", "status", "parse_ok")
 
 
+def _lost(spark: SparkSession, d: str, rule_id: str) -> DataFrame:
+    """What one rule on tests finds in derived test modules."""
+    files = derived.module_pairs(derived.table(spark, d, "customer"))
+    e = F.get("evidence", F.lit(0))
+    rows = gate(derived.changesets(files), files, CONFIG, rules=(rule_id,)).findings
+    return rows.select("cs_id", "rule_id", "severity", "penalty", "title", "detail", "path", e["line"].alias("line"), e["side"].alias("side"), e["snippet"].alias("snippet"))
+
+
+def vid001_test_removed(spark: SparkSession, d: str) -> DataFrame:
+    return _lost(spark, d, "VID001")
+
+
+def vid002_assertion_removed(spark: SparkSession, d: str) -> DataFrame:
+    return _lost(spark, d, "VID002")
+
+
+def vid003_test_skipped(spark: SparkSession, d: str) -> DataFrame:
+    return _lost(spark, d, "VID003")
+
+
+def vid004_tolerance_loosened(spark: SparkSession, d: str) -> DataFrame:
+    return _lost(spark, d, "VID004")
+
+
+def vid005_assertion_weakened(spark: SparkSession, d: str) -> DataFrame:
+    return _lost(spark, d, "VID005")
+
+
+def vid011_untested_code(spark: SparkSession, d: str) -> DataFrame:
+    return _lost(spark, d, "VID011")
+
+
+def vid012_retry_added(spark: SparkSession, d: str) -> DataFrame:
+    return _lost(spark, d, "VID012")
+
+
 def captures(spark: SparkSession, d: str) -> DataFrame:
     return capture_rows(derived.source_texts(derived.table(spark, d, "customer")), "Call").select("cs_id", "text", "line")
 
@@ -254,6 +289,7 @@ QUERIES = {
         gate_over_orders, vid009_coverage_lowered, vid009_timeout_raised, vid009_flags, vid009_strict_flip, vid009_or_true, vid009_retry_window,
         vid010_ignore_flag, vid010_gitignore, vid010_list_changes, vid010_list_items, tokens, findings_sorted, justified_findings, trust_score, score_bands, rule_overrides,
         glob_match_test_paths, detect_languages, test_file_split, file_lines, nth_line, changed_lines, changed_text, change_lookup, hunks_from_pair, parse_unified_diff,
+        vid001_test_removed, vid002_assertion_removed, vid003_test_skipped, vid004_tolerance_loosened, vid005_assertion_weakened, vid011_untested_code, vid012_retry_added,
         blob_attach, commit_messages, pair_tests, removed_tests, added_tests, surface_strength, assertion_signatures, extract_surface, surface_states, captures,
     )
 }

@@ -17,17 +17,18 @@ from tessera.sources.unified_diff import read_diffs
 
 
 def read_diff_stream(spark: SparkSession, path: str) -> DataFrame:
-    """(cs_id, raw) of diff files that arrive below path, one diff each."""
+    """(cs_id, raw) of diff files that arrive below path, one diff each. Equal diffs have one cs_id: they are one change set."""
     return spark.readStream.format("text").option("wholetext", "true").load(path).select(F.xxhash64("value").alias("cs_id"), F.col("value").alias("raw"))
 
 
 def parsed(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(changesets, file_changes) of diffs, without contents."""
+    """(changesets, file_changes) of diffs, without contents. A cs_id that comes again in a batch is read once."""
+    diffs = diffs.dropDuplicates(["cs_id"])
     rows = read_diffs(diffs)
     none = F.lit(None).cast("string")
     files = rows.where(F.col("parse_error").isNull()).select("cs_id", "file_ord", "path", "kind", "base_path", none.alias("base_content"), none.alias("head_content"), "is_binary", "hunks")
     errors = rows.where(F.col("parse_error").isNotNull()).select("cs_id", "parse_error")
-    sets = diffs.select("cs_id").distinct().join(errors, "cs_id", "left").select("cs_id", none.alias("base_ref"), none.alias("head_ref"), F.expr("cast(array() as array<string>)").alias("commit_messages"), "parse_error")
+    sets = diffs.select("cs_id").join(errors, "cs_id", "left").select("cs_id", none.alias("base_ref"), none.alias("head_ref"), F.expr("cast(array() as array<string>)").alias("commit_messages"), "parse_error")
     return sets, files
 
 
@@ -36,7 +37,11 @@ def score_stream(diffs: DataFrame, output: str, checkpoint: str, config: GateCon
 
     def write(batch: DataFrame, batch_id: int) -> None:
         sets, files = parsed(batch)
-        gate(sets, files, config).scores.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        done = gate(sets, files, config)
+        try:
+            done.scores.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        finally:
+            done.release()
 
     writer = diffs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -46,7 +46,7 @@ def test_list_values():
 
 def test_config():
     config = GateConfig.from_yaml("version: 1\nfail_under: 80\ntest_globs: ['t/*.py']\nrules:\n  VID009: {severity: low, penalty: 0}\n")
-    assert (config.fail_under, config.test_globs, config.penalty_for("VID009", 20), config.severity_for("VID010", "high"), config.is_enabled("X")) == (80, ("t/*.py",), 0, "high", True)
+    assert (config.fail_under, config.test_globs, config.effective("VID009", "high", 20), config.effective("X", "high", 20)) == (80, ("t/*.py",), RuleSetting(True, "low", 0), RuleSetting(True, "high", 20))
     for bad in ({"version": 2}, {"fail_under": 101}, {"unknown": 1}, {"rules": {"A": {"penalty": 101}}}, {"rules": {"A": {"other": 1}}}, {"oracle": {"max_tests": 51}}, {"rules": {"A": {"severity": "bad"}}}):
         with pytest.raises(ValueError):
             GateConfig.of(bad)
