@@ -9,15 +9,18 @@ sample of labelled rows (SAMPLE toxic ones and OTHERS times as many others):
 2. Spark counts the documents, labelled or not, that have each of these terms. Each example becomes a
    TF-IDF vector (1 + ln tf, smoothed idf of these counts) of length one over the vocabulary.
 3. The vectors go into an inverted index: postings by term, in blocks of BLOCK examples that lie
-   near each other, with the largest weight of every (term, block).
-
-A document's upper bound for a block is the sum of its weights times the block's largest weights.
-Blocks are scored exactly by falling bound, FIRST of them and then twice as many each time, until no
-bound reaches the k-th best cosine so far; only the postings in those blocks are read. So the neighbours
-are those of a full scan. The votes of the neighbours, each weighted by
-cosine and by how many labelled rows it stands for, and a prior of PRIOR votes give the score; two
-coefficients fitted on the examples' own leave-one-out votes make it a probability. A document
-without terms of the vocabulary has no neighbour and gets the prior's score.
+   near each other, with the largest weight of every (term, block). Terms that are as good as in every
+   block (one posting a block on the mean) can't rule a block out; their weights are rows of a matrix.
+
+GROUP documents are searched at a time. The matrix gives their exact partial cosines with all examples.
+The k-th largest of the blocks' best partial cosines is a lower bound of the k-th cosine; a block's
+upper bound is its best partial cosine and, for the other terms, the document's weights times the
+block's largest weights. Postings are read in blocks alone whose upper bound reaches the lower one. What
+could be among the k best there is scored again in full precision, so the neighbours are those of a
+full scan. The votes of the neighbours, each weighted by cosine and by how many labelled rows it stands
+for, and a prior of PRIOR votes give the score; two coefficients fitted on the examples' own
+leave-one-out votes make it a probability. A document without terms of the vocabulary has no neighbour
+and gets the prior's score.
 
 Defined cases: null and empty texts have no terms; repeated rows get equal scores; ties of cosine go
 to the example with the smaller id; without labels, or with one class alone, every score is that
@@ -44,8 +47,10 @@ MIN_RATIO = 25.0
 MIN_EXAMPLES = 4
 PREFIXES = (4, 5, 6, 7, 8)
 BLOCK = 32
-#: Blocks that are scored before the next are held against the k-th cosine.
-FIRST = 8
+#: Documents that are searched at a time.
+GROUP = 64
+#: More than single-precision sums can be off.
+SLACK = 1e-4
 NEIGHBOURS = 25
 PRIOR = 0.5
 
@@ -106,9 +111,12 @@ class Index:
     start: np.ndarray | None = None  # of each term's postings
     post_example: np.ndarray | None = None
     post_weight: np.ndarray | None = None
-    peak: np.ndarray | None = None  # terms x blocks
-    cell: np.ndarray | None = None  # terms x (blocks + 1): where a term's postings in a block start
     slope: tuple[float, float] = (1.0, 0.0)
+    _blocks: Blocks | None = None
+
+    def __getstate__(self) -> dict:
+        """Without what each process makes for itself."""
+        return self.__dict__ | {"_blocks": None}
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of hashes that are in the vocabulary, and their terms."""
@@ -134,33 +142,19 @@ class Index:
 
     def nearest(self, term: np.ndarray, x: np.ndarray, skip: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine above 0, and the cosines."""
-        bound = x @ self.peak[term]
-        blocks = np.flatnonzero(bound > 0)
-        blocks = blocks[np.argsort(-bound[blocks], kind="stable")]
-        ex, s = np.zeros(0, np.int64), np.zeros(0)
-        at, size = 0, FIRST
-        # What can't reach the k-th cosine is left out.
-        while at < len(blocks) and (len(s) < k or bound[blocks[at]] >= s[-1] - 1e-12):
-            more, cosine = self._scored(term, x, np.sort(blocks[at : at + size]), skip)
-            if len(more) > k:
-                own = cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k]
-                more, cosine = more[own], cosine[own]
-            ex, s = np.concatenate([ex, more]), np.concatenate([s, cosine])
-            keep = np.lexsort((self.ids[ex], -s))[:k]
-            ex, s = ex[keep], s[keep]
-            at, size = at + size, 2 * size
-        return ex, s
-
-    def _scored(self, term: np.ndarray, x: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """The examples of some blocks with a cosine above 0, and the cosines, from the terms' postings in those blocks."""
-        low, high = self.cell[term[:, None], blocks], self.cell[term[:, None], blocks + 1]
-        at = _ranges(low.ravel(), (high - low).ravel())
-        weight = np.repeat(x, (high - low).sum(1)) * self.post_weight[at]
-        s = np.bincount(self.post_example[at], weights=weight, minlength=len(self.ids))
-        if skip >= 0:
-            s[skip] = 0
-        ex = np.flatnonzero(s)
-        return ex, s[ex]
+        return self.nearest_of([(term, x)], [skip], k)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        if self._blocks is None:
+            self._blocks = Blocks.of(self)
+        return [found for at in range(0, len(queries), GROUP) for found in self._blocks.nearest(queries[at : at + GROUP], skip[at : at + GROUP] if skip else None, self.ids, k)]
+
+    def judged(self, column: pa.Array) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
+        """(row, score, neighbours, cosines) of the texts that have a term."""
+        for w in words(column, ALNUM, lower=True):
+            found = list(self.vectors(w))
+            for (t, _, _), (ex, s) in zip(found, self.nearest_of([(term, x) for _, term, x in found]), strict=True):
+                yield w.first + t, self.score(self.vote(ex, s)), ex, s
 
     def vote(self, ex: np.ndarray, s: np.ndarray) -> float:
         w = s * self.weight[ex]
@@ -172,6 +166,85 @@ class Index:
         return float(1 / (1 + np.exp(-(a * np.log(v / (1 - v)) + b))))
 
 
+@dataclass
+class Blocks:
+    """The index as the search reads it, made in each process from the postings."""
+
+    row_of: np.ndarray  # of each term in the matrix, or -1
+    matrix: np.ndarray  # terms x examples, padded to whole blocks
+    blocks: int
+    first: np.ndarray  # of each term's entries: one for a block that the term's postings lie in
+    block: np.ndarray
+    peak: np.ndarray  # the largest weight there
+    low: np.ndarray  # the postings there
+    many: np.ndarray
+    post_example: np.ndarray
+    post_weight: np.ndarray
+    example: np.ndarray  # where each example's own terms start
+    example_term: np.ndarray
+    example_weight: np.ndarray
+
+    @classmethod
+    def of(cls, ix: Index) -> Blocks:
+        n, v = len(ix.ids), len(ix.vocabulary)
+        blocks, size = -(-n // BLOCK), np.diff(ix.start)
+        heavy = np.flatnonzero(size >= max(1, blocks))
+        row_of = np.full(v, -1)
+        row_of[heavy] = np.arange(len(heavy))
+        term = np.repeat(np.arange(v), size)
+        matrix = np.zeros((len(heavy), blocks * BLOCK), np.float32)
+        own = row_of[term] >= 0
+        matrix[row_of[term[own]], ix.post_example[own]] = ix.post_weight[own]
+        # Postings lie by (term, example), so those of a block lie together.
+        place = term * blocks + ix.post_example // BLOCK
+        low = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else place
+        peak = np.maximum.reduceat(ix.post_weight, low) if len(low) else np.zeros(0)
+        by = np.lexsort((term, ix.post_example))
+        return cls(
+            row_of, matrix, blocks, np.searchsorted(place[low] // max(1, blocks), np.arange(v + 1)), place[low] % max(1, blocks), peak, low, np.diff(np.r_[low, len(place)]),
+            ix.post_example, ix.post_weight, np.searchsorted(ix.post_example[by], np.arange(n + 1)), term[by], ix.post_weight[by],
+        )
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        weights = np.zeros((len(queries), len(self.matrix)), np.float32)
+        for i, (term, x) in enumerate(queries):
+            row = self.row_of[term]
+            weights[i, row[row >= 0]] = x[row >= 0]
+        partial = weights @ self.matrix
+        for i, own in enumerate(skip or ()):
+            if own >= 0:
+                partial[i, own] = -2
+        best = partial.reshape(len(queries), self.blocks, BLOCK).max(2)
+        least = np.partition(best, self.blocks - k, axis=1)[:, self.blocks - k] if self.blocks > k else np.zeros(len(queries))
+        return [self._of_one(term, x, partial[i], best[i], float(least[i]), ids, k) for i, (term, x) in enumerate(queries)]
+
+    def _of_one(self, term: np.ndarray, x: np.ndarray, partial: np.ndarray, best: np.ndarray, least: float, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        rest = self.row_of[term] < 0
+        low, many = self.first[term[rest]], self.first[term[rest] + 1] - self.first[term[rest]]
+        at, weight = _ranges(low, many), np.repeat(x[rest], many)
+        bound = best + np.bincount(self.block[at], weights=weight * self.peak[at], minlength=self.blocks)
+        live = (bound >= least - SLACK) & (bound > 0)
+        own = live[self.block[at]]
+        at, weight = at[own], weight[own]
+        post = _ranges(self.low[at], self.many[at])
+        np.add.at(partial, self.post_example[post], (np.repeat(weight, self.many[at]) * self.post_weight[post]).astype(np.float32))
+        ex = (np.flatnonzero(live)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        s = partial[ex]
+        if len(ex) > k:
+            reach = s >= max(float(np.partition(s, len(s) - k)[len(s) - k]) - SLACK, 0.0)
+            ex, s = ex[reach], s[reach]
+        ex = ex[s > 0]
+        if not len(ex):
+            return ex, np.zeros(0)
+        full = np.zeros(len(self.row_of))
+        full[term] = x
+        low, many = self.example[ex], self.example[ex + 1] - self.example[ex]
+        at = _ranges(low, many)
+        s = np.add.reduceat(full[self.example_term[at]] * self.example_weight[at], np.cumsum(many) - many)
+        keep = np.lexsort((ids[ex], -s))[:k]
+        return ex[keep], s[keep]
+
+
 def _fit_slope(vote: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Two logistic coefficients, by Newton steps with a small ridge about (1, 0)."""
     v = np.clip(vote, 1e-6, 1 - 1e-6)
@@ -266,13 +339,10 @@ def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", boun
     x = np.concatenate([np.array(r["x"]) for r in rows])
     ex = np.repeat(np.arange(len(rows)), [len(r["term"]) for r in rows])
     at = np.lexsort((ex, term))
-    cuts = np.searchsorted(term[at], np.arange(len(index.vocabulary) + 1))
-    index.start, index.post_example, index.post_weight = cuts, ex[at], x[at]
-    blocks = -(-len(rows) // BLOCK)
-    index.cell = np.searchsorted(term[at] * blocks + ex[at] // BLOCK, np.arange(len(index.vocabulary))[:, None] * blocks + np.arange(blocks + 1))
-    index.peak = np.zeros((len(index.vocabulary), blocks))
-    np.maximum.at(index.peak, (term, ex // BLOCK), x)
-    votes = np.array([index.vote(*index.nearest(np.array(r["term"]), np.array(r["x"]), skip=i)) for i, r in enumerate(rows)])
+    index.start, index.post_example, index.post_weight = np.searchsorted(term[at], np.arange(len(index.vocabulary) + 1)), ex[at], x[at]
+    cuts = np.searchsorted(ex, np.arange(len(rows) + 1))
+    own = [(term[a:b], x[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    votes = np.array([index.vote(*found) for found in index.nearest_of(own, list(range(len(rows))))])
     index.slope = _fit_slope(votes, index.label, index.weight)
     return index
 
@@ -289,11 +359,9 @@ def score(documents: DataFrame, index: Index, *, key: str = "doc_id", text: str
         for b in batches:
             out, seen = np.full(b.num_rows, base), [[] for _ in range(b.num_rows)]
             if len(ix.ids):
-                for w in words(b.column("text"), ALNUM, lower=True):
-                    for t, term, x in ix.vectors(w):
-                        ex, s = ix.nearest(term, x)
-                        out[w.first + t] = ix.score(ix.vote(ex, s))
-                        seen[w.first + t] = [{"id": int(ix.ids[i]), "label": int(ix.label[i]), "cosine": float(c)} for i, c in zip(ex, s, strict=True)]
+                for at, score, ex, s in ix.judged(b.column("text")):
+                    out[at] = score
+                    seen[at] = [{"id": i, "label": y, "cosine": c} for i, y, c in zip(ix.ids[ex].tolist(), ix.label[ex].astype(int).tolist(), s.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(out), pa.array(seen, near)], names=[key, "score", "neighbours"])
 
     return documents.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, score double, neighbours array<struct<id:long,label:int,cosine:double>>")
@@ -310,9 +378,8 @@ def without_toxic(documents: DataFrame, index: Index, *, threshold: float = 0.7,
         for b in batches:
             keep = np.full(b.num_rows, base < threshold)
             if len(ix.ids):
-                for w in words(b.column(place), ALNUM, lower=True):
-                    for t, term, x in ix.vectors(w):
-                        keep[w.first + t] = ix.score(ix.vote(*ix.nearest(term, x))) < threshold
+                for at, score, _, _ in ix.judged(b.column(place)):
+                    keep[at] = score < threshold
             yield b.filter(pa.array(keep))
 
     return documents.mapInArrow(run, documents.schema)

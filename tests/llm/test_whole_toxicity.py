@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import collections
+import math
 import os
+import re
 import zlib
 
 import numpy as np
@@ -63,3 +66,78 @@ def test_no_bound_on_the_vocabulary(spark):
     docs = spark.createDataFrame(make([bad if i % 2 else "fine words" for i in range(90)]), SCHEMA)
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(90)], "doc_id long, quality int, toxic int")
     assert len(X.build(docs, labels).vocabulary) >= 1500
+
+
+def test_block_max_search_over_many_blocks():
+    """Against dense cosines: random sparse vectors with frequent and rare terms, ties, equal examples, and one example left out."""
+    r = np.random.default_rng(5)
+    v, n = 400, 1500
+    chance = np.where(np.arange(v) < 12, 0.5, 0.01)
+    dense = r.random((n, v)) * (r.random((n, v)) < chance)
+    dense[np.arange(n), r.integers(0, v, n)] += 0.5
+    dense[700:760] = dense[700]
+    dense /= np.sqrt((dense**2).sum(1))[:, None]
+    term, ex = np.nonzero(dense.T)
+    ids = r.permutation(n)
+    ix = X.Index(np.arange(v).astype(np.uint64), np.ones(v), np.zeros(1 << 20, bool), ids, np.zeros(n), np.ones(n), 0.1, np.searchsorted(term, np.arange(v + 1)), ex, dense[ex, term])
+    queries = [(np.flatnonzero(dense[i]), dense[i][dense[i] > 0]) for i in [*range(0, n, 11), 703]]
+    queries += [(np.array([t]), np.ones(1)) for t in (0, 5, 20, 399)] + [(np.zeros(0, np.int64), np.zeros(0))]
+    left = [*range(0, n, 11), 703, -1, -1, -1, -1, -1]
+    for (t, x), skip, (got, cosine) in zip(queries, left, ix.nearest_of(queries, left), strict=True):
+        full = dense[:, t] @ x
+        if skip >= 0:
+            full[skip] = -1
+        order = np.lexsort((ids, -np.round(full, 12)))
+        order = order[full[order] > 0][: X.NEIGHBOURS]
+        assert np.allclose(cosine, full[order]) and sorted(got[cosine > cosine[-1:] + 1e-9]) == sorted(order[full[order] > full[order[-1:]] + 1e-9])
+
+
+def brute_scores(rows, labels):
+    """What op10 does, in plain Python over dictionaries of words and leading bytes."""
+    def words_of(text):
+        out = []
+        for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))):
+            out += [w, *((k, w[:k]) for k in X.PREFIXES if len(w) >= k)]
+        return collections.Counter(out)
+
+    bags = {i: words_of(t) for i, t in rows}
+    learn = {i: y for i, y in labels if i in bags and y in (0, 1) and zlib.crc32(str(i).encode()) % 3 != 1}
+    n1, n0 = sum(learn.values()), len(learn) - sum(learn.values())
+    seen = {y: collections.Counter(t for i, own in learn.items() if own == y for t in bags[i]) for y in (0, 1)}
+
+    def ratio(t):
+        a, b = seen[1][t], seen[0][t]
+        n = n1 + n0
+        return 2 * sum(x * math.log(x * n / (r * c)) for x, r, c in ((a, a + b, n1), (b, a + b, n0), (n1 - a, n - a - b, n1), (n0 - b, n - a - b, n0)) if x)
+
+    terms = {t for t in seen[1] if seen[1][t] + seen[0][t] >= X.MIN_EXAMPLES and seen[1][t] * n0 > seen[0][t] * n1 and ratio(t) >= X.MIN_RATIO}
+    df = collections.Counter(t for bag in bags.values() for t in bag if t in terms)
+
+    def vector(bag):
+        x = {t: (1 + math.log(n)) * (math.log((1 + len(bags)) / (1 + df[t])) + 1) for t, n in bag.items() if t in terms}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {t: v / norm for t, v in x.items()}
+
+    vectors = {i: vector(b) for i, b in bags.items()}
+    examples = {i: vectors[i] for i in learn if vectors[i]}
+    prior = n1 / (n1 + n0)
+
+    def vote(x, skip=None):
+        near = sorted(((-sum(v * e.get(t, 0) for t, v in x.items()), i) for i, e in examples.items() if i != skip))
+        near = [(-s, i) for s, i in near if s < 0][: X.NEIGHBOURS]
+        return (sum(s * learn[i] for s, i in near) + X.PRIOR * prior) / (sum(s for s, _ in near) + X.PRIOR)
+
+    own = [(vote(x, skip=i), learn[i]) for i, x in examples.items()]
+    a, b = X._fit_slope(np.array([v for v, _ in own]), np.array([float(y) for _, y in own]), np.ones(len(own)))
+    return {i: 1 / (1 + math.exp(-(a * math.log(v / (1 - v)) + b))) for i, v in ((i, min(max(vote(x), 1e-6), 1 - 1e-6)) for i, x in vectors.items())}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF.replace("0.001", "0.01")), reason="the driver's tables aren't here")
+def test_query_against_brute_force(spark):
+    at = SF.replace("0.001", "0.01")
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{at}/documents.parquet").collect()]
+    labels = [(r["doc_id"], r["toxic"]) for r in spark.read.parquet(f"{at}/labels.parquet").collect()]
+    expected = brute_scores(rows, labels)
+    got = {r["doc_id"]: r for r in op10_toxicity(spark, at).collect()}
+    assert set(got) == set(expected) and all(abs(got[i]["score"] - s) < 1e-6 and got[i]["predicted"] == (s >= 0.7) for i, s in expected.items())
+    assert max(expected.values()) > 0.9
