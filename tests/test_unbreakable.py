@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import rules as R
 from tessera.plans.gate import gate
-from tessera.schemas import CHANGESETS
+from tessera.schemas import CHANGESETS, FILE_CHANGES
 from tessera.sources.pairs import from_pairs
 from tessera.streaming.diffs import parsed, read_diff_stream, score_stream
 
@@ -57,7 +57,7 @@ def test_one_of_two_equal_assertions_removed(spark):
 
 def test_sources_are_parsed_once_for_all_rules(spark):
     row = (1, 0, "tests/test_a.py", "modified", None, "def test_a():\n    assert x == 1\n", "def test_a():\n    assert x\n", False)
-    files = from_pairs(spark.createDataFrame([row], "cs_id long, file_ord int, path string, kind string, base_path string, base_content string, head_content string, is_binary boolean"))
+    files = spark.createDataFrame([(*row, None)], FILE_CHANGES)
     ids = ("VID001", "VID002", "VID003", "VID004", "VID005", "VID011", "VID012")
     done = gate(spark.createDataFrame([(1, "b", "h", [], None)], CHANGESETS), files, rules=ids)
     assert [r["rule_id"] for r in done.findings.collect()] == ["VID005"]
