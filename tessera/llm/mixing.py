@@ -1,96 +1,130 @@
 """Mixing sources to target weights by a Pfair schedule, in DataFrame functions alone.
 
-A source's documents are dealt in blocks of BLOCK. Time is slots, one block each. With the weight w of
-a source, its k-th block may not start before slot floor((k - 1) / w) and must be done by slot
-ceil(k / w). Of the released blocks the one with the earliest deadline takes the slot; as the weights
-sum to 1, every deadline is met, so at any time each source has had its share within less than one
-block. Weights are quotas e / PERIOD (PERIOD slots, all quotas at least 1 and summing to PERIOD), so
-the schedule repeats: one period is worked out by a fold over its slots, and a block's slot is
+A source's documents are dealt in blocks of BLOCK. Time is slots, one block each. Weights are whole
+parts w of a total W, so nothing is rounded: a source's k-th block (from 0) may not start before slot
+floor(k W / w) and must be done by slot ceil((k + 1) W / w). Of the released blocks the one with the
+earliest deadline takes the slot (of equal ones the heavier source's, then by name). As the shares sum
+to 1 every deadline is met, so after any number of slots t each source has had less than one block
+more or less than t w / W. The schedule repeats after W slots: one such period is worked out by a fold
+over its slots, and a block's slot is
 
-    (block div e) * PERIOD + slot of the (block mod e)-th turn of its source in the period.
+    (block div w) * W + slot of the (block mod w)-th turn of its source in the period.
+
+Sources of equal weight take turns in order, so the fold's state has a number for each distinct
+weight, not for each source.
+
+Without given weights a source's is the root of its size in hundredths of the largest's, 1 at least.
+Given weights need not sum to 1. Whole numbers, fractions and decimals are taken as they are, a float
+as the nearest fraction with a denominator of at most a million; together they must make at most
+MOST_PARTS parts, else ValueError tells so.
 
 A source that ends leaves its later slots empty, so the others keep their proportions among each
-other; `position` counts documents without gaps: the documents before a slot are, by source, the
-lesser of its size and BLOCK times its turns so far, a closed form. No row is sorted globally,
-dropped or repeated. Inside a source documents are numbered by (bucket, id), a bucket being a prefix
-of the id's hash, from counts by bucket; so a source with a third of all rows is spread too.
+other; `position` counts documents in the order of their slots without gaps, from counts by chunks of
+slots. No row is sorted globally, dropped or repeated. Inside a source documents are numbered by
+(bucket, id), a bucket being a prefix of the id's hash, from counts by bucket; so a source with a third
+of all rows is spread too.
 
 Defined cases: a null source is the source ''; null ids are numbered first in bucket ''; repeated rows
-are documents of their own; given weights need not sum to 1, sources without one get the least
-quota; an empty table gives an empty result; other columns are not read.
+are documents of their own; sources without a given weight, or with weight 0, have no part in the mix:
+their rows have null slot and position and come last in order; a negative weight is an error; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import cut
 
 BLOCK = 16
-PERIOD = 1024
-#: Up to so many sources the schedule's table (PERIOD rows) is broadcast.
-BROADCAST_SOURCES = 256
-
-
-def quotas(sizes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """One row: sources, an array of (source, n, e) by name, and period. Without weights, a source's weight is the root of its size."""
-    one = sizes.agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("s"))
-    one = one.withColumn("period", F.greatest(F.lit(PERIOD), F.expr("cast(power(2, ceil(log2(greatest(1, 4 * size(s))))) as int)")))
+#: Default weights: parts of the largest source.
+PARTS = 100
+#: A bound on the period that given weights make, and so on the schedule that is broadcast.
+MOST_PARTS = 1 << 20
+#: Slots of the fold's inner loop; slots of a chunk, and chunks of a span, for positions.
+STEP, CHUNK, SPAN = 1024, 64, 1024
+
+
+def whole_parts(weights: dict[str, float | int | str | Fraction | Decimal]) -> dict[str, int]:
+    """The weights as whole numbers without a common divisor, in exactly the given proportions."""
+    exact = {k: Fraction(v).limit_denominator(1_000_000) if isinstance(v, float) else Fraction(v) for k, v in weights.items()}
+    if any(v < 0 for v in exact.values()):
+        raise ValueError(f"weights must not be negative: {weights}")
+    scale = math.lcm(*(v.denominator for v in exact.values()))
+    parts = {k: int(v * scale) for k, v in exact.items()}
+    common = math.gcd(*parts.values()) or 1
+    parts = {k: v // common for k, v in parts.items()}
+    if sum(parts.values()) > MOST_PARTS:
+        raise ValueError(f"these weights make {sum(parts.values())} parts, more than {MOST_PARTS}; give them with fewer digits")
+    return parts
+
+
+def targets(sizes: DataFrame, weights: dict | None = None) -> DataFrame:
+    """One row: sources, an array of (w, names, n) by falling weight w with the sources of that weight, and period, the sum of their weights."""
     if weights is None:
-        raw = "cast(floor(sqrt(x.n) * 1000) as bigint)"
+        w = F.expr(f"greatest(1L, cast(floor({PARTS} * sqrt(n) / sqrt(most) + 0.5) as bigint))")
+        weighed = sizes.agg(F.collect_list(F.struct("source", "n")).alias("all"), F.max("n").alias("most")).select(F.inline("all"), "most").withColumn("w", w)
     else:
-        one = one.withColumn("given", F.create_map(*[F.lit(v) for k, w in weights.items() for v in (k, round(w * 1_000_000))]))
-        raw = "cast(coalesce(try_element_at(given, x.source), 0) as bigint)"
-    one = one.withColumn("w", F.expr(f"transform(s, x -> {raw})")).withColumn("total", F.expr("greatest(aggregate(w, 0L, (a, x) -> a + x), 1L)"))
-    one = one.withColumn("share", F.expr("transform(w, x -> (period - size(s)) * x)"))
-    # Largest remainders get what the floors leave over; equal ones go by name.
-    one = one.withColumn("order", F.expr("transform(array_sort(transform(share, (x, i) -> struct(-(x % total) as r, i as i))), y -> y.i)"))
-    one = one.withColumn("over", F.expr("period - size(s) - cast(aggregate(share, 0L, (a, x) -> a + x div total) as int)"))
-    quota = "cast(1 + get(share, i) div total + case when array_position(order, i) <= over then 1 else 0 end as int)"
-    return one.select(F.expr(f"transform(s, (x, i) -> struct(x.source as source, x.n as n, {quota} as e))").alias("sources"), "period")
+        given = F.create_map(*[F.lit(x) for k, v in whole_parts(weights).items() for x in (k, v)]) if weights else F.expr("cast(map() as map<string,int>)")
+        weighed = sizes.withColumn("w", F.coalesce(F.try_element_at(given, F.col("source")), F.lit(0)).cast("long"))
+    classes = weighed.where("w > 0").groupBy("w").agg(F.array_sort(F.collect_list("source")).alias("names"))
+    one = classes.agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("less"), "w", "names"))).alias("sources"))
+    return one.select("sources", F.expr("aggregate(sources, 0L, (a, x) -> a + x.w * size(x.names))").alias("period"))
 
 
 def schedule(one: DataFrame) -> DataFrame:
-    """Rows (source, turn, slot, before, sizes, quotas, e, period) of one period: the turn-th block of a source goes to slot; `before` has each source's turns earlier in the period."""
-    candidate = """
-      case when get(s.done, i) * cast(period as bigint) div x.e <= t
-        then struct(((get(s.done, i) + 1) * cast(period as bigint) + x.e - 1) div x.e as deadline, i as i) end"""
-    step = f"""
-      aggregate(sequence(0, period - 1),
-        named_struct('done', transform(sources, x -> 0), 'out', cast(array() as array<struct<i:int,before:array<int>>>)),
-        (s, t) -> transform(
-          array(array_min(transform(sources, (x, i) -> {candidate})).i),
-          p -> named_struct('done', transform(s.done, (d, j) -> d + if(j = p, 1, 0)), 'out', array_append(s.out, named_struct('i', p, 'before', s.done))))[0],
-        s -> s.out)"""
-    turned = one.where("size(sources) > 0").select("sources", "period", F.posexplode(F.expr(step)).alias("slot", "o"))
-    return turned.select(
-        F.expr("get(sources, o.i).source").alias("source"), F.expr("get(o.before, o.i)").alias("turn"), "slot", F.col("o.before").alias("before"),
-        F.expr("transform(sources, x -> x.n)").alias("sizes"), F.expr("transform(sources, x -> x.e)").alias("quotas"), F.expr("get(sources, o.i).e").alias("e"), "period",
-    )
-
-
-def mixed(documents: DataFrame, weights: dict[str, float] | None = None, *, key: str = "doc_id", source: str = "source", block: int = BLOCK, carry: bool = False) -> DataFrame:
-    """Rows (key, source, block, slot, position), one for each row of `documents`; with `carry`, `all` has all its columns."""
+    """Rows (source, w, turn, slot, period) of one period: the turn-th block of a source goes to slot."""
+    turn = "(get(s.done, i) div size(x.names))"
+    candidate = f"case when {turn} * period div x.w <= t then struct((({turn} + 1) * period + x.w - 1) div x.w as deadline, i as i, get(s.done, i) as q) end"
+    step = f"""transform(array(array_min(transform(sources, (x, i) -> {candidate}))), p -> named_struct(
+        'done', transform(s.done, (d, j) -> d + if(j = p.i, 1L, 0L)), 'out', array_append(s.out, named_struct('i', p.i, 'q', p.q))))[0]"""
+    none = "cast(array() as array<struct<i:int,q:bigint>>)"
+    inner = f"aggregate(sequence(b, least(b + {STEP}L, period) - 1), named_struct('done', f.done, 'out', {none}), (s, t) -> {step}, s -> named_struct('done', s.done, 'out', array_append(f.out, s.out)))"
+    fold = f"aggregate(sequence(0L, period - 1, {STEP}L), named_struct('done', transform(sources, x -> 0L), 'out', cast(array() as array<array<struct<i:int,q:bigint>>>)), (f, b) -> {inner}, f -> flatten(f.out))"
+    turned = one.where("period > 0").select("sources", "period", F.posexplode(F.expr(fold)).alias("slot", "o")).withColumn("x", F.expr("get(sources, o.i)"))
+    return turned.select(F.expr("get(x.names, cast(o.q % size(x.names) as int))").alias("source"), "x.w", F.expr("o.q div size(x.names)").alias("turn"), F.col("slot").cast("long").alias("slot"), "period")
+
+
+def _dealt(documents: DataFrame, weights: dict | None, key: str, source: str, block: int, *, carry: bool) -> DataFrame:
+    """Rows (k, source, index, block, slot); with `carry`, `all` has all columns of a document."""
     whole = [F.struct(*[documents[c] for c in documents.columns]).alias("all")] if carry else []
     rows = documents.select(*whole, F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
     rows = rows.withColumn("bucket", F.coalesce(F.substring(F.md5(F.col("k").cast("string")), 1, 3), F.lit("")))
     # A row for each source and bucket that has documents.
     counts = cut(rows.select("source", "bucket").groupBy("source", "bucket").count())
-    starts = counts.select("source", "bucket", (F.sum("count").over(Window.partitionBy("source").orderBy("bucket")) - F.col("count")).alias("from"))
-    one = cut(quotas(counts.groupBy("source").agg(F.sum("count").alias("n")), weights))
+    one = cut(targets(counts.groupBy("source").agg(F.sum("count").alias("n")), weights))
+    # As many rows as the period has slots: MOST_PARTS at most for given weights, else PARTS for each source.
     plan = cut(schedule(one))
-    few = (one.select(F.size("sources")).first() or [0])[0] <= BROADCAST_SOURCES
-    # Few sources make few turns in a period too, whatever the number of documents; e tells a row's turn.
-    quota = one.select(F.inline("sources")).select("source", "e")
+    weight = one.select(F.inline("sources")).select("w", F.explode("names").alias("source"))
+    starts = counts.select("source", "bucket", (F.sum("count").over(Window.partitionBy("source").orderBy("bucket")) - F.col("count")).alias("from"))
+    # Fewer rows than the plan has.
+    starts = starts.join(F.broadcast(weight), "source", "left")
     numbered = rows.withColumn("row", F.row_number().over(Window.partitionBy("source", "bucket").orderBy(F.col("k").asc_nulls_first())))
-    placed = numbered.join(starts, ["source", "bucket"]).withColumn("index", F.col("from") + F.col("row") - 1).withColumn("block", F.expr(f"`index` div {block}"))
-    placed = placed.join(F.broadcast(quota) if few else quota, "source").withColumn("turn", (F.col("block") % F.col("e")).cast("int")).drop("e")
-    placed = placed.join(F.broadcast(plan) if few else plan, ["source", "turn"])
-    past = F.expr(f"aggregate(zip_with(sizes, zip_with(quotas, before, (q, b) -> cast({block} as bigint) * ((block div e) * q + b)), (n, m) -> least(n, m)), 0L, (a, x) -> a + x)")
-    return placed.select(F.col("k").alias(key), "source", "block", F.expr("(block div e) * period + slot").alias("slot"), (past + F.col("index") % block).alias("position"), *(["all"] if carry else []))
-
-
-def in_mixed_order(documents: DataFrame, weights: dict[str, float] | None = None, *, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """The rows of `documents`, all columns as they are, in the order of their positions: by partition and within."""
-    return mixed(documents, weights, key=key, source=source, carry=True).repartitionByRange(F.col("position")).sortWithinPartitions("position").select("all.*")
+    # Merged, for both sides are dealt and sorted by these keys already; the starts grow with the sources.
+    placed = numbered.join(starts.hint("merge"), ["source", "bucket"]).withColumn("index", F.col("from") + F.col("row") - 1).withColumn("block", F.expr(f"`index` div {block}"))
+    placed = placed.withColumn("turn", F.col("block") % F.col("w")).join(F.broadcast(plan.drop("w").withColumnRenamed("slot", "at")), ["source", "turn"], "left")
+    return placed.select("k", "source", "index", "block", F.expr("(block div w) * period + at").alias("slot"), *(["all"] if carry else []))
+
+
+def mixed(documents: DataFrame, weights: dict | None = None, *, key: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
+    """Rows (key, source, block, slot, position), one for each row of `documents`."""
+    placed = cut(_dealt(documents, weights, key, source, block, carry=False).withColumn("chunk", F.expr(f"slot div {CHUNK}")))
+    # Documents before a chunk: those of earlier spans, and of earlier chunks of its span.
+    counts = placed.where("chunk is not null").groupBy("chunk").count().withColumn("span", F.expr(f"chunk div {SPAN}"))
+    spans = counts.groupBy("span").agg(F.sum("count").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("span")) - F.col("n"))
+    starts = counts.withColumn("inside", F.sum("count").over(Window.partitionBy("span").orderBy("chunk")) - F.col("count")).join(spans.select("span", "base"), "span").select("chunk", (F.col("base") + F.col("inside")).alias("from"))
+    scheduled = placed.where("chunk is not null").withColumn("row", F.row_number().over(Window.partitionBy("chunk").orderBy("slot", F.col("index") % block)))
+    out = scheduled.join(starts.hint("merge"), "chunk").select("k", "source", "block", "slot", (F.col("from") + F.col("row") - 1).alias("position"))
+    out = out.unionByName(placed.where("chunk is null").select("k", "source", "block", "slot", F.lit(None).cast("long").alias("position")))
+    return out.withColumnRenamed("k", key)
+
+
+def in_mixed_order(documents: DataFrame, weights: dict | None = None, *, key: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
+    """The rows of `documents`, all columns as they are, in the order of their slots: by partition and within. Rows out of the mix come last."""
+    order = [F.col("slot").asc_nulls_last(), F.col("source"), F.col("index")]
+    return _dealt(documents, weights, key, source, block, carry=True).repartitionByRange(*order).sortWithinPartitions(*order).select("all.*")

@@ -60,25 +60,21 @@ OP8 = """
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY coalesce(substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), ''), doc_id) - 1 AS idx FROM documents
 ),
-s AS (SELECT source, n, row_number() OVER (ORDER BY source) AS i, CAST(floor(sqrt(n) * 1000) AS BIGINT) AS w FROM (SELECT source, count(*) AS n FROM d GROUP BY source)),
-t AS (SELECT count(*) AS m, sum(w) AS total, greatest(1024, CAST(power(2, ceil(log2(4 * count(*)))) AS BIGINT)) AS period FROM s),
-q AS (SELECT s.*, (t.period - t.m) * s.w // t.total AS base, (t.period - t.m) * s.w % t.total AS rest FROM s, t),
-e AS (SELECT source, n, i, 1 + base + CASE WHEN row_number() OVER (ORDER BY rest DESC, i) <= (SELECT period - m FROM t) - (SELECT sum(base) FROM q) THEN 1 ELSE 0 END AS e FROM q),
-a AS (SELECT list(e ORDER BY i) AS e, list(n ORDER BY i) AS n FROM e),
+s AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+e AS (SELECT source, w, row_number() OVER (ORDER BY w DESC, source) AS i FROM (SELECT source, greatest(1, CAST(floor(100 * sqrt(n) / sqrt((SELECT max(n) FROM s)) + 0.5) AS BIGINT)) AS w FROM s)),
+a AS (SELECT list(w ORDER BY i) AS w, CAST(sum(w) AS BIGINT) AS period FROM e),
 slot AS (
-  SELECT 0 AS slot, list_transform(e, lambda x: CAST(0 AS BIGINT)) AS done, 0 AS i FROM a
+  SELECT CAST(0 AS BIGINT) AS slot, list_transform(w, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS turn FROM a
   UNION ALL
-  SELECT slot + 1, list_transform(done, lambda x, j: x + CASE WHEN j = p THEN 1 ELSE 0 END), p
+  SELECT slot + 1, list_transform(done, lambda x, j: x + CASE WHEN j = p THEN 1 ELSE 0 END), p, done[p]
   FROM (
-    SELECT slot, done, list_min(list_transform(list_filter(list_transform(done, lambda x, j: {'d': ((x + 1) * period + e[j] - 1) // e[j], 'i': j, 'r': x * period // e[j]}), lambda y: y.r <= slot), lambda y: {'d': y.d, 'i': y.i})).i AS p, period
-    FROM slot, a, t WHERE slot < period
+    SELECT slot, done, CAST(list_min(list_transform(list_filter(list_transform(done, lambda x, j: {'d': ((x + 1) * period + w[j] - 1) // w[j], 'i': j, 'r': x * period // w[j]}), lambda y: y.r <= slot), lambda y: {'d': y.d, 'i': y.i})).i AS BIGINT) AS p
+    FROM slot, a WHERE slot < period
   )
 ),
-turn AS (SELECT n.i, n.slot - 1 AS slot, b.done AS before, b.done[n.i] AS turn FROM slot n JOIN slot b ON b.slot = n.slot - 1 WHERE n.slot > 0),
-placed AS (SELECT d.doc_id, d.source, d.idx, d.idx // 16 AS block, e.e, e.i FROM d JOIN e USING (source))
-SELECT p.doc_id, p.source, CAST(p.block AS BIGINT) AS block, CAST((p.block // p.e) * t.period + turn.slot AS BIGINT) AS slot,
-  CAST(list_sum(list_transform(a.n, lambda n, j: least(n, 16 * ((p.block // p.e) * a.e[j] + turn.before[j])))) + p.idx % 16 AS BIGINT) AS position
-FROM placed p JOIN turn ON turn.i = p.i AND turn.turn = p.block % p.e, a, t
+placed AS (SELECT d.doc_id, d.source, d.idx, d.idx // 16 AS block, e.w, e.i FROM d JOIN e USING (source)),
+slotted AS (SELECT p.*, (p.block // p.w) * a.period + slot.slot - 1 AS spot FROM placed p JOIN slot ON slot.slot > 0 AND slot.i = p.i AND slot.turn = p.block % p.w, a)
+SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(spot AS BIGINT) AS slot, row_number() OVER (ORDER BY spot, idx % 16) - 1 AS position FROM slotted
 """
 
 _CRC = """

@@ -7,6 +7,7 @@ import json
 import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -194,36 +195,77 @@ def test_typed_layouts(spark):
 # --- mixing
 
 
-def test_every_source_is_within_one_block(spark):
-    sizes = {"a": 5000, "b": 900, "c": 333, "d": 20, "": 7, "e": 1}
+def slots_of(docs, weights=None):
+    """(slot, source) of every block."""
+    return sorted({(r["slot"], r["source"]) for r in X.mixed(docs, weights).collect()})
+
+
+def within_one_block(slots, share):
+    """Each source that goes on has had less than one block more or less than its target weight says, after every slot."""
+    last = {s: max(t for t, x in slots if x == s) for s in share}
+    done = dict.fromkeys(share, 0)
+    for t, s in slots:
+        done[s] += 1
+        for other, w in share.items():
+            if t <= last[other]:
+                assert abs(done[other] - (t + 1) * w) < 1, (t, other)
+
+
+def test_every_source_is_within_one_block_of_its_target(spark):
+    sizes = {"a": 5000, "b": 900, "c": 333, "d": 20, "": 7, "e": 1, "f": 1}
     rows = [(i, s) for s, n in sizes.items() for i in range(n)]
     docs = spark.createDataFrame([(k, s or None) for k, (_, s) in enumerate(rows)], "doc_id long, source string")
     out = X.mixed(docs).collect()
     assert sorted(r["position"] for r in out) == list(range(len(rows))) and {(r["doc_id"], r["source"]) for r in out} == {(k, s) for k, (_, s) in enumerate(rows)}
-    one = X.quotas(docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n"))).first()
-    quota, period = {s["source"]: s["e"] for s in one["sources"]}, one["period"]
-    assert sum(quota.values()) == period and min(quota.values()) >= 1
-    slots = X.schedule(X.quotas(docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n")))).orderBy("slot").collect()
-    assert [r["slot"] for r in slots] == list(range(period))
-    done = dict.fromkeys(quota, 0)
-    for t, r in enumerate(slots, 1):
-        assert r["turn"] == done[r["source"]]
-        done[r["source"]] += 1
-        for s, e in quota.items():
-            assert abs(done[s] - t * e / period) < 1
-    for r in out:
-        assert r["slot"] >= r["block"] * period // quota[r["source"]] and r["slot"] < -(-(r["block"] + 1) * period // quota[r["source"]])
+    parts = {s: max(1, int(100 * math.sqrt(n) / math.sqrt(5000) + 0.5)) for s, n in sizes.items()}
+    within_one_block(slots_of(docs), {s: Fraction(w, sum(parts.values())) for s, w in parts.items()})
     at = sorted(out, key=lambda r: r["position"])
     assert [r["slot"] for r in at] == sorted(r["slot"] for r in out)
 
 
+def test_the_distance_from_the_target_does_not_grow(spark):
+    """Thirds over 300000 rows, and twenty sources of which one has half of the weight and one a ten-thousandth."""
+    docs = spark.range(300_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    slots = [r["slot"] for r in X.mixed(docs, {"a": 1 / 3, "b": 2 / 3}).where("source = 'a'").select("slot").distinct().orderBy("slot").collect()]
+    assert len(slots) == 6250 and all(t == 3 * k + slots[0] for k, t in enumerate(slots))
+    weights = {f"s{i:02}": Fraction(4999, 180_000) for i in range(18)} | {"hot": Fraction(1, 2), "rare": Fraction(1, 10_000)}
+    one = X.targets(spark.createDataFrame([(s, 1) for s in weights], "source string, n long"), weights)
+    plan = X.schedule(one).orderBy("slot").collect()
+    assert len(plan) == one.first()["period"] and [r["slot"] for r in plan] == list(range(len(plan)))
+    done = dict.fromkeys(weights, 0)
+    for r in plan:
+        assert r["turn"] == done[r["source"]]
+        done[r["source"]] += 1
+        assert all(abs(done[s] - (r["slot"] + 1) * w) < 1 for s, w in weights.items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_schedules_of_any_weights(spark, seed):
+    r = random.Random(seed)
+    weights = {f"x{i}": r.choice([1, 1, 2, r.randrange(1, 60)]) for i in range(r.randrange(1, 14))}
+    plan = X.schedule(X.targets(spark.createDataFrame([(s, 9) for s in weights], "source string, n long"), weights)).orderBy("slot").collect()
+    total = sum(X.whole_parts(weights).values())
+    within_one_block([(row["slot"], row["source"]) for row in plan], {s: Fraction(w, sum(weights.values())) for s, w in weights.items()})
+    assert len(plan) == total and {s: sum(x["source"] == s for x in plan) for s in weights} == X.whole_parts(weights)
+
+
+def test_weights_as_parts():
+    assert X.whole_parts({"a": 1 / 3, "b": 2 / 3}) == {"a": 1, "b": 2} and X.whole_parts({"a": 0.5, "b": 0.0001, "c": 0}) == {"a": 5000, "b": 1, "c": 0}
+    assert X.whole_parts({}) == {} and X.whole_parts({"a": 4, "b": 6}) == {"a": 2, "b": 3}
+    for bad in ({"a": -1}, {"a": Fraction(1, 999_983), "b": Fraction(1, 999_979)}):
+        with pytest.raises(ValueError):
+            X.whole_parts(bad)
+
+
 def test_given_weights_order_and_odd_rows(spark, mess):
-    docs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(2000)], "doc_id long, source string")
-    first = [r["source"] for r in X.mixed(docs, {"a": 0.75, "b": 0.25}).orderBy("position").limit(1024).collect()]
-    assert abs(first.count("a") - 768) <= 16
+    docs = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(3000)], "doc_id long, source string")
+    out = X.mixed(docs, {"a": 0.75, "b": 0.25, "c": 0.0, "none": 3}).orderBy("position").collect()
+    first = [r["source"] for r in out if r["position"] is not None][:1024]
+    assert first.count("a") == 768 and len(out) == 3000 and {r["source"] for r in out if r["position"] is None} == {"c"} == {r["source"] for r in out if r["slot"] is None}
     ordered = X.in_mixed_order(mess)
     assert ordered.schema == mess.schema and ordered.exceptAll(mess).count() == 0 and ordered.count() == mess.count()
-    full = X.in_mixed_order(docs).collect()
-    position = {r["doc_id"]: r["position"] for r in X.mixed(docs).collect()}
-    assert [position[r["doc_id"]] for r in full] == list(range(2000))
-    assert X.mixed(mess.limit(0)).count() == 0
+    full = X.in_mixed_order(docs, {"a": 2, "b": 1}).collect()
+    position = {r["doc_id"]: r["position"] for r in X.mixed(docs, {"a": 2, "b": 1}).collect()}
+    assert [position[r["doc_id"]] for r in full] == [*range(2000), *[None] * 1000]
+    assert X.mixed(mess.limit(0)).count() == 0 and X.mixed(docs, {}).where("slot is not null").count() == 0
+    assert X.mixed(mess).count() == mess.count()
