@@ -12,20 +12,25 @@ order of tokens they share one among the first n - ceil(t n) + 1: the prefix. St
    gives the pairs that pass the length and the positional bound.
 3. In a bucket of more than BUCKET representatives ("hot") the set with the fewest tokens of its own,
    that is outside the frequent ones, is the centre; every other is paired with it, so the pairs grow
-   with the rows and not with their square. As frequent tokens come last, a set with too many of its
-   own never gets to those of a large group of near copies and drops out at once.
+   with the rows and not with their square. The centre comes with the token's count, so nothing is
+   dealt by a hot token to find it. As frequent tokens come last, a set with too many of its own never
+   gets to those of a large group of near copies and drops out at once.
 4. Candidates must also share enough prefix tokens under the second and under the third order (as many
    as a linked pair can't do without). What is left of the intersection is verified on the sets.
-5. Links so far are merged to components. In hot buckets that still hold several components, pairs of
-   different components that no bound and no order excludes are verified too. So no link between
-   different components is lost, and links within a component change nothing.
+5. Links so far are merged to components. Hot buckets that still hold several components are dealt by
+   the token and each prefix token under the second order, and where that still makes more than BUCKET
+   rows, under the third order too: the orders are intersected in the join, so sets that share one token
+   alone never meet. Pairs of different components that no bound excludes are verified. So no link
+   between different components is lost, and links within a component change nothing.
 
 Components come from alternating stars over the verified links.
 
 Defined cases: null and empty texts have the empty set, no links and their own id as component; a
 text of fewer than K words is one shingle; equal texts of several ids are one class; repeated rows
 give a row each; null ids keep a row with a null component of their own; an empty table gives an
-empty result; columns besides the key and the text are not read. The key must tell texts apart.
+empty result; columns besides the key and the text are not read. An id with several texts is linked by
+each of them, and they are one document's: all its rows have one component. Keys are whole numbers, else
+TypeError tells so.
 """
 
 from __future__ import annotations
@@ -41,10 +46,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.substrings import zipped
-from tessera.llm.tables import cut, drop, small_batches
+from tessera.llm.tables import cut, drop, small_batches, whole_key
 from tessera.llm.wordhash import BLANK_SEPARATED, U, Words, grams, mix, words
 
-K = 3
+K = 5
+#: Linked at this share of the union or more: numerator and denominator.
+THRESHOLD = (80, 100)
 SHARE = 1 / 4096
 LEAST_FREQUENT = 16
 BUCKET = 16
@@ -228,20 +235,36 @@ def only_members(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.mapInArrow(run, "k long, text string")
 
 
-def _bucket_pairs(rows: DataFrame, num: int, den: int, more=None) -> DataFrame:
-    """Pairs (a, b), a < b, of rows (token, k, n, i, ...) with one token that the bounds let through."""
+def _bucket_pairs(rows: DataFrame, keys: list[str], num: int, den: int, more=None) -> DataFrame:
+    """Pairs (a, b), a < b, of rows (*keys, k, n, i, ...) with equal keys, the first a token, that the bounds let through."""
     x, y = rows.alias("x"), rows.alias("y")
     where = (F.col("x.k") < F.col("y.k")) & _could(F.col("x.n"), F.col("y.n"), F.col("x.i"), F.col("y.i"), num, den)
+    for key in keys:
+        where &= F.col(f"x.{key}") == F.col(f"y.{key}")
     if more is not None:
         where &= more
-    return x.join(y, (F.col("x.token") == F.col("y.token")) & where).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+    return x.join(y, where).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
 
 
-def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = K, threshold: tuple[int, int] = (90, 100), share: float = SHARE, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): rows (rep, n, f1, f2) of the classes of equal sets, and the verified links (a, b) that join their components."""
+def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (k, text) under keys that tell texts apart, and the pairs of keys that are of one id. Usually no id has several texts; then the rows are as given."""
+    seen = rows.groupBy("k").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    several = seen.where("low < high").select("k", F.lit(True).alias("several"))
+    if several.isEmpty():
+        return rows, None
+    apart = cut(rows.join(several, "k", "left").withColumn("own", F.when(F.col("several"), F.xxhash64("k", "text")).otherwise(F.col("k"))))
+    ties = apart.where("several").select("k", "own").distinct()
+    ties = ties.groupBy("k").agg(F.min("own").alias("a")).join(ties, "k").where("a <> own").select("a", F.col("own").alias("b"))
+    return apart.select(F.col("own").alias("k"), "text"), ties
+
+
+def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = K, threshold: tuple[int, int] = THRESHOLD, share: float = SHARE, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame, bool]:
+    """(classes, links, apart): rows (rep, n, f1, f2) of the classes of equal sets, the verified links (a, b) that join their
+    components, and whether an id has several texts, so that reps aren't ids."""
     num, den = threshold
     spark = documents.sparkSession
-    rows = small_batches(documents).where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
+    rows = small_batches(documents).where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(whole_key(documents, key).alias("k"), F.col(text).alias("text"))
+    rows, ties = _told_apart(rows)
     counted = rows.mapInArrow(_frequent(k, share), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     least = max(LEAST_FREQUENT, share * rows.count())
     common = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()
@@ -254,8 +277,9 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     signed = rows.mapInArrow(_signatures(frequent, k, num, den, 3), f"{_SIGNATURE}, own int, p1 array<long>, p2 array<short>, p3 array<short>").where("n > 0")
     reps = cut(signed.groupBy("n", "f1", "f2").agg(F.min(F.struct("k", "own", "p1", "p2", "p3")).alias("s")).select("n", "f1", "f2", "s.*"))
     prefix = reps.select("k", "n", "own", F.posexplode("p1").alias("i", "token"))
-    crowd = prefix.groupBy("token").count().where("count > 1")
-    shared = cut(prefix.join(crowd, "token").select("token", "k", "n", "own", "i", (F.col("count") > bucket).alias("hot")))
+    crowd = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("own", "k", "n", "i")).alias("c")).where("count > 1")
+    hot = F.col("count") > bucket
+    shared = cut(prefix.join(crowd.select("token", hot.alias("hot"), F.when(hot, F.col("c")).alias("c")), "token").select("token", "k", "n", "i", "hot", "c"))
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs that the second and the third order let through."""
@@ -275,28 +299,34 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
         return out
 
     # The frequent tokens come last, so a set with too many of its own never reaches those of a large group.
-    rare = shared.where("hot").select("token", "k", "n", "own", "i")
-    centres = rare.groupBy("token").agg(F.min(F.struct("own", "k", "n", "i")).alias("c"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token", "c")
-    star = rare.join(centres, "token").where((F.col("k") != F.col("c.k")) & _could(F.col("n"), F.col("c.n"), F.col("i"), F.col("c.i"), num, den)).select(F.least("k", "c.k").alias("a"), F.greatest("k", "c.k").alias("b"))
-    cold = _bucket_pairs(shared.where(~F.col("hot")).select("token", "k", "n", "i"), num, den)
+    rare = shared.where("hot")
+    star = rare.where((F.col("k") != F.col("c.k")) & _could(F.col("n"), F.col("c.n"), F.col("i"), F.col("c.i"), num, den)).select(F.least("k", "c.k").alias("a"), F.greatest("k", "c.k").alias("b"))
+    cold = _bucket_pairs(shared.where(~F.col("hot")).select("token", "k", "n", "i"), ["token"], num, den)
     candidates = cut(likely(cold.unionByName(star).distinct()))
     first = verified(candidates)
     links = first.where("linked").select("a", "b")
 
-    placed = cut(rare.join(components(links), rare["k"] == F.col("node"), "left").withColumn("component", F.coalesce("component", "k")).drop("node"))
+    placed = cut(rare.select("token", "k", "n", "i").join(components(links), rare["k"] == F.col("node"), "left").withColumn("component", F.coalesce("component", "k")).drop("node"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     several = placed.join(mixed, "token").groupBy("k", "n", "component").agg(F.array_sort(F.collect_list(F.struct("i", "token"))).alias("own"))
-    # A pair meets at the first of these tokens that it shares, so it comes once and with the strictest bound. Should
-    # an earlier shared token lie in a bucket that isn't among these, the pair was met there or is one component.
+    # A pair meets at the first of these tokens that it shares, with the strictest bound. Should an earlier shared token
+    # lie in a bucket that isn't among these, the pair was met there or is one component.
     several = several.select("k", "n", "component", "own", F.posexplode("own").alias("at", "t"))
     before = F.transform(F.slice("own", F.lit(1), F.col("at")), lambda t: t["token"])
     several = several.select(F.col("t.token").alias("token"), "k", "n", F.col("t.i").alias("i"), "component", before.alias("before"))
-    across = _bucket_pairs(several, num, den, (F.col("x.component") != F.col("y.component")) & ~F.arrays_overlap("x.before", "y.before"))
+    # A linked pair shares prefix tokens under the other orders too, so it still meets when a bucket is dealt by these.
+    second = several.join(reps.select("k", "p2"), "k").withColumn("t2", F.explode(F.array_distinct("p2"))).drop("p2")
+    split = second.groupBy("token", "t2").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high").select("token", "t2", (F.col("rows") > bucket).alias("large"))
+    second = cut(second.join(split, ["token", "t2"]))
+    third = second.where("large").join(reps.select("k", "p3"), "k").withColumn("t3", F.explode(F.array_distinct("p3"))).drop("p3")
+    apart = (F.col("x.component") != F.col("y.component")) & ~F.arrays_overlap("x.before", "y.before")
+    across = _bucket_pairs(second.where("not large"), ["token", "t2"], num, den, apart).unionByName(_bucket_pairs(third, ["token", "t2", "t3"], num, den, apart)).distinct()
     rest = cut(likely(across.join(first.select("a", "b"), ["a", "b"], "left_anti")))
     last = verified(rest)
-    every = cut(links.unionByName(last.where("linked").select("a", "b")))
-    drop(shared, candidates, first, placed, rest, last)
-    return reps.select(F.col("k").alias("rep"), "n", "f1", "f2"), every
+    every = links.unionByName(last.where("linked").select("a", "b"))
+    every = cut(every if ties is None else every.unionByName(ties))
+    drop(shared, candidates, first, placed, second, rest, last)
+    return reps.select(F.col("k").alias("rep"), "n", "f1", "f2"), every, ties is not None
 
 
 def one_of_each(documents: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -308,10 +338,15 @@ def one_of_each(documents: DataFrame, *, key: str = "doc_id", text: str = "text"
 
 def jaccard_components(documents: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = K, **how) -> DataFrame:
     """Rows (key, n_shingles, component_id), one for each row of `documents`."""
-    classes, links = link_classes(documents, key=key, text=text, k=k, **how)
+    classes, links, apart = link_classes(documents, key=key, text=text, k=k, **how)
     found = components(links)
     named = classes.join(found, classes["rep"] == found["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     rows = documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
     nothing = documents.sparkSession.sparkContext.broadcast((np.zeros(0, U), np.zeros(0, U)))
     signed = rows.mapInArrow(_signatures(nothing, k, 1, 1, 0), _SIGNATURE)
-    return signed.join(named, ["n", "f1", "f2"], "left").select(F.col("k").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))
+    out = signed.join(named, ["n", "f1", "f2"], "left").select("k", "n", "component")
+    if apart:
+        # Components have names that needn't be ids: the least id of each is looked up, a row for each component.
+        least = out.where("component is not null").groupBy("component").agg(F.min("k").alias("least"))
+        out = out.join(least, "component", "left").select("k", "n", F.col("least").alias("component"))
+    return out.select(F.col("k").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))

@@ -46,7 +46,7 @@ def op4_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
 
 
 def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,14 @@ def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     return df
 
 
+def whole_key(df: DataFrame, key: str) -> Column:
+    """The key column as a long. Keys that aren't whole numbers are refused, not cast."""
+    kind = df.schema[key].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{key} must be a whole number, not {kind.simpleString()}")
+    return F.col(key).cast("long")
+
+
 #: Folders made here, by application.
 _own: dict[str, str] = {}
 

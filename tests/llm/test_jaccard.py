@@ -12,9 +12,9 @@ from tessera.llm.components import components
 from llm_cases import SCHEMA, make
 
 
-def shingles(text):
+def shingles(text, k=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)]) if w else frozenset()
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)]) if w else frozenset()
 
 
 def closure(n, links):
@@ -31,9 +31,9 @@ def closure(n, links):
     return [find(x) for x in range(n)]
 
 
-def brute(texts):
-    sets = [shingles(t) for t in texts]
-    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])]
+def brute(texts, k=3, num=90):
+    sets = [shingles(t, k) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
     return [(len(s), c) for s, c in zip(sets, closure(len(sets), links), strict=True)]
 
 
@@ -58,17 +58,46 @@ def texts():
     return [*out, *out[:9]]
 
 
-@pytest.mark.parametrize(("bucket", "share"), [(16, 1 / 4096), (2, 1 / 4096), (1, 0.05), (1000, 1.0)])
-def test_against_brute_force(spark, texts, bucket, share):
+@pytest.mark.parametrize(("bucket", "share", "k", "num"), [(16, 1 / 4096, 3, 90), (2, 1 / 4096, 3, 90), (1, 0.05, 3, 90), (1000, 1.0, 3, 90), (16, 1 / 4096, 5, 80), (1, 0.05, 5, 80)])
+def test_against_brute_force(spark, texts, bucket, share, k, num):
     docs = spark.createDataFrame(make(texts), SCHEMA).repartition(4)
-    rows = J.jaccard_components(docs, bucket=bucket, share=share).orderBy("doc_id").collect()
-    assert [(r["n_shingles"], r["component_id"]) for r in rows] == brute(texts)
+    rows = J.jaccard_components(docs, bucket=bucket, share=share, k=k, threshold=(num, 100)).orderBy("doc_id").collect()
+    assert [(r["n_shingles"], r["component_id"]) for r in rows] == brute(texts, k, num)
+
+
+def test_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, f"{a} q"), (2, b), (3, f"{b} q"), (4, c), (5, c), (5, c), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted((r["doc_id"], r["component_id"]) for r in J.jaccard_components(docs).collect())
+    assert got == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (5, 5)]
+    assert sorted(r["doc_id"] for r in J.one_of_each(docs).collect()) == [1, 4, 5]
+    with pytest.raises(TypeError, match="whole number"):
+        J.jaccard_components(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_a_token_of_many_unrelated_sets_makes_few_candidates(spark, monkeypatch):
+    """4000 short sets that share one word run, frequent but not among the last: pairs stay far below the square."""
+    r = random.Random(6)
+    texts = [f"one shared run of words {' '.join(f'w{r.randrange(10**7)}' for _ in range(12))}" for _ in range(4000)] + [f"one shared run of words {' '.join(f'z{i}' for i in range(12))}", f"one shared run of words {' '.join(f'z{i}' for i in range(12))} q"]
+    counts = []
+    plain = J._bucket_pairs
+
+    def counted(*a, **b):
+        out = plain(*a, **b)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "_bucket_pairs", counted)
+    rows = J.jaccard_components(spark.createDataFrame(make(texts), SCHEMA), share=1.0).collect()
+    assert sum(r["component_id"] != r["doc_id"] for r in rows) == 1
+    assert sum(counts) < 20 * len(texts)
 
 
 def test_one_of_each(spark, texts):
     docs = spark.createDataFrame(make(texts), SCHEMA)
     kept = J.one_of_each(docs)
-    assert kept.schema == docs.schema and sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in brute(texts)})
+    assert kept.schema == docs.schema and sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in brute(texts, 5, 80)})
 
 
 def test_odd_rows(spark, mess):

@@ -24,7 +24,7 @@ def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     score = {r["doc_id"]: r["score"] for r in toxicity.toxic_scores(docs, table(spark, SF, "labels")).collect()}
     rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect() if score[r["doc_id"]] < 0.7]
-    rows = [rows[i] for i, (_, c) in enumerate(groups([t for _, t in rows])) if c == i]
+    rows = [rows[i] for i, (_, c) in enumerate(groups([t for _, t in rows], 5, 80)) if c == i]
     items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
     rows = [r for r, (_, hit, _) in zip(rows, contaminated([t for _, t in rows], items), strict=True) if not hit]
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
