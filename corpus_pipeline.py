@@ -20,7 +20,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by Jaccard similarity of 0.9 or more, the document with the smallest id stays."""
+    """Of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles, the document with the smallest id stays."""
     return jaccard.one_of_each(small_batches(docs))
 
 
