@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -36,13 +35,15 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the context's own setting; only where both are unset, as in tests, a folder of this machine."""
+    """spark.checkpoint.dir, or the context's own setting; where both are unset, a folder of this machine if Spark runs on it alone, else ValueError."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         given = sc._jsc.sc().getCheckpointDir()
         if given.isDefined():
             return given.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         if sc.applicationId not in _own:
             _own[sc.applicationId] = tempfile.mkdtemp(prefix="tessera-tables-")
         folder = _own[sc.applicationId]
@@ -54,20 +55,25 @@ def _path(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a table written to the shared folder, compressed: what reads it survives lost executors and
     repeats no work. The table goes by drop(), or else when the driver ends. The shuffle files of the job that
-    wrote it are of no more use, so the driver is asked to collect its garbage, upon which Spark removes them."""
+    wrote it are of no more use, so Spark is told to remove them once it is done."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     files, at = _path(spark, path)
     files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
