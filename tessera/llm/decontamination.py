@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.tables import small_batches
+from tessera.llm.tables import cut, small_batches
 from tessera.llm.wordhash import ALNUM, grams, mix, whole, words
 
 BLOCK_WINDOWS = 50_000
@@ -200,7 +200,8 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, *, size: int = 10
 
     With `carry`, a last struct column `rest` has the other columns."""
     sc = documents.sparkSession.sparkContext
-    windows = (
+    # Read for its count and for every block.
+    windows = cut(
         benchmark.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
         .mapInArrow(_windows(size), "item string, window string, n int")
         .groupBy("window", "n")
