@@ -10,7 +10,7 @@ slots of each shard follow (run, place) instead, numbered from counts per (shard
 
 Defined cases: a null key is hashed as the key 0 and keeps its null; a null text has no bytes
 and the checksum 0 of nothing; repeated rows get slots of their own; an empty table gives an
-empty result; columns besides the key and the text are not read.
+empty result; columns besides the key and the text are not read. Keys are whole numbers, else TypeError.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.tables import whole_key
+
 _U = np.uint64
 #: The multiplier of the published generator.
 _MULTIPLIER = _U(2862933555777941757)
@@ -51,6 +53,7 @@ def shard_documents(documents: DataFrame, shards: int, *, key: str = "doc_id", t
     kind = documents.schema[key].dataType.simpleString()
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     given = [] if run is None else [run.cast("string").alias("run"), place.cast("long").alias("place")]
+    whole_key(documents, key)
     sized = documents.select(F.col(key).alias("k"), (F.octet_length(body).cast("long") + overhead).alias("size"), F.crc32(body).alias("text_crc32"), *given)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
