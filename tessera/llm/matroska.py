@@ -8,7 +8,8 @@ unknown-size clusters included, to a table of packets: track, timestamp, byte ra
 
 Defined cases: a null text is the empty text; an empty text is 64 zero bytes; equal texts give
 equal media; repeated rows give a row each; an empty table gives an empty result; a file that
-ends within an element raises ValueError; other columns are not read.
+ends within an element raises ValueError, as do laced sizes below 0; a null medium has no packets and null
+digests; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 RATE, FRAME, LACE, CLUSTER = 8000, 1024, 8, 64
 
 # Element ids of the published Matroska specification.
-EBML, DOC_TYPE = 0x1A45DFA3, 0x4282
-SEGMENT, INFO, TIMESTAMP_SCALE = 0x18538067, 0x1549A966, 0x2AD7B1
+EBML, EBML_VERSION, EBML_READ_VERSION, MAX_ID_LENGTH, MAX_SIZE_LENGTH = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
+DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
+SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER_ID, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
@@ -86,8 +88,12 @@ def _vint_signed(n: int, width: int) -> bytes:
     return (n + (1 << 7 * width - 1) - 1 | 1 << 7 * width).to_bytes(width, "big")
 
 
-_HEAD = _element(EBML, _element(DOC_TYPE, b"matroska"))
-_SETUP = _element(INFO, _uint(TIMESTAMP_SCALE, SCALE_NS)) + _element(
+_HEAD = _element(
+    EBML,
+    _uint(EBML_VERSION, 1) + _uint(EBML_READ_VERSION, 1) + _uint(MAX_ID_LENGTH, 4) + _uint(MAX_SIZE_LENGTH, 8)
+    + _element(DOC_TYPE, b"matroska") + _uint(DOC_TYPE_VERSION, 4) + _uint(DOC_TYPE_READ_VERSION, 2),
+)
+_SETUP = _element(INFO, _uint(TIMESTAMP_SCALE, SCALE_NS) + _element(MUXING_APP, b"tessera") + _element(WRITING_APP, b"tessera")) + _element(
     TRACKS,
     _element(
         TRACK_ENTRY,
@@ -181,6 +187,8 @@ def _unlaced(b: bytes, at: int, end: int, lacing: int) -> list[int]:
         if (end - at) % n:
             raise ValueError("frames of fixed lacing don't share the block evenly")
         sizes = [(end - at) // n] * (n - 1)
+    if any(s < 0 for s in sizes):
+        raise ValueError("a laced frame has a size below 0")
     starts = [at]
     for s in sizes:
         starts.append(starts[-1] + s)
@@ -201,7 +209,9 @@ def packets(b: bytes, *, frame_ns: int | None = None) -> tuple[list[Packet], lis
             if top == INFO:
                 scale = next((_number(b, x, y) for k, x, y in elements(b, s, e) if k == TIMESTAMP_SCALE), scale)
             elif top == TRACKS:
-                for _, x, y in elements(b, s, e):
+                for kind, x, y in elements(b, s, e):
+                    if kind != TRACK_ENTRY:
+                        continue
                     entry = {k: (i, j) for k, i, j in elements(b, x, y)}
                     audio = {k: b[i:j] for k, i, j in elements(b, *entry[AUDIO])} if AUDIO in entry else {}
                     if (f := audio.get(SAMPLING_FREQUENCY)) is not None:
@@ -225,10 +235,16 @@ def packets(b: bytes, *, frame_ns: int | None = None) -> tuple[list[Packet], lis
                         out.append(Packet(track, time, i, j - i, bool(flags & 0x80) or k == BLOCK_GROUP, s))
                         time += frame_ns if frame_ns is not None else round((j - i) * 1e9 / rate[track]) if rate.get(track) else 0
             elif top == CUES:
-                for _, x, y in elements(b, s, e):
-                    point = {k: (i, j) for k, i, j in elements(b, x, y)}
-                    at = {k: (i, j) for k, i, j in elements(b, *point[CUE_TRACK_POSITIONS])}
-                    cues.append(Cue(_number(b, *at[CUE_TRACK]), _number(b, *point[CUE_TIME]) * scale, start + _number(b, *at[CUE_CLUSTER_POSITION])))
+                for kind, x, y in elements(b, s, e):
+                    if kind != CUE_POINT:
+                        continue
+                    parts = list(elements(b, x, y))
+                    time = next(_number(b, i, j) for k, i, j in parts if k == CUE_TIME) * scale
+                    # A point may name a place for each of several tracks.
+                    for k, i, j in parts:
+                        if k == CUE_TRACK_POSITIONS:
+                            at = {own: (p, q) for own, p, q in elements(b, i, j)}
+                            cues.append(Cue(_number(b, *at[CUE_TRACK]), time, start + _number(b, *at[CUE_CLUSTER_POSITION])))
     return out, cues
 
 
@@ -293,6 +309,9 @@ def read_media(media: DataFrame, *, key: str = "doc_id") -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for m in b.column("media").to_pylist():
+                if m is None:
+                    out.append((None,) * 6)
+                    continue
                 table, cues = packets(m)
                 p = samples(m, table)
                 out.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(p, table, cues)))
