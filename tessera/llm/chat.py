@@ -1,10 +1,12 @@
 """Chat formatting by schema fingerprints, in DataFrame functions alone.
 
-A layout is told by the hash of its sorted nested field paths, out of those that any layout knows
-(others, such as ids or metadata, don't count). The fingerprint selects a declared mapping that turns
-a record into canonical turns (key, seq, role, text): `turns_of_rows` takes the fingerprint of a
-DataFrame's schema, `turns_of_json` that of each JSON record, so records of several layouts may lie
-in one column. A record of no known layout gives no turns; `layout_of_json` names it null.
+A layout is told by hashes of nested field paths: it is chosen if its required fields, with any of its
+optional ones, hash to one of its fingerprints; fields that it doesn't know, be they of other layouts,
+don't count, and of several layouts the first in LAYOUTS is taken. The fingerprint selects a declared
+mapping that turns a record into canonical turns (key, seq, role, text): `turns_of_rows` takes the
+fingerprint of a DataFrame's schema, `turns_of_json` that of each JSON record (of all elements of its
+arrays), so records of several layouts may lie in one column. A record of no known layout gives no turns;
+`layout_of_json` names it null and `rejected_json` lists it.
 
 `formatted` writes the turns of a key as `<|role|>`, line end, text, `<|end|>`, line end. In texts
 `&` is written `&amp;` and `<` is written `&lt;`, in roles `|` also, so no text can hold a marker and
@@ -50,23 +52,23 @@ LAYOUTS = (
     Layout("messages", ("messages", "messages[].content", "messages[].role"), ("system",), (("system", ("system",)),), ("messages", "role", "content")),
     Layout("conversations", ("conversations", "conversations[].from", "conversations[].value"), ("system",), (("system", ("system",)),), ("conversations", "from", "value")),
 )
-KNOWN = tuple(sorted({p for x in LAYOUTS for p in (*x.paths, *x.optional)}))
 
 
 def fingerprint(paths) -> str:
-    """The hash of nested field paths, those of no layout left out."""
-    return hashlib.sha256("\n".join(sorted(set(paths) & set(KNOWN))).encode()).hexdigest()
+    """The hash of nested field paths."""
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
-def _choices() -> dict[str, Layout]:
-    out: dict[str, Layout] = {}
-    for x in LAYOUTS:
-        for mask in range(1 << len(x.optional)):
-            out.setdefault(fingerprint([*x.paths, *(p for i, p in enumerate(x.optional) if mask >> i & 1)]), x)
-    return out
+def own_paths(x: Layout) -> tuple[str, ...]:
+    return (*x.paths, *x.optional)
+
 
+def fingerprints(x: Layout) -> set[str]:
+    """What a layout's fields may hash to: the required ones with any of the optional ones."""
+    return {fingerprint([*x.paths, *(p for i, p in enumerate(x.optional) if mask >> i & 1)]) for mask in range(1 << len(x.optional))}
 
-BY_FINGERPRINT = _choices()
+
+FINGERPRINTS = {x.name: fingerprints(x) for x in LAYOUTS}
 
 
 def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
@@ -77,7 +79,9 @@ def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
 
 
 def layout_of_schema(schema: T.StructType) -> Layout | None:
-    return BY_FINGERPRINT.get(fingerprint(schema_paths(schema)))
+    """The first layout that has a fingerprint of its fields in the schema; fields of others don't matter."""
+    paths = schema_paths(schema)
+    return next((x for x in LAYOUTS if fingerprint(set(paths) & set(own_paths(x))) in FINGERPRINTS[x.name]), None)
 
 
 def _role(role: Column) -> Column:
@@ -110,7 +114,7 @@ def turns_of_rows(df: DataFrame, key: str) -> DataFrame:
     """Canonical turns (key, seq, role, text) of a typed DataFrame. Raises ValueError when its schema has no known layout."""
     x = layout_of_schema(df.drop(key).schema)
     if x is None:
-        raise ValueError(f"no layout has the fields {sorted(set(schema_paths(df.drop(key).schema)) & set(KNOWN))}")
+        raise ValueError(f"no layout has the fields {sorted(schema_paths(df.drop(key).schema))}")
     if x.row:
         turn, role, text = x.row
         rows = df.select(F.col(key).alias("key"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -127,23 +131,35 @@ _JSON_SCHEMA = T.StructType(
 )
 
 
-def fingerprint_of_json(record: Column) -> Column:
-    """The fingerprint of a JSON text's own field paths; arrays are told by their first element."""
+def paths_of_json(record: Column) -> Column:
+    """The nested field paths of a JSON text; those of arrays are of all their elements."""
     none = F.array().cast("array<string>")
-    top = F.coalesce(F.json_object_keys(record), none)
 
     def elements(name: str) -> Column:
-        keys = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), none)
+        each = F.coalesce(F.from_json(F.get_json_object(record, f"$.{name}"), "array<string>"), none)
+        keys = F.flatten(F.transform(each, lambda e: F.coalesce(F.json_object_keys(e), none)))
         return F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k))
 
-    nested = [elements(n) for n in ("messages", "conversations")]
-    paths = F.array_intersect(F.concat(top, *nested), F.array(*map(F.lit, KNOWN)))
-    return F.sha2(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"), 256)
+    return F.array_distinct(F.concat(F.coalesce(F.json_object_keys(record), none), *[elements(n) for n in ("messages", "conversations")]))
+
+
+def _fingerprint_of(paths: Column, x: Layout) -> Column:
+    return F.sha2(F.array_join(F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, own_paths(x))))), "\n"), 256)
 
 
 def layout_of_json(record: Column) -> Column:
-    named = F.create_map(*[F.lit(x) for k, v in BY_FINGERPRINT.items() if not v.row for x in (k, v.name)])
-    return F.try_element_at(named, fingerprint_of_json(record))
+    """The name of the first layout that has a fingerprint of its fields in the record, else null."""
+    paths = paths_of_json(record)
+    named = F.lit(None).cast("string")
+    for x in reversed(LAYOUTS):
+        if not x.row:
+            named = F.when(_fingerprint_of(paths, x).isin(*sorted(FINGERPRINTS[x.name])), x.name).otherwise(named)
+    return named
+
+
+def rejected_json(df: DataFrame, key: str, record: str) -> DataFrame:
+    """Rows (key, record, paths) of the records that turns_of_json leaves out, for they have no layout."""
+    return df.select(F.col(key).alias("key"), F.col(record).alias("record"), paths_of_json(F.col(record)).alias("paths")).where(layout_of_json(F.col("record")).isNull())
 
 
 def turns_of_json(df: DataFrame, key: str, record: str) -> DataFrame:
