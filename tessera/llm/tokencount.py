@@ -5,15 +5,15 @@ least total cost; a piece costs round(1000 * log2(rank + 16)) by its rank in the
 Zipf prior: nothing is trained), a byte outside all pieces costs BYTE_COST and is one token. Of
 equal costs the one with fewer tokens counts.
 
-The distinct pre-tokens of a chunk are inserted in a trie, level by level: a node is a distinct
-prefix. A node's forward score is computed once however many words share it, from the scores of
-its ancestors and the pieces that end at it; a word's count is stored at its terminal node. Counts
-go into a bounded cache of the worker, so a word that comes again isn't walked again. Documents are
+The distinct pre-tokens of a chunk of text that weren't met before go into one trie, level by level:
+a node is a distinct prefix. A node's forward score is computed once however many words share it, from
+the scores of its ancestors and the pieces that end at it; a word's count is stored at its terminal
+node. Counts go into a bounded cache of the worker, so a word that comes again isn't walked again. Documents are
 never shuffled and a document's counts are summed where it lies.
 
 Defined cases: a null or empty text has no pre-tokens and no tokens; repeated rows give a row each;
-an empty table an empty result; a word longer than LONG bytes takes the same recurrence in a plain
-loop; other columns are not read.
+an empty table an empty result; a word longer than LONG bytes takes the same recurrence alone, in
+numbers without a bound; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.wordhash import _BASE, _INVERSE, BLANK_SEPARATED, U, mix, words
+from tessera.llm.wordhash import _BASE, BLANK_SEPARATED, U, _power, mix, words
 
 MARK = "▁".encode()
 LONG = 160
 BYTE_COST = 40_000
 CACHE_WORDS = 1 << 20
-#: A score is cost << SHIFT | tokens, so that the least score is the least cost, then the fewest tokens.
+#: In the trie a score is cost << SHIFT | tokens, so that the least score is the least cost, then the fewest tokens.
 SHIFT = 24
 
 
@@ -75,46 +75,61 @@ def load_pieces(path: str) -> list[str]:
 
 
 def count_one(v: Vocabulary, word: bytes) -> int:
-    """The recurrence for one pre-token, in a plain loop."""
-    best = [0]
+    """The recurrence for one pre-token of any length, in a plain loop over unbounded numbers."""
+    best = [(0, 0)]
     for end in range(1, len(word) + 1):
-        s = best[end - 1] + (BYTE_COST << SHIFT) + 1
+        s = best[end - 1][0] + BYTE_COST, best[end - 1][1] + 1
         for n in v.lengths:
             if n > end:
                 break
             if (c := v.cost.get(word[end - n : end])) is not None:
-                s = min(s, best[end - n] + (c << SHIFT) + 1)
+                s = min(s, (best[end - n][0] + c, best[end - n][1] + 1))
         best.append(s)
-    return best[-1] & (1 << SHIFT) - 1
+    return best[-1][1]
+
+
+_MARK_HASH = U(_polynomial(MARK))
+_MARK_POWER = U(pow(_BASE, len(MARK), 1 << 64))
 
 
-def count_trie(v: Vocabulary, letters: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Token counts of distinct words: letters is a matrix of their bytes, a row each, length theirs."""
-    n, widest = len(length), int(length.max(initial=0))
+def count_trie(v: Vocabulary, buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Token counts of distinct words, MARK before each: their places in the bytes and their lengths. One trie holds them all."""
+    n, widest, mark = len(length), int(length.max(initial=0)), len(MARK)
     out = np.zeros(n, np.int64)
     order = np.argsort(-length, kind="stable")
-    letters, length = letters[order], length[order]
-    power = np.multiply.accumulate(np.concatenate([[U(1)], np.full(widest, U(_BASE))]))
-    inverse = np.multiply.accumulate(np.concatenate([[U(1)], np.full(widest, U(_INVERSE))]))
-    sums = np.zeros((widest + 1, n), U)  # by depth, so that a level lies together
-    np.cumsum((letters.T[:widest].astype(U) + U(1)) * power[:widest, None], axis=0, out=sums[1:])
+    start, length = start[order], length[order]
+    power, inverse = _power(len(buf))
+    sums = np.zeros(len(buf) + 1, U)
+    np.cumsum((buf.astype(U) + U(1)) * power[: len(buf)], out=sums[1:])
     reaching = np.searchsorted(-length, -np.arange(widest + 1), "right")
+
+    def piece(best: np.ndarray, hashes: np.ndarray, before) -> None:
+        """Lowers scores where a piece ends: its cost on top of the score before it."""
+        h = mix(hashes)
+        at = np.flatnonzero(v.bits[(h >> U(44)).astype(np.int64)])
+        if len(at):
+            i = np.minimum(np.searchsorted(v.keys, h[at]), len(v.keys) - 1)
+            own = v.keys[i] == h[at]
+            at, i = at[own], i[own]
+            best[at] = np.minimum(best[at], before(at) + v.value[i])
+
+    # The mark is the root's edge; below it a node is a distinct prefix of words.
+    root = count_one_score(v, MARK)
     node = [np.zeros(n, np.int64)]  # of each word at each depth
-    score = [np.zeros(1, np.int64)]
+    score = [np.array([root])]
     for d in range(1, widest + 1):
         m = int(reaching[d])
-        _, first, inside = np.unique(sums[d, :m], return_index=True, return_inverse=True)
+        prefix = (sums[start[:m] + d] - sums[start[:m]]) * inverse[start[:m]]
+        key, first, inside = np.unique(prefix, return_index=True, return_inverse=True)
         best = score[d - 1][node[d - 1][first]] + ((BYTE_COST << SHIFT) + 1)
+        at_d = sums[start[first] + d]
         for k in v.lengths:
+            if k == d + mark:  # a piece that takes the mark in
+                piece(best, _MARK_HASH + key * _MARK_POWER, lambda at: 0)
             if k > d:
-                break
-            h = mix((sums[d, first] - sums[d - k, first]) * inverse[d - k])
-            at = np.flatnonzero(v.bits[(h >> U(44)).astype(np.int64)])
-            if len(at):
-                i = np.minimum(np.searchsorted(v.keys, h[at]), len(v.keys) - 1)
-                own = v.keys[i] == h[at]
-                at, i = at[own], i[own]
-                best[at] = np.minimum(best[at], score[d - k][node[d - k][first[at]]] + v.value[i])
+                continue
+            low = start[first] + (d - k)
+            piece(best, (at_d - sums[low]) * inverse[low], lambda at, k=k, d=d, first=first: score[d - k][node[d - k][first[at]]])
         node.append(inside)
         score.append(best)
         ends = slice(int(reaching[d + 1]) if d < widest else 0, m)
@@ -122,6 +137,15 @@ def count_trie(v: Vocabulary, letters: np.ndarray, length: np.ndarray) -> np.nda
     return out
 
 
+def count_one_score(v: Vocabulary, word: bytes) -> int:
+    """The packed score of a short pre-token."""
+    best = [0]
+    for end in range(1, len(word) + 1):
+        pieces = (best[end - n] + (v.cost[word[end - n : end]] << SHIFT) + 1 for n in v.lengths if n <= end and word[end - n : end] in v.cost)
+        best.append(min([best[end - 1] + (BYTE_COST << SHIFT) + 1, *pieces]))
+    return best[-1]
+
+
 class Counter:
     """Counts of words by their hash, kept up to a bound."""
 
@@ -140,16 +164,8 @@ class Counter:
         for f in fresh[size > LONG]:
             out[f] = count_one(self.v, MARK + w.word(int(first[f])))
         short = fresh[size <= LONG]
-        size = size[size <= LONG]
-        # By length, so that the matrix has little padding.
-        for low, high in ((0, 8), (8, 16), (16, 32), (32, 64), (64, LONG)):
-            own = (size > low) & (size <= high)
-            if own.any():
-                at, length = short[own], size[own]
-                column = np.arange(int(length.max()))
-                spots = np.minimum(w.start[first[at]][:, None] + column, len(w.buf) - 1)
-                body = np.where(column < length[:, None], w.buf[spots], 0).astype(np.uint8)
-                out[at] = count_trie(self.v, np.hstack([np.tile(np.frombuffer(MARK, np.uint8), (len(at), 1)), body]), length + len(MARK))
+        if len(short):
+            out[short] = count_trie(self.v, w.buf, w.start[first[short]], size[size <= LONG])
         if len(self.keys) + len(fresh) > CACHE_WORDS:
             self.keys, self.counts = key, out
         elif len(fresh):
