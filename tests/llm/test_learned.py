@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import collections
+import math
+import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -103,3 +107,64 @@ def test_features_are_finite_and_of_the_whole_text():
     each = X.terms(w)
     # Both words; then their first 4 and 5 bytes, which are the same; of 6 and 7 bytes the longer one's alone; none of 8.
     assert [len(i) for i, _ in each] == [2, 2, 2, 1, 1, 0] and [len(set(h.tolist())) for _, h in each] == [2, 1, 1, 1, 1, 0]
+
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+PUNCTUATION, SYMBOLS = b".,;:!?'\"-()", b"#$%&*+/<=>@[\\]^_`{|}~"
+
+
+def slow_features(text):
+    """A text's features by plain loops; hash bins by the words' published hash."""
+    raw = (text or "").encode()
+    own = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    n, some = len(own), max(1, len(own))
+    upper, lower, wide = (sum(map(f, raw)) for f in (lambda c: 65 <= c <= 90, lambda c: 97 <= c <= 122, lambda c: c >= 128))
+    digit, mark, symbol = (sum(c in s for c in raw) for s in (b"0123456789", PUNCTUATION, SYMBOLS))
+    lines = raw.count(b"\n")
+    visible = max(1, len(raw) - lines - sum(c in b"\t\x0b\x0c\r " for c in raw))
+    kinds = [(sum(65 <= c <= 90 for c in w), sum(97 <= c <= 122 for c in w), sum(c in SYMBOLS for c in w)) for w in own]
+    pairs = list(zip(own, own[1:]))
+    out = [
+        math.log1p(n), upper / max(1, upper + lower + wide), digit / visible, mark / visible, symbol / visible, lines / some, wide / visible, raw.count(b"!") / some,
+        sum(s > 0 for _, _, s in kinds) / some, sum(u >= 2 and not x for u, x, _ in kinds) / some, sum(s == len(w) for (_, _, s), w in zip(kinds, own)) / some,
+        sum(len(w) <= 3 for w in own) / some, sum(len(w) >= 12 for w in own) / some, sum(map(len, own)) / some / 10,
+        len(set(own)) / some, 1 - len(set(pairs)) / max(1, len(pairs)), math.log1p(n / (1 + lines)),
+    ]
+    out += [math.sqrt(out[8]), math.sqrt(out[9]), out[14] * out[0]]
+    bins = collections.Counter()
+    for w in own:
+        (got,) = words(pa.array([w.decode()]), np.array([b not in (9, 10, 11, 12, 13, 32) for b in range(256)]), lower=False)
+        bins[int(got.hashes()[0]) >> 58] += 1
+    out += [math.sqrt(bins[i] / some) for i in range(Q.WORD_BINS)]
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+    grams = collections.Counter((int.from_bytes(low[i : i + 3], "little") * 2654435761 % 2**32) >> 26 for i in range(len(low) - 2))
+    return out + [math.sqrt(grams[i] / max(1, sum(grams.values()))) for i in range(Q.GRAM_BINS)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_quality_query_against_brute_force(spark):
+    """Features by plain loops, weights held against the loss they must minimise, the threshold against its quantile."""
+    from tessera.llm.queries import op7_quality
+
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    x = np.array([slow_features(t) for _, t in rows])
+    assert np.allclose(x, Q.features(pa.array([t for _, t in rows], pa.string())), atol=1e-9)
+    learn = [i for i, (d, _) in enumerate(rows) if labels.get(d) in (0, 1) and not held(d)]
+    y = np.array([labels[rows[i][0]] for i in learn], float)
+    ranker = Q.fit(x[learn], y)
+    z = np.clip((x[learn] - x[learn].mean(0)) / np.maximum(x[learn].std(0), 1e-6), -8, 8)
+    rng = np.random.default_rng(7)
+    d = z[rng.choice(np.flatnonzero(y == 1), Q.PAIRS)] - z[rng.choice(np.flatnonzero(y == 0), Q.PAIRS)]
+
+    def loss(w):
+        return np.log1p(np.exp(-(d @ w))).mean() + Q.RIDGE / 2 * (w @ w)
+
+    least = loss(ranker.weights)
+    assert all(loss(ranker.weights + step) >= least - 1e-12 for step in rng.normal(0, 1e-2, (30, x.shape[1])))
+    s = z @ ranker.weights
+    assert np.quantile(s, (y == 0).mean(), method="lower") <= ranker.threshold <= np.quantile(s, (y == 0).mean(), method="higher")
+    full = np.clip((x - x[learn].mean(0)) / np.maximum(x[learn].std(0), 1e-6), -8, 8) @ ranker.weights
+    expected = 1 / (1 + np.exp(-(full - ranker.threshold) * ranker.scale))
+    got = {r["doc_id"]: r for r in op7_quality(spark, SF).collect()}
+    assert len(got) == len(rows) and all(abs(got[k]["score"] - e) < 1e-6 and got[k]["predicted"] == (e >= 0.5) for (k, _), e in zip(rows, expected))

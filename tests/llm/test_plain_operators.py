@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import os
 import random
+import re
 import zlib
 from fractions import Fraction
 
@@ -20,8 +22,11 @@ from tessera.llm import matroska as M
 from tessera.llm import mixing as X
 from tessera.llm import sharding as S
 from tessera.llm import tokencount as T
+from tessera.llm.queries import tokenizer_path
 from tessera.llm.wordhash import BLANK_SEPARATED, words
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 # --- sharding
 
@@ -54,6 +59,8 @@ def test_shards_and_slots(spark, mess):
         assert slots == list(range(len(slots)))
     by = {r["doc_id"]: r for r in rows}
     assert by[0]["size"] == 16 and by[0]["text_crc32"] == 0 and by[10]["text_crc32"] == zlib.crc32("é\x00\x0b\x0cñ \x1c z".encode()) and by[None]["shard"] == jump(0, 3)
+    with pytest.raises(TypeError, match="whole number"):
+        S.shard_documents(mess.withColumn("doc_id", F.col("doc_id").cast("string")), 3)
     assert all(r["grown_shard"] in (r["shard"], 3) for r in rows) and S.shard_documents(mess.limit(0), 3).count() == 0
 
 
@@ -83,6 +90,38 @@ def test_trie_counts_against_brute_force():
             assert got.tolist() == [brute(v.cost, T.MARK + w.word(i)) for i in range(len(w.start))]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF) or not os.path.exists(tokenizer_path()), reason="the driver's tables or the tokenizer's files aren't here")
+def test_token_query_against_brute_force(spark):
+    from tessera.llm.queries import op4_unigram_token_counts
+
+    pieces = T.load_pieces(tokenizer_path())
+    cost = {}
+    for rank, p in enumerate(pieces):
+        cost.setdefault(p.encode(), round(1000 * math.log2(rank + 16)))
+    longest, known = max(map(len, cost)), {}
+
+    def tokens(word):
+        if word not in known:
+            best = [(0, 0)]
+            for e in range(1, len(word) + 1):
+                options = [(best[e - 1][0] + T.BYTE_COST, best[e - 1][1] + 1)]
+                best.append(min(options + [(best[s][0] + cost[word[s:e]], best[s][1] + 1) for s in range(max(0, e - longest), e) if word[s:e] in cost]))
+            known[word] = best[-1][1]
+        return known[word]
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = op4_unigram_token_counts(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        own = re.findall(rb"[^\x20\x09-\x0D]+", texts[r["doc_id"]].encode())
+        assert (r["n_pretokens"], r["n_tokens"]) == (len(own), sum(tokens(T.MARK + w) for w in own))
+
+
+def test_a_word_of_many_unknown_bytes():
+    word = "\x01".encode() * 300_000
+    assert T.count_one(T.vocabulary(PIECES), word) == 300_000
+
+
 def test_token_counts(spark, mess):
     rows = T.token_counts(mess, PIECES).collect()
     by = {r["doc_id"]: r for r in rows}
@@ -127,6 +166,45 @@ def test_broken_files():
             M.packets(bad)
 
 
+def test_several_cue_positions_and_bad_laces():
+    m = M.mux(b"x" * 64)
+    (cue,) = M.packets(m)[1]
+    at = M._uint(M.CUE_CLUSTER_POSITION, 7)
+    point = element(M.CUE_POINT, M._uint(M.CUE_TIME, 3) + b"".join(element(M.CUE_TRACK_POSITIONS, M._uint(M.CUE_TRACK, t) + at) for t in (1, 2, 5)))
+    _, cues = M.packets(M._HEAD + element(M.SEGMENT, M._SETUP + element(M.CUES, element(0xEC, b"") + point)))
+    assert [(c.track, c.timestamp_ns) for c in cues] == [(1, 3_000_000), (2, 3_000_000), (5, 3_000_000)]
+    falling = b"\x81\x00\x00\x06" + b"\x02" + M._vint(4) + M._vint_signed(-9, 1) + b"abcdefghij"
+    with pytest.raises(ValueError, match="below 0"):
+        M.packets(M._HEAD + element(M.SEGMENT, M._SETUP + element(M.CLUSTER_ID, element(M.SIMPLE_BLOCK, falling))))
+    head = {k: int.from_bytes(m[i:j], "big") for k, i, j in M.elements(m, *next(M.elements(m, 0, len(m)))[1:])}
+    assert (head[M.DOC_TYPE_VERSION], head[M.DOC_TYPE_READ_VERSION], head[M.EBML_VERSION]) == (4, 2, 1) and head[M.DOC_TYPE] == int.from_bytes(b"matroska", "big") and cue.track == 1
+
+
+def slow_feature(payload):
+    """The feature from the payload's bytes alone, one by one."""
+    n, total = len(payload), sum(payload)
+    above = [x * n >= total for x in payload]
+    frames = -(-n // 1024)
+    ms = ((frames - 1) * 1024 * 10**9 // 8000 + (n - (frames - 1) * 1024) * 10**9 // 8000) // 10**6
+    bins = ",".join(str(sum(x >> 5 == b for x in payload)) for b in range(8))
+    return f"packets={frames};cues={-(-frames // 64)};ms={ms};mean={total * 1000 // n};square={sum(x * x for x in payload) // n};turns={sum(a != b for a, b in zip(above, above[1:]))};bins={bins}"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_media_query_against_brute_force(spark):
+    from tessera.llm.queries import op9_matroska_media
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = op9_matroska_media(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = texts[r["doc_id"]].encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        m = M.mux(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(m), hashlib.sha256(m).hexdigest(), slow_feature(payload))
+
+
 def test_media_columns(spark, mess):
     media = M.to_media(mess)
     rows = M.read_media(media).collect()
@@ -137,6 +215,8 @@ def test_media_columns(spark, mess):
     table = M.packet_table(media.where("doc_id in (4, 5)"))
     assert table.groupBy("doc_id").agg(F.sum("byte_size").alias("n")).orderBy("doc_id").collect()[0]["n"] == 64 and table.where("not cued").count() == 0
     assert M.read_media(M.to_media(mess.limit(0))).count() == 0
+    none = M.read_media(media.limit(1).withColumn("media", F.lit(None).cast("binary"))).collect()
+    assert len(none) == 1 and none[0]["media_sha256"] is None and none[0]["payload_bytes"] is None
 
 
 # --- chat
@@ -172,6 +252,9 @@ RECORDS = [
     ({"messages": []}, None),
     ({"title": "x"}, None),
     ({"prompt": "p", "answer": "a"}, None),
+    ({"messages": [{"role": "user"}, {"role": "assistant", "content": "b"}]}, [("user", ""), ("assistant", "b")]),
+    ({"prompt": "p", "completion": "c", "input": "n", "question": "q"}, [("user", "p"), ("assistant", "c")]),
+    ({"instruction": "i", "output": "o", "messages": 3, "turn": 1}, [("user", "i"), ("assistant", "o")]),
 ]
 
 
@@ -179,6 +262,8 @@ def test_layouts_by_fingerprint(spark):
     df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(RECORDS)] + [(90, None), (91, "not json"), (92, "[1]")], "id long, record string")
     got = back(C.formatted(C.turns_of_json(df, "id", "record")))
     assert {k: v[0] for k, v in got.items()} == {i: t for i, (_, t) in enumerate(RECORDS) if t}
+    rejected = {r["key"]: (r["record"], r["paths"]) for r in C.rejected_json(df, "id", "record").collect()}
+    assert set(rejected) == {i for i, (_, t) in enumerate(RECORDS) if t is None} | {90, 91, 92} and rejected[9] == ('{"title": "x"}', ["title"])
     names = {r["id"]: r["l"] for r in df.select("id", C.layout_of_json(F.col("record")).alias("l")).collect()}
     assert names[0] == "prompt_completion" and names[3] == names[5] == "instruction" and names[9] is names[91] is None
 
@@ -188,6 +273,8 @@ def test_typed_layouts(spark):
     assert {k: v[0] for k, v in back(C.formatted(C.turns_of_rows(typed, "id"))).items()} == {1: [("user", "i"), ("assistant", "o")], 2: [("user", "j\n\nk"), ("assistant", "o")]}
     nested = spark.createDataFrame([(1, [("bot", "hi")])], "id long, conversations array<struct<from:string,value:string>>")
     assert back(C.formatted(C.turns_of_rows(nested, "id")))[1][0] == [("assistant", "hi")]
+    clash = spark.createDataFrame([(1, 0, "user", "x", "p", ["n"], "s")], "id long, turn long, role string, text string, prompt string, messages array<string>, system string")
+    assert back(C.formatted(C.turns_of_rows(clash, "id")))[1][0] == [("user", "x")]
     with pytest.raises(ValueError, match="no layout"):
         C.turns_of_rows(spark.range(1).withColumn("prompt", F.lit("x")), "id")
 
