@@ -17,11 +17,12 @@ order of tokens they share one among the first n - ceil(t n) + 1: the prefix. St
    gets to those of a large group of near copies and drops out at once.
 4. Candidates must also share enough prefix tokens under the second and under the third order (as many
    as a linked pair can't do without). What is left of the intersection is verified on the sets.
-5. Links so far are merged to components. Hot buckets that still hold several components are dealt by
-   the token and each prefix token under the second order, and where that still makes more than BUCKET
-   rows, under the third order too: the orders are intersected in the join, so sets that share one token
-   alone never meet. Pairs of different components that no bound excludes are verified. So no link
-   between different components is lost, and links within a component change nothing.
+5. Links so far are merged to components. In hot buckets that still hold several components, pairs of
+   different components that no bound and no order excludes are verified too. So no link between
+   different components is lost, and links within a component change nothing. A bucket of more than
+   MANY components, as unrelated sets that share a token make, is dealt by the token and each prefix
+   token under the second order: the orders are intersected in the join, so sets that share one token
+   alone never meet.
 
 Components come from alternating stars over the verified links.
 
@@ -55,6 +56,8 @@ THRESHOLD = (80, 100)
 SHARE = 1 / 4096
 LEAST_FREQUENT = 16
 BUCKET = 16
+#: Hot buckets that hold more components than this are dealt by the second order too.
+MANY = 64
 _ORDERS = (U(0x51), U(0xA7), U(0x3D))
 #: A bound on the table of frequent tokens; beyond it the less frequent ones are ordered by hash like others.
 MOST_FREQUENT = 200_000
@@ -258,7 +261,7 @@ def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return apart.select(F.col("own").alias("k"), "text"), ties
 
 
-def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = K, threshold: tuple[int, int] = THRESHOLD, share: float = SHARE, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame, bool]:
+def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = K, threshold: tuple[int, int] = THRESHOLD, share: float = SHARE, bucket: int = BUCKET, many: int = MANY) -> tuple[DataFrame, DataFrame, bool]:
     """(classes, links, apart): rows (rep, n, f1, f2) of the classes of equal sets, the verified links (a, b) that join their
     components, and whether an id has several texts, so that reps aren't ids."""
     num, den = threshold
@@ -307,25 +310,24 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     links = first.where("linked").select("a", "b")
 
     placed = cut(rare.select("token", "k", "n", "i").join(components(links), rare["k"] == F.col("node"), "left").withColumn("component", F.coalesce("component", "k")).drop("node"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    several = placed.join(mixed, "token").groupBy("k", "n", "component").agg(F.array_sort(F.collect_list(F.struct("i", "token"))).alias("own"))
-    # A pair meets at the first of these tokens that it shares, with the strictest bound. Should an earlier shared token
-    # lie in a bucket that isn't among these, the pair was met there or is one component.
+    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.approx_count_distinct("component").alias("held")).where("low < high")
+    several = placed.join(mixed.select("token", (F.col("held") > many).alias("crowded")), "token").groupBy("k", "n", "component").agg(F.array_sort(F.collect_list(F.struct("i", "token", "crowded"))).alias("own"))
+    # A pair meets at the first of these tokens that it shares, so it comes once and with the strictest bound. Should
+    # an earlier shared token lie in a bucket that isn't among these, the pair was met there or is one component.
     several = several.select("k", "n", "component", "own", F.posexplode("own").alias("at", "t"))
     before = F.transform(F.slice("own", F.lit(1), F.col("at")), lambda t: t["token"])
-    several = several.select(F.col("t.token").alias("token"), "k", "n", F.col("t.i").alias("i"), "component", before.alias("before"))
-    # A linked pair shares prefix tokens under the other orders too, so it still meets when a bucket is dealt by these.
-    second = several.join(reps.select("k", "p2"), "k").withColumn("t2", F.explode(F.array_distinct("p2"))).drop("p2")
-    split = second.groupBy("token", "t2").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high").select("token", "t2", (F.col("rows") > bucket).alias("large"))
-    second = cut(second.join(split, ["token", "t2"]))
-    third = second.where("large").join(reps.select("k", "p3"), "k").withColumn("t3", F.explode(F.array_distinct("p3"))).drop("p3")
+    several = several.select(F.col("t.token").alias("token"), "k", "n", F.col("t.i").alias("i"), "component", before.alias("before"), F.col("t.crowded").alias("crowded"))
     apart = (F.col("x.component") != F.col("y.component")) & ~F.arrays_overlap("x.before", "y.before")
-    across = _bucket_pairs(second.where("not large"), ["token", "t2"], num, den, apart).unionByName(_bucket_pairs(third, ["token", "t2", "t3"], num, den, apart)).distinct()
+    # A linked pair shares a prefix token under the second order too, so it still meets where a bucket is dealt by these: at the first of them.
+    second = several.where("crowded").join(reps.select("k", F.array_distinct("p2").alias("p2")), "k").select("token", "k", "n", "i", "component", "before", "p2", F.posexplode("p2").alias("at", "t2"))
+    second = second.withColumn("before2", F.slice("p2", F.lit(1), F.col("at"))).drop("p2", "at")
+    across = _bucket_pairs(several.where("not crowded"), ["token"], num, den, apart)
+    across = across.unionByName(_bucket_pairs(second, ["token", "t2"], num, den, apart & ~F.arrays_overlap("x.before2", "y.before2")))
     rest = cut(likely(across.join(first.select("a", "b"), ["a", "b"], "left_anti")))
     last = verified(rest)
     every = links.unionByName(last.where("linked").select("a", "b"))
     every = cut(every if ties is None else every.unionByName(ties))
-    drop(shared, candidates, first, placed, second, rest, last)
+    drop(shared, candidates, first, placed, rest, last)
     return reps.select(F.col("k").alias("rep"), "n", "f1", "f2"), every, ties is not None
 
 

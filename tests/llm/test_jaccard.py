@@ -58,10 +58,10 @@ def texts():
     return [*out, *out[:9]]
 
 
-@pytest.mark.parametrize(("bucket", "share", "k", "num"), [(16, 1 / 4096, 3, 90), (2, 1 / 4096, 3, 90), (1, 0.05, 3, 90), (1000, 1.0, 3, 90), (16, 1 / 4096, 5, 80), (1, 0.05, 5, 80)])
-def test_against_brute_force(spark, texts, bucket, share, k, num):
+@pytest.mark.parametrize(("bucket", "share", "k", "num", "many"), [(16, 1 / 4096, 3, 90, 64), (2, 1 / 4096, 3, 90, 64), (1, 0.05, 3, 90, 0), (1000, 1.0, 3, 90, 64), (16, 1 / 4096, 5, 80, 64), (1, 0.05, 5, 80, 0)])
+def test_against_brute_force(spark, texts, bucket, share, k, num, many):
     docs = spark.createDataFrame(make(texts), SCHEMA).repartition(4)
-    rows = J.jaccard_components(docs, bucket=bucket, share=share, k=k, threshold=(num, 100)).orderBy("doc_id").collect()
+    rows = J.jaccard_components(docs, bucket=bucket, share=share, k=k, threshold=(num, 100), many=many).orderBy("doc_id").collect()
     assert [(r["n_shingles"], r["component_id"]) for r in rows] == brute(texts, k, num)
 
 
