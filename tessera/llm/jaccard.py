@@ -316,18 +316,20 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     # an earlier shared token lie in a bucket that isn't among these, the pair was met there or is one component.
     several = several.select("k", "n", "component", "own", F.posexplode("own").alias("at", "t"))
     before = F.transform(F.slice("own", F.lit(1), F.col("at")), lambda t: t["token"])
-    several = several.select(F.col("t.token").alias("token"), "k", "n", F.col("t.i").alias("i"), "component", before.alias("before"), F.col("t.crowded").alias("crowded"))
+    several = cut(several.select(F.col("t.token").alias("token"), "k", "n", F.col("t.i").alias("i"), "component", before.alias("before"), F.col("t.crowded").alias("crowded")))
     apart = (F.col("x.component") != F.col("y.component")) & ~F.arrays_overlap("x.before", "y.before")
-    # A linked pair shares a prefix token under the second order too, so it still meets where a bucket is dealt by these: at the first of them.
-    second = several.where("crowded").join(reps.select("k", F.array_distinct("p2").alias("p2")), "k").select("token", "k", "n", "i", "component", "before", "p2", F.posexplode("p2").alias("at", "t2"))
-    second = second.withColumn("before2", F.slice("p2", F.lit(1), F.col("at"))).drop("p2", "at")
-    across = _bucket_pairs(several.where("not crowded"), ["token"], num, den, apart)
-    across = across.unionByName(_bucket_pairs(second, ["token", "t2"], num, den, apart & ~F.arrays_overlap("x.before2", "y.before2")))
+    across = _bucket_pairs(several.where("not crowded").drop("crowded"), ["token"], num, den, apart)
+    crowded = several.where("crowded").drop("crowded")
+    if not crowded.isEmpty():
+        # A linked pair shares a prefix token under the second order too, so it still meets where a bucket is dealt by these: at the first of them.
+        second = crowded.join(reps.select("k", F.array_distinct("p2").alias("p2")), "k").select("token", "k", "n", "i", "component", "before", "p2", F.posexplode("p2").alias("at", "t2"))
+        second = second.withColumn("before2", F.slice("p2", F.lit(1), F.col("at"))).drop("p2", "at")
+        across = across.unionByName(_bucket_pairs(second, ["token", "t2"], num, den, apart & ~F.arrays_overlap("x.before2", "y.before2")))
     rest = cut(likely(across.join(first.select("a", "b"), ["a", "b"], "left_anti")))
     last = verified(rest)
     every = links.unionByName(last.where("linked").select("a", "b"))
     every = cut(every if ties is None else every.unionByName(ties))
-    drop(shared, candidates, first, placed, rest, last)
+    drop(shared, candidates, first, placed, several, rest, last)
     return reps.select(F.col("k").alias("rep"), "n", "f1", "f2"), every, ties is not None
 
 
