@@ -12,8 +12,8 @@ order of tokens they share one among the first n - ceil(t n) + 1: the prefix. St
    gives the pairs that pass the length and the positional bound.
 3. In a bucket of more than BUCKET representatives ("hot") the set with the fewest tokens of its own,
    that is outside the frequent ones, is the centre; every other is paired with it, so the pairs grow
-   with the rows and not with their square. The centre comes with the token's count, so nothing is
-   dealt by a hot token to find it. As frequent tokens come last, a set with too many of its own never
+   with the rows and not with their square; the rows are dealt to their centre in parts of about PART,
+   so no task gets a whole hot bucket. As frequent tokens come last, a set with too many of its own never
    gets to those of a large group of near copies and drops out at once.
 4. Candidates must also share enough prefix tokens under the second and under the third order (as many
    as a linked pair can't do without). What is left of the intersection is verified on the sets.
@@ -56,6 +56,7 @@ THRESHOLD = (80, 100)
 SHARE = 1 / 4096
 LEAST_FREQUENT = 16
 BUCKET = 16
+PART = 256
 #: Hot buckets that hold more components than this are dealt by the second order too.
 MANY = 64
 _ORDERS = (U(0x51), U(0xA7), U(0x3D))
@@ -280,9 +281,10 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     signed = rows.mapInArrow(_signatures(frequent, k, num, den, 3), f"{_SIGNATURE}, own int, p1 array<long>, p2 array<short>, p3 array<short>").where("n > 0")
     reps = cut(signed.groupBy("n", "f1", "f2").agg(F.min(F.struct("k", "own", "p1", "p2", "p3")).alias("s")).select("n", "f1", "f2", "s.*"))
     prefix = reps.select("k", "n", "own", F.posexplode("p1").alias("i", "token"))
-    crowd = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("own", "k", "n", "i")).alias("c")).where("count > 1")
-    hot = F.col("count") > bucket
-    shared = cut(prefix.join(crowd.select("token", hot.alias("hot"), F.when(hot, F.col("c")).alias("c")), "token").select("token", "k", "n", "i", "hot", "c"))
+    crowd = prefix.groupBy("token").count().where("count > 1")
+    # A hot bucket has a part for each PART rows of it, so what is dealt by it lies on many tasks.
+    parts = F.when(F.col("count") > bucket, F.floor(F.col("count") / PART) + 1)
+    shared = cut(prefix.join(crowd.select("token", parts.alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts"))).withColumn("hot", F.col("parts").isNotNull()))
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs that the second and the third order let through."""
@@ -303,7 +305,9 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
 
     # The frequent tokens come last, so a set with too many of its own never reaches those of a large group.
     rare = shared.where("hot")
-    star = rare.where((F.col("k") != F.col("c.k")) & _could(F.col("n"), F.col("c.n"), F.col("i"), F.col("c.i"), num, den)).select(F.least("k", "c.k").alias("a"), F.greatest("k", "c.k").alias("b"))
+    centres = rare.groupBy("token").agg(F.min(F.struct("own", "k", "n", "i")).alias("c"), F.max("parts").alias("parts"))
+    centres = centres.select("token", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    star = rare.drop("parts").join(centres, ["token", "part"]).where((F.col("k") != F.col("c.k")) & _could(F.col("n"), F.col("c.n"), F.col("i"), F.col("c.i"), num, den)).select(F.least("k", "c.k").alias("a"), F.greatest("k", "c.k").alias("b"))
     cold = _bucket_pairs(shared.where(~F.col("hot")).select("token", "k", "n", "i"), ["token"], num, den)
     candidates = cut(likely(cold.unionByName(star).distinct()))
     first = verified(candidates)
