@@ -57,8 +57,9 @@ SHARE = 1 / 4096
 LEAST_FREQUENT = 16
 BUCKET = 16
 PART = 256
-#: Hot buckets that hold more components than this are dealt by the second order too.
-MANY = 64
+#: Hot buckets that hold more components than this are dealt by the second order too. Below it the pairs of a row are
+#: told apart in less time than it takes to deal the row once for each token of its second prefix.
+MANY = 1024
 _ORDERS = (U(0x51), U(0xA7), U(0x3D))
 #: A bound on the table of frequent tokens; beyond it the less frequent ones are ordered by hash like others.
 MOST_FREQUENT = 200_000
