@@ -37,7 +37,7 @@ TypeError tells so.
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.substrings import zipped
-from tessera.llm.tables import cut, drop, small_batches, whole_key
+from tessera.llm.tables import cut, drop, hot_above, looked_up, small_batches, whole_key
 from tessera.llm.wordhash import BLANK_SEPARATED, U, Words, grams, mix, words
 
 K = 5
@@ -251,6 +251,30 @@ def _bucket_pairs(rows: DataFrame, keys: list[str], num: int, den: int, more=Non
     return x.join(y, where).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
 
 
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The pairs with a part for each member, (a, b, pa, pb), and what gives rows of members (k, ...) once for each part of k.
+
+    A set that is in very many pairs, as the centre of a large group is, has a part for every so many of them."""
+    above = hot_above(pairs.count())
+    if above is None:
+        return pairs.select("a", "b", F.lit(0).alias("pa"), F.lit(0).alias("pb")), lambda rows: rows.withColumn("part", F.lit(0))
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").count().where(F.col("count") > above)
+    hot = degree.select("k", (F.floor(F.col("count") / above) + 1).alias("parts"))
+
+    def part(side: str, other: str):
+        found = F.broadcast(hot.select(F.col("k").alias(side), F.col("parts").alias(f"parts_{side}")))
+        return found, F.coalesce(F.pmod(F.xxhash64(other), F.col(f"parts_{side}")), F.lit(0).cast("long")).alias(f"p{side}")
+
+    (of_a, pa), (of_b, pb) = part("a", "b"), part("b", "a")
+    dealt = pairs.join(of_a, "a", "left").join(of_b, "b", "left").select("a", "b", pa, pb)
+
+    def members(rows: DataFrame) -> DataFrame:
+        every = F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)
+        return rows.join(F.broadcast(hot), "k", "left").withColumn("part", F.explode(every)).drop("parts")
+
+    return dealt, members
+
+
 def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Rows (k, text) under keys that tell texts apart, and the pairs of keys that are of one id. Usually no id has several texts; then the rows are as given."""
     seen = rows.groupBy("k").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
@@ -264,7 +288,7 @@ def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = K, threshold: tuple[int, int] = THRESHOLD, share: float = SHARE, bucket: int = BUCKET, many: int = MANY) -> tuple[DataFrame, DataFrame, bool]:
-    """(classes, links, apart): rows (rep, n, f1, f2) of the classes of equal sets, the verified links (a, b) that join their
+    """(classes, links, apart): rows (rep, n, f1, f2, copies) of the classes of equal sets, the verified links (a, b) that join their
     components, and whether an id has several texts, so that reps aren't ids."""
     num, den = threshold
     spark = documents.sparkSession
@@ -280,17 +304,23 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     frequent = spark.sparkContext.broadcast((token[at], tiers[at]))
 
     signed = rows.mapInArrow(_signatures(frequent, k, num, den, 3), f"{_SIGNATURE}, own int, p1 array<long>, p2 array<short>, p3 array<short>").where("n > 0")
-    reps = cut(signed.groupBy("n", "f1", "f2").agg(F.min(F.struct("k", "own", "p1", "p2", "p3")).alias("s")).select("n", "f1", "f2", "s.*"))
+    reps = cut(signed.groupBy("n", "f1", "f2").agg(F.min(F.struct("k", "own", "p1", "p2", "p3")).alias("s"), F.count(F.lit(1)).alias("copies")).select("n", "f1", "f2", "copies", "s.*"))
     prefix = reps.select("k", "n", "own", F.posexplode("p1").alias("i", "token"))
     crowd = prefix.groupBy("token").count().where("count > 1")
     # A hot bucket has a part for each PART rows of it, so what is dealt by it lies on many tasks.
-    parts = F.when(F.col("count") > bucket, F.floor(F.col("count") / PART) + 1)
-    shared = cut(prefix.join(crowd.select("token", parts.alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts"))).withColumn("hot", F.col("parts").isNotNull()))
+    parts = F.when(F.col("count") > bucket, F.floor(F.col("count") / PART) + 1).otherwise(0)
+    above = hot_above(reps.agg(F.coalesce(F.sum(F.size("p1")), F.lit(0))).first()[0])
+    shared = looked_up(prefix, crowd.select("token", parts.alias("parts"), F.col("count").alias("n")), ["token"], "parts", "k", above)
+    shared = cut(shared.where("parts is not null").withColumn("part", F.expr("if(parts > 0, pmod(xxhash64(k), parts), null)")).withColumn("hot", F.col("parts") > 0))
+
+    met: list[DataFrame] = []
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs that the second and the third order let through."""
-        mine = reps.select("k", "n", "p2", "p3")
-        both = pairs.join(mine.toDF("a", "na", "a2", "a3"), "a").join(mine.toDF("b", "nb", "b2", "b3"), "b")
+        met.append(cut(pairs))
+        dealt, members = _dealt(met[-1])
+        mine = members(reps.select("k", "n", "p2", "p3"))
+        both = dealt.join(mine.toDF("a", "na", "a2", "a3", "pa"), ["a", "pa"]).join(mine.toDF("b", "nb", "b2", "b3", "pb"), ["b", "pb"])
         return both.where(_alike("a2", "b2", "na", "nb", num, den) & _alike("a3", "b3", "na", "nb", num, den)).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -298,9 +328,10 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
         ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
         texts = zipped(only_members(rows, ids)).join(ids, "k").dropDuplicates(["k"])
         texts = cut(texts)
-        near = texts.select(F.col("k").alias("a"), F.col("z").alias("za"))
-        far = texts.select(F.col("k").alias("b"), F.col("z").alias("zb"))
-        out = cut(pairs.join(near, "a").join(far, "b").select("a", "b", "za", "zb").mapInArrow(_verified(k, num, den), "a long, b long, linked boolean"))
+        dealt, members = _dealt(pairs)
+        both = members(texts.select("k", "z"))
+        near, far = both.toDF("a", "za", "pa"), both.toDF("b", "zb", "pb")
+        out = cut(dealt.join(near, ["a", "pa"]).join(far, ["b", "pb"]).select("a", "b", "za", "zb").mapInArrow(_verified(k, num, den), "a long, b long, linked boolean"))
         drop(texts)
         return out
 
@@ -315,8 +346,8 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     links = first.where("linked").select("a", "b")
 
     placed = cut(rare.select("token", "k", "n", "i").join(components(links), rare["k"] == F.col("node"), "left").withColumn("component", F.coalesce("component", "k")).drop("node"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.approx_count_distinct("component").alias("held")).where("low < high")
-    several = placed.join(mixed.select("token", (F.col("held") > many).alias("crowded")), "token").groupBy("k", "n", "component").agg(F.array_sort(F.collect_list(F.struct("i", "token", "crowded"))).alias("own"))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.approx_count_distinct("component").alias("held"), F.count(F.lit(1)).alias("n")).where("low < high")
+    several = looked_up(placed, mixed.select("token", (F.col("held") > many).alias("crowded"), F.col("n")), ["token"], "crowded", "k", above).where("crowded is not null").groupBy("k", "n", "component").agg(F.array_sort(F.collect_list(F.struct("i", "token", "crowded"))).alias("own"))
     # A pair meets at the first of these tokens that it shares, so it comes once and with the strictest bound. Should
     # an earlier shared token lie in a bucket that isn't among these, the pair was met there or is one component.
     several = several.select("k", "n", "component", "own", F.posexplode("own").alias("at", "t"))
@@ -334,8 +365,8 @@ def link_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     last = verified(rest)
     every = links.unionByName(last.where("linked").select("a", "b"))
     every = cut(every if ties is None else every.unionByName(ties))
-    drop(shared, candidates, first, placed, several, rest, last)
-    return reps.select(F.col("k").alias("rep"), "n", "f1", "f2"), every, ties is not None
+    drop(shared, candidates, first, placed, several, rest, last, *met)
+    return reps.select(F.col("k").alias("rep"), "n", "f1", "f2", "copies"), every, ties is not None
 
 
 def one_of_each(documents: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -349,11 +380,13 @@ def jaccard_components(documents: DataFrame, *, key: str = "doc_id", text: str =
     """Rows (key, n_shingles, component_id), one for each row of `documents`."""
     classes, links, apart = link_classes(documents, key=key, text=text, k=k, **how)
     found = components(links)
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
+    named = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("n").alias("size"), "f1", "f2", F.coalesce("component", "rep").alias("component"), F.col("copies").alias("n"))
+    above = hot_above(classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
     rows = documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
     nothing = documents.sparkSession.sparkContext.broadcast((np.zeros(0, U), np.zeros(0, U)))
     signed = rows.mapInArrow(_signatures(nothing, k, 1, 1, 0), _SIGNATURE)
-    out = signed.join(named, ["n", "f1", "f2"], "left").select("k", "n", "component")
+    # A text of very many copies is one class; its rows aren't dealt by it.
+    out = looked_up(signed.withColumnRenamed("n", "size"), named, ["size", "f1", "f2"], "component", "k", above).select("k", F.col("size").alias("n"), "component")
     if apart:
         # Components have names that needn't be ids: the least id of each is looked up, a row for each component.
         least = out.where("component is not null").groupBy("component").agg(F.min("k").alias("least"))

@@ -82,3 +82,25 @@ def drop(*tables: DataFrame) -> None:
     for t in tables:
         files, at = _path(t.sparkSession, t._written)
         files.delete(at, True)
+
+
+#: Keys that hold more than this share of all rows are hot; fewer rows than LEAST_HOT never are.
+HOT_SHARE, LEAST_HOT = 1 / (1 << 16), 256
+
+
+def hot_above(rows: int) -> int | None:
+    """More rows than this make a key hot. At most 65536 keys of `rows` rows can be, so a table of them may be broadcast. None: there are too few rows for one."""
+    return max(LEAST_HOT, int(rows * HOT_SHARE)) if rows > LEAST_HOT else None
+
+
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], value: str, spread: str, above: int | None) -> DataFrame:
+    """`rows` with the `value`, a few bytes, that `found` (keys, value, n) has for their keys, or null.
+
+    n is at least the number of rows of a key. Keys of more than `above` of them come by broadcast, and their rows
+    are dealt by `spread` too in the join that serves the others, so no task gets all rows of a key."""
+    if above is None:
+        return rows.join(found.select(*keys, value), keys, "left")
+    hot = F.broadcast(found.where(F.col("n") > above).select(*keys, F.col(value).alias("_hot")))
+    cold = found.where(F.col("n") <= above).select(*keys, F.col(value).alias("_cold"), F.lit(0).cast("long").alias("_salt"))
+    marked = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread).bitwiseOR(F.lit(1))))
+    return marked.join(cold, [*keys, "_salt"], "left").withColumn(value, F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_salt")

@@ -122,3 +122,14 @@ def test_components(spark):
     expected = closure(400, [(a, b) for a, b in links if a is not None])
     assert got == {n: expected[n] for a, b in links if a is not None and a != b for n in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).select(F.count("*")).first()[0] == 0
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    """The ways for keys that hold very many rows give what the plain ones give."""
+    monkeypatch.setattr("tessera.llm.tables.LEAST_HOT", 2)
+    body = [f"w{i}" for i in range(60)]
+    texts = [" ".join(body)] * 9 + [" ".join([*body[:i], "x" + str(i), *body[i + 1 :]]) for i in range(12)] + ["alone here", "", "one two three four"]
+    got = {r["doc_id"]: r["component_id"] for r in J.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bucket=2).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in brute(texts, 5, 80)]
+    path = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 120)], "a long, b long")
+    assert {(r["node"], r["component"]) for r in components(path).collect()} == {(i, 0) for i in range(21)} | {(i, 100) for i in range(100, 120)}
