@@ -104,4 +104,37 @@ SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
 FROM sized
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op2_substring_dedup": OP2, "op5_jaccard_join": OP5, "op3_chat_format": OP3, "op6_jump_shards": OP6, "op8_pfair_mixing": OP8}
+OP11 = f"""
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, {_LOWER} AS t FROM documents)
+"""
+
+# The checksum of each distinct feature once, byte by byte through the table of the polynomial.
+OP12 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+df AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS t),
+feature AS (
+  SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(list_filter(string_split(regexp_replace(hex(encode(f)), '(..)', '\1,', 'g'), ','), lambda x: x <> ''), lambda x: CAST('0x' || x AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT f FROM df UNION SELECT f FROM bf), crc_table
+),
+s AS (SELECT bucket, count(*) AS n FROM df JOIN feature USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bf JOIN feature USING (f) GROUP BY bucket),
+gain AS (
+  SELECT s.bucket, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST((SELECT sum(n) FROM s) + 10000 AS DOUBLE) / (CAST(s.n + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(n), 0) FROM t) + 10000 AS DOUBLE)))) AS BIGINT) AS g
+  FROM s LEFT JOIN t USING (bucket)
+),
+weighed AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM df JOIN feature USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, len(w) >= 20 AS eligible,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weighed USING (doc_id)
+),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE eligible)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM scored s LEFT JOIN ranked USING (doc_id)
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op2_substring_dedup": OP2, "op5_jaccard_join": OP5, "op3_chat_format": OP3, "op6_jump_shards": OP6, "op8_pfair_mixing": OP8, "op11_exact_dedup": OP11, "op12_importance_resampling": OP12}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, jaccard, matroska, mixing, quality, sharding, substrings, tokencount, toxicity
+from tessera.llm import chat, decontamination, digests, jaccard, matroska, mixing, quality, resampling, sharding, substrings, tokencount, toxicity
 from tessera.llm.tables import table
 
 
@@ -69,4 +69,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_chat_format, op4_unigram_token_counts, op5_jaccard_join, op6_jump_shards, op7_quality, op8_pfair_mixing, op9_matroska_media, op10_toxicity)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), seed=7, least_words=20, percent=25)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_chat_format, op4_unigram_token_counts, op5_jaccard_join, op6_jump_shards, op7_quality, op8_pfair_mixing, op9_matroska_media, op10_toxicity, op11_exact_dedup, op12_importance_resampling)}

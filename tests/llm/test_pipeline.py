@@ -44,15 +44,11 @@ def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "labels", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    got, expected = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLES[name]).df()
+    got, expected = QUERIES[name](spark, SF), con.sql(ORACLES[name])
     columns = sorted(got.columns)
     assert columns == sorted(expected.columns)
-
-    def rows(x):
-        return sorted(map(str, x[columns].itertuples(index=False, name=None)))
-
-    assert rows(got) == rows(expected)
+    assert sorted(map(str, got.select(*columns).toArrow().to_pylist())) == sorted(map(str, expected.select(*columns).to_arrow_table().to_pylist()))
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13))
