@@ -13,6 +13,9 @@ _TESTS = (
     r"^(?:(?:[^/]+/)*test_[^/]*\.py|(?:[^/]+/)*[^/]*_test\.py|(?:[^/]+/)*tests/(?:[^/]+/)*[^/]*\.py|(?:[^/]+/)*[^/]*\.(?:test|spec)\.(?:ts|tsx|js|jsx)|(?:[^/]+/)*__tests__/(?:[^/]+/)*[^/]*\.(?:ts|js))$"
 )
 
+#: What ends a line, CR LF as one.
+BREAKS_SQL = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
+
 # One row for each changed line: cs_id, path, side, line_ord, line_no, text.
 CONFIG_LINES = f"""
 o AS (SELECT o_orderkey AS k, o_custkey AS c, CAST(floor(o_totalprice) AS BIGINT) % 100 AS base FROM orders),

@@ -139,6 +139,26 @@ def text_corpus(documents: DataFrame) -> DataFrame:
     )
 
 
+def document_diffs(documents: DataFrame) -> DataFrame:
+    """A unified diff (cs_id, raw) for each document, one hunk over its whole text: lines with (doc_id + line) % 7 = 0 are gone, others with (doc_id + line) % 11 = 0 are followed by a note."""
+    k = F.col("doc_id")
+    at = F.transform(lines_of(F.coalesce(F.col("text"), F.lit(""))), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("n"), F.when((k + i + 1) % 7 == 0, "-").when((k + i + 1) % 11 == 0, "+").otherwise(" ").alias("what")))
+
+    def many(lines: Column, *what: str) -> Column:
+        return F.size(F.filter(lines, lambda s: s["what"].isin(*what))).cast("string")
+
+    def shown(s: Column) -> Column:
+        return F.when(s["what"] == "+", F.concat(F.lit(" "), s["x"], F.lit("\n+note "), s["n"].cast("string"))).otherwise(F.concat(s["what"], s["x"]))
+
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/test_"), k.cast("string"), _pick((".py", ".ts", ".js", ".txt", ".pyi", ".spec.tsx"), k % 6))
+    rows = documents.select(k.alias("cs_id"), path.alias("path"), at.alias("lines"))
+    lines = F.col("lines")
+    after = F.size(F.filter(lines, lambda s: s["what"] != "-")) + F.size(F.filter(lines, lambda s: s["what"] == "+"))
+    hunk = F.concat(F.lit("@@ -1,"), many(lines, " ", "-", "+"), F.lit(" +1,"), after.cast("string"), F.lit(" @@\n"), F.array_join(F.transform(lines, shown), "\n"), F.lit("\n"))
+    head = F.concat(F.lit("diff --git a/"), F.col("path"), F.lit(" b/"), F.col("path"), F.lit("\n--- a/"), F.col("path"), F.lit("\n+++ b/"), F.col("path"), F.lit("\n"))
+    return rows.select("cs_id", F.when(F.size("lines") > 0, F.concat(head, hunk)).otherwise(head).alias("raw"))
+
+
 def diff_texts(orders: DataFrame) -> DataFrame:
     """A unified diff for each order: one modified file, an edited line between two of context; every seventh ends too early."""
     k = F.col("o_orderkey")
