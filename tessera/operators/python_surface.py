@@ -12,6 +12,8 @@ import re
 from collections.abc import Callable
 from typing import NamedTuple
 
+from tessera.operators.control_flow import taken
+
 # Assertion methods by kind, with whether they negate.
 METHODS = {
     "assertEqual": ("equality", False),
@@ -138,6 +140,8 @@ class Reader:
     def __init__(self, path: str, source: Source):
         self.path, self.source = path, source
         self.pytest = self.unittest = False
+        #: Kinds of failure that something around a node of the current test takes.
+        self.taken: dict[int, frozenset[str]] = {}
 
     def tests(self) -> list[dict]:
         out = []
@@ -160,6 +164,7 @@ class Reader:
         for d in node.decorator_list:
             self.decorator(d, found)
         used = set()
+        self.taken = taken(node.body)
         for statement in node.body:
             if isinstance(statement, _SCOPES):
                 walked = [x for d in statement.decorator_list for x in (d, *_below(d))]
@@ -193,8 +198,8 @@ class Reader:
             (at, high), negated = s.span(test), not negated
             low, test = at + len("not"), test.operand
         claim = None if bracketed() else _READINGS.get(type(test), lambda *_: None)(s, test)
-        claim = claim or Claim("truthiness", [s.operand(test, low, high)])
-        return _assertion(claim.kind, "assert", node.lineno, claim.operands, claim.tolerance, negated != claim.negated)
+        claim = claim or Claim("truthiness", [s.operand(test, low, high)], [_is_literal(s, test)])
+        return _assertion(claim.kind, "assert", node.lineno, claim.operands, claim.literal, claim.tolerance, negated != claim.negated, "assertion" in self.taken.get(id(node), ()))
 
     def call(self, node: ast.Call, found: dict[str, list[dict]]) -> bool:
         """Whether the call has a known shape; if so its record is noted."""
@@ -207,7 +212,10 @@ class Reader:
         shape = next((x for x in shapes if x.fits(seen)), None)
         if shape is None:
             return False
-        found[shape.into].append(shape.record(seen))
+        record = shape.record(seen)
+        if shape.into == "assertions":
+            record["swallowed"] = ("outcome" if "pytest" in seen.callee else "assertion") in self.taken.get(id(seen.node), ())
+        found[shape.into].append(record)
         self.pytest |= shape.shows == "pytest"
         self.unittest |= shape.shows == "unittest"
         return True
@@ -218,6 +226,7 @@ class Claim(NamedTuple):
 
     kind: str
     operands: list[str]
+    literal: list[bool]
     negated: bool = False
     tolerance: float | None = None
 
@@ -230,6 +239,16 @@ def _is_approx(s: Source, node: ast.AST) -> bool:
     return isinstance(node, ast.Call) and s.last_name(node.func) == "approx"
 
 
+_LITERAL_PARTS = (ast.Constant, ast.Tuple, ast.List, ast.Set, ast.Dict, ast.UnaryOp, ast.UAdd, ast.USub, ast.Load)
+
+
+def _is_literal(s: Source, node: ast.AST) -> bool:
+    """Whether an operand is written out as a value: constants, signs and displays of them, or an approximation to such."""
+    if _is_approx(s, node) and node.args:
+        return all(_is_literal(s, a) for a in node.args)
+    return all(isinstance(n, _LITERAL_PARTS) for n in ast.walk(node))
+
+
 #: A kind of comparison that becomes another when a side, written without parentheses, has a trait; whether that turns the sense.
 _REFINED = {"identity": (_is_none, "existence", True), "equality": (_is_approx, "approximate", False)}
 
@@ -238,7 +257,7 @@ def _compared(s: Source, node: ast.Compare) -> Claim:
     span, sides = s.span(node), (node.left, *node.comparators)
     written = [s.operand(x, *span) for x in sides]
     base, opposite = COMPARISONS.get(type(node.ops[0]), ("comparison", False))
-    claim = Claim(base, written, opposite)
+    claim = Claim(base, written, [_is_literal(s, x) for x in sides], opposite)
     if claim.kind in _REFINED:
         trait, kind, turns = _REFINED[claim.kind]
         for side, text in zip(sides, written, strict=True):
@@ -249,7 +268,10 @@ def _compared(s: Source, node: ast.Compare) -> Claim:
 
 
 def _checked_type(s: Source, node: ast.Call) -> Claim | None:
-    return Claim("type", [t for _, t in s.arguments(node)[0]]) if s.last_name(node.func) == "isinstance" else None
+    if s.last_name(node.func) != "isinstance":
+        return None
+    own = s.arguments(node)[0]
+    return Claim("type", [t for _, t in own], [_is_literal(s, n) for n, _ in own])
 
 
 _READINGS = {ast.Compare: _compared, ast.Call: _checked_type}
@@ -259,6 +281,7 @@ class Seen(NamedTuple):
     """A call or decorator as shapes see it."""
 
     source: Source
+    node: ast.AST
     name: str
     callee: str
     line: int
@@ -270,12 +293,16 @@ class Seen(NamedTuple):
     def of(cls, source: Source, node: ast.AST) -> Seen:
         head = node.func if isinstance(node, ast.Call) else node
         own, named = source.arguments(node) if isinstance(node, ast.Call) else ([], {})
-        return cls(source, source.last_name(head), source.operand(head), node.lineno, [n for n, _ in own], [t for _, t in own], named)
+        return cls(source, node, source.last_name(head), source.operand(head), node.lineno, [n for n, _ in own], [t for _, t in own], named)
 
     @property
     def first(self) -> str | None:
         return next(iter(self.texts), None)
 
+    @property
+    def literal(self) -> list[bool]:
+        return [_is_literal(self.source, n) for n in self.nodes]
+
 
 class Shape(NamedTuple):
     """Calls of some names, `within` in the callee and `without` not, give a record in a list of the test and may show its framework."""
@@ -303,7 +330,7 @@ def _known_method(name: str) -> tuple[str, bool] | None:
 
 def _method_record(seen: Seen) -> dict:
     kind, negated = _known_method(seen.name)
-    return _assertion(kind, seen.name, seen.line, seen.texts, _number(seen.named.get("delta"), float) if kind == "approximate" else None, negated)
+    return _assertion(kind, seen.name, seen.line, seen.texts, seen.literal, _number(seen.named.get("delta"), float) if kind == "approximate" else None, negated)
 
 
 def _skipping(reason: str, *, shown: bool = False) -> Callable[[Seen], dict]:
@@ -315,7 +342,9 @@ def _retrying(*fields: str) -> Callable[[Seen], dict]:
 
     def record(seen: Seen) -> dict:
         numbers = (_number(seen.first if f == "0" else seen.named.get(f), int) for f in fields)
-        return {"callee": seen.name, "line": seen.line, "max_attempts": next((n for n in numbers if n is not None), None)}
+        given = next((n for n in numbers if n is not None), None)
+        # A count that no column of the schema can hold is as good as none.
+        return {"callee": seen.name, "line": seen.line, "max_attempts": given if given is not None and abs(given) < 1 << 31 else None}
 
     return record
 
@@ -350,7 +379,7 @@ DECORATORS = (
     *_PATCHES,
 )
 CALLS = (
-    Shape("assertions", _named("raises"), lambda seen: _assertion("exception", "raises", seen.line, seen.texts), "pytest", shows="pytest"),
+    Shape("assertions", _named("raises"), lambda seen: _assertion("exception", "raises", seen.line, seen.texts, seen.literal), "pytest", shows="pytest"),
     Shape("assertions", lambda name: _known_method(name) is not None, _method_record, shows="unittest"),
     Shape("skip_markers", _named("skip"), _skipping("skip"), "pytest", shows="pytest"),
     *(x._replace(without=None) for x in _PATCHES),
@@ -358,8 +387,8 @@ CALLS = (
 )
 
 
-def _assertion(kind: str, callee: str, line: int, operands: list[str], tolerance: float | None = None, negated: bool = False) -> dict:
-    return {"kind": kind, "callee": callee, "line": line, "operands": operands, "tolerance": tolerance, "negated": negated}
+def _assertion(kind: str, callee: str, line: int, operands: list[str], literal: list[bool], tolerance: float | None = None, negated: bool = False, swallowed: bool = False) -> dict:
+    return {"kind": kind, "callee": callee, "line": line, "operands": operands, "tolerance": tolerance, "negated": negated, "literal": literal, "swallowed": swallowed}
 
 
 def extract(path: str, source: str) -> dict:

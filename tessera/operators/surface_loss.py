@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.paths import detect_language
+from tessera.operators.alignment import aligned_assertions, expectation
+from tessera.operators.imports import handed_on, import_edges, module_names, prefixes
 from tessera.operators.pairing import comparable, pair_tests, signature, test_rows
 from tessera.operators.rules import Context, evidence, rule, text
 
@@ -102,3 +105,59 @@ def retried(context: Context) -> DataFrame:
     p = pairs(context).where("not removed")
     more = p.where(F.size("head_test.retries") > F.greatest(F.coalesce(F.size("base_test.retries"), F.lit(0)), F.lit(0)))
     return _rows(more, "Retry added", text("`", F.col("test_id"), "` is now retried."), F.get(F.col("head_test.retries"), F.lit(0))["line"], "head")
+
+
+def aligned(context: Context) -> DataFrame:
+    """Aligned assertions that differ, made once for the rules that read them."""
+    return context.once("aligned", lambda: aligned_assertions(pairs(context)))
+
+
+def changed_code(context: Context) -> DataFrame:
+    """(cs_id, file_ord, path) of files that aren't tests, in a language that is known, with a changed line."""
+    code = context.non_test_files().where(detect_language(F.col("path")).isNotNull()).select(*KEYS)
+    return code.join(context.lines.select(*KEYS).distinct(), [*KEYS], "left_semi")
+
+
+def _values(assertion: str) -> Column:
+    """The operands that are written out as values."""
+    return F.array_join(F.filter(f"{assertion}.operands", lambda x, i: F.get(F.col(f"{assertion}.literal"), i)), ", ")
+
+
+@rule("VID006", "Expected literal edited", severity="high", penalty=20)
+def literal_edited(context: Context) -> DataFrame:
+    """An assertion expects another value of the same expression, and code changes with it. Tolerances are VID004's."""
+    about = F.exists("now.literal", lambda x: ~x)
+    same = expectation(F.col("was")) == expectation(F.col("now"))
+    edited = aligned(context).where(same & about & F.col("was.tolerance").eqNullSafe(F.col("now.tolerance")) & (F.col("was.operands") != F.col("now.operands")))
+    rows = edited.join(changed_code(context).select("cs_id"), "cs_id", "left_semi")
+    both = F.array(evidence(F.col("was.line"), "base", F.array_join("was.operands", " | ")), evidence(F.col("now.line"), "head", F.array_join("now.operands", " | ")))
+    detail = text("`", F.col("test_id"), "` expected `", _values("was"), "`, now `", _values("now"), "`, in a change that touches code too.")
+    return rows.select(*KEYS, F.lit("Expected literal edited").alias("title"), detail.alias("detail"), both.alias("evidence"), F.lit(0).alias("check_ord"), F.col("ord").alias("line_ord"))
+
+
+@rule("VID007", "Unit under test mocked", severity="high", penalty=20)
+def unit_mocked(context: Context) -> DataFrame:
+    """A test gains a mock of what another file of the change defines: the target is resolved through the test's own imports and through modules that hand names on."""
+    p = pairs(context).where("not removed")
+    had = F.coalesce(F.transform("base_test.mocks", lambda m: m["target"]), F.expr("cast(array() as array<string>)"))
+    gained = p.select(*KEYS, "test_id", F.col("pair_ord.ord").alias("test_ord"), F.posexplode(F.filter("head_test.mocks", lambda m: (m["target"] != "") & ~F.array_contains(had, m["target"]))).alias("ord", "m"))
+    gained = gained.select(*KEYS, "test_id", "test_ord", "ord", F.col("m.target").alias("target"), F.col("m.line").alias("line"))
+    edges = context.once("imports", lambda: import_edges(context.files))
+    parts = F.split("target", r"\.")
+    local = gained.withColumn("name", F.get(parts, F.lit(0))).join(edges.select(*KEYS, "name", "stands_for").distinct(), [*KEYS, "name"])
+    rest = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), ".")
+    local = local.withColumn("resolved", F.when(F.size(parts) > 1, F.concat_ws(".", "stands_for", rest)).otherwise(F.col("stands_for")))
+    names = gained.withColumn("resolved", F.col("target")).unionByName(local.select(*gained.columns, "resolved"))
+    code = changed_code(context).where(detect_language(F.col("path")) == "python").select("cs_id", F.explode(module_names(F.col("path"))).alias("module"), F.col("path").alias("code_path"))
+    met = prefixes(handed_on(names, edges)).join(code, ["cs_id", "module"])
+    one = met.groupBy(*gained.columns).agg(F.min(F.struct("code_path", "resolved")).alias("c"))
+    detail = text("`", F.col("test_id"), "` now replaces `", F.col("target"), "`, which is `", F.col("c.resolved"), "` of ", F.col("c.code_path"), ", changed here.")
+    return one.select(*KEYS, F.lit("Unit under test mocked").alias("title"), detail.alias("detail"), F.array(evidence(F.col("line"), "head", F.col("target"))).alias("evidence"), F.col("test_ord").alias("check_ord"), F.col("ord").alias("line_ord"))
+
+
+@rule("VID008", "Exception swallowed around an assertion", severity="high", penalty=20)
+def swallowed(context: Context) -> DataFrame:
+    """An assertion that could fail its test can't any more, for something around it takes the exception and goes on."""
+    rows = aligned(context).where("not was.swallowed and now.swallowed")
+    detail = text("`", F.col("test_id"), "` goes on when the assertion on `", F.array_join("now.operands", " | "), "` fails.")
+    return rows.select(*KEYS, F.lit("Exception swallowed around an assertion").alias("title"), detail.alias("detail"), F.array(evidence(F.col("now.line"), "head", F.array_join("now.operands", " | "))).alias("evidence"), F.lit(0).alias("check_ord"), F.col("ord").alias("line_ord"))

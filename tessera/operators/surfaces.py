@@ -59,7 +59,7 @@ def capture_rows(sources: DataFrame, kind: str) -> DataFrame:
             for cs, path, content in zip(b["cs_id"], b["path"], b["content"], strict=True):
                 try:
                     rows += [(cs, path, *c) for c in captures(content, kind)]
-                except (SyntaxError, ValueError):
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
                     continue
             yield pd.DataFrame(rows, columns=["cs_id", "path", "capture", "text", "line"])
 

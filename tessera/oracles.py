@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans.derived import PATHS
+from tessera.plans.derived import ENDINGS, HANDLERS, PATHS
 from tessera.schemas import STRENGTH
 
 _PATHS = "[" + ", ".join(f"'{p}'" for p in PATHS) + "]"
@@ -150,7 +150,31 @@ def _lost(rule_id: str, severity: str, penalty: int, title: str, detail: str, li
       FROM (SELECT *, 'tests/test_m' || c_custkey || '.py' AS p, 'tests/test_m' || c_custkey || '.py::test_case' AS t FROM customer) WHERE c_custkey % 12 IN ({shapes})"""
 
 
+def _either(values) -> str:
+    return "[" + ", ".join(str(v).lower() for v in values) + "]"
+
+
+# Lines of both sides of a test's assertions on f(i), numbered by running counts; those on the same i are aligned.
+_EXPECTED = """
+a AS (SELECT c_custkey AS k, i, (c_custkey * 7 + i) % 10 AS v, (c_custkey + i) % 5 <> 4 AS old, (c_custkey + i) % 7 <> 1 AS new, (c_custkey + i) % 6 = 2 AS more, (c_custkey + i) % 4 = 0 AS edited FROM customer, range(6) r(i)),
+n AS (SELECT *, 4 + sum(CAST(old AS INTEGER)) OVER w AS bl, 4 + sum(CAST(new AS INTEGER) + CAST(more AS INTEGER)) OVER w AS hl FROM a WINDOW w AS (PARTITION BY k ORDER BY i))"""
+
 ORACLES = {
+    "vid006_literal_edited": f"""
+      WITH {_EXPECTED},
+      f AS (SELECT k AS cs_id, 'tests/test_e' || k || '.py' AS path, 'Expected literal edited' AS title, '`tests/test_e' || k || '.py::test_values` expected `' || v || '`, now `' || (v + 1) || '`, in a change that touches code too.' AS detail,
+        bl, 'f(' || i || ') | ' || v AS bt, hl, 'f(' || i || ') | ' || (v + 1) AS ht FROM n WHERE old AND new AND edited AND k % 3 <> 0)
+      SELECT {_TWO}, 'VID006' AS rule_id FROM f""",
+    "vid007_unit_mocked": f"""
+      WITH m AS (SELECT c_custkey AS k, ['m.run', 'pkg.run', 'os.path.join', 'pkg.mod.old', 'm.run', 'pkg.mod.run'][c_custkey % 6 + 1] AS target, c_custkey % 4 <> 3 AS touched FROM customer),
+      f AS (SELECT k AS cs_id, 'tests/test_k' || k || '.py' AS path, 'Unit under test mocked' AS title, '`tests/test_k' || k || '.py::test_run` now replaces `' || target || '`, which is `pkg.mod.run` of src/pkg/mod.py, changed here.' AS detail, 7 AS bl, target AS bt, 7 AS hl, target AS ht
+        FROM m WHERE touched AND k % 6 NOT IN (2, 3))
+      SELECT {_ONE}, 'VID007' AS rule_id FROM f""",
+    "vid008_exception_swallowed": f"""
+      WITH h AS (SELECT c_custkey AS k, {_either(s for _, s in HANDLERS)}[c_custkey % 4 + 1] AND {_either(s for _, s in ENDINGS)}[c_custkey // 4 % 5 + 1] AS goes_on, unnest(range(1, c_custkey % 3 + 2)) AS i FROM customer),
+      f AS (SELECT k AS cs_id, 'tests/test_h' || k || '.py' AS path, 'Exception swallowed around an assertion' AS title, '`tests/test_h' || k || '.py::test_try` goes on when the assertion on `f(' || i || ') | 1` fails.' AS detail, 6 + i AS bl, 'f(' || i || ') | 1' AS bt, 6 + i AS hl, 'f(' || i || ') | 1' AS ht
+        FROM h WHERE goes_on AND k % 11 <> 0)
+      SELECT {_ONE}, 'VID008' AS rule_id FROM f""",
     "vid001_test_removed": _lost("VID001", "high", 25, "Test removed", "no longer exists.", 8, "base", "0"),
     "vid002_assertion_removed": _lost("VID002", "high", 20, "Assertion removed", "lost 1 assertion(s).", 8, "base", "1, 2"),
     "vid003_test_skipped": _lost("VID003", "high", 15, "Test skipped", "gained a skip marker.", 8, "head", "3, 10"),

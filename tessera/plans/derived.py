@@ -216,6 +216,84 @@ def module_pairs(customers: DataFrame) -> DataFrame:
     return rows.select("cs_id", "f.file_ord", "f.path", F.lit("modified").alias("kind"), none.alias("base_path"), "f.base_content", "f.head_content", F.lit(False).alias("is_binary"), "f.hunks")
 
 
+def _change(path: Column, base: Column, head: Column, touched: Column) -> Column:
+    """A modified file with both contents; where it is touched, its head's first line is a changed one."""
+    line = F.array(F.struct(F.lit(1).alias("line"), F.lit("# changed").alias("text")))
+    none = F.expr("cast(array() as array<struct<line:int,text:string>>)")
+    hunk = F.array(F.struct(F.lit(0).alias("base_start"), F.lit(0).alias("base_lines"), F.lit(1).alias("head_start"), F.lit(1).alias("head_lines"), line.alias("added"), none.alias("removed"))).cast(HUNKS)
+    return F.struct(path.alias("path"), base.alias("base_content"), head.alias("head_content"), F.when(touched, hunk).otherwise(F.expr(f"cast(array() as {HUNKS})")).alias("hunks"))
+
+
+def _changes(customers: DataFrame, *changes: Column) -> DataFrame:
+    none = F.lit(None).cast("string")
+    rows = customers.select(F.col("c_custkey").alias("cs_id"), F.posexplode(F.array(*changes)).alias("file_ord", "f"))
+    return rows.select("cs_id", "file_ord", "f.path", F.lit("modified").alias("kind"), none.alias("base_path"), "f.base_content", "f.head_content", F.lit(False).alias("is_binary"), "f.hunks")
+
+
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def expectation_pairs(customers: DataFrame) -> DataFrame:
+    """A test of up to six assertions on f(i) for each customer: some are dropped, some are new, others of g come between, some expect one more; two of three change sets touch code too."""
+    k = F.col("c_custkey")
+
+    def body(head: bool) -> Column:
+        def lines(i: Column) -> Column:
+            value = (k * 7 + i) % 10 + (F.when((k + i) % 4 == 0, 1).otherwise(0) if head else 0)
+            own = F.when((k + i) % 7 != 1 if head else (k + i) % 5 != 4, _text("    assert f(", i.cast("string"), ") == ", value.cast("string"), "\n"))
+            between = F.when((k + i) % 6 == 2, _text("    assert g(", i.cast("string"), ") == 0\n")) if head else F.lit(None).cast("string")
+            return F.concat_ws("", between, own)
+
+        return _text("import pytest\n\n\ndef test_values():\n", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lines), ""), "    assert done\n")
+
+    name = k.cast("string")
+    other = F.when(k % 3 != 0, _text("src/m", name, ".py")).otherwise(_text("docs/m", name, ".md"))
+    none = F.lit(None).cast("string")
+    return _changes(customers, _change(_text("tests/test_e", name, ".py"), body(False), body(True), F.lit(True)), _change(other, none, none, F.lit(True)))
+
+
+#: How the head of a test module replaces something, by customer modulo 6: imports, and a line of test_run.
+MOCKS = (
+    ("import pkg.mod as m\n", "    with mock.patch.object(m, 'run'):\n        pass\n"),
+    ("from pkg import run as go\n", "    mock.patch('pkg.run')\n"),
+    ("import os\n", "    mock.patch('os.path.join')\n"),
+    ("from pkg import mod\n", "    mock.patch('pkg.mod.old')\n"),
+    ("from pkg import mod as m\n", "    monkeypatch.setattr(m, 'run', fake)\n"),
+    ("import pkg.mod\n", "    mock.patch('pkg.mod.run')\n"),
+)
+
+
+def mock_pairs(customers: DataFrame) -> DataFrame:
+    """A test module for each customer that gains a mock as MOCKS says (3: the base has it too), a package that hands `run` on, and its module, touched but for every fourth customer."""
+    k = F.col("c_custkey")
+    top = F.concat(F.lit("from unittest import mock\n"), _pick([i for i, _ in MOCKS], k % 6), F.lit("\n\ndef test_run(monkeypatch):\n    x = 1\n"))
+    base = F.concat(top, F.when(k % 6 == 3, MOCKS[3][1]).otherwise(""), F.lit("    assert x == 1\n"))
+    head = F.concat(top, _pick([m for _, m in MOCKS], k % 6), F.lit("    assert x == 1\n"))
+    handing, code = F.lit("from .mod import run\n"), F.lit("# changed\ndef run():\n    return 1\n")
+    return _changes(
+        customers, _change(_text("tests/test_k", k.cast("string"), ".py"), base, head, F.lit(True)), _change(F.lit("src/pkg/__init__.py"), handing, handing, F.lit(False)),
+        _change(F.lit("src/pkg/mod.py"), code, code, k % 4 != 3), _change(F.lit("src/pkg/rest.py"), code, code, k % 4 == 3),
+    )
+
+
+#: What a handler of the head catches, and what it does, each with whether that swallows a failed assertion.
+HANDLERS = (("except Exception:", True), ("except ValueError:", False), ("except (KeyError, AssertionError):", True), ("except:", True))
+ENDINGS = (("pass", True), ("raise", False), ("if strict:\n            raise", True), ("log()\n        return", True), ("pytest.fail('x')", False))
+
+
+def handler_pairs(customers: DataFrame) -> DataFrame:
+    """A test for each customer whose one to three assertions come into a `try` as HANDLERS and ENDINGS say; one of eleven had been in one before."""
+    k = F.col("c_custkey")
+
+    def asserted(indent: str) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), k % 3 + 1), lambda i: _text(f"{indent}assert f(", i.cast("string"), ") == 1\n")), "")
+
+    wrapped = _text("    try:\n", asserted("        "), "    ", _pick([h for h, _ in HANDLERS], k % 4), "\n        ", _pick([e for e, _ in ENDINGS], F.floor(k / 4) % 5), "\n")
+    top = F.lit("import pytest\n\n\ndef test_try():\n    x = 1\n")
+    return _changes(customers, _change(_text("tests/test_h", k.cast("string"), ".py"), F.concat(top, F.when(k % 11 == 0, wrapped).otherwise(asserted("    "))), F.concat(top, wrapped), F.lit(True)))
+
+
 def changesets(files: DataFrame, *, trailer: str = "Gate-Justification") -> DataFrame:
     """One change set for each cs_id; every ninth carries a trailer that justifies VID009."""
     said = F.when(F.col("cs_id") % 9 == 0, F.array(F.lit("Lower the bar"), F.concat(F.lit("Fix\n\n" + trailer + ": VID009 - ticket "), F.col("cs_id").cast("string")))).otherwise(F.array(F.lit("Fix")))

@@ -31,12 +31,13 @@ class Result:
         self.context.release()
 
 
-def gate(changesets: DataFrame, files: DataFrame, config: GateConfig | None = None, *, rules: tuple[str, ...] = CORE) -> Result:
-    """Findings and scores of change sets whose diffs could be parsed; the others are left out and keep their parse_error."""
+def gate(changesets: DataFrame, files: DataFrame, config: GateConfig | None = None, *, rules: tuple[str, ...] = CORE, keep: bool = True) -> Result:
+    """Findings and scores of change sets whose diffs could be parsed; the others are left out and keep their parse_error.
+    With `keep`, what several rules read is kept until release()."""
     config = config or GateConfig()
     chosen: tuple[Rule, ...] = tuple(r for r in discover() if r.id in rules)
     need = any(r.id not in CORE for r in chosen)
-    context = Context(files, config, surfaces(files, config) if need else None, keep=True)
+    context = Context(files, config, surfaces(files, config) if need else None, keep=keep)
     found = findings(context, chosen)
     good = changesets.where(F.col("parse_error").isNull())
     if found is None:

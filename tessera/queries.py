@@ -273,6 +273,24 @@ def vid012_retry_added(spark: SparkSession, d: str) -> DataFrame:
     return _lost(spark, d, "VID012")
 
 
+def _found_by(files: DataFrame, rule_id: str) -> DataFrame:
+    """What one rule finds in files with both contents; nothing is kept."""
+    rows = gate(derived.changesets(files), files, CONFIG, rules=(rule_id,), keep=False).findings
+    return _found(rows).withColumn("rule_id", F.lit(rule_id))
+
+
+def vid006_literal_edited(spark: SparkSession, d: str) -> DataFrame:
+    return _found_by(derived.expectation_pairs(derived.table(spark, d, "customer")), "VID006")
+
+
+def vid007_unit_mocked(spark: SparkSession, d: str) -> DataFrame:
+    return _found_by(derived.mock_pairs(derived.table(spark, d, "customer")), "VID007")
+
+
+def vid008_exception_swallowed(spark: SparkSession, d: str) -> DataFrame:
+    return _found_by(derived.handler_pairs(derived.table(spark, d, "customer")), "VID008")
+
+
 def captures(spark: SparkSession, d: str) -> DataFrame:
     return capture_rows(derived.source_texts(derived.table(spark, d, "customer")), "Call").select("cs_id", "text", "line")
 
@@ -289,7 +307,7 @@ QUERIES = {
         gate_over_orders, vid009_coverage_lowered, vid009_timeout_raised, vid009_flags, vid009_strict_flip, vid009_or_true, vid009_retry_window,
         vid010_ignore_flag, vid010_gitignore, vid010_list_changes, vid010_list_items, tokens, findings_sorted, justified_findings, trust_score, score_bands, rule_overrides,
         glob_match_test_paths, detect_languages, test_file_split, file_lines, nth_line, changed_lines, changed_text, change_lookup, hunks_from_pair, parse_unified_diff,
-        vid001_test_removed, vid002_assertion_removed, vid003_test_skipped, vid004_tolerance_loosened, vid005_assertion_weakened, vid011_untested_code, vid012_retry_added,
+        vid001_test_removed, vid002_assertion_removed, vid003_test_skipped, vid004_tolerance_loosened, vid005_assertion_weakened, vid011_untested_code, vid012_retry_added, vid006_literal_edited, vid007_unit_mocked, vid008_exception_swallowed,
         blob_attach, commit_messages, pair_tests, removed_tests, added_tests, surface_strength, assertion_signatures, extract_surface, surface_states, captures,
     )
 }

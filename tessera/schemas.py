@@ -13,7 +13,7 @@ HUNKS = f"array<{HUNK}>"
 FILE_CHANGES = f"cs_id long, file_ord int, path string, kind string, base_path string, base_content string, head_content string, is_binary boolean, hunks {HUNKS}"
 CHANGESETS = "cs_id long, base_ref string, head_ref string, commit_messages array<string>, parse_error string"
 
-ASSERTION = "struct<kind:string,callee:string,line:int,operands:array<string>,tolerance:double,negated:boolean>"
+ASSERTION = "struct<kind:string,callee:string,line:int,operands:array<string>,tolerance:double,negated:boolean,literal:array<boolean>,swallowed:boolean>"
 SKIP = "struct<reason:string,line:int,expression:string>"
 MOCK = "struct<target:string,line:int,callee:string>"
 RETRY = "struct<callee:string,line:int,max_attempts:int>"

@@ -25,6 +25,8 @@ QUOTED_PATHS = re.compile(r'("(?:[^"\\]|\\.)*") ("(?:[^"\\]|\\.)*")')
 SPLIT_PATHS = re.compile(r"a/(.+?) b/(.+)")
 ESCAPES = {'"': 34, "\\": 92, "n": 10, "t": 9, "r": 13, "a": 7, "b": 8, "f": 12, "v": 11}
 NULL_FILE = "/dev/null"
+#: Line numbers and counts are below this, so that a hunk's last line is still a 32-bit number.
+MOST_LINES = 1 << 30
 
 _ESCAPED = re.compile(r"\\([0-7]{1,3})|\\(.)|([^\\]+|\\$)", re.DOTALL)
 
@@ -87,7 +89,10 @@ class _Lines:
 
 
 def _hunk(lines: _Lines) -> dict:
-    numbers = HUNK_HEAD.match(lines.next()).groups()
+    head = lines.next()
+    numbers = HUNK_HEAD.match(head).groups()
+    if any(n is not None and (len(n) > 18 or int(n) >= MOST_LINES) for n in numbers):
+        raise DiffError(f"malformed hunk header: {head!r}")
     starts = {"base": int(numbers[0]), "head": int(numbers[2])}
     sizes = {"base": 1 if numbers[1] is None else int(numbers[1]), "head": 1 if numbers[3] is None else int(numbers[3])}
     seen = {"base": 0, "head": 0}
