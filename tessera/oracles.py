@@ -236,6 +236,10 @@ ORACLES = {
       WITH {CONFIG_LINES}, f AS (SELECT DISTINCT cs_id % 500 AS cs_id, line_no AS file_ord, path FROM config_lines WHERE line_ord = 0 AND side = 'base'),
       g AS (SELECT *, CASE WHEN file_ord % 3 = 0 THEN 'added' ELSE 'modified' END AS kind, min(file_ord) OVER (PARTITION BY cs_id) AS first FROM f WHERE path = 'pyproject.toml')
       SELECT cs_id, file_ord, path, kind FROM g WHERE file_ord = first AND kind = 'added'""",
+    "hunks_from_pair": f"""
+      WITH {_TEXT}, k AS (SELECT doc_id, line, n, total, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i, count(*) OVER (PARTITION BY doc_id) AS c FROM x WHERE (doc_id + n) % 7 <> 0),
+      kept AS (SELECT doc_id, count(*) AS kept FROM k WHERE NOT (i = c AND line = '') GROUP BY doc_id)
+      SELECT w.doc_id AS cs_id, len(lines) - coalesce(kept, 0) AS n_removed, CAST(0 AS BIGINT) AS n_added FROM w LEFT JOIN kept USING (doc_id)""",
     "parse_unified_diff": """
       SELECT o_orderkey AS cs_id, CASE WHEN ok THEN 'src/m' || o_orderkey || '.py' END AS path, CASE WHEN ok THEN 'modified' END AS kind, CASE WHEN ok THEN CAST(o_orderkey % 50 + 1 AS INTEGER) END AS base_start, CASE WHEN ok THEN 3 END AS head_lines,
         CASE WHEN ok THEN CAST(o_orderkey % 50 + 2 AS INTEGER) END AS line_no, CASE WHEN ok THEN 'new ' || o_custkey END AS added, CASE WHEN ok THEN 'old ' || o_custkey END AS removed, NOT ok AS failed
