@@ -1,10 +1,11 @@
 from __future__ import annotations
 
+import json
 import subprocess
 
 import pytest
 
-from tessera.sources.git import GitError, files_of, load, load_range, messages, read_ranges
+from tessera.sources.git import Blobs, GitError, files_of, load, load_range, messages, read_ranges
 from tessera.sources.pairs import hunks
 
 
@@ -59,3 +60,34 @@ def test_messages_and_hunks():
     (h,) = hunks("a\nb\nc\n", "a\nB\nc\n")
     assert h["removed"] == [{"line": 2, "text": "b"}] and h["added"] == [{"line": 2, "text": "B"}]
     assert hunks(None, "x\n")[0]["added"] == [{"line": 1, "text": "x"}] and hunks("x", "x\n") == []
+
+
+def test_data_source(spark, repository, tmp_path_factory):
+    from tessera.plans.gate import gate
+    from tessera.sources.git import register, split_ranges
+
+    register(spark)
+    ranges = [{"cs_id": 1, "repository": str(repository), "base": "HEAD~1", "head": "HEAD"}, {"cs_id": 2, "repository": str(repository), "base": "nowhere", "head": "HEAD"}, {"cs_id": 3, "repository": str(repository), "base": "HEAD", "head": "HEAD"}, {"cs_id": 4, "repository": str(tmp_path_factory.mktemp("none") / "x"), "base": "a", "head": "b"}]
+    rows = spark.read.format("git_ranges").option("ranges", json.dumps(ranges)).load()
+    assert rows.rdd.getNumPartitions() == 4
+    sets, files = split_ranges(rows)
+    told = {r["cs_id"]: r for r in sets.collect()}
+    assert sorted(told) == [1, 2, 3, 4] and told[1]["parse_error"] is None and told[1]["commit_messages"] == ["second\n\nGate-Justification: VID009 - agreed"] and told[3]["parse_error"] is None
+    assert "failed" in told[2]["parse_error"] and "can't be run" in told[4]["parse_error"]
+    one, changed = load_range(spark, repository, "HEAD~1", "HEAD", cs_id=1)
+    assert sorted(map(str, files.collect())) == sorted(map(str, changed.select(*files.columns).collect()))
+    done = gate(sets, files, keep=False)
+    assert {r["cs_id"]: r["value"] for r in done.scores.collect()} == {1: 100, 3: 100}
+    bare = spark.read.format("git_ranges").option("repository", str(repository)).option("base", "HEAD~1").option("head", "HEAD").option("contents", "false").load()
+    assert bare.count() == 4 and bare.where("base_content is not null or head_content is not null").count() == 0
+    with pytest.raises(Exception, match="failed:|can't be run"):
+        spark.read.format("git_ranges").option("ranges", json.dumps(ranges)).option("mode", "failfast").load().collect()
+    for options in ({"repository": "x"}, {"ranges": json.dumps(ranges), "mode": "other"}):
+        with pytest.raises(Exception, match="range has|no such mode"):
+            spark.read.format("git_ranges").options(**options).load().collect()
+
+
+def test_blobs(repository):
+    with Blobs(repository) as blobs:
+        asked = [("HEAD~1", "keep.py"), ("HEAD", "nothing"), ("HEAD", "new.py"), ("nowhere", "keep.py"), ("HEAD", "a\nb"), ("HEAD", ""), ("HEAD", "keep.py")]
+        assert [blobs.read(*x) for x in asked] == ["one\ntwo\n", None, "hi\n", None, None, None, "one\nTWO\n"]
