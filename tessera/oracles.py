@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera import branch_queries
 from tessera.plans.derived import ENDINGS, HANDLERS, PATHS
 from tessera.schemas import STRENGTH
 
@@ -220,8 +221,8 @@ ORACLES = {
     "justified_findings": f"WITH {FINDINGS} SELECT cs_id, rule_id, title, justification, 0 AS effective_penalty FROM judged WHERE justification IS NOT NULL",
     "trust_score": f"WITH {FINDINGS} SELECT cs_id, value, 70 AS threshold, n AS n_unjustified, worst_severity, value >= 70 AS passed, band, {_SUMMARY} AS summary FROM band",
     "score_bands": f"""
-      WITH v AS (SELECT CAST(v AS INTEGER) AS value, t AS threshold, v % 3 AS n, CASE WHEN v >= 90 THEN 'trusted' WHEN v >= t THEN 'acceptable' WHEN v >= 40 THEN 'suspect' ELSE 'untrusted' END AS band FROM range(0, 101) r(v), (VALUES (70), (95), (30)) x(t))
-      SELECT value, threshold, band, value >= threshold AS passed, {_SUMMARY} AS summary FROM v""",
+      WITH v AS (SELECT *, value % 3 AS n, CASE WHEN value >= 90 THEN 'trusted' WHEN value >= threshold THEN 'acceptable' WHEN value >= 40 THEN 'suspect' ELSE 'untrusted' END AS band FROM (SELECT o_orderkey AS cs_id, CAST(o_orderkey % 101 AS INTEGER) AS value, [70, 95, 30][o_custkey % 3 + 1] AS threshold FROM orders))
+      SELECT cs_id, value, threshold, band, value >= threshold AS passed, {_SUMMARY} AS summary FROM v""",
     "rule_overrides": f"WITH {FLAG_LINES}, {_numeric('f', 'flag_lines')}, r AS ({_lowered('f')} UNION ALL {_raised('f')} UNION ALL {_FLAGS} UNION ALL {_STRICT} UNION ALL {_OR_TRUE}) SELECT 'VID009' AS rule_id, 'low' AS severity, 0 AS penalty, count(*) AS n FROM r",
     "glob_match_test_paths": rf"""
       WITH {_TEXT} SELECT doc_id AS cs_id, path, NOT starts_with(path, 'src1/') AND regexp_matches(path, '{_TESTS}') AS is_test, regexp_matches(path, '^src[^/]/[^/]*/test_[1-4][^/]*\.py$') AS set_match, true AS related, path AS normalized FROM d""",
@@ -264,4 +265,4 @@ ORACLES = {
         SELECT doc_id, 'base' AS side, CASE WHEN NOT python THEN 'not_applicable' WHEN kind = 'added' THEN 'absent' WHEN doc_id % 5 = 0 THEN 'unknown' ELSE 'parsed' END AS status FROM k
         UNION ALL SELECT doc_id, 'head', CASE WHEN NOT python THEN 'not_applicable' WHEN kind = 'deleted' THEN 'absent' ELSE 'unparsed' END FROM k)""",
     "captures": "SELECT c_custkey AS cs_id, 'load(' || c_custkey || ')' AS text, 5 AS line FROM customer UNION ALL SELECT c_custkey, 'check(' || c_custkey % 7 || ')', 12 FROM customer",
-}
+} | branch_queries.ORACLES

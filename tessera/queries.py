@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import branch_queries
 from tessera.config import GateConfig, RuleSetting
 from tessera.functions import lines as L
 from tessera.functions.listvalues import list_values, token_array
@@ -110,10 +111,11 @@ def trust_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_bands(spark: SparkSession, d: str) -> DataFrame:
-    """Bands and texts over all values, by threshold."""
-    values = spark.range(0, 101).select(F.col("id").cast("int").alias("value"), F.explode(F.array(*map(F.lit, (70, 95, 30)))).alias("threshold"))
+    """Bands and texts of values from 0 to 100 that orders give, by threshold."""
+    k = F.col("o_orderkey")
+    values = _orders(spark, d).select(k.alias("cs_id"), (k % 101).cast("int").alias("value"), F.get(F.array(*map(F.lit, (70, 95, 30))), (F.col("o_custkey") % 3).cast("int")).alias("threshold"))
     b = findings.band(F.col("value"), F.col("threshold"))
-    return values.select("value", "threshold", b.alias("band"), (F.col("value") >= F.col("threshold")).alias("passed"), findings.summary(F.col("value"), b, F.col("value") % 3).alias("summary"))
+    return values.select("cs_id", "value", "threshold", b.alias("band"), (F.col("value") >= F.col("threshold")).alias("passed"), findings.summary(F.col("value"), b, F.col("value") % 3).alias("summary"))
 
 
 def rule_overrides(spark: SparkSession, d: str) -> DataFrame:
@@ -310,4 +312,4 @@ QUERIES = {
         vid001_test_removed, vid002_assertion_removed, vid003_test_skipped, vid004_tolerance_loosened, vid005_assertion_weakened, vid011_untested_code, vid012_retry_added, vid006_literal_edited, vid007_unit_mocked, vid008_exception_swallowed,
         blob_attach, commit_messages, pair_tests, removed_tests, added_tests, surface_strength, assertion_signatures, extract_surface, surface_states, captures,
     )
-}
+} | branch_queries.QUERIES
