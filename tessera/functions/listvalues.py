@@ -1,13 +1,16 @@
-"""Values of list settings in configuration files: a scan over lines with a bracket depth, so pandas."""
+"""Values of list settings in configuration files: a fold over lines with a bracket depth.
+
+`list_values` does it in Catalyst expressions; `list_value` says the same for one text in Python.
+"""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tessera.functions.lines import BREAKS
 
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
 # Fixed value: a list's tokens: double-quoted, single-quoted or bare.
@@ -42,14 +45,39 @@ def list_value(content: str, key: str) -> list[str] | None:
     return None
 
 
-def list_values(content: Column, keys: tuple[str, ...]) -> Column:
-    """A map from each of keys to its items; a key without a value has null items. Each content is read once for all keys."""
+# Fixed value: how a key is named, before its value.
+NAMED = r"""["']?\b{}\b["']?\s*[:=]"""
+
+
+def _balance(line: Column) -> Column:
+    """Opened brackets less closed ones."""
+    return F.length(F.translate(line, "]", "")) - F.length(F.translate(line, "[", ""))
 
-    @F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
-    def read(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda c: None if c is None else {k: list_value(c, k) for k in keys})
 
-    return read(content)
+def _value(lines: Column, key: str) -> Column:
+    """The items of the first setting named key among lines; null where there is none or its array never ends."""
+    named = NAMED.format(re.escape(key))
+    at = F.array_position(F.transform(lines, lambda x: x.rlike(named)), F.lit(True)).cast("int")
+    rest = F.regexp_extract(F.get(lines, at - 1), f"(?s){named}(.*)$", 1)
+    begins = F.contains(rest, F.lit("["))
+    after = F.slice(lines, at + 1, F.size(lines))
+    block = F.when(begins, F.concat(F.array(rest), after)).otherwise(after)
+
+    def step(state: Column, line: Column) -> Column:
+        depth, n = state["depth"] + _balance(line), state["n"] + 1
+        return F.struct(depth.alias("depth"), n.alias("n"), F.coalesce(state["end"], F.when(depth <= 0, n)).alias("end"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("end"))
+    end = F.aggregate(block, start, step, lambda state: state["end"])
+    array = token_array(F.array_join(F.slice(block, F.lit(1), end), "\n"))
+    opened = begins | F.coalesce(F.ltrim(F.get(lines, at)).startswith("["), F.lit(False))
+    return F.when(at > 0, F.when(opened, array).otherwise(token_array(rest)))
+
+
+def list_values(content: Column, keys: tuple[str, ...]) -> Column:
+    """A map from each of keys to its items; a key without a value has null items. Each content is split once for all keys."""
+    values = F.transform(F.array(F.split(content, BREAKS, -1)), lambda lines: F.create_map(*[x for k in keys for x in (F.lit(k), _value(lines, k))]))
+    return F.when(content.isNotNull(), F.get(values, F.lit(0)))
 
 
 def token_array(block: Column) -> Column:

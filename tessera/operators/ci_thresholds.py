@@ -7,7 +7,7 @@ added lines are a second array. Both explode from the same lines, so a scan serv
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.lines import file_lines, stripped
@@ -135,11 +135,15 @@ def or_true(lines: DataFrame) -> DataFrame:
 
 
 def retry_wrapped(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Added retry actions near a test runner in the head content: a window over its lines."""
-    head = file_lines(scoped(files).where(~F.col("is_binary") & F.contains(F.coalesce("head_content", F.lit("")), F.lit(RETRY))), "head_content", "head")
-    near = Window.partitionBy(*KEYS).orderBy("line_no").rowsBetween(-BEFORE, AFTER)
-    marked = head.select(*KEYS, "line_no", F.max(F.col("text").rlike(RUNNER)).over(near).alias("near"), F.col("text").alias("content")).where("near").select(*KEYS, "line_no")
+    """Added retry actions near a test runner in the head content: a band join. Lines are keyed by blocks as long as the band,
+    so a retry meets the runners of at most two blocks, and no file is sorted."""
     added = lines.where((F.col("side") == "head") & F.contains("text", F.lit(RETRY)))
+    head = file_lines(scoped(files).where(~F.col("is_binary") & F.contains(F.coalesce("head_content", F.lit("")), F.lit(RETRY))), "head_content", "head")
+    band = BEFORE + AFTER + 1
+    runners = head.where(F.col("text").rlike(RUNNER)).select(*KEYS, F.col("line_no").alias("runner"), F.floor(F.col("line_no") / band).alias("at"))
+    reach = F.array_distinct(F.array(F.floor((F.col("line_no") - BEFORE) / band), F.floor((F.col("line_no") + AFTER) / band)))
+    near = added.select(*KEYS, "line_no", F.explode(reach).alias("at")).join(runners, [*KEYS, "at"]).where(F.col("runner").between(F.col("line_no") - BEFORE, F.col("line_no") + AFTER))
+    marked = near.select(*KEYS, "line_no")
     detail = text("A `nick-fields/retry`-style wrapper was added around what looks like a test run in ", F.col("path"), ", hiding intermittent failures.")
     return added.join(marked, [*KEYS, "line_no"], "left_semi").select(*KEYS, F.lit("Retry wrapper added around a test step").alias("title"), detail.alias("detail"), F.array(evidence(F.col("line_no"), "head", snippet())).alias("evidence"), F.lit(40).alias("check_ord"), "line_ord")
 

@@ -192,9 +192,10 @@ ORACLES = {
     "vid009_strict_flip": f"WITH {FLAG_LINES} SELECT {_TWO} FROM ({_STRICT})",
     "vid009_or_true": f"WITH {FLAG_LINES} SELECT {_ONE} FROM ({_OR_TRUE})",
     "vid009_retry_window": f"""
-      WITH r AS (SELECT o_orderkey AS cs_id, o_custkey % 45 + 1 AS pos FROM orders),
+      WITH l AS (SELECT o_orderkey AS cs_id, i + 1 AS line_no, CASE WHEN i = 19 THEN '      uses: nick-fields/retry@v3' WHEN i = o_custkey % 45 THEN '          command: npm run test' ELSE '  step ' || i END AS text FROM orders, range(45) r(i)),
       f AS (SELECT cs_id, '.github/workflows/ci.yml' AS path, 'Retry wrapper added around a test step' AS title, 'A `nick-fields/retry`-style wrapper was added around what looks like a test run in .github/workflows/ci.yml, hiding intermittent failures.' AS detail,
-        20 AS bl, 'uses: nick-fields/retry@v3' AS bt, 20 AS hl, 'uses: nick-fields/retry@v3' AS ht FROM r WHERE pos BETWEEN 16 AND 35 AND pos <> 20)
+        line_no AS bl, trim(text) AS bt, line_no AS hl, trim(text) AS ht FROM l a
+        WHERE contains(text, 'nick-fields/retry') AND EXISTS (SELECT 1 FROM l b WHERE b.cs_id = a.cs_id AND b.line_no BETWEEN a.line_no - 4 AND a.line_no + 15 AND regexp_matches(b.text, 'npm run test')))
       SELECT {_ONE} FROM f""",
     "vid010_ignore_flag": f"WITH {FLAG_LINES} SELECT {_ONE} FROM ({_IGNORED})",
     "vid010_gitignore": f"WITH {FLAG_LINES} SELECT {_ONE} FROM ({_GITIGNORE})",
