@@ -167,7 +167,9 @@ def _unlaced(b: bytes, at: int, end: int, lacing: int) -> list[int]:
     """Where the frames start, and the end of the last."""
     if not lacing:
         return [at, end]
-    n, at = b[at] + 1, at + 1
+    # The block alone, so that nothing after its end is taken for a size.
+    first, b = at, b[at:end]
+    n, at, end = b[0] + 1, 1, len(b)
     sizes: list[int] = []
     if lacing == 1:  # Xiph: bytes of 255 go on
         for _ in range(n - 1):
@@ -194,11 +196,26 @@ def _unlaced(b: bytes, at: int, end: int, lacing: int) -> list[int]:
         starts.append(starts[-1] + s)
     if starts[-1] > end:
         raise ValueError("laced frames go past the block")
-    return [*starts, end]
+    return [first + x for x in (*starts, end)]
+
+
+#: What reading a file that isn't well-formed may run into.
+_BROKEN = (ValueError, IndexError, KeyError, StopIteration, TypeError, OverflowError, ArithmeticError)
 
 
 def packets(b: bytes, *, frame_ns: int | None = None) -> tuple[list[Packet], list[Cue]]:
-    """The packet table and the cues of a file. Laced frames after the first are frame_ns apart, by default by their size at the track's rate."""
+    """The packet table and the cues of a file. Laced frames after the first are frame_ns apart, by default by their size at the track's rate.
+    A file that isn't well-formed, or has numbers that no table can hold, is a ValueError."""
+    try:
+        table, cues = _packets(b, frame_ns)
+    except _BROKEN as e:
+        raise ValueError(str(e) if isinstance(e, ValueError) else f"not a well-formed file: {type(e).__name__} {e}".rstrip()) from e
+    if any(p.track >= 1 << 31 or abs(p.timestamp_ns) >= 1 << 62 for p in table):
+        raise ValueError("a track's number or a timestamp is too large")
+    return table, cues
+
+
+def _packets(b: bytes, frame_ns: int | None) -> tuple[list[Packet], list[Cue]]:
     out: list[Packet] = []
     cues: list[Cue] = []
     for kind, start, end in elements(b, 0, len(b)):
@@ -228,6 +245,8 @@ def packets(b: bytes, *, frame_ns: int | None = None) -> tuple[list[Packet], lis
                     elif k != SIMPLE_BLOCK:
                         continue
                     track, at = _read_vint(b, x)
+                    if at + 3 > y:
+                        raise ValueError(f"the block at byte {x} ends in its head")
                     time = (base + int.from_bytes(b[at : at + 2], "big", signed=True)) * scale
                     flags = b[at + 2]
                     starts = _unlaced(b, at + 3, y, flags >> 1 & 3)
@@ -281,7 +300,7 @@ def to_media(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -
 
 
 def packet_table(media: DataFrame, *, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """A row for each packet: key, track, timestamp_ns, byte_offset, byte_size, keyframe, cluster_offset, cued."""
+    """A row for each packet: key, track, timestamp_ns, byte_offset, byte_size, keyframe, cluster_offset, cued. Media that can't be read have none; read_media() tells why."""
     kind = media.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,9 +308,12 @@ def packet_table(media: DataFrame, *, key: str = "doc_id", column: str = "media"
             for k, m in zip(b.column("k").to_pylist(), b.column("m").to_pylist(), strict=True):
                 if m is None:
                     continue
-                table, cues = packets(m)
-                # A cue names the cluster element; a packet knows where the cluster's body starts.
-                cued = {next(elements(m, c.offset, len(m)))[1] for c in cues}
+                try:
+                    table, cues = packets(m)
+                    # A cue names the cluster element; a packet knows where the cluster's body starts.
+                    cued = {next(elements(m, c.offset, len(m)))[1] for c in cues}
+                except _BROKEN:
+                    continue
                 cols = list(zip(*table, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k] * len(table), b.column("k").type), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.int64()), pa.array([c in cued for c in cols[5]], pa.bool_())],
@@ -302,7 +324,7 @@ def packet_table(media: DataFrame, *, key: str = "doc_id", column: str = "media"
 
 
 def read_media(media: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """Digests of what is read back from media: payload size and hash, checksum of its end, the stored form's size and hash, the feature."""
+    """Digests of what is read back from media: payload size and hash, checksum of its end, the stored form's size and hash, the feature; of media that can't be read the stored form's alone, and the error."""
     kind = media.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,13 +332,18 @@ def read_media(media: DataFrame, *, key: str = "doc_id") -> DataFrame:
             out: list[tuple] = []
             for m in b.column("media").to_pylist():
                 if m is None:
-                    out.append((None,) * 6)
+                    out.append((None,) * 7)
                     continue
-                table, cues = packets(m)
-                p = samples(m, table)
-                out.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(p, table, cues)))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.select(F.col(key).alias("k"), "n_bytes", "media").mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+                stored = (len(m), hashlib.sha256(m).hexdigest())
+                try:
+                    table, cues = packets(m)
+                    p = samples(m, table)
+                    read = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), *stored, feature(p, table, cues), None)
+                except _BROKEN as e:
+                    read = (None, None, None, *stored, None, str(e) or type(e).__name__)
+                out.append(read)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
+
+    return media.select(F.col(key).alias("k"), "n_bytes", "media").mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")

@@ -15,8 +15,8 @@ weight, not for each source.
 
 Without given weights a source's is the root of its size in hundredths of the largest's, 1 at least.
 Given weights need not sum to 1. Whole numbers, fractions and decimals are taken as they are, a float
-as the nearest fraction with a denominator of at most a million; together they must make at most
-MOST_PARTS parts, else ValueError tells so.
+as the nearest fraction with a denominator of at most a million, or exactly where that would be 0, so
+no weight above 0 is ever lost; together they must make at most MOST_PARTS parts, else ValueError tells so.
 
 A source that ends leaves its later slots empty, so the others keep their proportions among each
 other; `position` counts documents in the order of their slots without gaps, from counts by chunks of
@@ -52,7 +52,7 @@ STEP, CHUNK, SPAN = 1024, 64, 1024
 
 def whole_parts(weights: dict[str, float | int | str | Fraction | Decimal]) -> dict[str, int]:
     """The weights as whole numbers without a common divisor, in exactly the given proportions."""
-    exact = {k: Fraction(v).limit_denominator(1_000_000) if isinstance(v, float) else Fraction(v) for k, v in weights.items()}
+    exact = {k: (Fraction(v).limit_denominator(1_000_000) or Fraction(v)) if isinstance(v, float) else Fraction(v) for k, v in weights.items()}
     if any(v < 0 for v in exact.values()):
         raise ValueError(f"weights must not be negative: {weights}")
     scale = math.lcm(*(v.denominator for v in exact.values()))

@@ -336,6 +336,29 @@ def test_schedules_of_any_weights(spark, seed):
     assert len(plan) == total and {s: sum(x["source"] == s for x in plan) for s in weights} == X.whole_parts(weights)
 
 
+def test_no_weight_above_zero_is_lost():
+    with pytest.raises(ValueError, match="parts"):
+        X.whole_parts({"a": 1e-7, "b": 1.0})
+    assert X.whole_parts({"a": 2.0**-30, "b": 2.0**-29}) == {"a": 1, "b": 2} and X.whole_parts({"a": 0.0, "b": 2.0}) == {"a": 0, "b": 1}
+
+
+def test_broken_media_are_rows(spark):
+    good = M.mux(b"x" * 640)
+    rows = [(0, 640, good), (1, 1, b""), (2, 1, b"\x1a"), (3, 1, b"junk" * 9), (4, 640, good[:-7]), (5, 640, good[:200]), (6, None, None)]
+    block = M._element(M.SIMPLE_BLOCK, b"\x81")
+    for i, cluster in enumerate((block, M._element(M.BLOCK_GROUP, b""), M._element(M.SIMPLE_BLOCK, b"\x81\0\0\x86\x05"), M._element(M.SIMPLE_BLOCK, b"\x81\0\0\x82\x01\xff"), M._element(M.SIMPLE_BLOCK, b"\x01\xff\xff\xff\xff\xff\xff\xfe\0\0\x80a"))):
+        rows.append((10 + i, 1, M._element(M.SEGMENT, M._element(M.CLUSTER_ID, cluster))))
+    rows += [(20, 1, M._element(M.SEGMENT, M._element(M.CUES, M._element(M.CUE_POINT, b"")))), (21, 1, M._element(M.SEGMENT, M._element(M.TRACKS, M._element(M.TRACK_ENTRY, M._element(M.AUDIO, M._element(M.SAMPLING_FREQUENCY, b"12345678"))))))]
+    media = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in M.read_media(media).collect()}
+    assert len(got) == len(rows) and got[0]["payload_bytes"] == 640 and got[0]["error"] is None and got[6]["error"] is None and got[6]["media_bytes"] is None
+    assert all(got[i]["error"] and got[i]["payload_sha256"] is None and got[i]["media_bytes"] is not None for i in got if i not in (0, 6))
+    assert {r["doc_id"] for r in M.packet_table(media).collect()} == {0}
+    for i, m in ((r[0], r[2]) for r in rows if r[0] >= 10):
+        with pytest.raises(ValueError):
+            M.packets(m)
+
+
 def test_weights_as_parts():
     assert X.whole_parts({"a": 1 / 3, "b": 2 / 3}) == {"a": 1, "b": 2} and X.whole_parts({"a": 0.5, "b": 0.0001, "c": 0}) == {"a": 5000, "b": 1, "c": 0}
     assert X.whole_parts({}) == {} and X.whole_parts({"a": 4, "b": 6}) == {"a": 2, "b": 3}
