@@ -71,3 +71,43 @@ def test_odd_rows(spark, mess):
     assert by[5]["n_removed"] == 0 and by[6]["n_removed"] == by[6]["n_words"] == 20_000 and by[6]["kept"] == ""
     assert by[0]["n_words"] == 0 and by[10]["kept"] == "é\x00 ñ \x1c z"
     assert S.remove_repeats(mess.limit(0)).count() == 0
+
+
+def test_suffix_arrays_and_depths():
+    r = np.random.default_rng(4)
+    for _ in range(40):
+        texts = [r.integers(1, 3, r.integers(6, 14)).tolist() for _ in range(12)]
+        owner = r.integers(0, 6, len(texts))
+        start = np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1]
+        symbols = np.array([x for t in texts for x in [*t, 0]])
+        own = [(i, p) for i, t in enumerate(texts) for p in range(len(t) - 3)]
+        at, left = np.array([start[i] + p for i, p in own]), np.array([len(texts[i]) - p for i, p in own])
+        order, lcp = S.suffix_array(symbols, at, left)
+        suffix = [texts[i][p:] for i, p in own]
+        ordered = [suffix[o] for o in order]
+        assert [s[:4] for s in ordered] == sorted(s[:4] for s in suffix)
+
+        def common(a, b):
+            return next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+        assert lcp.tolist() == [0, *[common(a, b) for a, b in zip(ordered, ordered[1:], strict=False)]]
+        doc = owner[[own[o][0] for o in order]]
+        got = S.depths(lcp, doc, 4)
+        for a, d, n in zip(ordered, doc, got, strict=True):
+            deepest = max((common(a, b) for b, e in zip(ordered, doc, strict=True) if e < d), default=0)
+            assert n == (deepest if deepest >= 4 else 0)
+
+
+def test_hot_groups_are_split_and_keys_are_whole(spark):
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(50)]
+    passage = r.choices(base, k=20)
+    texts = [" ".join([*r.choices(base, k=r.randrange(4)), *passage, *r.choices(base, k=r.randrange(9))]) for _ in range(900)]
+    docs = spark.createDataFrame(make(texts), SCHEMA).repartition(7)
+    for group in (0, 40, 4096):
+        rows = S.remove_repeats(docs, length=12, gram=4, group=group).collect()
+        assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept"]) for x in rows} == brute(list(enumerate(texts)), 12)
+        assert all(12 <= s["depth"] <= s["stop"] - s["start"] for x in rows for s in x["repeats"])
+    for key in ("CAST(doc_id AS string)", "doc_id / 2"):
+        with pytest.raises(TypeError, match="whole number"):
+            S.remove_repeats(docs.selectExpr(f"{key} AS doc_id", "text"))
