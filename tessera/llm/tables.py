@@ -101,6 +101,7 @@ def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], value: str, sp
     if above is None:
         return rows.join(found.select(*keys, value), keys, "left")
     hot = F.broadcast(found.where(F.col("n") > above).select(*keys, F.col(value).alias("_hot")))
-    cold = found.where(F.col("n") <= above).select(*keys, F.col(value).alias("_cold"), F.lit(0).cast("long").alias("_salt"))
+    # 0, but no literal: the optimizer would put a literal into the join's condition, and rows would be dealt by the keys alone.
+    cold = found.where(F.col("n") <= above).select(*keys, F.col(value).alias("_cold"), F.shiftright(F.col("n").cast("long"), 63).alias("_salt"))
     marked = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread).bitwiseOR(F.lit(1))))
     return marked.join(cold, [*keys, "_salt"], "left").withColumn(value, F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_salt")
