@@ -1,13 +1,13 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the lower-cased words of a text and their leading 4 to 8 bytes. Learning, from a bounded
-sample of labelled rows (SAMPLE toxic ones and OTHERS times as many others):
+Terms are the lower-cased words of a text, all of them. Learning, from a bounded sample of labelled
+rows (SAMPLE toxic ones and OTHERS times as many others):
 
-1. Spark counts, for every term, the examples of each class that have it. Terms whose share among
-   toxic examples is higher than chance allows (a log-likelihood ratio of MIN_RATIO or more) are the
-   vocabulary, all of them.
+1. Spark counts, for every term of the sample, the examples of each class that have it. All of them
+   are the vocabulary. A term's relevance is 1 and the log-likelihood ratio of its presence against
+   the class, so a term that tells nothing keeps its plain TF-IDF weight.
 2. Spark counts the documents, labelled or not, that have each of these terms. Each example becomes a
-   TF-IDF vector (1 + ln tf, smoothed idf of these counts) of length one over the vocabulary.
+   vector (1 + ln tf) * idf * relevance of length one, with the smoothed idf of these counts.
 3. The vectors go into an inverted index: postings by term, in blocks of BLOCK examples that lie
    near each other, with the largest weight of every (term, block). Terms that are as good as in every
    block (one posting a block on the mean) can't rule a block out; their weights are rows of a matrix.
@@ -19,12 +19,13 @@ block's largest weights. Postings are read in blocks alone whose upper bound rea
 could be among the k best there is scored again in full precision, so the neighbours are those of a
 full scan. The votes of the neighbours, each weighted by cosine and by how many labelled rows it stands
 for, and a prior of PRIOR votes give the score; two coefficients fitted on the examples' own
-leave-one-out votes make it a probability. A document without terms of the vocabulary has no neighbour
-and gets the prior's score.
+leave-one-out votes, which the executors work out, make it a probability. A document whose words no
+example has has no neighbour and gets the prior's score.
 
-Defined cases: null and empty texts have no terms; repeated rows get equal scores; ties of cosine go
-to the example with the smaller id; without labels, or with one class alone, every score is that
-class's share (0 without labels); other columns are not read.
+Defined cases: null and empty texts have no terms; repeated rows get equal scores; ties of cosine go by
+the examples' texts (least hash), then label, so ids don't move a score; keys that aren't whole numbers
+are refused; without labels, or with one class alone, every score is that class's share (0 without
+labels); other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,18 +35,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.labelled import held_out, sample
-from tessera.llm.tables import cut, drop, small_batches
-from tessera.llm.wordhash import ALNUM, U, Words, _power, mix, words
+from tessera.llm.tables import cut, drop, small_batches, whole_key
+from tessera.llm.wordhash import ALNUM, U, Words, words
 
 SAMPLE = 4000
 OTHERS = 4
-MIN_RATIO = 25.0
-MIN_EXAMPLES = 4
-PREFIXES = (4, 5, 6, 7, 8)
 BLOCK = 32
 #: Documents that are searched at a time.
 GROUP = 64
@@ -55,33 +54,15 @@ NEIGHBOURS = 25
 PRIOR = 0.5
 
 
-def terms(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(words' numbers, hashes) for words as such, then for each prefix length."""
-    n = len(w.buf)
-    if not len(w.start):
-        return []
-    power, inverse = _power(n)
-    sums = np.zeros(n + 1, U)
-    np.cumsum((w.buf.astype(U) + U(1)) * power[:n], out=sums[1:])
-    base, scale = sums[w.start], inverse[w.start]
-    out = [(np.arange(len(w.start)), mix((sums[w.end] - base) * scale))]
-    size = w.end - w.start
-    for k in PREFIXES:
-        own = np.flatnonzero(size >= k)
-        out.append((own, mix((sums[w.start[own] + k] - base[own]) * scale[own] + U(k))))
-    return out
-
-
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, toxic examples, other examples) of a partition of the sample."""
     for b in batches:
         y = b.column("y").to_numpy()
         for w in words(b.column("text"), ALNUM, lower=True):
             text = w.text_of() + w.first
-            each = terms(w)
-            if not each:
+            if not len(text):
                 continue
-            pair = np.unique(np.rec.fromarrays([np.concatenate([h for _, h in each]), np.concatenate([text[i] for i, _ in each])], names="h,t"))
+            pair = np.unique(np.rec.fromarrays([w.hashes(), text], names="h,t"))
             key, at, inside = np.unique(pair["h"], return_index=True, return_inverse=True)
             pos = np.bincount(inside, weights=y[pair["t"]], minlength=len(key)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(pos), pa.array(np.bincount(inside, minlength=len(key)) - pos)], names=["term", "pos", "neg"])
@@ -99,10 +80,20 @@ def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
+#: The leading bits of a hash that a filter tells known terms by.
+FILTER_BITS = 22
+
+
+def _filter(vocabulary: np.ndarray) -> np.ndarray:
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[(vocabulary >> U(64 - FILTER_BITS)).astype(np.int64)] = True
+    return bits
+
+
 @dataclass
 class Index:
     vocabulary: np.ndarray  # sorted hashes
-    idf: np.ndarray
+    term_weight: np.ndarray  # idf * relevance
     bits: np.ndarray
     ids: np.ndarray
     label: np.ndarray
@@ -112,15 +103,30 @@ class Index:
     post_example: np.ndarray | None = None
     post_weight: np.ndarray | None = None
     slope: tuple[float, float] = (1.0, 0.0)
+    content: np.ndarray | None = None  # hashes of the examples' texts
+    idf: np.ndarray | None = None
+    relevance: np.ndarray | None = None
     _blocks: Blocks | None = None
+    _shared: Broadcast | None = None
 
     def __getstate__(self) -> dict:
-        """Without what each process makes for itself."""
-        return self.__dict__ | {"_blocks": None}
+        """Without what each process makes for itself, and what the driver alone asks for."""
+        return self.__dict__ | {"_blocks": None, "_shared": None, "idf": None, "relevance": None}
+
+    def shared(self, spark: SparkSession) -> Broadcast:
+        """One broadcast for the votes of the examples and all scores; the slope, which comes in between, goes by itself."""
+        if self._shared is None:
+            self._shared = spark.sparkContext.broadcast(self)
+        return self._shared
+
+    def blocks(self) -> Blocks:
+        if self._blocks is None:
+            self._blocks = Blocks.of(self)
+        return self._blocks
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of hashes that are in the vocabulary, and their terms."""
-        at = np.flatnonzero(self.bits[(h >> U(44)).astype(np.int64)])
+        at = np.flatnonzero(self.bits[(h >> U(64 - FILTER_BITS)).astype(np.int64)])
         if not len(at):
             return at, at
         i = np.minimum(np.searchsorted(self.vocabulary, h[at]), len(self.vocabulary) - 1)
@@ -129,14 +135,13 @@ class Index:
 
     def vectors(self, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(text within the chunk, terms, weights) of texts that have a term."""
-        text = w.text_of()
-        got = [(text[own[at]], i) for own, h in terms(w) for at, i in [self.find(h)] if len(at)]
-        if not got or not len(self.vocabulary):
+        at, i = self.find(w.hashes())
+        if not len(at):
             return
         v = len(self.vocabulary)
-        pair, tf = np.unique(np.concatenate([t * v + i for t, i in got]), return_counts=True)
+        pair, tf = np.unique(w.text_of()[at] * v + i, return_counts=True)
         texts, term = pair // v, pair % v
-        x = (1 + np.log(tf)) * self.idf[term]
+        x = (1 + np.log(tf)) * self.term_weight[term]
         for a, b in zip(c := np.flatnonzero(np.r_[True, texts[1:] != texts[:-1]]), [*c[1:], len(texts)], strict=True):
             yield int(texts[a]), term[a:b], x[a:b] / np.sqrt((x[a:b] ** 2).sum())
 
@@ -145,9 +150,9 @@ class Index:
         return self.nearest_of([(term, x)], [skip], k)[0]
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
-        if self._blocks is None:
-            self._blocks = Blocks.of(self)
-        return [found for at in range(0, len(queries), GROUP) for found in self._blocks.nearest(queries[at : at + GROUP], skip[at : at + GROUP] if skip else None, self.ids, k)]
+        blocks = self.blocks()
+        ties = (self.ids, self.label, self.ids if self.content is None else self.content)
+        return [found for at in range(0, len(queries), GROUP) for found in blocks.nearest(queries[at : at + GROUP], skip[at : at + GROUP] if skip else None, ties, k)]
 
     def judged(self, column: pa.Array) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
         """(row, score, neighbours, cosines) of the texts that have a term."""
@@ -173,7 +178,7 @@ class Blocks:
     row_of: np.ndarray  # of each term in the matrix, or -1
     matrix: np.ndarray  # terms x examples, padded to whole blocks
     blocks: int
-    first: np.ndarray  # of each term's entries: one for a block that the term's postings lie in
+    first: np.ndarray  # of each other term's entries: one for a block that the term's postings lie in
     block: np.ndarray
     peak: np.ndarray  # the largest weight there
     low: np.ndarray  # the postings there
@@ -183,29 +188,36 @@ class Blocks:
     example: np.ndarray  # where each example's own terms start
     example_term: np.ndarray
     example_weight: np.ndarray
+    full: np.ndarray  # zeros, a place for one query's weights
 
     @classmethod
     def of(cls, ix: Index) -> Blocks:
         n, v = len(ix.ids), len(ix.vocabulary)
         blocks, size = -(-n // BLOCK), np.diff(ix.start)
         heavy = np.flatnonzero(size >= max(1, blocks))
-        row_of = np.full(v, -1)
+        row_of = np.full(v, -1, np.int32)
         row_of[heavy] = np.arange(len(heavy))
-        term = np.repeat(np.arange(v), size)
+        term = np.repeat(np.arange(v, dtype=np.int32), size)
         matrix = np.zeros((len(heavy), blocks * BLOCK), np.float32)
         own = row_of[term] >= 0
         matrix[row_of[term[own]], ix.post_example[own]] = ix.post_weight[own]
+        light, post_example, post_weight = term[~own].astype(np.int64), ix.post_example[~own], ix.post_weight[~own].astype(np.float32)
         # Postings lie by (term, example), so those of a block lie together.
-        place = term * blocks + ix.post_example // BLOCK
+        place = light * blocks + post_example // BLOCK
         low = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else place
-        peak = np.maximum.reduceat(ix.post_weight, low) if len(low) else np.zeros(0)
-        by = np.lexsort((term, ix.post_example))
+        peak = np.maximum.reduceat(post_weight, low) if len(low) else np.zeros(0, np.float32)
+        by = np.argsort(ix.post_example, kind="stable")
         return cls(
             row_of, matrix, blocks, np.searchsorted(place[low] // max(1, blocks), np.arange(v + 1)), place[low] % max(1, blocks), peak, low, np.diff(np.r_[low, len(place)]),
-            ix.post_example, ix.post_weight, np.searchsorted(ix.post_example[by], np.arange(n + 1)), term[by], ix.post_weight[by],
+            post_example, post_weight, np.r_[0, np.cumsum(np.bincount(ix.post_example, minlength=n))], term[by], ix.post_weight[by], np.zeros(v),
         )
 
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def own(self, example: int) -> tuple[np.ndarray, np.ndarray]:
+        """An example's terms and weights."""
+        at = slice(self.example[example], self.example[example + 1])
+        return self.example_term[at], self.example_weight[at]
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None, ties: tuple[np.ndarray, ...], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         weights = np.zeros((len(queries), len(self.matrix)), np.float32)
         for i, (term, x) in enumerate(queries):
             row = self.row_of[term]
@@ -216,9 +228,9 @@ class Blocks:
                 partial[i, own] = -2
         best = partial.reshape(len(queries), self.blocks, BLOCK).max(2)
         least = np.partition(best, self.blocks - k, axis=1)[:, self.blocks - k] if self.blocks > k else np.zeros(len(queries))
-        return [self._of_one(term, x, partial[i], best[i], float(least[i]), ids, k) for i, (term, x) in enumerate(queries)]
+        return [self._of_one(term, x, partial[i], best[i], float(least[i]), ties, k) for i, (term, x) in enumerate(queries)]
 
-    def _of_one(self, term: np.ndarray, x: np.ndarray, partial: np.ndarray, best: np.ndarray, least: float, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _of_one(self, term: np.ndarray, x: np.ndarray, partial: np.ndarray, best: np.ndarray, least: float, ties: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, np.ndarray]:
         rest = self.row_of[term] < 0
         low, many = self.first[term[rest]], self.first[term[rest] + 1] - self.first[term[rest]]
         at, weight = _ranges(low, many), np.repeat(x[rest], many)
@@ -227,21 +239,21 @@ class Blocks:
         own = live[self.block[at]]
         at, weight = at[own], weight[own]
         post = _ranges(self.low[at], self.many[at])
-        np.add.at(partial, self.post_example[post], (np.repeat(weight, self.many[at]) * self.post_weight[post]).astype(np.float32))
+        s = partial + np.bincount(self.post_example[post], weights=np.repeat(weight, self.many[at]) * self.post_weight[post], minlength=len(partial))
         ex = (np.flatnonzero(live)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        s = partial[ex]
+        s = s[ex]
         if len(ex) > k:
             reach = s >= max(float(np.partition(s, len(s) - k)[len(s) - k]) - SLACK, 0.0)
             ex, s = ex[reach], s[reach]
         ex = ex[s > 0]
         if not len(ex):
             return ex, np.zeros(0)
-        full = np.zeros(len(self.row_of))
-        full[term] = x
+        self.full[term] = x
         low, many = self.example[ex], self.example[ex + 1] - self.example[ex]
         at = _ranges(low, many)
-        s = np.add.reduceat(full[self.example_term[at]] * self.example_weight[at], np.cumsum(many) - many)
-        keep = np.lexsort((ids[ex], -s))[:k]
+        s = np.add.reduceat(self.full[self.example_term[at]] * self.example_weight[at], np.cumsum(many) - many)
+        self.full[term] = 0
+        keep = np.lexsort((*(t[ex] for t in ties), -s))[:k]
         return ex[keep], s[keep]
 
 
@@ -273,31 +285,50 @@ def document_counts(documents: DataFrame, index: Index, *, text: str = "text") -
         for b in batches:
             docs += b.num_rows
             for w in words(b.column("text"), ALNUM, lower=True):
-                text = w.text_of()
-                got = [text[own[at]] * v + i for own, h in terms(w) for at, i in [ix.find(h)] if len(at)]
-                if got:
-                    have += np.bincount(np.unique(np.concatenate(got)) % v, minlength=v)
+                at, i = ix.find(w.hashes())
+                if len(at):
+                    np.add.at(have, np.unique(w.text_of()[at] * v + i) % v, 1)
         # The place after the last term counts the documents.
         at = np.flatnonzero(have)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, v]), pa.array(np.r_[have[at], docs])], names=["i", "n"])
 
-    counted = documents.select(F.col(text).alias("text")).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    counted = documents.select(F.col(text).alias("text")).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(index.vocabulary) + 1)
-    for r in counted:
-        out[r["i"]] = r["n"]
+    out[counted["i"].to_numpy()] = counted["n"].to_numpy()
+    shared.destroy()
     return int(out[-1]), out[:-1]
 
 
+def own_votes(spark: SparkSession, index: Index) -> np.ndarray:
+    """Each example's vote by the others, worked out by the executors."""
+    shared = index.shared(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix: Index = shared.value
+        for b in batches:
+            own = b.column("id").to_pylist()
+            found = ix.nearest_of([ix.blocks().own(i) for i in own], own)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([ix.vote(*f) for f in found], pa.float64())], names=["id", "vote"])
+
+    got = spark.range(0, len(index.ids), 1, -(-len(index.ids) // 1024)).mapInArrow(run, "id long, vote double").toArrow()
+    out = np.zeros(len(index.ids))
+    out[got["id"].to_numpy()] = got["vote"].to_numpy()
+    return out
+
+
 def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Index:
-    """The index, on the driver: its size is bounded by the sample."""
+    """The index, on the driver: its size is bounded by the sample's texts."""
+    whole_key(documents, key)
+    spark = documents.sparkSession
     # Bounded by the sample, and read four times.
     chosen = cut(sample(documents, labels, label, bound, others=OTHERS * bound, key=key, text=text))
     classes = {r["y"]: (r["n"], r["w"]) for r in chosen.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).collect()}
     n1, n0 = classes.get(1, (0, 0.0)), classes.get(0, (0, 0.0))
     prior = n1[1] / (n1[1] + n0[1]) if n1[1] + n0[1] else 0.0
-    empty = Index(np.zeros(0, U), np.zeros(0), np.zeros(1 << 20, bool), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), prior)
+    none = np.zeros(0)
+    index = Index(np.zeros(0, U), none, _filter(np.zeros(0, U)), np.zeros(0, np.int64), none, none, prior)
     if not n1[0] or not n0[0]:
-        return empty
+        return index
     counts = chosen.mapInArrow(_term_counts, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # The log-likelihood ratio of the term's presence against the class.
     a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
@@ -307,54 +338,54 @@ def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", boun
         return F.when(seen > 0, seen * F.log(seen * n / (row * column))).otherwise(0.0)
 
     ratio = 2 * (part(a, a + b, F.lit(float(n1[0]))) + part(b, a + b, F.lit(float(n0[0]))) + part(c, c + d, F.lit(float(n1[0]))) + part(d, c + d, F.lit(float(n0[0]))))
-    picked = (
-        counts.where((F.col("pos") + F.col("neg") >= MIN_EXAMPLES) & (a * n0[0] > b * n1[0])).withColumn("ratio", ratio)
-        .where(F.col("ratio") >= MIN_RATIO).collect()
-    )
-    if not picked:
-        return empty
-    vocabulary = np.array([r["term"] for r in picked], np.int64).view(U)
-    vocabulary.sort()
-    bits = np.zeros(1 << 20, bool)
-    bits[(vocabulary >> U(44)).astype(np.int64)] = True
-    index = Index(vocabulary, np.ones(len(vocabulary)), bits, empty.ids, empty.label, empty.weight, prior)
+    # As many rows as the sample has terms.
+    known = counts.select("term", (F.greatest(ratio, F.lit(0.0)) + 1).alias("relevance")).toArrow()
+    if not known.num_rows:
+        return index
+    term = known["term"].to_numpy().view(U)
+    at = np.argsort(term)
+    index.vocabulary, index.relevance, index.bits = term[at], known["relevance"].to_numpy()[at], _filter(term)
     n, have = document_counts(documents, index, text=text)
     index.idf = np.log((1 + n) / (1 + have)) + 1
-    shared = documents.sparkSession.sparkContext.broadcast(index)
+    index.term_weight = index.idf * index.relevance
+    shared = spark.sparkContext.broadcast(index)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
             for w in words(r.column("text"), ALNUM, lower=True):
                 for t, term, x in shared.value.vectors(w):
-                    yield pa.RecordBatch.from_arrays([r.column(n).slice(w.first + t, 1) for n in ("k", "y", "weight")] + [pa.array([term], pa.list_(pa.int64())), pa.array([x], pa.list_(pa.float64()))], names=["k", "y", "weight", "term", "x"])
+                    yield pa.RecordBatch.from_arrays([r.column(n).slice(w.first + t, 1) for n in ("k", "y", "weight", "content")] + [pa.array([term.astype(np.int32)], pa.list_(pa.int32())), pa.array([x], pa.list_(pa.float64()))], names=["k", "y", "weight", "content", "term", "x"])
 
-    rows = chosen.select(F.col("k").cast("long"), "y", "weight", "text").mapInArrow(extract, "k long, y int, weight double, term array<long>, x array<double>").collect()
+    rows = chosen.select(F.col("k").cast("long"), "y", "weight", F.xxhash64("text").alias("content"), "text").mapInArrow(extract, "k long, y int, weight double, content long, term array<int>, x array<double>").toArrow().combine_chunks()
     drop(chosen)
+    shared.destroy()
+    many = np.array(rows["term"].combine_chunks().value_lengths())
+    term, x = (rows[c].combine_chunks().flatten().to_numpy() for c in ("term", "x"))
     # Examples with the same leading term lie together, so that a block's largest weights are few.
-    rows.sort(key=lambda r: (r["term"][int(np.argmax(r["x"]))], sorted(r["term"]), r["k"]))
-    index.ids = np.array([r["k"] for r in rows], np.int64)
-    index.label = np.array([r["y"] for r in rows], float)
-    index.weight = np.array([r["weight"] for r in rows], float)
-    term = np.concatenate([np.array(r["term"], np.int64) for r in rows])
-    x = np.concatenate([np.array(r["x"]) for r in rows])
-    ex = np.repeat(np.arange(len(rows)), [len(r["term"]) for r in rows])
+    own = np.repeat(np.arange(len(many)), many)
+    order = np.lexsort((x, own))
+    lead = term[order[np.cumsum(many) - 1]]
+    ids, label_of, content = rows["k"].to_numpy(), rows["y"].to_numpy(), rows["content"].to_numpy()
+    order = np.lexsort((ids, label_of, content, lead))
+    index.ids, index.label, index.weight, index.content = ids[order], label_of[order].astype(float), rows["weight"].to_numpy()[order], content[order]
+    place = np.empty(len(many), np.int32)
+    place[order] = np.arange(len(many))
+    ex = place[own]
     at = np.lexsort((ex, term))
     index.start, index.post_example, index.post_weight = np.searchsorted(term[at], np.arange(len(index.vocabulary) + 1)), ex[at], x[at]
-    cuts = np.searchsorted(ex, np.arange(len(rows) + 1))
-    own = [(term[a:b], x[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    votes = np.array([index.vote(*found) for found in index.nearest_of(own, list(range(len(rows))))])
-    index.slope = _fit_slope(votes, index.label, index.weight)
+    index.slope = _fit_slope(own_votes(spark, index), index.label, index.weight)
     return index
 
 
 def score(documents: DataFrame, index: Index, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, score, neighbours): neighbours is the evidence, all that vote, nearest first, as (id, label, cosine)."""
-    shared = small_batches(documents).sparkSession.sparkContext.broadcast(index)
+    shared, slope = index.shared(small_batches(documents).sparkSession), index.slope
     kind = documents.schema[key].dataType.simpleString()
     near = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = shared.value
+        ix.slope = slope
         base = ix.score(ix.prior) if len(ix.ids) else ix.prior
         for b in batches:
             out, seen = np.full(b.num_rows, base), [[] for _ in range(b.num_rows)]
@@ -369,11 +400,12 @@ def score(documents: DataFrame, index: Index, *, key: str = "doc_id", text: str
 
 def without_toxic(documents: DataFrame, index: Index, *, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """The rows of `documents`, all columns as they are, whose score is below the threshold. Rows aren't moved."""
-    shared = small_batches(documents).sparkSession.sparkContext.broadcast(index)
+    shared, slope = index.shared(small_batches(documents).sparkSession), index.slope
     place = documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = shared.value
+        ix.slope = slope
         base = ix.score(ix.prior) if len(ix.ids) else ix.prior
         for b in batches:
             keep = np.full(b.num_rows, base < threshold)

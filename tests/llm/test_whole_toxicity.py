@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from tessera.llm import toxicity as X
 from tessera.llm.queries import op10_toxicity
@@ -57,10 +58,40 @@ def test_idf_counts_every_document(many, spark):
     more = docs.unionByName(spark.createDataFrame(make(["Vile weather"] * 500 + [None, "nothing"], start=10_000), SCHEMA))
     ix = X.build(more, labels)
     (w,) = words(pa.array(["vile"]), ALNUM, lower=True)
-    _, i = ix.find(X.terms(w)[0][1])
+    _, i = ix.find(w.hashes())
     assert len(i) == 1 and np.isclose(ix.idf[i[0]], np.log((1 + 3502) / (1 + 2000 + 500)) + 1)
 
 
+def test_every_term_of_the_sample_is_in_the_index(many):
+    """Terms of one example alone and of the clean class too; a vector takes in the whole text."""
+    docs, labels = many
+    ix = X.build(docs, labels)
+    learnable = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(ix.ids) == len(learnable) and len(ix.vocabulary) == 6 + len(learnable)
+    (w,) = words(pa.array([f"plain words number{learnable[0]} kind friend nobody knows these"]), ALNUM, lower=True)
+    ((_, term, x),) = ix.vectors(w)
+    assert len(term) == 5 and np.isclose((x**2).sum(), 1) and (ix.relevance >= 1).all()
+
+
+def test_ids_dont_move_scores(spark):
+    """Ties of cosine go by text: the same texts under other ids of the same sample get the same scores."""
+    texts = [f"same start {'vile' if i % 2 else 'fine'} w{i % 40}" for i in range(240)] + ["same start", "vile", ""]
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 3 != 1][: len(texts)]
+    found = []
+    for own in (ids, ids[::-1]):
+        docs = spark.createDataFrame([(i, t) for i, t in zip(own, texts, strict=True)], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(own) if n < 240], "doc_id long, toxic int")
+        scores = {r["doc_id"]: r["score"] for r in X.toxic_scores(docs, labels).collect()}
+        found.append([scores[i] for i in own])
+    assert np.allclose(*found, atol=1e-9)
+
+
+def test_keys_must_be_whole(spark):
+    docs = spark.createDataFrame([("a", "b")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="whole number"):
+        X.build(docs, spark.createDataFrame([], "doc_id string, quality int, toxic int"))
+
+
 def test_no_bound_on_the_vocabulary(spark):
     bad = " ".join(f"v{i}" for i in range(1500))
     docs = spark.createDataFrame(make([bad if i % 2 else "fine words" for i in range(90)]), SCHEMA)
@@ -93,12 +124,11 @@ def test_block_max_search_over_many_blocks():
 
 
 def brute_scores(rows, labels):
-    """What op10 does, in plain Python over dictionaries of words and leading bytes."""
+    """What op10 does, in plain Python over dictionaries of words."""
+    lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
     def words_of(text):
-        out = []
-        for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))):
-            out += [w, *((k, w[:k]) for k in X.PREFIXES if len(w) >= k)]
-        return collections.Counter(out)
+        return collections.Counter(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().translate(lower)))
 
     bags = {i: words_of(t) for i, t in rows}
     learn = {i: y for i, y in labels if i in bags and y in (0, 1) and zlib.crc32(str(i).encode()) % 3 != 1}
@@ -110,21 +140,23 @@ def brute_scores(rows, labels):
         n = n1 + n0
         return 2 * sum(x * math.log(x * n / (r * c)) for x, r, c in ((a, a + b, n1), (b, a + b, n0), (n1 - a, n - a - b, n1), (n0 - b, n - a - b, n0)) if x)
 
-    terms = {t for t in seen[1] if seen[1][t] + seen[0][t] >= X.MIN_EXAMPLES and seen[1][t] * n0 > seen[0][t] * n1 and ratio(t) >= X.MIN_RATIO}
+    terms = {t: 1 + max(0.0, ratio(t)) for t in seen[0] | seen[1]}
     df = collections.Counter(t for bag in bags.values() for t in bag if t in terms)
 
     def vector(bag):
-        x = {t: (1 + math.log(n)) * (math.log((1 + len(bags)) / (1 + df[t])) + 1) for t, n in bag.items() if t in terms}
+        x = {t: (1 + math.log(n)) * (math.log((1 + len(bags)) / (1 + df[t])) + 1) * terms[t] for t, n in bag.items() if t in terms}
         norm = math.sqrt(sum(v * v for v in x.values()))
         return {t: v / norm for t, v in x.items()}
 
     vectors = {i: vector(b) for i, b in bags.items()}
     examples = {i: vectors[i] for i in learn if vectors[i]}
     prior = n1 / (n1 + n0)
+    texts = dict(rows)
+    tie = {i: (np.uint64(xxhash.xxh64(texts[i].encode(), seed=42).intdigest()).astype(np.int64), learn[i], i) for i in examples}
 
     def vote(x, skip=None):
-        near = sorted(((-sum(v * e.get(t, 0) for t, v in x.items()), i) for i, e in examples.items() if i != skip))
-        near = [(-s, i) for s, i in near if s < 0][: X.NEIGHBOURS]
+        near = sorted((-round(sum(v * e.get(t, 0) for t, v in x.items()), 12), tie[i], i) for i, e in examples.items() if i != skip)
+        near = [(-s, i) for s, _, i in near if s < 0][: X.NEIGHBOURS]
         return (sum(s * learn[i] for s, i in near) + X.PRIOR * prior) / (sum(s for s, _ in near) + X.PRIOR)
 
     own = [(vote(x, skip=i), learn[i]) for i, x in examples.items()]
