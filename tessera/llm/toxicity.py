@@ -9,8 +9,8 @@ rows (SAMPLE toxic ones and OTHERS times as many others):
 2. Spark counts the documents, labelled or not, that have each of these terms. Each example becomes a
    vector (1 + ln tf) * idf * relevance of length one, with the smoothed idf of these counts.
 3. The vectors go into an inverted index: postings by term, in blocks of BLOCK examples that lie
-   near each other, with the largest weight of every (term, block). Terms that are as good as in every
-   block (one posting a block on the mean) can't rule a block out; their weights are rows of a matrix.
+   near each other, with the largest weight of every (term, block). Terms of one in FREQUENT examples or
+   more are in as good as every block and can't rule one out; their weights are rows of a matrix.
 
 GROUP documents are searched at a time. The matrix gives their exact partial cosines with all examples.
 The k-th largest of the blocks' best partial cosines is a lower bound of the k-th cosine; a block's
@@ -45,9 +45,11 @@ from tessera.llm.wordhash import ALNUM, U, Words, words
 
 SAMPLE = 4000
 OTHERS = 4
-BLOCK = 32
+BLOCK = 128
+#: Terms that one of so many examples has, or more, are rows of the matrix.
+FREQUENT = 32
 #: Documents that are searched at a time.
-GROUP = 64
+GROUP = 256
 #: More than single-precision sums can be off.
 SLACK = 1e-4
 NEIGHBOURS = 25
@@ -74,10 +76,8 @@ def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     low, size = low[some], size[some]
     if not len(low):
         return low
-    step = np.ones(int(size.sum()), np.int64)
-    step[0] = low[0]
-    step[np.cumsum(size[:-1])] = low[1:] - (low[:-1] + size[:-1]) + 1
-    return np.cumsum(step)
+    ends = np.cumsum(size)
+    return np.arange(ends[-1]) + np.repeat(low - (ends - size), size)
 
 
 #: The leading bits of a hash that a filter tells known terms by.
@@ -152,7 +152,14 @@ class Index:
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
         blocks = self.blocks()
         ties = (self.ids, self.label, self.ids if self.content is None else self.content)
-        return [found for at in range(0, len(queries), GROUP) for found in blocks.nearest(queries[at : at + GROUP], skip[at : at + GROUP] if skip else None, ties, k)]
+        size = np.diff(self.start)
+        order = np.argsort([term[np.argmax(size[term])] if len(term) else -1 for term, _ in queries], kind="stable")
+        out: list = [None] * len(queries)
+        for at in range(0, len(queries), GROUP):
+            own = order[at : at + GROUP]
+            for i, found in zip(own, blocks.nearest([queries[i] for i in own], [skip[i] for i in own] if skip else None, ties, k), strict=True):
+                out[i] = found
+        return out
 
     def judged(self, column: pa.Array) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
         """(row, score, neighbours, cosines) of the texts that have a term."""
@@ -194,7 +201,7 @@ class Blocks:
     def of(cls, ix: Index) -> Blocks:
         n, v = len(ix.ids), len(ix.vocabulary)
         blocks, size = -(-n // BLOCK), np.diff(ix.start)
-        heavy = np.flatnonzero(size >= max(1, blocks))
+        heavy = np.flatnonzero(size >= max(1, n // FREQUENT))
         row_of = np.full(v, -1, np.int32)
         row_of[heavy] = np.arange(len(heavy))
         term = np.repeat(np.arange(v, dtype=np.int32), size)
@@ -208,7 +215,7 @@ class Blocks:
         peak = np.maximum.reduceat(post_weight, low) if len(low) else np.zeros(0, np.float32)
         by = np.argsort(ix.post_example, kind="stable")
         return cls(
-            row_of, matrix, blocks, np.searchsorted(place[low] // max(1, blocks), np.arange(v + 1)), place[low] % max(1, blocks), peak, low, np.diff(np.r_[low, len(place)]),
+            row_of, matrix, blocks, np.searchsorted(place[low] // max(1, blocks), np.arange(v + 1)), (place[low] % max(1, blocks)).astype(np.int32), peak, low.astype(np.int32), np.diff(np.r_[low, len(place)]).astype(np.int32),
             post_example, post_weight, np.r_[0, np.cumsum(np.bincount(ix.post_example, minlength=n))], term[by], ix.post_weight[by], np.zeros(v),
         )
 
@@ -222,7 +229,9 @@ class Blocks:
         for i, (term, x) in enumerate(queries):
             row = self.row_of[term]
             weights[i, row[row >= 0]] = x[row >= 0]
-        partial = weights @ self.matrix
+        # Queries come in the order of their most frequent words, so those of a group share most rows.
+        rows = np.flatnonzero(weights.any(0))
+        partial = weights[:, rows] @ self.matrix[rows] if 2 * len(rows) < len(self.matrix) else weights @ self.matrix
         for i, own in enumerate(skip or ()):
             if own >= 0:
                 partial[i, own] = -2
@@ -361,12 +370,12 @@ def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", boun
     shared.destroy()
     many = np.array(rows["term"].combine_chunks().value_lengths())
     term, x = (rows[c].combine_chunks().flatten().to_numpy() for c in ("term", "x"))
-    # Examples with the same leading term lie together, so that a block's largest weights are few.
-    own = np.repeat(np.arange(len(many)), many)
-    order = np.lexsort((x, own))
-    lead = term[order[np.cumsum(many) - 1]]
+    # Examples with the same most frequent and the same leading term lie together, so that a block's largest weights are few.
+    own = np.repeat(np.arange(len(many), dtype=np.int32), many)
+    cuts = np.r_[0, np.cumsum(many)]
+    lead, common = np.array([(term[a:b][np.argmax(x[a:b])], term[a:b][np.argmax(have[term[a:b]])]) for a, b in zip(cuts, cuts[1:], strict=False)]).T
     ids, label_of, content = rows["k"].to_numpy(), rows["y"].to_numpy(), rows["content"].to_numpy()
-    order = np.lexsort((ids, label_of, content, lead))
+    order = np.lexsort((ids, label_of, content, lead, common))
     index.ids, index.label, index.weight, index.content = ids[order], label_of[order].astype(float), rows["weight"].to_numpy()[order], content[order]
     place = np.empty(len(many), np.int32)
     place[order] = np.arange(len(many))
@@ -388,12 +397,15 @@ def score(documents: DataFrame, index: Index, *, key: str = "doc_id", text: str
         ix.slope = slope
         base = ix.score(ix.prior) if len(ix.ids) else ix.prior
         for b in batches:
-            out, seen = np.full(b.num_rows, base), [[] for _ in range(b.num_rows)]
+            out, many, seen = np.full(b.num_rows, base), np.zeros(b.num_rows + 1, np.int32), []
             if len(ix.ids):
+                # Rows come in order.
                 for at, score, ex, s in ix.judged(b.column("text")):
-                    out[at] = score
-                    seen[at] = [{"id": i, "label": y, "cosine": c} for i, y, c in zip(ix.ids[ex].tolist(), ix.label[ex].astype(int).tolist(), s.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(out), pa.array(seen, near)], names=[key, "score", "neighbours"])
+                    out[at], many[at + 1] = score, len(ex)
+                    seen.append((ex, s))
+            ex, s = (np.concatenate(c) for c in zip(*seen, strict=True)) if seen else (np.zeros(0, np.int64), np.zeros(0))
+            flat = pa.StructArray.from_arrays([pa.array(ix.ids[ex]), pa.array(ix.label[ex].astype(np.int32)), pa.array(s)], fields=list(near.value_type))
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(out), pa.ListArray.from_arrays(np.cumsum(many, dtype=np.int32), flat, type=near)], names=[key, "score", "neighbours"])
 
     return documents.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, score double, neighbours array<struct<id:long,label:int,cosine:double>>")
 
