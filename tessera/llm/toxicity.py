@@ -354,6 +354,7 @@ def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", boun
     term = known["term"].to_numpy().view(U)
     at = np.argsort(term)
     index.vocabulary, index.relevance, index.bits = term[at], known["relevance"].to_numpy()[at], _filter(term)
+    del known, term, at
     n, have = document_counts(documents, index, text=text)
     index.idf = np.log((1 + n) / (1 + have)) + 1
     index.term_weight = index.idf * index.relevance
@@ -365,23 +366,30 @@ def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", boun
                 for t, term, x in shared.value.vectors(w):
                     yield pa.RecordBatch.from_arrays([r.column(n).slice(w.first + t, 1) for n in ("k", "y", "weight", "content")] + [pa.array([term.astype(np.int32)], pa.list_(pa.int32())), pa.array([x], pa.list_(pa.float64()))], names=["k", "y", "weight", "content", "term", "x"])
 
-    rows = chosen.select(F.col("k").cast("long"), "y", "weight", F.xxhash64("text").alias("content"), "text").mapInArrow(extract, "k long, y int, weight double, content long, term array<int>, x array<double>").toArrow().combine_chunks()
+    rows = chosen.select(F.col("k").cast("long"), "y", "weight", F.xxhash64("text").alias("content"), "text").mapInArrow(extract, "k long, y int, weight double, content long, term array<int>, x array<double>").toArrow()
     drop(chosen)
     shared.destroy()
-    many = np.array(rows["term"].combine_chunks().value_lengths())
-    term, x = (rows[c].combine_chunks().flatten().to_numpy() for c in ("term", "x"))
+    many = np.concatenate([np.array(c.value_lengths()) for c in rows["term"].chunks])
+    term, x = (np.concatenate([c.flatten().to_numpy() for c in rows[n].chunks]) for n in ("term", "x"))
+    ids, label_of, weight, content = (rows[n].to_numpy() for n in ("k", "y", "weight", "content"))
+    # The driver holds the postings once, and once more while they are put in order.
+    del rows
     # Examples with the same most frequent and the same leading term lie together, so that a block's largest weights are few.
-    own = np.repeat(np.arange(len(many), dtype=np.int32), many)
     cuts = np.r_[0, np.cumsum(many)]
     lead, common = np.array([(term[a:b][np.argmax(x[a:b])], term[a:b][np.argmax(have[term[a:b]])]) for a, b in zip(cuts, cuts[1:], strict=False)]).T
-    ids, label_of, content = rows["k"].to_numpy(), rows["y"].to_numpy(), rows["content"].to_numpy()
     order = np.lexsort((ids, label_of, content, lead, common))
-    index.ids, index.label, index.weight, index.content = ids[order], label_of[order].astype(float), rows["weight"].to_numpy()[order], content[order]
+    index.ids, index.label, index.weight, index.content = ids[order], label_of[order].astype(float), weight[order], content[order]
     place = np.empty(len(many), np.int32)
     place[order] = np.arange(len(many))
-    ex = place[own]
-    at = np.lexsort((ex, term))
-    index.start, index.post_example, index.post_weight = np.searchsorted(term[at], np.arange(len(index.vocabulary) + 1)), ex[at], x[at]
+    ex = np.repeat(place, many)
+    at = np.lexsort((ex, term)).astype(np.uint32)
+    index.start = np.r_[0, np.cumsum(np.bincount(term, minlength=len(index.vocabulary)))]
+    del term
+    index.post_example = ex[at]
+    del ex
+    index.post_weight = x[at]
+    del x, at
+    pa.default_memory_pool().release_unused()
     index.slope = _fit_slope(own_votes(spark, index), index.label, index.weight)
     return index
 
