@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import GateConfig
+from tessera.functions.dealing import growing
 from tessera.schemas import SEVERITIES
 
 BUDGET = 100
@@ -61,7 +62,7 @@ def justify(findings: DataFrame, reasons: DataFrame, config: GateConfig) -> Data
     """Findings with the reason given for their rule; evidence stays, the penalty no longer counts."""
     if not config.allow_justification:
         return findings
-    return findings.join(reasons, ["cs_id", "rule_id"], "left").withColumn("justification", F.coalesce("reason", "justification")).drop("reason").select(*findings.columns)
+    return findings.join(growing(reasons), ["cs_id", "rule_id"], "left").withColumn("justification", F.coalesce("reason", "justification")).drop("reason").select(*findings.columns)
 
 
 def band(value: Column, threshold: Column) -> Column:
@@ -81,7 +82,7 @@ def scores(changesets: DataFrame, findings: DataFrame, config: GateConfig) -> Da
         F.sum(effective_penalty(F.col("penalty"), F.col("justification"))).alias("spent"), F.count_if(open_).alias("n_unjustified"),
         F.max(F.when(open_, severity_rank(F.col("severity")))).alias("rank"),
     )
-    rows = changesets.select("cs_id").join(spent, "cs_id", "left")
+    rows = changesets.select("cs_id").join(growing(spent), "cs_id", "left")
     value, threshold = F.greatest(F.lit(0), BUDGET - F.coalesce("spent", F.lit(0))).cast("int"), F.lit(config.fail_under)
     rows = rows.select("cs_id", value.alias("value"), threshold.alias("threshold"), F.coalesce("n_unjustified", F.lit(0)).alias("n_unjustified"), F.get(F.array(*map(F.lit, SEVERITIES)), F.col("rank")).alias("worst_severity"))
     rows = rows.withColumn("passed", F.col("value") >= F.col("threshold")).withColumn("band", band(F.col("value"), F.col("threshold")))
