@@ -24,8 +24,7 @@ def diff_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def class_surfaces(spark: SparkSession, d: str) -> DataFrame:
-    surfaces = extract_sources(B.class_sources(table(spark, d, "customer")))
-    rows = pairing.test_rows(surfaces).join(surfaces.select("cs_id", "framework"), "cs_id")
+    rows = pairing.test_rows(extract_sources(B.class_sources(table(spark, d, "customer"))), "framework")
     t, a = F.col("test"), F.get("test.assertions", F.lit(0))
     return rows.select(
         "cs_id", "framework", "test_id", t["qualname"].alias("qualname"), t["line_start"].alias("line_start"), t["is_discoverable"].alias("is_discoverable"), "will_run", F.coalesce(a["kind"], F.lit("")).alias("kind"),

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.dealing import growing
 from tessera.functions.paths import detect_language, normalized
 
 #: Folders that hold packages and are no part of their names.
@@ -74,12 +75,18 @@ def prefixes(names: DataFrame, name: str = "resolved") -> DataFrame:
 
 
 def handed_on(names: DataFrame, edges: DataFrame, *, hops: int = 3) -> DataFrame:
-    """`names` (with cs_id, resolved) and all that they stand for after up to `hops` modules have handed them on; a name may come more than once."""
-    out = step = names
-    known = edges.select("cs_id", "module", "name", "stands_for")
+    """`names` (with cs_id, resolved) and all that they stand for after up to `hops` modules have handed them on; a name may come more than
+    once. Each hop is one join: names that were found before go through it unmatched, so that `names` is read once."""
+    known = growing(edges.select("cs_id", "module", "name", "stands_for"))
+    parts = F.split("resolved", r"\.")
+    out = names.withColumn("_new", F.lit(True))
     for _ in range(hops):
-        met = prefixes(step).join(known, ["cs_id", "module", "name"])
-        on = F.array_join(F.concat(F.array("stands_for"), "rest"), ".")
-        step = met.select(*[on.alias(c) if c == "resolved" else F.col(c) for c in names.columns])
-        out = out.unionByName(step)
-    return out
+        # The name itself (n is 0), and each proper prefix of a new one.
+        cuts = F.when(F.col("_new") & (F.size(parts) > 1), F.sequence(F.lit(0), F.size(parts) - 1)).otherwise(F.array(F.lit(0)))
+        each = out.withColumn("_n", F.explode(cuts)).withColumn("_parts", parts)
+        n, found = F.col("_n"), F.col("_n") > 0
+        each = each.withColumn("module", F.when(found, F.array_join(F.slice("_parts", F.lit(1), n), "."))).withColumn("name", F.when(found, F.get("_parts", n)))
+        met = each.join(known, ["cs_id", "module", "name"], "left").where("_n = 0 or stands_for is not null")
+        on = F.when(found, F.array_join(F.concat(F.array("stands_for"), _after(F.col("_parts"), n + 1)), ".")).otherwise(F.col("resolved"))
+        out = met.select(*[on.alias(c) if c == "resolved" else F.col(c) for c in names.columns], found.alias("_new"))
+    return out.drop("_new")

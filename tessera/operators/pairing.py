@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.schemas import STRENGTH
@@ -31,11 +31,11 @@ def total_strength(test: Column) -> Column:
     return F.aggregate(test["assertions"], F.lit(0).cast("long"), lambda n, a: n + F.coalesce(strength(a["kind"]), F.lit(0)))
 
 
-def test_rows(surfaces: DataFrame) -> DataFrame:
-    """A row for each test of parsed surfaces: keys, test_ord, test_id, will_run, n_assertions, strength, test."""
+def test_rows(surfaces: DataFrame, *more: str) -> DataFrame:
+    """A row for each test of parsed surfaces: keys, test_ord, test_id, will_run, n_assertions, strength, test, and `more` columns of the surface."""
     t = F.col("test")
-    rows = surfaces.select("cs_id", "file_ord", "path", "side", F.posexplode("tests").alias("test_ord", "test"))
-    return rows.select("cs_id", "file_ord", "path", "side", "test_ord", t["id"].alias("test_id"), will_run(t).alias("will_run"), F.size(t["assertions"]).cast("long").alias("n_assertions"), total_strength(t).alias("strength"), "test")
+    rows = surfaces.select("cs_id", "file_ord", "path", "side", *more, F.posexplode("tests").alias("test_ord", "test"))
+    return rows.select("cs_id", "file_ord", "path", "side", "test_ord", t["id"].alias("test_id"), will_run(t).alias("will_run"), F.size(t["assertions"]).cast("long").alias("n_assertions"), total_strength(t).alias("strength"), "test", *more)
 
 
 def surface_totals(rows: DataFrame) -> DataFrame:
@@ -54,20 +54,24 @@ def by_id(rows: DataFrame) -> DataFrame:
 
 
 def comparable(surfaces: DataFrame) -> DataFrame:
-    """(cs_id, path) of files both of whose sides are known: parsed or rightly absent."""
-    known = F.col("status").isin("parsed", "absent")
-    return surfaces.groupBy("cs_id", "path").agg(F.min(known.cast("int")).alias("ok"), F.count(F.lit(1)).alias("sides")).where("ok = 1 and sides >= 2").select("cs_id", "path")
+    """Surfaces of files both of whose sides are known: parsed or rightly absent. They are read once."""
+    file = Window.partitionBy("cs_id", "path")
+    known = F.min(F.col("status").isin("parsed", "absent").cast("int")).over(file)
+    return surfaces.withColumn("_known", known).withColumn("_sides", F.count(F.lit(1)).over(file)).where("_known = 1 and _sides >= 2").drop("_known", "_sides")
 
 
 def pair_tests(rows: DataFrame) -> DataFrame:
-    """Base and head tests matched by id, from rows of test_rows() of comparable files. Base order first, then
-    head-only tests: pair_ord sorts them. A missing side has no strength."""
-    one = by_id(rows)
+    """Base and head tests matched by id, from rows of test_rows() of comparable files, in one pass: of repeated ids of a side the last
+    counts, at the first one's place. Base order first, then head-only tests: pair_ord sorts them. A missing side has no strength."""
+    kept = [c for c in rows.columns if c not in ("cs_id", "file_ord", "path", "side", "test_id", "test_ord")]
 
-    def side(name: str) -> DataFrame:
-        return one.where(F.col("side") == name).select("cs_id", "path", "test_id", *[F.col(c).alias(f"{name}_{c}") for c in one.columns if c not in ("cs_id", "path", "test_id", "side", "file_ord")])
+    def side(name: str) -> list[Column]:
+        own = F.col("side") == name
+        # A file of a change comes once; the order within it decides, its place among the files only between files of one path.
+        at = F.when(own, F.shiftleft(F.col("test_ord").cast("long"), 32) + F.coalesce("file_ord", F.lit(0)))
+        return [F.min(F.when(own, F.col("test_ord"))).alias(f"{name}_test_ord"), *[F.max_by(c, at).alias(f"{name}_{c}") for c in kept]]
 
-    both = side("base").join(side("head"), ["cs_id", "path", "test_id"], "full_outer")
+    both = rows.where(F.col("side").isin("base", "head")).groupBy("cs_id", "path", "test_id").agg(*side("base"), *side("head"))
     base, head = F.coalesce("base_strength", F.lit(0)), F.coalesce("head_strength", F.lit(0))
     return both.select(
         "*", F.col("head_test_ord").isNull().alias("removed"), F.col("base_test_ord").isNull().alias("added"), (head - base).cast("long").alias("strength_delta"),

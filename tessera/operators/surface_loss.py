@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.dealing import growing
 from tessera.functions.paths import detect_language
 from tessera.operators.alignment import aligned_assertions, expectation
 from tessera.operators.imports import handed_on, import_edges, module_names, prefixes
@@ -19,30 +20,29 @@ KEYS = ("cs_id", "file_ord", "path")
 
 
 def pairs(context: Context) -> DataFrame:
-    """Paired tests of files whose sides are both known, made once for all rules: a source is parsed once."""
+    """Paired tests of files whose sides are both known, made once for all rules: a source is parsed once, whether they are kept or one rule alone reads them once."""
     if context.surfaces is None:
         raise ValueError("this rule needs surfaces")
 
     def make() -> DataFrame:
-        surfaces = context.once("surfaces", lambda: context.surfaces)
-        known = surfaces.join(comparable(surfaces), ["cs_id", "path"], "left_semi")
-        return pair_tests(test_rows(known)).join(context.files.select(*KEYS), ["cs_id", "path"])
+        return pair_tests(test_rows(comparable(context.surfaces))).join(growing(context.files.select(*KEYS)), ["cs_id", "path"])
 
     return context.once("pairs", make)
 
 
-def _rows(p: DataFrame, title: str, detail: Column, line: Column, side: str, order: Column | None = None) -> DataFrame:
-    return p.select(*KEYS, F.lit(title).alias("title"), detail.alias("detail"), F.array(evidence(line, side, F.col("test_id"))).alias("evidence"), F.lit(0).alias("check_ord"), (order if order is not None else F.col("pair_ord.ord")).alias("line_ord"))
+def _rows(p: DataFrame, title: str | Column, detail: Column, line: Column, side: str | Column, order: Column | None = None) -> DataFrame:
+    return p.select(*KEYS, (F.lit(title) if isinstance(title, str) else title).alias("title"), detail.alias("detail"), F.array(evidence(line, side, F.col("test_id"))).alias("evidence"), F.lit(0).alias("check_ord"), (order if order is not None else F.col("pair_ord.ord")).alias("line_ord"))
 
 
 @rule("VID001", "Test removed or undiscoverable", severity="high", penalty=25)
 def removed(context: Context) -> DataFrame:
     p = pairs(context)
-    gone = p.where("removed and base_test.is_discoverable")
-    hidden = p.where("not removed and not added and base_test.is_discoverable and not head_test.is_discoverable")
-    return _rows(gone, "Test removed", text("`", F.col("test_id"), "` no longer exists."), F.col("base_test.line_start"), "base").unionByName(
-        _rows(hidden, "Test no longer discoverable", text("`", F.col("test_id"), "` is no longer collected."), F.col("head_test.line_start"), "head")
-    )
+    lost = p.where("base_test.is_discoverable and (removed or not added and not head_test.is_discoverable)")
+    gone = F.col("removed")
+    title = F.when(gone, "Test removed").otherwise("Test no longer discoverable")
+    detail = text("`", F.col("test_id"), F.when(gone, "` no longer exists.").otherwise("` is no longer collected."))
+    line, side = F.when(gone, F.col("base_test.line_start")).otherwise(F.col("head_test.line_start")), F.when(gone, "base").otherwise("head")
+    return _rows(lost, title, detail, line, side)
 
 
 @rule("VID002", "Assertion removed", severity="high", penalty=20)
@@ -93,9 +93,9 @@ def weakened(context: Context) -> DataFrame:
 def untested(context: Context) -> DataFrame:
     p = pairs(context)
     net = p.groupBy("cs_id").agg(F.sum(F.coalesce("head_n_assertions", F.lit(0)) - F.coalesce("base_n_assertions", F.lit(0))).alias("net"))
-    code = context.lines.where("side = 'head'").join(context.non_test_files().select("cs_id", "file_ord"), ["cs_id", "file_ord"], "left_semi")
+    code = context.lines.where("side = 'head'").join(growing(context.non_test_files().select("cs_id", "file_ord")), ["cs_id", "file_ord"], "left_semi")
     code = code.groupBy("cs_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file_ord", "line_ord", "path", "line_no", "text")).alias("first"))
-    rows = code.join(net, "cs_id", "left").where(F.coalesce("net", F.lit(0)) <= 0)
+    rows = code.join(growing(net), "cs_id", "left").where(F.coalesce("net", F.lit(0)) <= 0)
     first = F.col("first")
     return rows.select("cs_id", first["file_ord"].alias("file_ord"), first["path"].alias("path"), F.lit("Code added without new assertions").alias("title"), text(F.col("n").cast("string"), " line(s) of code were added with no net new assertion.").alias("detail"), F.array(evidence(first["line_no"], "head", first["text"], first["path"])).alias("evidence"), F.lit(0).alias("check_ord"), F.lit(0).alias("line_ord"))
 
@@ -115,7 +115,7 @@ def aligned(context: Context) -> DataFrame:
 def changed_code(context: Context) -> DataFrame:
     """(cs_id, file_ord, path) of files that aren't tests, in a language that is known, with a changed line."""
     code = context.non_test_files().where(detect_language(F.col("path")).isNotNull()).select(*KEYS)
-    return code.join(context.lines.select(*KEYS).distinct(), [*KEYS], "left_semi")
+    return code.join(growing(context.lines.select(*KEYS).distinct()), [*KEYS], "left_semi")
 
 
 def _values(assertion: str) -> Column:
@@ -129,7 +129,7 @@ def literal_edited(context: Context) -> DataFrame:
     about = F.exists("now.literal", lambda x: ~x)
     same = expectation(F.col("was")) == expectation(F.col("now"))
     edited = aligned(context).where(same & about & F.col("was.tolerance").eqNullSafe(F.col("now.tolerance")) & (F.col("was.operands") != F.col("now.operands")))
-    rows = edited.join(changed_code(context).select("cs_id"), "cs_id", "left_semi")
+    rows = edited.join(growing(changed_code(context).select("cs_id")), "cs_id", "left_semi")
     both = F.array(evidence(F.col("was.line"), "base", F.array_join("was.operands", " | ")), evidence(F.col("now.line"), "head", F.array_join("now.operands", " | ")))
     detail = text("`", F.col("test_id"), "` expected `", _values("was"), "`, now `", _values("now"), "`, in a change that touches code too.")
     return rows.select(*KEYS, F.lit("Expected literal edited").alias("title"), detail.alias("detail"), both.alias("evidence"), F.lit(0).alias("check_ord"), F.col("ord").alias("line_ord"))
@@ -144,12 +144,14 @@ def unit_mocked(context: Context) -> DataFrame:
     gained = gained.select(*KEYS, "test_id", "test_ord", "ord", F.col("m.target").alias("target"), F.col("m.line").alias("line"))
     edges = context.once("imports", lambda: import_edges(context.files))
     parts = F.split("target", r"\.")
-    local = gained.withColumn("name", F.get(parts, F.lit(0))).join(edges.select(*KEYS, "name", "stands_for").distinct(), [*KEYS, "name"])
+    # A target as it is written (no name), and by what its first name stands for: both in one pass over the gained ones.
+    both = gained.withColumn("name", F.explode(F.array(F.lit(None).cast("string"), F.get(parts, F.lit(0)))))
+    local = both.join(growing(edges.select(*KEYS, "name", "stands_for")), [*KEYS, "name"], "left").where("name is null or stands_for is not null")
     rest = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), ".")
-    local = local.withColumn("resolved", F.when(F.size(parts) > 1, F.concat_ws(".", "stands_for", rest)).otherwise(F.col("stands_for")))
-    names = gained.withColumn("resolved", F.col("target")).unionByName(local.select(*gained.columns, "resolved"))
+    stands = F.when(F.size(parts) > 1, F.concat_ws(".", "stands_for", rest)).otherwise(F.col("stands_for"))
+    names = local.select(*gained.columns, F.when(F.col("name").isNull(), F.col("target")).otherwise(stands).alias("resolved"))
     code = changed_code(context).where(detect_language(F.col("path")) == "python").select("cs_id", F.explode(module_names(F.col("path"))).alias("module"), F.col("path").alias("code_path"))
-    met = prefixes(handed_on(names, edges)).join(code, ["cs_id", "module"])
+    met = prefixes(handed_on(names, edges)).join(growing(code), ["cs_id", "module"])
     one = met.groupBy(*gained.columns).agg(F.min(F.struct("code_path", "resolved")).alias("c"))
     detail = text("`", F.col("test_id"), "` now replaces `", F.col("target"), "`, which is `", F.col("c.resolved"), "` of ", F.col("c.code_path"), ", changed here.")
     return one.select(*KEYS, F.lit("Unit under test mocked").alias("title"), detail.alias("detail"), F.array(evidence(F.col("line"), "head", F.col("target"))).alias("evidence"), F.col("test_ord").alias("check_ord"), F.col("ord").alias("line_ord"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from tessera.config import GateConfig
 from tessera.functions.paths import EXTRACTORS, detect_language, is_test_path
@@ -20,15 +23,16 @@ _SCHEMA = f"cs_id long, file_ord int, path string, side string, {SURFACE}"
 def extract_sources(sources: DataFrame) -> DataFrame:
     """Surfaces of rows (cs_id, file_ord, path, side, content). Contents stay with their task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(_SCHEMA)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [extract(p, c) for p, c in zip(b["path"], b["content"], strict=True)]
-            out = b[["cs_id", "file_ord", "path", "side"]].reset_index(drop=True)
-            for name in _COLUMNS[4:]:
-                out[name] = pd.Series([x[name] for x in found], dtype="boolean" if name == "parse_ok" else object)
-            yield out
+            found = [extract(p, c) for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True)]
+            own = [b.column(name) for name in _COLUMNS[:4]]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([x[name] for x in found], kinds[name]) for name in _COLUMNS[4:])], names=_COLUMNS)
 
-    return sources.select("cs_id", "file_ord", "path", "side", "content").mapInPandas(run, _SCHEMA)
+    keys = [F.col(name).cast(kind) for name, kind in (("cs_id", "long"), ("file_ord", "int"), ("path", "string"), ("side", "string"))]
+    return sources.select(*keys, "content").mapInArrow(run, _SCHEMA)
 
 
 def surfaces(files: DataFrame, config: GateConfig | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.derived import _change, _changes, _pick, _text
+from tessera.plans.derived import _change, _changes, _keys, _pick, _text
 
 
 class Section(NamedTuple):
@@ -85,7 +85,7 @@ def class_sources(customers: DataFrame) -> DataFrame:
         "import unittest\n\n\ndef test_top():\n    load(", k.cast("string"), ")\n\n\nclass ", digit(1, CLASSES), digit(3, BASES), ":\n", F.when(k % 2 == 1, "    @unittest.skip('x')\n").otherwise(""),
         "    def ", digit(9, METHODS), "(self):\n", digit(36, [b[0] for b in BODIES]), "        def inner():\n            assert hidden\n",
     )
-    return customers.select(k.alias("cs_id"), F.lit(0).alias("file_ord"), _text("tests/test_k", k.cast("string"), ".py").alias("path"), F.lit("head").alias("side"), content.alias("content"))
+    return _keys(customers).select(k.alias("cs_id"), F.lit(0).alias("file_ord"), _text("tests/test_k", k.cast("string"), ".py").alias("path"), F.lit("head").alias("side"), content.alias("content"))
 
 
 def repeated_tests(lineitem: DataFrame) -> DataFrame:
