@@ -11,6 +11,11 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def usable(labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
+    """(k, y) of all labels that may be learned from."""
+    return labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out("k")).distinct()
+
+
 def sample(documents: DataFrame, labels: DataFrame, label: str, bound: int, *, others: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (k, text, y, weight): at most `bound` learnable labelled documents, or that many labelled 1
     and `others` labelled 0, least hash of the key first. weight is how many learnable rows of its class a row stands for.
@@ -18,14 +23,14 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, bound: int, *, o
     Null keys and labels other than 0 and 1 teach nothing. The rows of a key that repeats in either
     table count once each for a distinct (text, label).
     """
-    usable = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out("k")).distinct()
-    total = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
+    known = usable(labels, label, key)
+    total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     order = [F.xxhash64("k"), F.col("k")]
     if others is not None:
-        chosen = usable.where("y = 1").orderBy(*order).limit(bound).unionByName(usable.where("y = 0").orderBy(*order).limit(others))
+        chosen = known.where("y = 1").orderBy(*order).limit(bound).unionByName(known.where("y = 0").orderBy(*order).limit(others))
         weight = {y: max(1.0, n / (bound if y else others)) for y, n in total.items()}
     else:
-        chosen = usable.orderBy(*order).limit(bound)
+        chosen = known.orderBy(*order).limit(bound)
         weight = {y: max(1.0, sum(total.values()) / bound) for y in total}
     scale = F.lit(1.0)
     for y, w in weight.items():

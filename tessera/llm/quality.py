@@ -1,13 +1,14 @@
 """A quality classifier by Bradley-Terry pairwise ranking.
 
 Every text becomes a fixed vector of FEATURES, counted over its whole bytes and words: its shape, and
-its content as the roots of the shares of words and of three-byte sequences by hash bin. From a bounded
-sample of labelled rows (SAMPLE), PAIRS preference pairs (a document labelled 1 over one labelled 0)
-are drawn by a fixed seed; the chance that a document is preferred is the logistic function of the
-difference of two scores, and the weights minimise that logistic loss on feature differences (with a
-small ridge, by Newton steps). Scores are thresholded at the quantile of the sample's scores that its
-share of 0 labels names; a scale fitted on the sample makes 0.5 that threshold and the score a
-probability.
+its content as the roots of the shares of words and of three-byte sequences by hash bin. All learnable
+labelled rows are learned from. Up to SAMPLE of them are fitted on the driver, on PAIRS preference pairs
+(a document labelled 1 over one labelled 0) that are drawn by a fixed seed. More are dealt to blocks, in
+which every 1 is paired with every 0, and fitted by sums over the blocks, a Spark job for each step. The
+chance that a document is preferred is the logistic function of the difference of two scores, and the
+weights minimise that logistic loss on feature differences (with a small ridge, by Newton steps). Scores
+are thresholded at the quantile of all learnable rows' scores that their share of 0 labels names; a scale
+fitted on the same rows makes 0.5 that threshold and the score a probability.
 
 Defined cases: null and empty texts are the zero counts, with a finite score; repeated rows get equal
 scores; without labels, or with one class alone, every score is that class's share (0.5 without
@@ -16,7 +17,7 @@ labels); other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.labelled import held_out, sample
-from tessera.llm.tables import cut, drop
+from tessera.llm.labelled import held_out, sample, usable
+from tessera.llm.tables import cut, drop, growing
 from tessera.llm.wordhash import BLANK_SEPARATED, LOWER, U, grams, string_buffers, whole, words
 
 SAMPLE = 8000
@@ -179,8 +180,139 @@ def fit(x: np.ndarray, y: np.ndarray, *, pairs: int = PAIRS, seed: int = 7) -> R
     return r
 
 
+def _vectors(documents: DataFrame, labels: DataFrame, label: str, key: str, text: str) -> DataFrame:
+    """Rows (k, y, x) of all learnable labelled documents, once for each distinct (key, text, label). Vectors are made where the texts are, so no text is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("h"), pa.array(list(features(b.column("text")).astype(np.float32)), pa.list_(pa.float32()))], names=["k", "h", "x"])
+
+    body = F.coalesce(F.col(text), F.lit(""))
+    learnable = documents.select(F.col(key).cast("long").alias("k"), F.sha1(body.cast("binary")).alias("h"), body.alias("text")).where(F.col("k").isNotNull() & ~held_out("k"))
+    found = learnable.mapInArrow(run, "k long, h string, x array<float>")
+    return found.join(growing(usable(labels, label, key).withColumn("k", F.col("k").cast("long"))), "k").groupBy("k", "y", "h").agg(F.first("x").alias("x")).drop("h")
+
+
+#: Rows of a block, of them at least so many of the rarer class; tasks that send their sums to the driver at once.
+BLOCK, RARE, SUMS = 512, 32, 64
+
+
+def _blocks(vectors: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Rows (y, own, x): all vectors in blocks, dealt by hash. Of a class too rare for all blocks each row goes to several, and is `own` in one."""
+    n = -(-sum(counts.values()) // BLOCK)
+    rare = min(counts, key=lambda y: counts[y])
+    copies = F.when(F.col("y") == rare, F.lit(min(n, max(1, -(-RARE * n // counts[rare]))))).otherwise(1)
+    each = vectors.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    block = F.pmod(F.xxhash64("k") + F.col("copy") * F.lit(7919), F.lit(n))
+    rows = each.groupBy(block.alias("block")).agg(F.collect_list(F.struct("k", "copy", "y", "x")).alias("r")).select(F.array_sort("r").alias("r"))
+    return rows.select(F.transform("r", lambda r: r["y"]).alias("y"), F.transform("r", lambda r: r["copy"] == 0).alias("own"), F.flatten(F.transform("r", lambda r: r["x"])).alias("x"))
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(y, own, x) of each block."""
+    for b in batches:
+        for y, own, x in zip(b.column("y"), b.column("own"), b.column("x"), strict=True):
+            yield y.values.to_numpy(), own.values.to_numpy(zero_copy_only=False), x.values.to_numpy().reshape(-1, len(FEATURES)).astype(float)
+
+
+def _summed(blocks: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all blocks of an array made of each; a task sends one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for y, own, x in _each(batches):
+            out += one(y, own, x)
+        yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], names=["s"])
+
+    return np.sum([r["s"] for r in blocks.coalesce(SUMS).mapInArrow(run, "s array<double>").collect()], axis=0)
+
+
+def _preferred(w: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> Callable:
+    """Of a block: pairs, gradient and curvature of the loss over all its pairs of a 1 with a 0, none written out."""
+
+    def one(y: np.ndarray, own: np.ndarray, x: np.ndarray) -> np.ndarray:
+        z = np.clip((x - mean) / spread, -8, 8)
+        good, bad = z[y == 1], z[y == 0]
+        p = 1 / (1 + np.exp(np.clip((good @ w)[:, None] - (bad @ w)[None, :], -500, 500)))
+        q = p * (1 - p)
+        cross = good.T @ q @ bad
+        curve = good.T @ (good * q.sum(1)[:, None]) + bad.T @ (bad * q.sum(0)[:, None]) - cross - cross.T
+        return np.concatenate([[p.size], p.sum(0) @ bad - p.sum(1) @ good, curve.ravel()])
+
+    return one
+
+
+def _at_ranks(scores: DataFrame, rank: int, bins: int = 4096, few: int = 10_000) -> float:
+    """The value of a rank, from 0, among the scores: counts by bin narrow the range until few values are left."""
+    rows = scores.select("s")
+    while True:
+        low, high, n = rows.agg(F.min("s"), F.max("s"), F.count("s")).first()
+        if low == high:
+            return low
+        if n <= few:
+            return sorted(r["s"] for r in rows.collect())[rank]
+        at = F.least(F.floor((F.col("s") - low) / (high - low) * bins), F.lit(bins - 1))
+        for b, count in sorted((r["b"], r["count"]) for r in rows.groupBy(at.alias("b")).count().collect()):
+            if rank < count:
+                break
+            rank -= count
+        rows = rows.where(at == b)
+
+
+def fit_all(vectors: DataFrame, counts: dict[int, int]) -> Ranker:
+    """The ranker over all vectors, however many: what fit() does on the driver, by sums over blocks of rows. Every row meets all rows of the other class of its block."""
+    width, n = len(FEATURES), sum(counts.values())
+    r = Ranker(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0)
+    blocks = cut(_blocks(vectors, counts))
+    moments = _summed(blocks, lambda y, own, x: np.concatenate([x[own].sum(0), (x[own] ** 2).sum(0)]), 2 * width) / n
+    r.mean = moments[:width]
+    r.spread = np.maximum(np.sqrt(np.maximum(moments[width:] - r.mean**2, 0)), 1e-6)
+    w = r.weights
+    for _ in range(40):
+        sums = _summed(blocks, _preferred(w, r.mean, r.spread), 1 + width + width * width)
+        pairs, g, h = sums[0], sums[1 : 1 + width], sums[1 + width :].reshape(width, width)
+        step = np.linalg.solve(h / pairs + RIDGE * np.eye(width), g / pairs + RIDGE * w)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    r.weights = w
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for y, own, x in _each(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(r.strength(x)[own]), pa.array(y[own].astype(np.int32))], names=["s", "y"])
+
+    scores = cut(blocks.mapInArrow(strengths, "s double, y int"))
+    place = counts[0] / n * (n - 1)
+    r.threshold = (_at_ranks(scores, int(np.floor(place))) + _at_ranks(scores, int(np.ceil(place)))) / 2
+    t, a = F.col("s") - r.threshold, 1.0
+    for _ in range(60):
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), t * a))))
+        grad, curve = scores.agg(F.sum(t * (p - F.col("y"))), F.sum(t * t * p * (1 - p))).first()
+        before, a = a, max(1e-3, a - (grad + 1e-2 * (a - 1)) / (curve + 1e-2))
+        if abs(a - before) < 1e-9 * a:
+            break
+    r.scale = float(a)
+    drop(blocks, scores)
+    return r
+
+
 def train(documents: DataFrame, labels: DataFrame, *, label: str = "quality", bound: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Ranker:
-    """The ranker, from at most `bound` vectors on the driver."""
+    """The ranker of all learnable labelled rows. Up to `bound` of them are fitted on the driver, more by Spark."""
+    n = usable(labels, label, key).limit(bound + 1).count()
+    if n > bound:
+        vectors = cut(_vectors(documents, labels, label, key, text))
+        counts = {r["y"]: r["count"] for r in vectors.groupBy("y").count().collect()}
+        try:
+            if len(counts) == 1:
+                return fit(np.zeros((1, len(FEATURES))), np.array([float(next(iter(counts)))]))
+            if sum(counts.values()) > bound:
+                return fit_all(vectors, counts)
+            # Labels of documents that aren't there: few rows are left.
+            few = sorted(vectors.select("k", "y", "x").collect())
+            return fit(np.array([r["x"] for r in few]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in few], float))
+        finally:
+            drop(vectors)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), pa.array(list(features(b.column("text"))), pa.list_(pa.float64()))], names=["k", "y", "x"])
