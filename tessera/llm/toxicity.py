@@ -9,15 +9,17 @@ rows (SAMPLE toxic ones and OTHERS times as many others):
 2. Spark counts the documents, labelled or not, that have each of these terms. Each example becomes a
    vector (1 + ln tf) * idf * relevance of length one, with the smoothed idf of these counts.
 3. The vectors go into an inverted index: postings by term, in blocks of BLOCK examples that lie
-   near each other, with the largest weight of every (term, block). Terms of one in FREQUENT examples or
-   more are in as good as every block and can't rule one out; their weights are rows of a matrix.
-
-GROUP documents are searched at a time. The matrix gives their exact partial cosines with all examples.
-The k-th largest of the blocks' best partial cosines is a lower bound of the k-th cosine; a block's
-upper bound is its best partial cosine and, for the other terms, the document's weights times the
-block's largest weights. Postings are read in blocks alone whose upper bound reaches the lower one. What
-could be among the k best there is scored again in full precision, so the neighbours are those of a
-full scan. The votes of the neighbours, each weighted by cosine and by how many labelled rows it stands
+   near each other. Terms of one in FREQUENT examples or more are in as good as every block and can't
+   rule one out; their weights are rows of a matrix. Terms of fewer than RARE examples are always read.
+   The others have the largest weight of every (term, block).
+
+GROUP documents are searched at a time. The matrix and the rare terms give their exact partial cosines
+with all examples. The k-th largest of the blocks' best partial cosines is a lower bound of the k-th
+cosine; a block's upper bound is its best partial cosine and, for the other terms, the document's weights
+times the block's largest weights. Where at most one in SPARSE blocks has an upper bound that reaches the
+lower one, the other terms' postings are read in these alone; else all of them are, for to pick them
+costs more than to read them. What could be among the k best is scored again in full precision, so the
+neighbours are those of a full scan. The votes of the neighbours, each weighted by cosine and by how many labelled rows it stands
 for, and a prior of PRIOR votes give the score; two coefficients fitted on the examples' own
 leave-one-out votes, which the executors work out, make it a probability. A document whose words no
 example has has no neighbour and gets the prior's score.
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +44,21 @@ from pyspark.sql import functions as F
 
 from tessera.llm.labelled import held_out, sample
 from tessera.llm.tables import cut, drop, small_batches, whole_key
-from tessera.llm.wordhash import ALNUM, U, Words, words
+from tessera.llm.wordhash import ALNUM, U, Words, release, words
 
 SAMPLE = 4000
 OTHERS = 4
 BLOCK = 128
 #: Terms that one of so many examples has, or more, are rows of the matrix.
-FREQUENT = 32
+FREQUENT = 16
+#: Terms of fewer examples have no largest weights by block.
+RARE = 64
+#: Postings are picked by block if no more than one in so many blocks is of use.
+SPARSE = 8
+#: Index arrays are put in order in so many parts, which bounds what that takes beside them.
+PARTS = 16
 #: Documents that are searched at a time.
-GROUP = 256
+GROUP = 128
 #: More than single-precision sums can be off.
 SLACK = 1e-4
 NEIGHBOURS = 25
@@ -80,6 +89,14 @@ def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(low - (ends - size), size)
 
 
+def _in_order(key: np.ndarray, size: int, then: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Places in the order of `key` (whole numbers below `size`), then of `then` or as they lie, a range of keys at a time."""
+    step = max(1, -(-size // PARTS))
+    for low in range(0, size, step):
+        at = np.flatnonzero((key >= low) & (key < low + step))
+        yield at[np.argsort(key[at], kind="stable") if then is None else np.lexsort((then[at], key[at]))]
+
+
 #: The leading bits of a hash that a filter tells known terms by.
 FILTER_BITS = 22
 
@@ -124,6 +141,13 @@ class Index:
             self._blocks = Blocks.of(self)
         return self._blocks
 
+    def searchable(self) -> Index:
+        """The index as a process needs it that only searches: without the postings that the blocks are made of."""
+        if self._blocks is None and len(self.ids):
+            self._blocks = Blocks.of(self, let_go=True)
+            release()
+        return self
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of hashes that are in the vocabulary, and their terms."""
         at = np.flatnonzero(self.bits[(h >> U(64 - FILTER_BITS)).astype(np.int64)])
@@ -152,13 +176,9 @@ class Index:
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
         blocks = self.blocks()
         ties = (self.ids, self.label, self.ids if self.content is None else self.content)
-        size = np.diff(self.start)
-        order = np.argsort([term[np.argmax(size[term])] if len(term) else -1 for term, _ in queries], kind="stable")
-        out: list = [None] * len(queries)
+        out: list = []
         for at in range(0, len(queries), GROUP):
-            own = order[at : at + GROUP]
-            for i, found in zip(own, blocks.nearest([queries[i] for i in own], [skip[i] for i in own] if skip else None, ties, k), strict=True):
-                out[i] = found
+            out += blocks.nearest(queries[at : at + GROUP], skip[at : at + GROUP] if skip else None, ties, k)
         return out
 
     def judged(self, column: pa.Array) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
@@ -185,83 +205,126 @@ class Blocks:
     row_of: np.ndarray  # of each term in the matrix, or -1
     matrix: np.ndarray  # terms x examples, padded to whole blocks
     blocks: int
-    first: np.ndarray  # of each other term's entries: one for a block that the term's postings lie in
-    block: np.ndarray
-    peak: np.ndarray  # the largest weight there
-    low: np.ndarray  # the postings there
-    many: np.ndarray
+    low: np.ndarray  # of each other term's postings
     post_example: np.ndarray
     post_weight: np.ndarray
+    peak_of: np.ndarray  # each term's row in the next two, or -1
+    peak: np.ndarray  # the largest weight in each block
+    parts: np.ndarray  # where each block's postings start
     example: np.ndarray  # where each example's own terms start
-    example_term: np.ndarray
+    rank: np.ndarray  # of each term by its examples, so that the places of frequent terms lie together
+    example_rank: np.ndarray
     example_weight: np.ndarray
-    full: np.ndarray  # zeros, a place for one query's weights
+    full: np.ndarray  # zeros, a place for one query's weights, by rank
 
     @classmethod
-    def of(cls, ix: Index) -> Blocks:
+    def of(cls, ix: Index, *, let_go: bool = False) -> Blocks:
+        """With `let_go` the index loses its postings as soon as they aren't needed."""
         n, v = len(ix.ids), len(ix.vocabulary)
         blocks, size = -(-n // BLOCK), np.diff(ix.start)
+        rank = np.empty(v, np.int32)
+        rank[np.argsort(-size, kind="stable")] = np.arange(v)
+        example = np.r_[0, np.cumsum(np.bincount(ix.post_example, minlength=n))]
+        of_posting, at = np.repeat(rank, size), 0
+        example_rank, example_weight = np.empty(len(of_posting), np.int32), np.empty(len(of_posting))
+        for own in _in_order(ix.post_example, n):
+            example_rank[at : at + len(own)], example_weight[at : at + len(own)] = of_posting[own], ix.post_weight[own]
+            at += len(own)
+        del of_posting
+        post_example, post_weight = ix.post_example, ix.post_weight.astype(np.float32)
+        if let_go:
+            ix.post_example = ix.post_weight = None
         heavy = np.flatnonzero(size >= max(1, n // FREQUENT))
         row_of = np.full(v, -1, np.int32)
         row_of[heavy] = np.arange(len(heavy))
-        term = np.repeat(np.arange(v, dtype=np.int32), size)
         matrix = np.zeros((len(heavy), blocks * BLOCK), np.float32)
-        own = row_of[term] >= 0
-        matrix[row_of[term[own]], ix.post_example[own]] = ix.post_weight[own]
-        light, post_example, post_weight = term[~own].astype(np.int64), ix.post_example[~own], ix.post_weight[~own].astype(np.float32)
-        # Postings lie by (term, example), so those of a block lie together.
-        place = light * blocks + post_example // BLOCK
-        low = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else place
-        peak = np.maximum.reduceat(post_weight, low) if len(low) else np.zeros(0, np.float32)
-        by = np.argsort(ix.post_example, kind="stable")
-        return cls(
-            row_of, matrix, blocks, np.searchsorted(place[low] // max(1, blocks), np.arange(v + 1)), (place[low] % max(1, blocks)).astype(np.int32), peak, low.astype(np.int32), np.diff(np.r_[low, len(place)]).astype(np.int32),
-            post_example, post_weight, np.r_[0, np.cumsum(np.bincount(ix.post_example, minlength=n))], term[by], ix.post_weight[by], np.zeros(v),
-        )
+        for row, t in zip(matrix, heavy, strict=True):
+            own = slice(ix.start[t], ix.start[t + 1])
+            row[post_example[own]] = post_weight[own]
+        light = np.where(row_of < 0, size, 0)
+        kept = np.repeat(row_of < 0, size)
+        post_example, post_weight, low = post_example[kept].astype(np.min_scalar_type(n)), post_weight[kept], np.r_[0, np.cumsum(light)]
+        some = np.flatnonzero(light >= RARE)
+        peak_of = np.full(v, -1, np.int32)
+        peak_of[some] = np.arange(len(some))
+        peak, parts = np.zeros((len(some), blocks), np.float32), np.empty((len(some), blocks + 1), np.int32)
+        for at in np.array_split(some, PARTS):
+            # Postings lie by (term, example), so those of a block lie together.
+            post, row = _ranges(low[at], light[at]), peak_of[at]
+            place = np.repeat(np.arange(len(at)), light[at]) * blocks + post_example[post] // BLOCK
+            first = np.flatnonzero(np.diff(place, prepend=-1))
+            if len(first):
+                peak[row[0] : row[-1] + 1].ravel()[place[first]] = np.maximum.reduceat(post_weight[post], first)
+            many = np.bincount(place, minlength=len(at) * blocks).reshape(len(at), blocks)
+            parts[row] = low[at][:, None] + np.c_[np.zeros(len(at), np.int64), np.cumsum(many, axis=1)]
+        return cls(row_of, matrix, blocks, low, post_example, post_weight, peak_of, peak, parts, example, rank, example_rank, example_weight, np.zeros(v))
 
     def own(self, example: int) -> tuple[np.ndarray, np.ndarray]:
         """An example's terms and weights."""
         at = slice(self.example[example], self.example[example + 1])
-        return self.example_term[at], self.example_weight[at]
+        return self.term_of[self.example_rank[at]], self.example_weight[at]
+
+    @cached_property
+    def term_of(self) -> np.ndarray:
+        """The term of each rank."""
+        return np.argsort(self.rank)
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None, ties: tuple[np.ndarray, ...], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         weights = np.zeros((len(queries), len(self.matrix)), np.float32)
         for i, (term, x) in enumerate(queries):
             row = self.row_of[term]
             weights[i, row[row >= 0]] = x[row >= 0]
-        # Queries come in the order of their most frequent words, so those of a group share most rows.
-        rows = np.flatnonzero(weights.any(0))
-        partial = weights[:, rows] @ self.matrix[rows] if 2 * len(rows) < len(self.matrix) else weights @ self.matrix
+        partial = weights @ self.matrix
         for i, own in enumerate(skip or ()):
             if own >= 0:
                 partial[i, own] = -2
-        best = partial.reshape(len(queries), self.blocks, BLOCK).max(2)
-        least = np.partition(best, self.blocks - k, axis=1)[:, self.blocks - k] if self.blocks > k else np.zeros(len(queries))
-        return [self._of_one(term, x, partial[i], best[i], float(least[i]), ties, k) for i, (term, x) in enumerate(queries)]
-
-    def _of_one(self, term: np.ndarray, x: np.ndarray, partial: np.ndarray, best: np.ndarray, least: float, ties: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, np.ndarray]:
-        rest = self.row_of[term] < 0
-        low, many = self.first[term[rest]], self.first[term[rest] + 1] - self.first[term[rest]]
-        at, weight = _ranges(low, many), np.repeat(x[rest], many)
-        bound = best + np.bincount(self.block[at], weights=weight * self.peak[at], minlength=self.blocks)
-        live = (bound >= least - SLACK) & (bound > 0)
-        own = live[self.block[at]]
-        at, weight = at[own], weight[own]
-        post = _ranges(self.low[at], self.many[at])
-        s = partial + np.bincount(self.post_example[post], weights=np.repeat(weight, self.many[at]) * self.post_weight[post], minlength=len(partial))
-        ex = (np.flatnonzero(live)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        s = s[ex]
+        return [self._of_one(term, x, partial[i], ties, k) for i, (term, x) in enumerate(queries)]
+
+    def _add(self, s: np.ndarray, low: np.ndarray, many: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """`s` and what the postings from `low` on, `many` each, add to it with the weights `x`."""
+        total = int(many.sum())
+        if not total:
+            return s
+        if total < RARE * len(many):
+            post = _ranges(low, many)
+            ex, weight = self.post_example[post], self.post_weight[post]
+        else:
+            # Long runs are copied faster than picked.
+            own = [slice(*c) for c in zip(low.tolist(), (low + many).tolist(), strict=True)]
+            ex, weight = (np.concatenate([of[c] for c in own]) for of in (self.post_example, self.post_weight))
+        return s + np.bincount(ex, weights=np.repeat(x, many) * weight, minlength=len(s))
+
+    def _of_one(self, term: np.ndarray, x: np.ndarray, partial: np.ndarray, ties: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, np.ndarray]:
+        low, row = self.low[term], self.peak_of[term]
+        many, rare = self.low[term + 1] - low, row < 0
+        s = self._add(partial.astype(float), low[rare], many[rare], x[rare])
+        low, many, row, own = low[~rare], many[~rare], row[~rare], x[~rare]
+        best = s.reshape(self.blocks, BLOCK).max(1)
+        least = float(np.partition(best, self.blocks - k)[self.blocks - k]) if self.blocks > k else 0.0
+        bound = best + own.astype(np.float32) @ self.peak[row]
+        live = np.flatnonzero((bound >= least - SLACK) & (bound > 0))
+        if SPARSE * len(live) <= self.blocks:
+            low = self.parts[row[:, None], live]
+            s = self._add(s, low.ravel(), (self.parts[row[:, None], live + 1] - low).ravel(), np.repeat(own, len(live)))
+        else:
+            s = self._add(s, low, many, own)
+        # In a block that wasn't read all partial cosines are too small.
+        ex = np.flatnonzero(s >= max(least - SLACK, 0.0))
+        near = s[ex]
         if len(ex) > k:
-            reach = s >= max(float(np.partition(s, len(s) - k)[len(s) - k]) - SLACK, 0.0)
-            ex, s = ex[reach], s[reach]
-        ex = ex[s > 0]
+            reach = near >= float(np.partition(near, len(near) - k)[len(near) - k]) - SLACK
+            ex, near = ex[reach], near[reach]
+        ex = ex[near > 0]
         if not len(ex):
             return ex, np.zeros(0)
-        self.full[term] = x
-        low, many = self.example[ex], self.example[ex + 1] - self.example[ex]
-        at = _ranges(low, many)
-        s = np.add.reduceat(self.full[self.example_term[at]] * self.example_weight[at], np.cumsum(many) - many)
-        self.full[term] = 0
+        rank = self.rank[term]
+        self.full[rank] = x
+        own = [slice(*c) for c in zip(self.example[ex].tolist(), self.example[ex + 1].tolist(), strict=True)]
+        product = self.full.take(np.concatenate([self.example_rank[c] for c in own]))
+        product *= np.concatenate([self.example_weight[c] for c in own])
+        many = self.example[ex + 1] - self.example[ex]
+        s = np.add.reduceat(product, np.cumsum(many) - many)
+        self.full[rank] = 0
         keep = np.lexsort((*(t[ex] for t in ties), -s))[:k]
         return ex[keep], s[keep]
 
@@ -313,7 +376,7 @@ def own_votes(spark: SparkSession, index: Index) -> np.ndarray:
     shared = index.shared(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index = shared.value
+        ix: Index = shared.value.searchable()
         for b in batches:
             own = b.column("id").to_pylist()
             found = ix.nearest_of([ix.blocks().own(i) for i in own], own)
@@ -374,6 +437,7 @@ def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", boun
     ids, label_of, weight, content = (rows[n].to_numpy() for n in ("k", "y", "weight", "content"))
     # The driver holds the postings once, and once more while they are put in order.
     del rows
+    release()
     # Examples with the same most frequent and the same leading term lie together, so that a block's largest weights are few.
     cuts = np.r_[0, np.cumsum(many)]
     lead, common = np.array([(term[a:b][np.argmax(x[a:b])], term[a:b][np.argmax(have[term[a:b]])]) for a, b in zip(cuts, cuts[1:], strict=False)]).T
@@ -382,13 +446,12 @@ def build(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", boun
     place = np.empty(len(many), np.int32)
     place[order] = np.arange(len(many))
     ex = np.repeat(place, many)
-    at = np.lexsort((ex, term)).astype(np.uint32)
     index.start = np.r_[0, np.cumsum(np.bincount(term, minlength=len(index.vocabulary)))]
-    del term
-    index.post_example = ex[at]
-    del ex
-    index.post_weight = x[at]
-    del x, at
+    index.post_example, index.post_weight, at = np.empty(len(ex), np.int32), np.empty(len(ex)), 0
+    for own in _in_order(term, len(index.vocabulary), ex):
+        index.post_example[at : at + len(own)], index.post_weight[at : at + len(own)] = ex[own], x[own]
+        at += len(own)
+    del term, ex, x
     pa.default_memory_pool().release_unused()
     index.slope = _fit_slope(own_votes(spark, index), index.label, index.weight)
     return index
@@ -401,7 +464,7 @@ def score(documents: DataFrame, index: Index, *, key: str = "doc_id", text: str
     near = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index = shared.value
+        ix: Index = shared.value.searchable()
         ix.slope = slope
         base = ix.score(ix.prior) if len(ix.ids) else ix.prior
         for b in batches:
@@ -424,7 +487,7 @@ def without_toxic(documents: DataFrame, index: Index, *, threshold: float = 0.7,
     place = documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index = shared.value
+        ix: Index = shared.value.searchable()
         ix.slope = slope
         base = ix.score(ix.prior) if len(ix.ids) else ix.prior
         for b in batches:
