@@ -33,6 +33,7 @@ labels); other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -55,6 +56,8 @@ FREQUENT = 16
 RARE = 64
 #: Postings are picked by block if no more than one in so many blocks is of use.
 SPARSE = 8
+#: Examples whose own votes are one task's.
+VOTES = 2048
 #: Index arrays are put in order in so many parts, which bounds what that takes beside them.
 PARTS = 16
 #: Documents that are searched at a time.
@@ -94,7 +97,10 @@ def _in_order(key: np.ndarray, size: int, then: np.ndarray | None = None) -> Ite
     step = max(1, -(-size // PARTS))
     for low in range(0, size, step):
         at = np.flatnonzero((key >= low) & (key < low + step))
-        yield at[np.argsort(key[at], kind="stable") if then is None else np.lexsort((then[at], key[at]))]
+        own = key[at] - low
+        # Keys of 16 bits are sorted by radix.
+        own = own.astype(np.uint16) if step <= 1 << 16 else own
+        yield at[np.argsort(own, kind="stable") if then is None else np.lexsort((then[at], own))]
 
 
 #: The leading bits of a hash that a filter tells known terms by.
@@ -153,7 +159,10 @@ class Index:
         at = np.flatnonzero(self.bits[(h >> U(64 - FILTER_BITS)).astype(np.int64)])
         if not len(at):
             return at, at
-        i = np.minimum(np.searchsorted(self.vocabulary, h[at]), len(self.vocabulary) - 1)
+        # Looked up in order, neighbouring hashes share cache lines of the vocabulary.
+        order = np.argsort(h[at])
+        i = np.empty(len(at), np.int64)
+        i[order] = np.minimum(np.searchsorted(self.vocabulary, h[at][order]), len(self.vocabulary) - 1)
         own = self.vocabulary[i] == h[at]
         return at[own], i[own]
 
@@ -198,6 +207,19 @@ class Index:
         return float(1 / (1 + np.exp(-(a * np.log(v / (1 - v)) + b))))
 
 
+@contextmanager
+def _lent(shared: Broadcast) -> Iterator[Index]:
+    """The index for one task. Workers stay after their tasks, tasks take them in turn, and a machine may have twice as
+    many as it runs tasks at once: those that wait must not hold an index each. The next task reads the broadcast's file again."""
+    ix: Index = shared.value.searchable()
+    try:
+        yield ix
+    finally:
+        ix._blocks = None
+        shared.__dict__.pop("_value", None)
+        release()
+
+
 @dataclass
 class Blocks:
     """The index as the search reads it, made in each process from the postings."""
@@ -231,7 +253,7 @@ class Blocks:
             example_rank[at : at + len(own)], example_weight[at : at + len(own)] = of_posting[own], ix.post_weight[own]
             at += len(own)
         del of_posting
-        post_example, post_weight = ix.post_example, ix.post_weight.astype(np.float32)
+        post_example, post_weight = ix.post_example.astype(np.min_scalar_type(n)), ix.post_weight.astype(np.float32)
         if let_go:
             ix.post_example = ix.post_weight = None
         heavy = np.flatnonzero(size >= max(1, n // FREQUENT))
@@ -243,7 +265,7 @@ class Blocks:
             row[post_example[own]] = post_weight[own]
         light = np.where(row_of < 0, size, 0)
         kept = np.repeat(row_of < 0, size)
-        post_example, post_weight, low = post_example[kept].astype(np.min_scalar_type(n)), post_weight[kept], np.r_[0, np.cumsum(light)]
+        post_example, post_weight, low = post_example[kept], post_weight[kept], np.r_[0, np.cumsum(light)]
         some = np.flatnonzero(light >= RARE)
         peak_of = np.full(v, -1, np.int32)
         peak_of[some] = np.arange(len(some))
@@ -292,7 +314,10 @@ class Blocks:
             # Long runs are copied faster than picked.
             own = [slice(*c) for c in zip(low.tolist(), (low + many).tolist(), strict=True)]
             ex, weight = (np.concatenate([of[c] for c in own]) for of in (self.post_example, self.post_weight))
-        return s + np.bincount(ex, weights=np.repeat(x, many) * weight, minlength=len(s))
+        weight *= np.repeat(x.astype(np.float32), many)
+        got = np.bincount(ex, weights=weight, minlength=len(s))
+        got += s
+        return got
 
     def _of_one(self, term: np.ndarray, x: np.ndarray, partial: np.ndarray, ties: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, np.ndarray]:
         low, row = self.low[term], self.peak_of[term]
@@ -376,13 +401,13 @@ def own_votes(spark: SparkSession, index: Index) -> np.ndarray:
     shared = index.shared(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index = shared.value.searchable()
-        for b in batches:
-            own = b.column("id").to_pylist()
-            found = ix.nearest_of([ix.blocks().own(i) for i in own], own)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([ix.vote(*f) for f in found], pa.float64())], names=["id", "vote"])
+        with _lent(shared) as ix:
+            for b in batches:
+                own = b.column("id").to_pylist()
+                found = ix.nearest_of([ix.blocks().own(i) for i in own], own)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([ix.vote(*f) for f in found], pa.float64())], names=["id", "vote"])
 
-    got = spark.range(0, len(index.ids), 1, -(-len(index.ids) // 1024)).mapInArrow(run, "id long, vote double").toArrow()
+    got = spark.range(0, len(index.ids), 1, -(-len(index.ids) // VOTES)).mapInArrow(run, "id long, vote double").toArrow()
     out = np.zeros(len(index.ids))
     out[got["id"].to_numpy()] = got["vote"].to_numpy()
     return out
@@ -464,19 +489,19 @@ def score(documents: DataFrame, index: Index, *, key: str = "doc_id", text: str
     near = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index = shared.value.searchable()
-        ix.slope = slope
-        base = ix.score(ix.prior) if len(ix.ids) else ix.prior
-        for b in batches:
-            out, many, seen = np.full(b.num_rows, base), np.zeros(b.num_rows + 1, np.int32), []
-            if len(ix.ids):
-                # Rows come in order.
-                for at, score, ex, s in ix.judged(b.column("text")):
-                    out[at], many[at + 1] = score, len(ex)
-                    seen.append((ex, s))
-            ex, s = (np.concatenate(c) for c in zip(*seen, strict=True)) if seen else (np.zeros(0, np.int64), np.zeros(0))
-            flat = pa.StructArray.from_arrays([pa.array(ix.ids[ex]), pa.array(ix.label[ex].astype(np.int32)), pa.array(s)], fields=list(near.value_type))
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(out), pa.ListArray.from_arrays(np.cumsum(many, dtype=np.int32), flat, type=near)], names=[key, "score", "neighbours"])
+        with _lent(shared) as ix:
+            ix.slope = slope
+            base = ix.score(ix.prior) if len(ix.ids) else ix.prior
+            for b in batches:
+                out, many, seen = np.full(b.num_rows, base), np.zeros(b.num_rows + 1, np.int32), []
+                if len(ix.ids):
+                    # Rows come in order.
+                    for at, score, ex, s in ix.judged(b.column("text")):
+                        out[at], many[at + 1] = score, len(ex)
+                        seen.append((ex, s))
+                ex, s = (np.concatenate(c) for c in zip(*seen, strict=True)) if seen else (np.zeros(0, np.int64), np.zeros(0))
+                flat = pa.StructArray.from_arrays([pa.array(ix.ids[ex]), pa.array(ix.label[ex].astype(np.int32)), pa.array(s)], fields=list(near.value_type))
+                yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(out), pa.ListArray.from_arrays(np.cumsum(many, dtype=np.int32), flat, type=near)], names=[key, "score", "neighbours"])
 
     return documents.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, score double, neighbours array<struct<id:long,label:int,cosine:double>>")
 
@@ -487,15 +512,15 @@ def without_toxic(documents: DataFrame, index: Index, *, threshold: float = 0.7,
     place = documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index = shared.value.searchable()
-        ix.slope = slope
-        base = ix.score(ix.prior) if len(ix.ids) else ix.prior
-        for b in batches:
-            keep = np.full(b.num_rows, base < threshold)
-            if len(ix.ids):
-                for at, score, _, _ in ix.judged(b.column(place)):
-                    keep[at] = score < threshold
-            yield b.filter(pa.array(keep))
+        with _lent(shared) as ix:
+            ix.slope = slope
+            base = ix.score(ix.prior) if len(ix.ids) else ix.prior
+            for b in batches:
+                keep = np.full(b.num_rows, base < threshold)
+                if len(ix.ids):
+                    for at, score, _, _ in ix.judged(b.column(place)):
+                        keep[at] = score < threshold
+                yield b.filter(pa.array(keep))
 
     return documents.mapInArrow(run, documents.schema)
 

@@ -66,3 +66,20 @@ def test_a_process_lets_go_of_the_postings_and_makes_blocks_in_bounded_memory():
     assert ix.post_example is None and ix.post_weight is None
     own = blocks.own(5)
     assert len(own[0]) and np.isclose((own[1] ** 2).sum(), 1)
+
+
+def test_a_worker_that_waits_holds_no_index():
+    """A machine has more workers than tasks, and tasks take them in turn."""
+
+    class Shared:
+        @property
+        def value(self):
+            self.__dict__.setdefault("_value", index()[0])
+            return self._value
+
+    shared = Shared()
+    with X._lent(shared) as ix:
+        assert ix._blocks is not None and ix.post_weight is None
+    assert ix._blocks is None and "_value" not in shared.__dict__
+    with X._lent(shared) as again:
+        assert len(again.nearest(np.array([3]), np.ones(1))[0])
