@@ -18,7 +18,8 @@ with all examples. The k-th largest of the blocks' best partial cosines is a low
 cosine; a block's upper bound is its best partial cosine and, for the other terms, the document's weights
 times the block's largest weights. Where at most one in SPARSE blocks has an upper bound that reaches the
 lower one, the other terms' postings are read in these alone; else all of them are, for to pick them
-costs more than to read them. What could be among the k best is scored again in full precision, so the
+costs more than to read them. Weights in postings are rounded to steps, none to 0. What could be among the
+k best, by all that steps and single precision can be off, is scored again in full precision, so the
 neighbours are those of a full scan. The votes of the neighbours, each weighted by cosine and by how many labelled rows it stands
 for, and a prior of PRIOR votes give the score; two coefficients fitted on the examples' own
 leave-one-out votes, which the executors work out, make it a probability. A document whose words no
@@ -39,6 +40,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,8 @@ FREQUENT = 16
 RARE = 64
 #: Postings are picked by block if no more than one in so many blocks is of use.
 SPARSE = 8
+#: After a query for which picking didn't pay, so many are searched before it is tried again.
+REST = 31
 #: Examples whose own votes are one task's.
 VOTES = 2048
 #: Index arrays are put in order in so many parts, which bounds what that takes beside them.
@@ -92,9 +96,29 @@ def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(low - (ends - size), size)
 
 
-def _in_order(key: np.ndarray, size: int, then: np.ndarray | None = None) -> Iterator[np.ndarray]:
+#: A term of an example, by rank, and its weight.
+OWN = np.dtype([("rank", np.int32), ("weight", np.float64)])
+
+
+_UNCHECKED = pc.TakeOptions(boundscheck=False)
+
+
+def _lists(start: np.ndarray, data: np.ndarray) -> pa.LargeBinaryArray:
+    """Runs of `data`, the i-th from start[i] to start[i + 1], as bytes: Arrow's take puts some of them together."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start) - 1, [None, pa.py_buffer(start.astype(np.int64) * data.itemsize), pa.py_buffer(data)])
+
+
+def _together(lists: pa.LargeBinaryArray, which: np.ndarray, kind: np.dtype | type, many: int) -> np.ndarray:
+    """The `many` entries of these runs, one after the other."""
+    if not many:
+        return np.zeros(0, kind)
+    which = pa.Array.from_buffers(pa.int64(), len(which), [None, pa.py_buffer(which)])
+    return np.frombuffer(pc.call_function("take", [lists, which], _UNCHECKED).buffers()[2], kind, many)
+
+
+def _in_order(key: np.ndarray, size: int, then: np.ndarray | None = None, parts: int = PARTS) -> Iterator[np.ndarray]:
     """Places in the order of `key` (whole numbers below `size`), then of `then` or as they lie, a range of keys at a time."""
-    step = max(1, -(-size // PARTS))
+    step = max(1, -(-size // parts))
     for low in range(0, size, step):
         at = np.flatnonzero((key >= low) & (key < low + step))
         own = key[at] - low
@@ -105,6 +129,8 @@ def _in_order(key: np.ndarray, size: int, then: np.ndarray | None = None) -> Ite
 
 #: The leading bits of a hash that a filter tells known terms by.
 FILTER_BITS = 22
+#: The leading bits that put the vocabulary into buckets.
+BUCKET_BITS = 20
 
 
 def _filter(vocabulary: np.ndarray) -> np.ndarray:
@@ -129,12 +155,13 @@ class Index:
     content: np.ndarray | None = None  # hashes of the examples' texts
     idf: np.ndarray | None = None
     relevance: np.ndarray | None = None
+    _first: np.ndarray | None = None
     _blocks: Blocks | None = None
     _shared: Broadcast | None = None
 
     def __getstate__(self) -> dict:
         """Without what each process makes for itself, and what the driver alone asks for."""
-        return self.__dict__ | {"_blocks": None, "_shared": None, "idf": None, "relevance": None}
+        return self.__dict__ | {"_first": None, "_blocks": None, "_shared": None, "idf": None, "relevance": None}
 
     def shared(self, spark: SparkSession) -> Broadcast:
         """One broadcast for the votes of the examples and all scores; the slope, which comes in between, goes by itself."""
@@ -159,21 +186,40 @@ class Index:
         at = np.flatnonzero(self.bits[(h >> U(64 - FILTER_BITS)).astype(np.int64)])
         if not len(at):
             return at, at
-        # Looked up in order, neighbouring hashes share cache lines of the vocabulary.
-        order = np.argsort(h[at])
-        i = np.empty(len(at), np.int64)
-        i[order] = np.minimum(np.searchsorted(self.vocabulary, h[at][order]), len(self.vocabulary) - 1)
-        own = self.vocabulary[i] == h[at]
+        # Few terms share their leading bits, and these lie together.
+        h, first = h[at], self.first()
+        lead = (h >> U(64 - BUCKET_BITS)).astype(np.int64)
+        i, end = first[lead].astype(np.int64), first[lead + 1]
+        left = np.flatnonzero(i < end)
+        while len(left := left[self.vocabulary[i[left]] < h[left]]):
+            i[left] += 1
+            left = left[i[left] < end[left]]
+        own = i < end
+        own[own] = self.vocabulary[i[own]] == h[own]
         return at[own], i[own]
 
+    def first(self) -> np.ndarray:
+        """The first term of each bucket of hashes."""
+        if self._first is None:
+            lead = (self.vocabulary >> U(64 - BUCKET_BITS)).astype(np.int64)
+            self._first = np.r_[0, np.cumsum(np.bincount(lead, minlength=1 << BUCKET_BITS))].astype(np.int32)
+        return self._first
+
+    @property
+    def term_bits(self) -> int:
+        return len(self.vocabulary).bit_length()
+
+    def pairs(self, w: Words, at: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """The text of each word found, and its term in the last term_bits."""
+        return (w.text_of()[at] << self.term_bits) | i
+
     def vectors(self, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(text within the chunk, terms, weights) of texts that have a term."""
         at, i = self.find(w.hashes())
         if not len(at):
             return
-        v = len(self.vocabulary)
-        pair, tf = np.unique(w.text_of()[at] * v + i, return_counts=True)
-        texts, term = pair // v, pair % v
+        pair, tf = np.unique(self.pairs(w, at, i), return_counts=True)
+        texts, term = pair >> self.term_bits, pair & ((1 << self.term_bits) - 1)
         x = (1 + np.log(tf)) * self.term_weight[term]
         for a, b in zip(c := np.flatnonzero(np.r_[True, texts[1:] != texts[:-1]]), [*c[1:], len(texts)], strict=True):
             yield int(texts[a]), term[a:b], x[a:b] / np.sqrt((x[a:b] ** 2).sum())
@@ -192,10 +238,18 @@ class Index:
 
     def judged(self, column: pa.Array) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
         """(row, score, neighbours, cosines) of the texts that have a term."""
+        found: list = []
         for w in words(column, ALNUM, lower=True):
-            found = list(self.vectors(w))
-            for (t, _, _), (ex, s) in zip(found, self.nearest_of([(term, x) for _, term, x in found]), strict=True):
-                yield w.first + t, self.score(self.vote(ex, s)), ex, s
+            found += [(w.first + t, term, x) for t, term, x in self.vectors(w)]
+            # Whole groups, for the dense product costs a small one more a document.
+            full = len(found) // GROUP * GROUP
+            yield from self._judged(found[:full])
+            found = found[full:]
+        yield from self._judged(found)
+
+    def _judged(self, found: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
+        for (row, _, _), (ex, s) in zip(found, self.nearest_of([(term, x) for _, term, x in found]), strict=True):
+            yield row, self.score(self.vote(ex, s)), ex, s
 
     def vote(self, ex: np.ndarray, s: np.ndarray) -> float:
         w = s * self.weight[ex]
@@ -228,16 +282,20 @@ class Blocks:
     matrix: np.ndarray  # terms x examples, padded to whole blocks
     blocks: int
     low: np.ndarray  # of each other term's postings
-    post_example: np.ndarray
-    post_weight: np.ndarray
+    posts: np.ndarray  # one number each, for the search waits for memory: the lower half is the example, the upper the weight in steps
+    step: float  # of the postings' weights
     peak_of: np.ndarray  # each term's row in the next two, or -1
     peak: np.ndarray  # the largest weight in each block
     parts: np.ndarray  # where each block's postings start
     example: np.ndarray  # where each example's own terms start
     rank: np.ndarray  # of each term by its examples, so that the places of frequent terms lie together
-    example_rank: np.ndarray
-    example_weight: np.ndarray
-    full: np.ndarray  # zeros, a place for one query's weights, by rank
+    owned: np.ndarray  # the examples' terms
+    place: np.ndarray  # zeros, for the places of one query's terms by rank
+    rest: int = 0  # queries until picking is tried again
+
+    def __post_init__(self) -> None:
+        self.post_lists = _lists(self.low, self.posts)
+        self.own_lists = _lists(self.example, self.owned)
 
     @classmethod
     def of(cls, ix: Index, *, let_go: bool = False) -> Blocks:
@@ -248,9 +306,9 @@ class Blocks:
         rank[np.argsort(-size, kind="stable")] = np.arange(v)
         example = np.r_[0, np.cumsum(np.bincount(ix.post_example, minlength=n))]
         of_posting, at = np.repeat(rank, size), 0
-        example_rank, example_weight = np.empty(len(of_posting), np.int32), np.empty(len(of_posting))
-        for own in _in_order(ix.post_example, n):
-            example_rank[at : at + len(own)], example_weight[at : at + len(own)] = of_posting[own], ix.post_weight[own]
+        owned = np.empty(len(of_posting), OWN)
+        for own in _in_order(ix.post_example, n, parts=4):
+            owned["rank"][at : at + len(own)], owned["weight"][at : at + len(own)] = of_posting[own], ix.post_weight[own]
             at += len(own)
         del of_posting
         post_example, post_weight = ix.post_example.astype(np.min_scalar_type(n)), ix.post_weight.astype(np.float32)
@@ -264,8 +322,15 @@ class Blocks:
             own = slice(ix.start[t], ix.start[t + 1])
             row[post_example[own]] = post_weight[own]
         light = np.where(row_of < 0, size, 0)
-        kept = np.repeat(row_of < 0, size)
-        post_example, post_weight, low = post_example[kept], post_weight[kept], np.r_[0, np.cumsum(light)]
+        kept, low = np.repeat(row_of < 0, size), np.r_[0, np.cumsum(light)]
+        weight = post_weight[kept]
+        step = float(weight.max(initial=0)) / 0xFFFF or 1.0
+        weight /= np.float32(step)
+        posts = np.clip(np.rint(weight, out=weight), 1, 0xFFFF).astype(np.uint32 if n <= 1 << 16 else np.uint64)
+        posts <<= posts.itemsize * 4
+        posts |= post_example[kept]
+        del post_example, post_weight, weight, kept
+        half, lower = posts.itemsize * 4, (1 << posts.itemsize * 4) - 1
         some = np.flatnonzero(light >= RARE)
         peak_of = np.full(v, -1, np.int32)
         peak_of[some] = np.arange(len(some))
@@ -273,18 +338,18 @@ class Blocks:
         for at in np.array_split(some, PARTS):
             # Postings lie by (term, example), so those of a block lie together.
             post, row = _ranges(low[at], light[at]), peak_of[at]
-            place = np.repeat(np.arange(len(at)), light[at]) * blocks + post_example[post] // BLOCK
+            place = np.repeat(np.arange(len(at)), light[at]) * blocks + (posts[post] & lower).astype(np.int64) // BLOCK
             first = np.flatnonzero(np.diff(place, prepend=-1))
             if len(first):
-                peak[row[0] : row[-1] + 1].ravel()[place[first]] = np.maximum.reduceat(post_weight[post], first)
+                peak[row[0] : row[-1] + 1].ravel()[place[first]] = np.maximum.reduceat(posts[post] >> half, first) * np.float32(step)
             many = np.bincount(place, minlength=len(at) * blocks).reshape(len(at), blocks)
             parts[row] = low[at][:, None] + np.c_[np.zeros(len(at), np.int64), np.cumsum(many, axis=1)]
-        return cls(row_of, matrix, blocks, low, post_example, post_weight, peak_of, peak, parts, example, rank, example_rank, example_weight, np.zeros(v))
+        return cls(row_of, matrix, blocks, low, posts, step, peak_of, peak, parts, example, rank, owned, np.zeros(v, np.uint16))
 
     def own(self, example: int) -> tuple[np.ndarray, np.ndarray]:
         """An example's terms and weights."""
         at = slice(self.example[example], self.example[example + 1])
-        return self.term_of[self.example_rank[at]], self.example_weight[at]
+        return self.term_of[self.owned["rank"][at]], self.owned["weight"][at]
 
     @cached_property
     def term_of(self) -> np.ndarray:
@@ -296,60 +361,82 @@ class Blocks:
         for i, (term, x) in enumerate(queries):
             row = self.row_of[term]
             weights[i, row[row >= 0]] = x[row >= 0]
-        partial = weights @ self.matrix
+        # The same place each time: to get and to clear a new one costs as much as a fifth of the product.
+        partial = np.matmul(weights, self.matrix, out=self.partial[: len(queries)])
         for i, own in enumerate(skip or ()):
             if own >= 0:
                 partial[i, own] = -2
         return [self._of_one(term, x, partial[i], ties, k) for i, (term, x) in enumerate(queries)]
 
-    def _add(self, s: np.ndarray, low: np.ndarray, many: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """`s` and what the postings from `low` on, `many` each, add to it with the weights `x`."""
-        total = int(many.sum())
-        if not total:
+    @cached_property
+    def partial(self) -> np.ndarray:
+        return np.empty((GROUP, self.matrix.shape[1]), np.float32)
+
+    def _add(self, s: np.ndarray, posts: np.ndarray, x: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """`s` and what the postings add to it, `many` of each weight of `x`."""
+        if not len(posts):
             return s
-        if total < RARE * len(many):
-            post = _ranges(low, many)
-            ex, weight = self.post_example[post], self.post_weight[post]
-        else:
-            # Long runs are copied faster than picked.
-            own = [slice(*c) for c in zip(low.tolist(), (low + many).tolist(), strict=True)]
-            ex, weight = (np.concatenate([of[c] for c in own]) for of in (self.post_example, self.post_weight))
-        weight *= np.repeat(x.astype(np.float32), many)
-        got = np.bincount(ex, weights=weight, minlength=len(s))
+        half = posts.itemsize * 4
+        weight = (posts >> half).astype(np.float32)
+        weight *= np.repeat((x * self.step).astype(np.float32), many)
+        got = np.bincount((posts & ((1 << half) - 1)).astype(np.int64), weights=weight, minlength=len(s))
         got += s
         return got
 
-    def _of_one(self, term: np.ndarray, x: np.ndarray, partial: np.ndarray, ties: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, np.ndarray]:
-        low, row = self.low[term], self.peak_of[term]
-        many, rare = self.low[term + 1] - low, row < 0
-        s = self._add(partial.astype(float), low[rare], many[rare], x[rare])
-        low, many, row, own = low[~rare], many[~rare], row[~rare], x[~rare]
+    def _whole(self, s: np.ndarray, term: np.ndarray, x: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """`s` and what all postings of the terms add to it."""
+        return self._add(s, _together(self.post_lists, term, self.posts.dtype, int(many.sum())), x, many)
+
+    def _least(self, best: np.ndarray, k: int) -> float:
+        """A lower bound of the k-th cosine, of the best ones of disjoint sets of examples."""
+        return float(np.partition(best, len(best) - k)[len(best) - k]) if len(best) > k else 0.0
+
+    def _picked(self, s: np.ndarray, term: np.ndarray, x: np.ndarray, many: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, float]:
+        """All cosines, or those in the blocks that can hold the k best and partial ones elsewhere, which are too small; and a lower bound of the k-th."""
+        row = self.peak_of[term]
+        rare = row < 0
+        s = self._whole(s, term[rare], x[rare], many[rare])
+        term, x, many, row = term[~rare], x[~rare], many[~rare], row[~rare]
         best = s.reshape(self.blocks, BLOCK).max(1)
-        least = float(np.partition(best, self.blocks - k)[self.blocks - k]) if self.blocks > k else 0.0
-        bound = best + own.astype(np.float32) @ self.peak[row]
-        live = np.flatnonzero((bound >= least - SLACK) & (bound > 0))
-        if SPARSE * len(live) <= self.blocks:
-            low = self.parts[row[:, None], live]
-            s = self._add(s, low.ravel(), (self.parts[row[:, None], live + 1] - low).ravel(), np.repeat(own, len(live)))
+        least = self._least(best, k)
+        bound = best + x.astype(np.float32) @ self.peak[row]
+        live = np.flatnonzero((bound >= least - slack) & (bound > 0))
+        if SPARSE * len(live) > self.blocks:
+            self.rest = REST
+            return self._whole(s, term, x, many), least
+        low = self.parts[row[:, None], live]
+        many = (self.parts[row[:, None], live + 1] - low).ravel()
+        return self._add(s, self.posts[_ranges(low.ravel(), many)], np.repeat(x, len(live)), many), least
+
+    def _of_one(self, term: np.ndarray, x: np.ndarray, partial: np.ndarray, ties: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, np.ndarray]:
+        many = self.low[term + 1] - self.low[term]
+        some = many > 0
+        light = term[some], x[some], many[some]
+        # A weight is off by a step at most, and two cosines are compared.
+        slack = SLACK + 2 * self.step * float(light[1].sum())
+        if self.rest:
+            self.rest -= 1
+            s, least = self._whole(partial, *light), 0.0
         else:
-            s = self._add(s, low, many, own)
-        # In a block that wasn't read all partial cosines are too small.
-        ex = np.flatnonzero(s >= max(least - SLACK, 0.0))
+            s, least = self._picked(partial, *light, k, slack)
+        # Sets of examples that lie far from each other: those that lie together are alike, and a set yields its best alone.
+        least = max(least, self._least(s.reshape(BLOCK, self.blocks).max(0), k))
+        ex = np.flatnonzero(s > max(least - slack, 0.0))
         near = s[ex]
         if len(ex) > k:
-            reach = near >= float(np.partition(near, len(near) - k)[len(near) - k]) - SLACK
-            ex, near = ex[reach], near[reach]
-        ex = ex[near > 0]
+            reach = near >= float(np.partition(near, len(near) - k)[len(near) - k]) - slack
+            ex = ex[reach]
         if not len(ex):
             return ex, np.zeros(0)
-        rank = self.rank[term]
-        self.full[rank] = x
-        own = [slice(*c) for c in zip(self.example[ex].tolist(), self.example[ex + 1].tolist(), strict=True)]
-        product = self.full.take(np.concatenate([self.example_rank[c] for c in own]))
-        product *= np.concatenate([self.example_weight[c] for c in own])
-        many = self.example[ex + 1] - self.example[ex]
+        many, rank = self.example[ex + 1] - self.example[ex], self.rank[term]
+        owned = _together(self.own_lists, ex, OWN, int(many.sum()))
+        # Two small tables are looked up faster than one of all terms' weights.
+        place = self.place if len(term) < 1 << 16 else np.zeros(len(self.place), np.uint32)
+        place[rank] = np.arange(1, len(term) + 1)
+        product = np.r_[0.0, x].take(place.take(owned["rank"]))
+        product *= owned["weight"]
         s = np.add.reduceat(product, np.cumsum(many) - many)
-        self.full[rank] = 0
+        place[rank] = 0
         keep = np.lexsort((*(t[ex] for t in ties), -s))[:k]
         return ex[keep], s[keep]
 
@@ -384,7 +471,7 @@ def document_counts(documents: DataFrame, index: Index, *, text: str = "text") -
             for w in words(b.column("text"), ALNUM, lower=True):
                 at, i = ix.find(w.hashes())
                 if len(at):
-                    np.add.at(have, np.unique(w.text_of()[at] * v + i) % v, 1)
+                    np.add.at(have, np.unique(ix.pairs(w, at, i)) & ((1 << ix.term_bits) - 1), 1)
         # The place after the last term counts the documents.
         at = np.flatnonzero(have)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, v]), pa.array(np.r_[have[at], docs])], names=["i", "n"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import toxicity as X
@@ -83,3 +84,50 @@ def test_a_worker_that_waits_holds_no_index():
     assert ix._blocks is None and "_value" not in shared.__dict__
     with X._lent(shared) as again:
         assert len(again.nearest(np.array([3]), np.ones(1))[0])
+
+
+def test_a_posting_takes_four_bytes_and_neighbours_stay_exact():
+    """The search waits for memory. Weights that one step can't tell apart still decide, and none is too small to count."""
+    n = 6000
+    term, weight = np.repeat(np.arange(20), n // 20), np.full(n, 0.5) + np.arange(n) * 1e-9
+    weight[term == 7] *= 1e-9
+    ix = X.Index(np.arange(20).astype(np.uint64), np.ones(20), np.zeros(1 << 20, bool), np.arange(n), np.zeros(n), np.ones(n), 0.1, np.arange(21) * (n // 20), np.arange(n, dtype=np.int32), weight)
+    assert ix.blocks().posts.itemsize == 4
+    for t in (3, 7):
+        ex, cosine = ix.nearest(np.array([t]), np.ones(1))
+        own = np.flatnonzero(term == t)[::-1][: X.NEIGHBOURS]
+        assert ex.tolist() == own.tolist() and np.array_equal(cosine, weight[own])
+
+
+def test_more_examples_than_two_bytes_number():
+    n, each = 80000, 400
+    r = np.random.default_rng(4)
+    weight = 0.1 + r.random(n)
+    ix = X.Index(np.arange(n // each).astype(np.uint64), np.ones(n // each), np.zeros(1 << 20, bool), np.arange(n), np.zeros(n), np.ones(n), 0.1, np.arange(0, n + 1, each), r.permutation(n).astype(np.int32), weight)
+    for t in range(n // each):
+        own = slice(t * each, (t + 1) * each)
+        ix.post_example[own] = np.sort(ix.post_example[own])
+    ex, cosine = ix.nearest(np.array([150]), np.ones(1))
+    best = np.argsort(-weight[60000:60400])[: X.NEIGHBOURS] + 60000
+    assert ex.tolist() == ix.post_example[best].tolist() and np.array_equal(cosine, weight[best])
+
+
+def test_documents_are_searched_in_whole_groups(monkeypatch):
+    """The dense product of a small group costs about half as much again a document; a chunk of texts is not a group."""
+    ix, _ = index(n=2000)
+    sizes, whole = [], X.Blocks.nearest
+    monkeypatch.setattr(X.Blocks, "nearest", lambda self, queries, *a: sizes.append(len(queries)) or whole(self, queries, *a))
+    monkeypatch.setattr(X.Index, "vectors", lambda self, w: ((t, np.array([t % 20]), np.ones(1)) for t in range(w.texts)))
+    monkeypatch.setattr("tessera.llm.wordhash.CHUNK_BYTES", 1000)
+    rows = [row for row, *_ in ix.judged(pa.array([f"word{i:06d}" for i in range(700)]))]
+    assert rows == list(range(700)) and sizes == [X.GROUP] * 5 + [60]
+
+
+def test_words_are_found_in_buckets_of_the_vocabulary():
+    r = np.random.default_rng(6)
+    # Many terms share their leading bits, in the first bucket and the last too.
+    known = np.unique(np.r_[r.integers(0, 1 << 63, 5000, np.uint64) * 2, np.arange(40, dtype=np.uint64) * 3, np.uint64(2**64 - 1) - np.arange(40, dtype=np.uint64) * 3])
+    asked = np.r_[known, known + np.uint64(1), np.arange(130, dtype=np.uint64), r.integers(0, 1 << 63, 999, np.uint64)]
+    ix = X.Index(known, np.ones(len(known)), X._filter(known), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 0.1)
+    at, term = ix.find(asked)
+    assert at.tolist() == np.flatnonzero(np.isin(asked, known)).tolist() and np.array_equal(known[term], asked[at])
