@@ -66,6 +66,8 @@ VOTES = 2048
 PARTS = 16
 #: Documents that are searched at a time.
 GROUP = 128
+#: Documents, or terms of them, that are searched in a row: taking words from texts in between drives the index out of the processor's cache.
+POOL, POOL_TERMS = 1024, 1 << 19
 #: More than single-precision sums can be off.
 SLACK = 1e-4
 NEIGHBOURS = 25
@@ -241,10 +243,11 @@ class Index:
         found: list = []
         for w in words(column, ALNUM, lower=True):
             found += [(w.first + t, term, x) for t, term, x in self.vectors(w)]
-            # Whole groups, for the dense product costs a small one more a document.
-            full = len(found) // GROUP * GROUP
-            yield from self._judged(found[:full])
-            found = found[full:]
+            if len(found) >= POOL or sum(len(term) for _, term, _ in found) >= POOL_TERMS:
+                # Whole groups, for the dense product costs a small one more a document.
+                full = len(found) // GROUP * GROUP
+                yield from self._judged(found[:full])
+                found = found[full:]
         yield from self._judged(found)
 
     def _judged(self, found: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
