@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from jobs.settings import command_line, default_file
 from tessera.config import GateConfig
-from tessera.operators.findings import location, placed
+from tessera.operators.findings import NESTED
 from tessera.plans import derived
 from tessera.plans.gate import gate
 
 LOG = logging.getLogger("jobs.gate_audit")
 KNOWN: dict[str, Any] = {"months": [], "files_per_month": 1, "rules": ["VID009", "VID010"], "gate": {}}
-FINDING = "struct<place:int,rule_id:string,severity:string,penalty:int,title:string,detail:string,location:string,justification:string>"
-AUDIT = f"cs_id long, value int, threshold int, passed boolean, band string, worst_severity string, n_unjustified long, summary string, findings array<{FINDING}>, month string"
+AUDIT = f"cs_id long, value int, threshold int, passed boolean, band string, worst_severity string, n_unjustified long, summary string, findings array<{NESTED}>, month string"
+COLUMNS = ("cs_id", "value", "threshold", "passed", "band", "worst_severity", "n_unjustified", "summary", "findings", "month")
 
 
 def _in_months(day: Column, months: list[str]) -> Column:
@@ -52,11 +52,11 @@ def run(spark: SparkSession, orders: str, output: str, config: dict[str, Any]) -
     if months:
         rows = rows.where(_in_months(F.col("o_orderdate"), months))
     LOG.info("read %d orders of %s from %s", rows.count(), months or "all months", orders)
-    files = derived.config_corpus(rows).unionByName(derived.flag_corpus(rows).withColumn("file_ord", F.lit(1)))
-    done = gate(derived.changesets(files), files, GateConfig.of(config["gate"]), rules=tuple(config["rules"]))
+    sets = derived.order_changesets(rows, F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    done = gate(sets, derived.gate_corpus(rows), GateConfig.of(config["gate"]), rules=tuple(config["rules"]))
     try:
-        month = rows.select(F.col("o_orderkey").alias("cs_id"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
-        _audited(done.scores, done.findings, month).repartition("month", F.pmod(F.xxhash64("cs_id"), F.lit(parts))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if months else "static").partitionBy("month").parquet(output)
+        audited = done.judged().select(*COLUMNS).repartition("month", F.pmod(F.xxhash64("cs_id"), F.lit(parts)))
+        audited.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if months else "static").partitionBy("month").parquet(output)
     finally:
         done.release()
     out = spark.read.schema(AUDIT).parquet(output)
@@ -66,15 +66,6 @@ def run(spark: SparkSession, orders: str, output: str, config: dict[str, Any]) -
     return out
 
 
-def _audited(scores: DataFrame, findings: DataFrame, month: DataFrame) -> DataFrame:
-    """A row for each change set, with its findings in order; those of one change set are as many as its files and lines give."""
-    one = F.struct("place", "rule_id", "severity", "penalty", "title", "detail", location(F.col("path"), F.col("evidence")).alias("location"), "justification")
-    nested = placed(findings).groupBy("cs_id").agg(F.array_sort(F.collect_list(one)).alias("findings"))
-    whole = scores.join(nested, "cs_id", "left").join(month, "cs_id")
-    none = F.expr(f"cast(array() as array<{FINDING}>)")
-    return whole.select("cs_id", "value", "threshold", "passed", "band", "worst_severity", "n_unjustified", "summary", F.coalesce("findings", none).cast(f"array<{FINDING}>").alias("findings"), "month")
-
-
 def main(arguments: list[str] | None = None) -> None:
     command_line("Audits change sets by month.", {"orders": "the table of orders, Parquet", "output": "the folder of the audit"}, default_file(__file__), run, KNOWN, arguments)
 
